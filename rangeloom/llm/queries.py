@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from rangeloom.llm.common import table
 
 
+def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.packing import pack
 
@@ -22,9 +34,11 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op6_vector_packing, op9_cube_mixing]
+    own = [op4_warc_members, op5_rule_cascade, op6_vector_packing, op9_cube_mixing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rangeloom.llm import oracles
+
+    return {"op4_warc_members": oracles.OP4, "op5_rule_cascade": oracles.OP5}
