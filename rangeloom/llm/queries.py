@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from rangeloom.llm.common import table
 
 
+def op3_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.warc import archive_and_read
 
@@ -34,7 +40,7 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_warc_members, op5_rule_cascade, op6_vector_packing, op9_cube_mixing]
+    own = [op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op9_cube_mixing]
     return {f.__name__: f for f in own}
 
 
