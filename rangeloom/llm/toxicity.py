@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of n-grams in characters, and bits of their hash.
-NGRAMS, HASH_BITS = (3, 4, 5), 20
+NGRAMS, HASH_BITS = (4, 6), 22
 #: Bounds of the training rows and of the features that the model keeps.
 TRAIN_ROWS, KEPT_FEATURES = 16_000, 4_000
 #: Least number of training texts that a kept feature occurs in, smoothing of the ratios, weight of the ridge.
@@ -136,7 +136,7 @@ def _presence(rows: DataFrame, bits: int) -> DataFrame:
                 key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
                 toxic = label[a + (key >> bits)] == 1
                 for k in (0, 1):
-                    count[k] += np.bincount(key[toxic == k] & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
+                    np.add.at(count[k], key[toxic == k] & ((1 << bits) - 1), 1)
         found = np.flatnonzero(count.sum(0))
         for a in range(0, len(found), 100_000):
             f = found[a : a + 100_000]
@@ -150,11 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, kept
 
     Without labels of both classes the model has no features and its scores are all below the threshold.
     """
-    rows = training_rows(docs, labels, train_rows).repartition(32)
+    rows = training_rows(docs, labels, train_rows).repartition(8)
     sums = rows.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sums}
     if not n.get(0) or not n.get(1):
-        return Model(np.zeros(1 << bits, dtype=np.int32), np.zeros(1), -3.0)
+        return Model(np.zeros(1 << bits, dtype=np.int16), np.zeros(1), -3.0)
     n1, n0 = float(n[1]), float(n[0])
     counts = _presence(rows, bits).groupBy("hash").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     p, q = F.col("t") / n1, F.col("c") / n0
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, kept
     chi = F.when(both < 1, (p - q) * (p - q) / (both * (1 - both))).otherwise(0.0)
     best = counts.filter(F.col("t") + F.col("c") >= LEAST_TEXTS).orderBy(chi.desc(), "hash").limit(kept).collect()
     best.sort(key=lambda r: r["hash"])
-    slot = np.zeros(1 << bits, dtype=np.int32)
+    slot = np.zeros(1 << bits, dtype=np.int16)
     slot[[r["hash"] for r in best]] = np.arange(1, len(best) + 1)
     t, c = (np.array([0.0, *(r[k] for r in best)]) for k in "tc")
     ratio = np.log((t + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c + SMOOTHING) / (n0 + 2 * SMOOTHING))
