@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from rangeloom.llm.common import table
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.pii import find_documents
+
+    return find_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.toxicity import classify
 
@@ -33,6 +39,12 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))[0]
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.mixing import mix_documents
 
@@ -40,7 +52,7 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op9_cube_mixing]
+    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing]
     return {f.__name__: f for f in own}
 
 
