@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,26 @@ TOKENIZER = "word_bpe_49k.json"
 EOS_ID = 2
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 4096, 1024, 4096
 #: Pieces that a task keeps before it packs, and words whose ids it remembers.
-POOL_PIECES, CACHED_WORDS = 1024, 400_000
+POOL_PIECES, CACHED_WORDS = 1024, 1_000_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
+#: A mark before a full stop or comma with which the splitter may join it: ASCII punctuation, or beyond ASCII anything but Latin-1 letters.
+_JOINED = re.compile(rb"(?:[!-/:-@\[-`{-~]|[\x80-\xff](?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,][ \n]")
+#: Stands between words that are encoded together.
+_FENCE = "^"
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
-    The tokenizer drops white space, and neither its normaliser nor its splitter
-    looks across it, so the ids of a text are those of its words in a row. Words
-    repeat; their ids are kept as little-endian bytes and joined.
+    The tokenizer ignores case and drops white space, and neither its normaliser
+    nor its splitter looks across it, so the ids of a text are those of its
+    lower-cased words in a row. A full stop or comma after a letter or digit is a
+    unit of its own to the splitter, so it may be a word of its own here. Words
+    repeat; their ids are kept as little-endian bytes and joined. One of these
+    lives as long as a Python worker.
     """
 
     def __init__(self, path: str | None = None):
@@ -53,6 +64,28 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        fence = self.tokenizer.encode(_FENCE, add_special_tokens=False).ids
+        self.fence = fence[0] if len(fence) == 1 else None
+
+    @staticmethod
+    @cache
+    def of_worker(path: str | None) -> WordTokenizer:
+        return WordTokenizer(path)
+
+    def _learn(self, new: list[bytes]) -> None:
+        known = self.known
+        plain = [w for w in new if _FENCE.encode() not in w] if self.fence is not None else []
+        for k in range(0, len(plain), 256):
+            part = plain[k : k + 256]
+            found = self.tokenizer.encode_batch_fast([f" {_FENCE} ".join([w.decode("utf-8", "replace") for w in part])], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            ends = [4 * int(e) for e in np.flatnonzero(ids == self.fence)] + [4 * len(ids)]
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                known[w] = raw[start:end]
+                start = end + 4
+        for w in set(new) - set(plain):
+            known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as little-endian 32-bit numbers, without an end marker; none for null."""
@@ -60,16 +93,14 @@ class WordTokenizer:
         if len(known) > CACHED_WORDS:
             known.clear()
         for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            try:
-                yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-            except KeyError:
-                new = list({w for w in words if w not in known})
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-                yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+            raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+            if not _JOINED.search(raw):
+                raw = raw.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+            words = raw.split()
+            new = set(words).difference(known)
+            if new:
+                self._learn(list(new))
+            yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
 @dataclass
@@ -211,7 +242,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordTokenizer(tokenizer_path)
+        words = WordTokenizer.of_worker(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 33, tokens, segments, loss_tokens, pool_pieces)
         end = np.array([EOS_ID], "<u4")
         for batch in batches:
