@@ -51,8 +51,14 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.minmax import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing]
+    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup]
     return {f.__name__: f for f in own}
 
 
