@@ -57,8 +57,14 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup]
+    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 

@@ -206,6 +206,20 @@ def score_all(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below the threshold; scored as they stream by."""
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            scores = [shared.value.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled rows that are not held out, then score every row of ``docs``.
 
