@@ -15,6 +15,12 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.rabitq import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.toxicity import classify
 
@@ -64,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
+    own = [op1_weak_pii, op2_rotated_codes, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
