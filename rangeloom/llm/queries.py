@@ -51,6 +51,12 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))[0]
 
 
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.quotes import link
+
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rangeloom.llm.mixing import mix_documents
 
@@ -70,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_rotated_codes, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
+    own = [op1_weak_pii, op2_rotated_codes, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op8_quotation_links, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
