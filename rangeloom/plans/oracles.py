@@ -165,6 +165,32 @@ def oracle_sql() -> dict[str, str]:
               SELECT o_orderkey, vals[3:7] AS v, suits[3:7] AS s, list_sort(list_distinct(vals[3:7])) AS u FROM dl
             ), nr AS (SELECT *, len(list_filter(range(1, len(u)), lambda i: u[i + 1] - u[i] <= 2)) AS near FROM bd)
             SELECT o_orderkey, len(list_distinct(s)) = 1 AS monotone, len(list_distinct(s)) < 5 AS two_tone, len(u) < 5 AS paired, near >= 2 AS connected, near >= 3 AS very_connected, list_max(v) AS high_card FROM nr""",
+        "strengths": f"""WITH {_DEALS}, {_SCORE}, sq AS (
+              SELECT o_orderkey, category, kickers, vals[1] AS h1, vals[2] AS h2, suits[1] AS t1, suits[2] AS t2, vals[3:7] AS b, list_sort(list_distinct(vals[3:7])) AS u,
+                     len(list_distinct(suits[3:7])) = 1 AS mono, list_max(vals[3:7]) AS top,
+                     list_transform(range(0, 4), lambda x: len(list_filter(suits, lambda y: y = x))) AS per,
+                     CASE WHEN list_contains(vals, 14) THEN list_append(list_distinct(vals), 1) ELSE list_distinct(vals) END AS lo
+              FROM bs JOIN dl USING (o_orderkey)
+            ), wq AS (
+              SELECT *, len(u) < 5 AS paired, len(list_filter(range(1, len(u)), lambda i: u[i + 1] - u[i] <= 2)) >= 3 AS wet, list_position(per, list_max(per)) - 1 AS fs,
+                     list_filter(range(1, 11), lambda t: len(list_filter(lo, lambda y: y >= t AND y <= t + 4)) = 4) AS win,
+                     (CASE WHEN h1 > top THEN 1 ELSE 0 END) + (CASE WHEN h2 > top THEN 1 ELSE 0 END) AS over,
+                     greatest(CASE WHEN h1 <> kickers[1] THEN h1 ELSE 0 END, CASE WHEN h2 <> kickers[1] THEN h2 ELSE 0 END) AS kick
+              FROM sq
+            ), oq AS (
+              SELECT *, CASE WHEN category > 0 THEN 0 ELSE (CASE WHEN list_max(per) = 4 THEN 9 ELSE 0 END)
+                + CASE WHEN len(list_filter(win, lambda t: NOT list_contains(lo, t) OR NOT list_contains(lo, t + 4))) > 0 THEN 8 WHEN len(win) > 0 THEN 4 ELSE 0 END
+                + CASE over WHEN 2 THEN 6 WHEN 1 THEN 3 ELSE 0 END END AS outs FROM wq
+            )
+            SELECT o_orderkey, ['high_card', 'pair', 'two_pair', 'trips', 'straight', 'flush', 'full_house', 'quads', 'straight_flush'][category + 1] AS hand_type, outs,
+              CASE category WHEN 8 THEN 'nuts/near-nuts' WHEN 7 THEN 'nuts/near-nuts' WHEN 6 THEN 'nuts/near-nuts'
+                WHEN 5 THEN CASE WHEN (t1 = fs AND h1 = 14) OR (t2 = fs AND h2 = 14) THEN 'nuts/near-nuts' WHEN mono THEN 'strong made' ELSE 'nuts/near-nuts' END
+                WHEN 4 THEN CASE WHEN paired OR mono THEN 'strong made' ELSE 'nuts/near-nuts' END
+                WHEN 3 THEN CASE WHEN h1 = h2 AND list_contains(b, h1) AND NOT (mono OR wet) THEN 'nuts/near-nuts' ELSE 'strong made' END
+                WHEN 2 THEN CASE WHEN wet THEN 'medium made' ELSE 'strong made' END
+                WHEN 1 THEN CASE WHEN kickers[1] > top THEN 'strong made' WHEN kickers[1] = top THEN CASE WHEN kick >= 11 THEN 'strong made' ELSE 'medium made' END ELSE 'weak made' END
+                ELSE CASE WHEN outs >= 10 THEN 'strong draw' WHEN outs >= 3 THEN 'weak draw' ELSE 'air' END END AS bucket
+            FROM oq""",
         "strength_filter": f"""WITH {_LOG}, {_PSI}, lf AS (
               SELECT path, bucket_idx, sum(ln(psi)) AS l FROM lg JOIN ps USING (bucket) GROUP BY path, bucket_idx
             ), wf AS (SELECT path, bucket_idx, exp(l - max(l) OVER w) / 7 AS u, max(l) OVER w AS top FROM lf WINDOW w AS (PARTITION BY path)
