@@ -99,12 +99,18 @@ def score(hand: Column) -> Column:
         flush = F.get(F.filter(F.transform(F.array(*map(F.lit, SUITS)), of_suit), lambda x: F.size(x) >= 5), F.lit(0))
         return F.struct(values.alias("values"), distinct.alias("distinct"), counts.alias("counts"), F.coalesce(flush, F.array().cast("array<int>")).alias("flush"))
 
-    return F.when(F.size(hand).between(5, 7), let(counted(hand), rated)).otherwise(bad("a hand has five to seven cards"))
+    def checked(hand: Column) -> Column:
+        return F.when(F.size(hand).between(5, 7), let(counted(hand), rated)).otherwise(bad("a hand has five to seven cards"))
+
+    return let(hand, checked)
 
 
 def texture(board: Column) -> Column:
     """struct(monotone, two_tone, paired, connected, very_connected, high_card) of a board."""
-    values = F.sort_array(F.array_distinct(F.transform(board, rank_value)))
+    return let(F.struct(board.alias("b"), F.sort_array(F.array_distinct(F.transform(board, rank_value))).alias("v")), lambda x: _texture(x["b"], x["v"]))
+
+
+def _texture(board: Column, values: Column) -> Column:
     most_suit = F.coalesce(F.array_max(F.transform(F.array(*map(F.lit, SUITS)), lambda s: F.size(F.filter(board, lambda c: suit(c) == s)))), F.lit(0))
     near = F.when(F.size(values) >= 2, F.size(F.filter(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: b - a), lambda g: g <= 2))).otherwise(0)
     return F.struct(
@@ -161,9 +167,9 @@ def draw_bucket(n: Column) -> Column:
     return F.when(n >= 10, "strong draw").when(n >= 3, "weak draw").otherwise("air")
 
 
-def made_bucket(hole: Column, board: Column, rated: Column) -> Column:
+def made_bucket(hole: Column, board: Column, rated: Column, board_texture: Column) -> Column:
     """Bucket of a made hand; 'air' for a high card."""
-    t, name, pair = texture(board), rated["name"], F.get(rated["kickers"], F.lit(0))
+    t, name, pair = board_texture, rated["name"], F.get(rated["kickers"], F.lit(0))
     values = F.transform(board, rank_value)
     both = F.concat(hole, board)
     flush_suit = F.get(F.filter(F.array(*map(F.lit, SUITS)), lambda s: F.size(F.filter(both, lambda c: suit(c) == s)) >= 5), F.lit(0))
@@ -187,10 +193,22 @@ def made_bucket(hole: Column, board: Column, rated: Column) -> Column:
 def strength(hole: Column, board: Column) -> Column:
     """struct(bucket, score, hand_type, outs, texture) of two hole cards on three to five board cards, both arrays of cards."""
 
-    def rated(s: Column) -> Column:
-        n = outs(hole, board, s["name"])
-        bucket = F.when(s["name"] == "high_card", draw_bucket(n)).otherwise(made_bucket(hole, board, s))
-        return F.struct(bucket.alias("bucket"), s.alias("score"), s["name"].alias("hand_type"), n.cast("int").alias("outs"), texture(board).alias("board_texture"))
+    def bound(x: Column) -> Column:
+        hole, board = x["hole"], x["board"]
+
+        def rated(y: Column) -> Column:
+            s, t, n = y["s"], y["t"], outs(hole, board, y["s"]["name"])
+
+            def named(n: Column) -> Column:
+                bucket = F.when(s["name"] == "high_card", draw_bucket(n)).otherwise(made_bucket(hole, board, s, t))
+                return F.struct(bucket.alias("bucket"), s.alias("score"), s["name"].alias("hand_type"), n.alias("outs"), t.alias("board_texture"))
+
+            return let(n.cast("int"), named)
+
+        return let(F.struct(score(F.concat(hole, board)).alias("s"), texture(board).alias("t")), rated)
+
+    def checked(x: Column) -> Column:
+        ok = (F.size(x["hole"]) == 2) & F.size(x["board"]).between(3, 5)
+        return F.when(ok, bound(x)).otherwise(bad("needs two hole cards and three to five board cards"))
 
-    ok = (F.size(hole) == 2) & F.size(board).between(3, 5)
-    return F.when(ok, let(score(F.concat(hole, board)), rated)).otherwise(bad("needs two hole cards and three to five board cards"))
+    return let(F.struct(hole.alias("hole"), board.alias("board")), checked)

@@ -23,7 +23,8 @@ def strengths_of(boards: DataFrame) -> DataFrame:
     """(board, class_id, bucket): strength of each class on each distinct board; null where it cannot be told."""
     rated = representative_combos(boards).withColumn("__b", cards(F.col("board")))
     ok = F.col("combo").isNotNull() & F.size("__b").between(3, 5)
-    return rated.select("board", "class_id", F.when(ok, strength(F.col("combo"), F.col("__b"))["bucket"]).alias("strength"))
+    found = F.when(ok, strength(F.col("combo"), F.col("__b")))
+    return rated.select("board", "class_id", found["bucket"].alias("strength"))
 
 
 def collapse(ranges: DataFrame, keys: list[str]) -> DataFrame:

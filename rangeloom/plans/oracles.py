@@ -191,6 +191,41 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 1 THEN CASE WHEN kickers[1] > top THEN 'strong made' WHEN kickers[1] = top THEN CASE WHEN kick >= 11 THEN 'strong made' ELSE 'medium made' END ELSE 'weak made' END
                 ELSE CASE WHEN outs >= 10 THEN 'strong draw' WHEN outs >= 3 THEN 'weak draw' ELSE 'air' END END AS bucket
             FROM oq""",
+        "collapse": f"""WITH {_CLASSES}, {_DEALS.replace("o_orderkey", "s_suppkey").replace("orders", "supplier")}, fb AS (
+              SELECT DISTINCT array_to_string(cards[3:5], '') AS board, cards[3:5] AS b FROM dl
+            ), co AS (
+              SELECT board, b, class_id, c1, c2, row_number() OVER (PARTITION BY board, class_id ORDER BY x.i, y.i) AS k
+              FROM fb, cb JOIN su x ON x.s = substr(c1, 2, 1) JOIN su y ON y.s = substr(c2, 2, 1) WHERE NOT list_contains(b, c1) AND NOT list_contains(b, c2)
+            ), un AS (
+              SELECT board, class_id, b, c1, c2, 15 - instr('AKQJT98765432', substr(c, 1, 1)) AS v, substr(c, 2, 1) AS s
+              FROM (SELECT *, unnest(list_concat([c1, c2], b)) AS c FROM co WHERE k = 1)
+            ), cn AS (SELECT *, count(*) OVER (PARTITION BY board, class_id, v) AS n, count(*) OVER (PARTITION BY board, class_id, s) AS ns FROM un
+            ), g AS (
+              SELECT board, class_id, any_value(b) AS b, any_value(c1) AS c1, any_value(c2) AS c2, list(n ORDER BY n DESC, v DESC) AS form, list(v ORDER BY n DESC, v DESC) AS vs,
+                     max(ns) AS ms, max(v) AS hi, min(v) AS lo, list_distinct(list(v)) AS dv FROM cn GROUP BY board, class_id
+            ), h AS (
+              SELECT *, 15 - instr('AKQJT98765432', substr(c1, 1, 1)) AS h1, 15 - instr('AKQJT98765432', substr(c2, 1, 1)) AS h2,
+                     list_transform(b, lambda c: 15 - instr('AKQJT98765432', substr(c, 1, 1))) AS bv, len(list_distinct(list_transform(b, lambda c: substr(c, 2, 1)))) = 1 AS mono,
+                     CASE WHEN vs = [14, 5, 4, 3, 2] THEN 5 WHEN len(dv) = 5 AND hi - lo = 4 THEN hi ELSE 0 END AS run,
+                     CASE WHEN hi = 14 THEN list_append(dv, 1) ELSE dv END AS low FROM g
+            ), o AS (
+              SELECT *, list_max(bv) AS top, len(list_distinct(bv)) < 3 AS paired,
+                     list_filter(range(1, 11), lambda t: len(list_filter(low, lambda y: y >= t AND y <= t + 4)) = 4) AS win FROM h
+            ), z AS (
+              SELECT *, CASE WHEN ms = 4 THEN 9 ELSE 0 END
+                + CASE WHEN len(list_filter(win, lambda t: NOT list_contains(low, t) OR NOT list_contains(low, t + 4))) > 0 THEN 8 WHEN len(win) > 0 THEN 4 ELSE 0 END
+                + CASE (CASE WHEN h1 > top THEN 1 ELSE 0 END) + (CASE WHEN h2 > top THEN 1 ELSE 0 END) WHEN 2 THEN 6 WHEN 1 THEN 3 ELSE 0 END AS outs FROM o
+            ), r AS (
+              SELECT board, CASE WHEN (ms = 5 AND run > 0) OR form[1] = 4 OR form = [3, 3, 3, 2, 2] THEN 0
+                WHEN ms = 5 THEN CASE WHEN h1 = 14 OR h2 = 14 OR NOT mono THEN 0 ELSE 1 END
+                WHEN run > 0 THEN CASE WHEN paired OR mono THEN 1 ELSE 0 END
+                WHEN form[1] = 3 THEN CASE WHEN h1 = h2 AND list_contains(bv, h1) AND NOT mono THEN 0 ELSE 1 END
+                WHEN form = [2, 2, 2, 2, 1] THEN 1
+                WHEN form[1] = 2 THEN CASE WHEN vs[1] > top THEN 1 WHEN vs[1] = top THEN CASE WHEN greatest(CASE WHEN h1 <> vs[1] THEN h1 ELSE 0 END, CASE WHEN h2 <> vs[1] THEN h2 ELSE 0 END) >= 11 THEN 1 ELSE 2 END ELSE 3 END
+                WHEN outs >= 10 THEN 4 WHEN outs >= 3 THEN 5 ELSE 6 END AS bucket_idx FROM z
+            ), m AS (SELECT board, bucket_idx, count(*) AS n FROM r GROUP BY ALL
+            ), a AS (SELECT board, i::INTEGER AS bucket_idx FROM fb, range(0, 7) t(i))
+            SELECT board, bucket_idx, {_NAMES}[bucket_idx + 1] AS strength, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY board), 9) AS p FROM a LEFT JOIN m USING (board, bucket_idx)""",
         "strength_filter": f"""WITH {_LOG}, {_PSI}, lf AS (
               SELECT path, bucket_idx, sum(ln(psi)) AS l FROM lg JOIN ps USING (bucket) GROUP BY path, bucket_idx
             ), wf AS (SELECT path, bucket_idx, exp(l - max(l) OVER w) / 7 AS u, max(l) OVER w AS top FROM lf WINDOW w AS (PARTITION BY path)

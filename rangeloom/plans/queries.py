@@ -50,14 +50,14 @@ def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("state_key", key)
 
 
-def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, cards): seven different cards drawn by each order key; keys that draw a card twice deal nothing."""
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("x0"))
+def deals(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """(key, cards): seven different cards drawn by each key of a table; keys that draw a card twice deal nothing."""
+    rows = read(spark, sf_dir, table).select(key, F.col(key).alias("x0"))
     for i in range(1, 8):
         rows = rows.withColumn(f"x{i}", (F.col(f"x{i - 1}") * 1103515245 + 12345) % 2147483648)
     numbers = F.transform(F.array(*[F.col(f"x{i}") for i in range(1, 8)]), lambda x: F.floor(x / 65536).cast("int") % 52)
     name = lambda c: F.concat(F.substring(F.lit(RANKS), F.lit(13) - c % 13, F.lit(1)), F.substring(F.lit(SUITS), F.floor(c / 13).cast("int") + 1, F.lit(1)))
-    rows = rows.select("o_orderkey", F.transform(numbers, name).alias("cards"))
+    rows = rows.select(key, F.transform(numbers, name).alias("cards"))
     return rows.filter(F.size(F.array_distinct("cards")) == 7)
 
 
@@ -137,7 +137,8 @@ def q_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().join(F.broadcast(hand_classes(spark).select("class_id")))
+    """Flops that the suppliers' keys deal, each against a uniform range."""
+    board = deals(spark, sf_dir, "supplier", "s_suppkey").select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().crossJoin(F.broadcast(hand_classes(spark).select("class_id")))
     total = F.lit(169.0)
     out = P.collapse(board.withColumn("p", 1 / total).withColumn("k", F.col("board")), ["k"])
     return out.select(F.col("k").alias("board"), "bucket_idx", "strength", F.round("p", 9).alias("p"))
