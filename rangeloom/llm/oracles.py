@@ -48,3 +48,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 100 * n_loud > 25 * n_words OR 100 * n_capitals > 50 * word_chars) AS kept
 FROM base
 """
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAME = "(?:" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + ")"
+_BEFORE = _NAME + r"""["'']?\x20*[:=]\x20*["'']?"""
+_RULES = (("assign", _BEFORE + "[A-Za-z0-9+/_.=-]+"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"))
+_LEAST = f"""CASE kind WHEN 'assign' THEN length(regexp_extract(s, '^{_BEFORE}([A-Za-z0-9+/_.=-]+)$', 1)) >= 8 WHEN 'access' THEN length(s) >= 16 WHEN 'hex' THEN length(s) >= 32 ELSE true END"""
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
+), m AS (
+  {" UNION ALL ".join(f"SELECT k, {o} AS o, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}')" for o, (kind, p) in enumerate(_RULES))}
+), l AS (
+  SELECT k, o, kind, unnest(m) AS s, unnest(list_transform(g, lambda x: length(x)))::BIGINT AS gap, unnest(range(1, len(g) + 1)) AS i FROM m
+), p AS (
+  SELECT k, o, kind, s, sum(gap) OVER w + coalesce(sum(length(s)) OVER b, 0) AS a FROM l
+  WINDOW w AS (PARTITION BY k, o ORDER BY i), b AS (PARTITION BY k, o ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT k, o, kind, a, kind || ':' || a::BIGINT || ':' || (a + length(s))::BIGINT AS one FROM p WHERE s IS NOT NULL AND {_LEAST}
+), t AS (
+  SELECT k, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+         string_agg(one, ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(one, ',' ORDER BY a, o) AS spans FROM f GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (k)
+"""

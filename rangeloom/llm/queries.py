@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from rangeloom.llm import oracles
 
-    return {"op4_warc_members": oracles.OP4, "op5_rule_cascade": oracles.OP5}
+    return {"op4_warc_members": oracles.OP4, "op5_rule_cascade": oracles.OP5, "op7_blob_ledger": oracles.OP7}
