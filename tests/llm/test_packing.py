@@ -1,18 +1,24 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
 from rangeloom.llm.packing import MAX_TOKENS, Packer, Piece, pack
 
 
-def whole_ids(text):
+@cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return t
+
+
+def whole_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def check(rows, docs, tokens=MAX_TOKENS):
