@@ -140,8 +140,16 @@ def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> Cascad
 
 
 def cascade_of(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Cascade:
-    """``estimate`` on the ``sample_rows`` rows with the smallest hashes of text and row contents."""
-    sample = df.orderBy(F.xxhash64(*df.columns)).limit(sample_rows).select(text_col)
+    """``estimate`` on the ``sample_rows`` rows with the smallest hashes of their contents.
+
+    Hashes alone are sorted; the texts of the chosen rows follow in a second pass, so
+    that tasks do not each send their own candidates' texts to the driver.
+    """
+    hashed = df.select(text_col, F.xxhash64(*df.columns).alias("__h"))
+    most = hashed.select("__h").orderBy("__h").limit(sample_rows).agg(F.max("__h")).first()[0]
+    if most is None:
+        return estimate([], rules)
+    sample = hashed.filter(F.col("__h") <= most).select(text_col).limit(sample_rows)
     return estimate([r[0] for r in sample.collect()], rules)
 
 
