@@ -37,7 +37,8 @@ def hashed(texts: list[str | None], lengths: tuple[int, ...] = NGRAMS, bits: int
     """(index of the text, hash) of each n-gram of ``texts``, in chunks of whole texts.
 
     A text is read with a space before and after it; n-grams across texts are left
-    out. Text that is longer than a chunk is one chunk.
+    out. Owners follow from the texts' lengths, so any character may occur in a text.
+    Text that is longer than a chunk is one chunk.
     """
     low = [f"\x02 {(t or '').lower()} " for t in texts]
     start = 0
@@ -47,8 +48,10 @@ def hashed(texts: list[str | None], lengths: tuple[int, ...] = NGRAMS, bits: int
             size += len(low[end])
             end += 1
         code = np.frombuffer("".join(low[start:end]).encode("utf-32-le", "surrogatepass"), "<u4")
-        edge = code == 2
-        owner = np.cumsum(edge, dtype=np.int32) + np.int32(start - 1)
+        sizes = [len(t) for t in low[start:end]]
+        owner = np.repeat(np.arange(start, end, dtype=np.int32), sizes)
+        edge = np.zeros(len(code), dtype=bool)
+        edge[np.cumsum([0, *sizes[:-1]])] = True
         h = np.zeros(len(code), dtype=np.uint32)
         clean = np.ones(len(code), dtype=bool)
         for n in range(1, max(lengths) + 1):

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from rangeloom.llm.toxicity import HASH_BITS, classify, fit_logistic, hashed, train, training_rows
+from rangeloom.llm.toxicity import HASH_BITS, Model, classify, fit_logistic, hashed, train, training_rows
 
 D = "/root/testdata/sf0.1"
 
@@ -19,6 +19,19 @@ def test_ngrams_stay_inside_their_text():
     assert sorted(got[0]) == sorted(got[4]) and max(map(max, got.values())) < 1 << HASH_BITS
 
 
+def test_control_characters_leave_neighbours_alone():
+    texts = ["one plain text", "\x02 torn \x02\x02 in the middle \x02", "\x02", "another plain text", "the last of them"]
+    got = {}
+    for owner, h in hashed(texts):
+        for o, x in zip(owner, h):
+            got.setdefault(int(o), []).append(int(x))
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, t in enumerate(texts) if (v := sorted(int(x) for _, h in hashed([t]) for x in h))}
+    model = Model(np.ones(1 << HASH_BITS, dtype=np.int16), np.array([0.0, 0.5]), -3.0)
+    model.slot[: 1 << (HASH_BITS - 1)] = 0
+    assert np.array_equal(model.score(texts), np.concatenate([model.score([t]) for t in texts]))
+    assert 5 not in got and len(got[1]) > len(got[4])
+
+
 def test_logistic_fit_separates():
     row, feature = np.array([0, 1, 2, 3, 3]), np.array([0, 0, 1, 1, 2])
     w, b = fit_logistic(row, feature, np.ones(3), np.array([1.0, 1.0, 0.0, 0.0]), 3)
