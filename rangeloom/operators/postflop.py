@@ -11,20 +11,27 @@ from rangeloom.functions.likelihood import combos, psi_table
 
 
 def representative_combos(boards: DataFrame) -> DataFrame:
-    """(board, class_id, combo): the first combo of each class, in suit order, that the board leaves; null if none is left."""
-    known = boards.select("board").distinct().withColumn("__b", cards(F.col("board")))
+    """(board, __b, class_id, combo): the cards of the board and the first combo of each class, in suit order, that the board leaves; null if none is left."""
+    # cards are read before the shuffle, once for each board, and boards are spread over all cores
+    known = boards.select("board").distinct().withColumn("__b", cards(F.col("board"))).repartition(4 * boards.sparkSession.sparkContext.defaultParallelism, "board")
     free = ~F.array_contains("__b", F.col("c1")) & ~F.array_contains("__b", F.col("c2"))
     rows = known.crossJoin(F.broadcast(combos(boards.sparkSession)))
     first = F.min(F.when(free, F.struct("combo_order", "c1", "c2")))
-    return rows.groupBy("board", "class_id").agg(first.alias("f")).select("board", "class_id", F.when(F.col("f").isNotNull(), F.array("f.c1", "f.c2")).alias("combo"))
+    return rows.groupBy("board", "class_id").agg(first.alias("f"), F.first("__b").alias("__b")).select("board", "__b", "class_id", F.when(F.col("f").isNotNull(), F.array("f.c1", "f.c2")).alias("combo"))
 
 
 def strengths_of(boards: DataFrame) -> DataFrame:
-    """(board, class_id, bucket): strength of each class on each distinct board; null where it cannot be told."""
-    rated = representative_combos(boards).withColumn("__b", cards(F.col("board")))
+    """(board, class_id, bucket): strength of each class on each distinct board; null where it cannot be told.
+
+    The order of a board's cards does not count, so each set of cards is rated once.
+    """
+    known = boards.select("board").distinct().withColumn("__set", F.array_join(F.array_sort(cards(F.col("board"))), ""))
+    rated = representative_combos(known.select(F.col("__set").alias("board")))
     ok = F.col("combo").isNotNull() & F.size("__b").between(3, 5)
     found = F.when(ok, strength(F.col("combo"), F.col("__b")))
-    return rated.select("board", "class_id", found["bucket"].alias("strength"))
+    # filters on what explode_outer gives are not pushed below it, where they would rate every row again
+    rated = rated.select(F.col("board").alias("__set"), "class_id", F.explode_outer(F.array(found["bucket"])).alias("strength"))
+    return known.join(rated, "__set").drop("__set")
 
 
 def collapse(ranges: DataFrame, keys: list[str]) -> DataFrame:

@@ -137,8 +137,8 @@ def q_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flops that the suppliers' keys deal, each against a uniform range."""
-    board = deals(spark, sf_dir, "supplier", "s_suppkey").select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().crossJoin(F.broadcast(hand_classes(spark).select("class_id")))
+    """Flops that the order keys deal, each against a uniform range."""
+    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().crossJoin(F.broadcast(hand_classes(spark).select("class_id")))
     total = F.lit(169.0)
     out = P.collapse(board.withColumn("p", 1 / total).withColumn("k", F.col("board")), ["k"])
     return out.select(F.col("k").alias("board"), "bucket_idx", "strength", F.round("p", 9).alias("p"))
