@@ -3,10 +3,11 @@
 Lines are parsed into quote levels; neighbouring lines of one level are a passage.
 Passages, their paragraphs and their longer lines are hashed after normalising
 case and white space, and looked up among the own (unquoted) text of all messages:
-first in the same conversation, before the quoting message, then anywhere. What a
+first in the same conversation, before the quoting message, then in any other. What a
 message answers is the latest original of its outermost quotes, or without any the
-turn before it. Parents always come earlier in (conv_id, turn), so replies form
-trees; depth and root come from pointer jumping.
+turn before it. Conversation ids are no order in time, so links could close a cycle;
+the smallest message of a cycle then answers what comes before it in (conv_id, turn).
+So replies form trees; depth and root come from pointer jumping.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rangeloom.llm.common import written
 from rangeloom.llm.skew import lookup
@@ -96,9 +98,11 @@ def link(messages: DataFrame) -> DataFrame:
     asked = quoted.groupBy("h").agg(F.count("*").alias("uses"))
     own = rows.filter("body <> ''").select("conv_id", "turn", F.explode(units(F.split("body", "\n", -1))).alias("h"))
     own = own.join(asked.select("h"), "h", "left_semi")
-    # earliest message with this text in each conversation, and anywhere
+    # earliest message with this text in each conversation, and in the first two conversations
     by_conv = own.groupBy("h", "conv_id").agg(F.min("turn").alias("here"))
-    anywhere = by_conv.groupBy("h").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("first"))
+    place = F.struct("conv_id", F.col("here").alias("turn"))
+    ranked = by_conv.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("conv_id"))).filter("r <= 2")
+    anywhere = ranked.groupBy("h").agg(F.min(place).alias("first"), F.min(F.when(F.col("r") == 2, place)).alias("second"))
     in_key = F.concat_ws("/", "h", F.col("conv_id").cast("string"))
     uses = quoted.groupBy(in_key.alias("k")).agg(F.count("*").alias("n"))
     by_conv = written(by_conv.select(in_key.alias("k"), "here").join(uses, "k"), "quote-here")
@@ -106,19 +110,22 @@ def link(messages: DataFrame) -> DataFrame:
     matched = lookup(quoted.withColumn("k", in_key), by_conv, "k", "n", quoted.count, ["conv_id", "turn", "passage"])
     matched = lookup(matched, anywhere, "h", "uses", quoted.count, ["conv_id", "turn", "passage"])
     same = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
-    other = F.when(F.col("first.conv_id") < F.col("conv_id"), F.col("first"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     matched = matched.withColumn("source", F.coalesce(same, other)).filter("source is not null")
     # a reply goes to its own conversation before others, then to the outermost quote, then to the latest original
-    best = F.max(F.struct((F.col("source.conv_id") == F.col("conv_id")).alias("mine"), (-F.col("level")).alias("outer"), F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t")))
-    linked = matched.groupBy("conv_id", "turn").agg(best.alias("b"), F.countDistinct("passage").alias("n_linked"))
-    linked = linked.select("conv_id", "turn", F.col("b.c").alias("link_conv"), F.col("b.t").alias("link_turn"), "n_linked")
+    rank = F.struct((F.col("source.conv_id") == F.col("conv_id")).alias("mine"), (-F.col("level")).alias("outer"), F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))
+    # the same among originals that come earlier in (conv_id, turn): these close no cycle
+    earlier = F.max(F.when(F.col("source.conv_id") <= F.col("conv_id"), rank))
+    linked = matched.groupBy("conv_id", "turn").agg(F.max(rank).alias("b"), earlier.alias("e"), F.countDistinct("passage").alias("n_linked"))
+    linked = linked.select("conv_id", "turn", F.col("b.c").alias("link_conv"), F.col("b.t").alias("link_turn"), F.col("e.c").alias("earlier_conv"), F.col("e.t").alias("earlier_turn"), "n_linked")
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     full = rows.join(linked, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
     full = full.select(
         "conv_id", "turn", "role", "body", "n_quoted_lines", F.size("passages").cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.coalesce("link_conv", F.when(F.col("previous").isNotNull(), F.col("conv_id"))).alias("reply_conv"), F.coalesce("link_turn", "previous").alias("reply_turn"),
+        *[c for k in ("link", "earlier") for c in (
+            F.coalesce(f"{k}_conv", F.when(F.col("previous").isNotNull(), F.col("conv_id"))).alias(f"{k}_conv"), F.coalesce(f"{k}_turn", "previous").alias(f"{k}_turn"))],
     )
-    full = written(full, "quote-replies")
+    full = acyclic(written(full, "quote-replies"))
     tree = roots(full.select("conv_id", "turn", "reply_conv", "reply_turn"))
     out = full.join(tree, ["conv_id", "turn"])
     lone = picked.filter(~placed).select(
@@ -129,6 +136,40 @@ def link(messages: DataFrame) -> DataFrame:
     return out.unionByName(lone).withColumn("reply_order", order)
 
 
+def acyclic(full: DataFrame) -> DataFrame:
+    """The rows with their link as (reply_conv, reply_turn), or with the earlier one where the link would close a cycle.
+
+    The smallest message of a cycle links to a larger conversation, so each round turns such links into earlier
+    ones, and links to earlier messages alone have no cycle.
+    """
+    ends = ("conv", "turn")
+    full = full.withColumnsRenamed({f"link_{c}": f"reply_{c}" for c in ends})
+    while full.filter("reply_conv > conv_id").limit(1).count():
+        heads = cycle_heads(full.select("conv_id", "turn", "reply_conv", "reply_turn"))
+        if not heads.limit(1).count():
+            break
+        met = full.join(heads.withColumn("head", F.lit(True)), ["conv_id", "turn"], "left")
+        full = written(met.withColumns({f"reply_{c}": F.when(F.col("head"), F.col(f"earlier_{c}")).otherwise(F.col(f"reply_{c}")) for c in ends}).drop("head"), "quote-replies")
+    return full.drop("earlier_conv", "earlier_turn")
+
+
+def cycle_heads(tree: DataFrame) -> DataFrame:
+    """(conv_id, turn) of the smallest message of each cycle in (conv_id, turn, reply_conv, reply_turn).
+
+    Each round doubles the reach of every row, keeps the smallest message that it passed, and drops the rows that
+    reach a root. A cycle has no more messages than rows are left, and its smallest one is what that message meets again.
+    """
+    to = F.struct(F.col("reply_conv").alias("c"), F.col("reply_turn").alias("t"))
+    rows = written(tree.filter("reply_conv is not null").select("conv_id", "turn", to.alias("to"), to.alias("low")), "quote-cycles")
+    reach = 1
+    while reach < rows.count():
+        ahead = rows.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("to").alias("next"), F.col("low").alias("next_low"))
+        met = rows.join(ahead, (F.col("to.c") == F.col("c")) & (F.col("to.t") == F.col("t")))
+        rows = written(met.select("conv_id", "turn", F.col("next").alias("to"), F.least("low", "next_low").alias("low")), "quote-cycles")
+        reach *= 2
+    return rows.filter((F.col("low.c") == F.col("conv_id")) & (F.col("low.t") == F.col("turn"))).select("conv_id", "turn")
+
+
 def roots(tree: DataFrame) -> DataFrame:
     """(conv_id, turn, root_conv, root_turn, depth) of (conv_id, turn, reply_conv, reply_turn): each round doubles the reach of every row that is not at its root yet."""
     is_root = F.col("reply_conv").isNull()

@@ -47,6 +47,28 @@ def test_long_chain_against_plain_walk(spark):
         assert (got[i].depth, got[i].root_turn) == (d, 0) and (got[i].reply_turn == up[i] if i else got[i].reply_turn is None)
 
 
+def test_originals_in_larger_conversations(spark):
+    rows = [
+        (1, 0, "user", "> the report is due on friday evening\nso I read"),
+        (1, 1, "user", "> nobody knows the way to the lake\nand this own line is quoted by five"),
+        (5, 0, "user", "the report is due on friday evening"),
+        (5, 1, "user", "> and this own line is quoted by five\nnobody knows the way to the lake"),
+        (6, 0, "user", "> the seventh conversation says this aloud\nthe sixth conversation says this aloud"),
+        (7, 0, "user", "> the eighth conversation says this aloud\nthe seventh conversation says this aloud"),
+        (8, 0, "user", "> the sixth conversation says this aloud\nthe eighth conversation says this aloud"),
+        (9, 0, "user", "> here and elsewhere the same words stand\nquoted before it is said"),
+        (9, 1, "user", "here and elsewhere the same words stand"),
+        (10, 0, "user", "here and elsewhere the same words stand"),
+    ]
+    by = {(r.conv_id, r.turn): r for r in link(spark.createDataFrame([(*r, "x") for r in rows], S)).collect()}
+    assert len(by) == len(rows) and all(r.n_linked == r.n_passages for r in by.values())
+    parent = {k: (r.reply_conv, r.reply_turn) for k, r in by.items() if r.reply_conv is not None}
+    # (1, 1) and (5, 1) quote each other, as do 6, 7 and 8 in a ring: the smallest falls back to the turn before it or to none
+    assert parent == {(1, 0): (5, 0), (1, 1): (1, 0), (5, 1): (1, 1), (7, 0): (8, 0), (8, 0): (6, 0), (9, 0): (10, 0), (9, 1): (9, 0)}
+    assert {k: r.depth for k, r in by.items()} == {(5, 0): 0, (1, 0): 1, (1, 1): 2, (5, 1): 3, (6, 0): 0, (8, 0): 1, (7, 0): 2, (10, 0): 0, (9, 0): 1, (9, 1): 2}
+    assert (by[5, 1].root_conv, by[5, 1].root_turn) == (5, 0)
+
+
 def test_odd_rows(spark):
     rows = [(None, 1, "user", "> a"), (1, None, None, None), (4, 0, "user", None), (4, 1, None, ""), (4, 1, None, ""), (4, 2, "user", "> x\n" * 20_000), (None, None, None, None)]
     got = link(spark.createDataFrame([(*r, "x") for r in rows], S)).collect()
