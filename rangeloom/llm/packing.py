@@ -1,15 +1,18 @@
 """Packing token sequences by vector bin packing with the dot-product heuristic.
 
 A bin is one training sequence. It is limited at the same time in tokens, in
-segments (pieces of different documents) and in loss-bearing tokens (those after
-an example's prompt). Documents are cut where a full sequence ends; the cut-offs
-go to a pool, and an open bin takes from the pool, again and again, the piece
-whose demand vector has the largest dot product with what the bin has left. When
-no piece fits whole, one is cut so that it fills the bin exactly.
+segments (pieces of documents) and in loss-bearing tokens (those after an
+example's prompt). Documents are cut into pieces of bounded size that go to a
+pool, and an open bin takes from the pool, again and again, the piece whose demand
+vector has the largest dot product with what the bin has left. When no piece fits
+whole, or one segment is left, the piece of which most fits is cut. A bin that the
+limits keep from being full is cut back to a power of two, which needs no padding.
+
+Where examples have no prompt column, the first ``PROMPT_PERCENT`` of a document's
+tokens stand in for the prompt, as in instruction data made from plain texts.
 
 Each task packs its own rows as they stream by, with a pool of bounded size, so
-there is no shuffle. A task's last tokens form sequences whose lengths are powers
-of two, which need no padding.
+there is no shuffle.
 """
 
 from __future__ import annotations
@@ -29,28 +32,33 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 EOS_ID = 2
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 4096, 1024, 4096
-#: Pieces that a task keeps before it packs, and words whose ids it remembers.
-POOL_PIECES, CACHED_WORDS = 1024, 1_000_000
+#: Limits of a sequence, and the share of a document's tokens that is its prompt where no column holds one.
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS, PROMPT_PERCENT = 4096, 32, 3328, 25
+#: Pieces that a task keeps before it packs, and the longest piece.
+POOL_PIECES, PIECE_TOKENS = 1024, 2048
+#: Words whose ids a worker remembers, and the longest of them in bytes: together they bound its memory.
+CACHED_WORDS, CACHED_BYTES = 500_000, 48
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
-
-#: A mark before a full stop or comma with which the splitter may join it: ASCII punctuation, or beyond ASCII anything but Latin-1 letters.
-_JOINED = re.compile(rb"(?:[!-/:-@\[-`{-~]|[\x80-\xff](?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[.,][ \n]")
+#: A full stop or comma after an ASCII letter or digit or a Latin-1 letter, before white space: a unit of its own to the splitter.
+_STOP = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+#: Lead bytes of characters from U+0300 on; those below are no combining marks and are what composition leaves as they are.
+_HIGH = re.compile(rb"[\xcc-\xff]")
 #: Stands between words that are encoded together.
 _FENCE = "^"
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word.
-
-    The tokenizer ignores case and drops white space, and neither its normaliser
-    nor its splitter looks across it, so the ids of a text are those of its
-    lower-cased words in a row. A full stop or comma after a letter or digit is a
-    unit of its own to the splitter, so it may be a word of its own here. Words
-    repeat; their ids are kept as little-endian bytes and joined. One of these
-    lives as long as a Python worker.
+    """Ids of whole texts, word by word: exactly those of the tokenizer's own call on the whole text.
+
+    The tokenizer drops white space, and neither its special tokens nor its
+    normaliser nor its splitter look across it, so the ids of a text are those of
+    its words in a row. Words repeat; the ids of short ones are kept as
+    little-endian bytes. ASCII letters are lower-cased first, as the normaliser does,
+    but not in texts with a special token's opening or with characters that could
+    compose, because both come before lower-casing. One of these lives as long as a
+    Python worker.
     """
 
     def __init__(self, path: str | None = None):
@@ -62,7 +70,6 @@ class WordTokenizer:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
         fence = self.tokenizer.encode(_FENCE, add_special_tokens=False).ids
         self.fence = fence[0] if len(fence) == 1 else None
@@ -72,9 +79,13 @@ class WordTokenizer:
     def of_worker(path: str | None) -> WordTokenizer:
         return WordTokenizer(path)
 
-    def _learn(self, new: list[bytes]) -> None:
-        known = self.known
-        plain = [w for w in new if _FENCE.encode() not in w] if self.fence is not None else []
+    def _alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; those of at most ``CACHED_BYTES`` are remembered."""
+        out: dict[bytes, bytes] = {}
+        plain = [w for w in new if len(w) <= CACHED_BYTES and _FENCE.encode() not in w] if self.fence is not None else []
         for k in range(0, len(plain), 256):
             part = plain[k : k + 256]
             found = self.tokenizer.encode_batch_fast([f" {_FENCE} ".join([w.decode("utf-8", "replace") for w in part])], add_special_tokens=False)
@@ -82,25 +93,29 @@ class WordTokenizer:
             ends = [4 * int(e) for e in np.flatnonzero(ids == self.fence)] + [4 * len(ids)]
             raw, start = ids.tobytes(), 0
             for w, end in zip(part, ends, strict=True):
-                known[w] = raw[start:end]
+                out[w] = raw[start:end]
                 start = end + 4
         for w in set(new) - set(plain):
-            known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            out[w] = self._alone(w)
+        self.known.update((w, ids) for w, ids in out.items() if len(w) <= CACHED_BYTES)
+        return out
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as little-endian 32-bit numbers, without an end marker; none for null."""
         known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
         for text in texts:
-            raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
-            if not _JOINED.search(raw):
-                raw = raw.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
-            words = raw.split()
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            raw = text.encode("utf-8", "surrogatepass") if text else b""
+            if b"<|" not in raw and (raw.isascii() or not _HIGH.search(raw)):
+                raw = raw.lower()
+            words = _STOP.sub(rb" \1", raw).split()
             new = set(words).difference(known)
             if new:
-                self._learn(list(new))
-            yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+                fresh = self._learn(list(new))
+                yield np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in words]), "<u4")
+            else:
+                yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
 @dataclass
@@ -117,11 +132,6 @@ class Piece:
         end = self.start + (len(self.ids) if length is None else length)
         return max(0, end - max(self.start, self.prompt))
 
-    def most(self, tokens: int, loss: int) -> int:
-        """The longest front within both limits."""
-        free = max(0, self.prompt - self.start)
-        return min(len(self.ids), tokens, free + loss)
-
     def split(self, length: int) -> tuple[Piece, Piece]:
         return (
             Piece(self.doc, self.start, self.ids[:length], self.doc_tokens, self.prompt),
@@ -142,11 +152,12 @@ class Packer:
     rows: list[tuple] = field(default_factory=list)
 
     def add(self, piece: Piece) -> None:
-        while (n := piece.most(self.tokens, self.loss)) < len(piece.ids) or n == self.tokens:
-            front, piece = piece.split(n)
-            self._emit([front])
-            if not len(piece.ids):
-                return
+        while len(piece.ids) > PIECE_TOKENS:
+            front, piece = piece.split(PIECE_TOKENS)
+            self._keep(front)
+        self._keep(piece)
+
+    def _keep(self, piece: Piece) -> None:
         self.pool.append(piece)
         if len(self.pool) >= self.pool_pieces:
             self._pack(keep=self.pool_pieces // 4)
@@ -159,50 +170,45 @@ class Packer:
         self.first += 1
 
     def _pack(self, keep: int) -> None:
-        """Fill bins until at most ``keep`` pieces or less than a bin of tokens is left."""
-        pool = self.pool
+        """Fill bins until at most ``keep`` pieces or less than a bin of tokens is left; at least one bin."""
+        pool, back = self.pool, []
         size = np.array([len(x.ids) for x in pool], dtype=np.float64)
         loss = np.array([x.loss() for x in pool], dtype=np.float64)
         alive = np.ones(len(pool), dtype=bool)
-        while alive.sum() > keep and size[alive].sum() >= self.tokens:
-            rest, slots, rest_loss, taken = self.tokens, self.segments, self.loss, []
+        first = True
+        while alive.any() and (first or (alive.sum() > keep and size[alive].sum() >= self.tokens)):
+            first, rest, slots, rest_loss, taken = False, self.tokens, self.segments, self.loss, []
             while rest and slots and alive.any():
                 fits = alive & (size <= rest) & (loss <= rest_loss)
-                if fits.any():
+                if slots > 1 and fits.any():
+                    # demand . remaining, each in shares of the bin's limits; a piece demands one segment whichever it is
                     score = size * (rest / self.tokens**2) + slots / self.segments**2 + loss * (rest_loss / self.loss**2)
                     k = int(np.argmax(np.where(fits, score, -1.0)))
-                    piece = pool[k]
-                    alive[k] = False
+                    piece, alive[k] = pool[k], False
                 else:
-                    k = int(np.argmax(np.where(alive, size, -1.0)))
-                    n = pool[k].most(rest, rest_loss)
-                    if not n:
+                    most = np.where(alive, np.minimum(np.minimum(size, rest), size - loss + rest_loss), 0)
+                    k = int(np.argmax(most))
+                    if not (n := int(most[k])):
                         break
                     piece, pool[k] = pool[k].split(n)
                     size[k], loss[k] = len(pool[k].ids), pool[k].loss()
+                    alive[k] = size[k] > 0
                 taken.append(piece)
                 rest, slots, rest_loss = rest - len(piece.ids), slots - 1, rest_loss - piece.loss()
+            over = (self.tokens - rest) - (self.tokens if not rest else 1 << ((self.tokens - rest).bit_length() - 1))
+            while over:  # back to a power of two; what is cut off waits for the next round
+                piece = taken.pop()
+                front, tail = piece.split(max(0, len(piece.ids) - over))
+                over -= len(tail.ids)
+                taken += [front] if len(front.ids) else []
+                back.append(tail)
             self._emit(taken)
-        self.pool = [x for x, y in zip(pool, alive, strict=True) if y]
+        self.pool = [x for x, y in zip(pool, alive, strict=True) if y] + back
 
     def finish(self) -> None:
-        """Pack all that is left; the tail becomes sequences whose lengths are powers of two."""
-        self._pack(keep=0)
-        queue = sorted(self.pool, key=lambda x: -len(x.ids))
-        self.pool = []
-        while queue:
-            left = sum(len(x.ids) for x in queue)
-            want = min(1 << (left.bit_length() - 1), self.tokens)
-            taken, slots, rest_loss = [], self.segments, self.loss
-            while want and slots and queue:
-                n = queue[0].most(want, rest_loss)
-                if not n:
-                    break
-                piece, rest = queue[0].split(n)
-                queue[:1] = [rest] if len(rest.ids) else []
-                taken.append(piece)
-                want, slots, rest_loss = want - n, slots - 1, rest_loss - piece.loss()
-            self._emit(taken)
+        """Pack all that is left."""
+        while self.pool:
+            self._pack(keep=0)
 
     def drain(self) -> pa.RecordBatch | None:
         if not self.rows:
@@ -219,6 +225,7 @@ def pack(
     text_col: str = "text",
     *,
     prompt_col: str | None = None,
+    prompt_percent: int = PROMPT_PERCENT,
     tokenizer_path: str | None = None,
     tokens: int = MAX_TOKENS,
     segments: int = MAX_SEGMENTS,
@@ -228,10 +235,12 @@ def pack(
     """Pieces of all rows of ``df``, placed in sequences.
 
     A row's tokens are those of ``prompt_col`` (if given; they bear no loss), then
-    those of ``text_col``, then the end id 2. Null texts count as empty: they are
-    one token. Null ids and repeated rows are packed like any others. Very long
-    texts are cut into full sequences as they come. An empty table gives no rows.
-    Sequence ids hold the task's number in their upper bits.
+    those of ``text_col``, then the end id 2. Without ``prompt_col`` the first
+    ``prompt_percent`` of a row's tokens, rounded down, are its prompt. Null texts
+    count as empty: they are one token. Null ids and repeated rows are packed like
+    any others; extra columns are not read. Very long texts are cut into pieces as
+    they come. An empty table gives no rows. Sequence ids hold the task's number in
+    their upper bits.
     """
     picked = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -251,7 +260,7 @@ def pack(
                 prompts = words.ids(part.column("prompt").to_pylist()) if prompt_col else itertools.repeat(end[:0])
                 for doc, prompt, ids in zip(part.column("doc_id").to_pylist(), prompts, words.ids(part.column("text").to_pylist())):
                     whole = np.concatenate([prompt, ids, end])
-                    packer.add(Piece(doc, 0, whole, len(whole), len(prompt)))
+                    packer.add(Piece(doc, 0, whole, len(whole), len(prompt) if prompt_col else len(whole) * prompt_percent // 100))
                 if (out := packer.drain()) is not None:
                     yield out
         packer.finish()

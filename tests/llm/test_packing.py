@@ -4,7 +4,7 @@ from functools import cache
 
 import numpy as np
 import pytest
-from rangeloom.llm.packing import MAX_TOKENS, Packer, Piece, pack
+from rangeloom.llm.packing import MAX_LOSS_TOKENS, MAX_SEGMENTS, MAX_TOKENS, Packer, Piece, WordTokenizer, pack
 
 
 @cache
@@ -12,9 +12,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def whole_ids(text):
@@ -56,6 +54,47 @@ def test_round_trip(documents):
     assert check(pack(documents).collect(), documents.collect()) == 0
 
 
+SPECIAL = ["doc one <|endoftext|> doc two", "a<|startoftext|>b", "<|ENDOFTEXT|>", "<|endoftext|>. \n", "Straße <|endoftext|>"]
+ODD = ["\x00. ", "\x1c, x", "a\x7f. b", "word. Word, \x85next\xa0one", "H\u0331. T\u0308", "x ^ y^z ^^", "it's. we'll, 3. 4", "\u212a. \u1fef,\n", "\u00d7. \u00e9. \u4e2d. ", "l" * 300 + ". "]
+
+
+def test_ids_are_the_plain_calls():
+    rng = np.random.default_rng(5)
+    letters = [*"abHTIK.,'^<|>!0 \n\t\x00\x1f\x7f", "\u0331", "\u0308", "\u0301", "\u0307", "\u00e9", "\u00df", "\u03a3", "\u0130", "\u00d7", "\xa0", "\x85", "\u212a", "\u4e2d", "<|endoftext|>", ". ", ", "]
+    texts = SPECIAL + ODD + ["".join(rng.choice(letters, rng.integers(0, 9))) for _ in range(20_000)]
+    assert tokenizer().encode(SPECIAL[0], add_special_tokens=False).ids[2] == 49407
+    for text, ids in zip(texts, WordTokenizer().ids(texts), strict=True):
+        assert ids.tolist() == tokenizer().encode(text, add_special_tokens=False).ids, text
+
+
+def test_special_and_control_characters(spark):
+    df = spark.createDataFrame(list(enumerate(SPECIAL + ODD)), "doc_id long, text string")
+    assert check(pack(df).collect(), df.collect()) == 0
+
+
+def test_long_words_are_not_remembered():
+    words = WordTokenizer()
+    list(words.ids(["x" * 1000 + " short"]))
+    assert set(words.known) == {b"short"}
+
+
+def test_the_three_limits_bind(spark, documents):
+    """On real texts bins reach the limits of loss and segments, and lifting these changes where pieces go."""
+    small = spark.createDataFrame([(10_000 + k, "tiny text") for k in range(400)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(small).coalesce(1)
+    both = pack(docs).collect()
+    free = pack(docs, segments=10**6, loss_tokens=MAX_TOKENS, prompt_percent=0).collect()
+    by = defaultdict(list)
+    for r in both:
+        by[r.sequence_id].append(r)
+    loss, segments = [sum(r.loss_tokens for r in x) for x in by.values()], [len(x) for x in by.values()]
+    assert max(loss) == MAX_LOSS_TOKENS and max(segments) <= MAX_SEGMENTS
+    assert sum(x == MAX_LOSS_TOKENS for x in loss) >= 3 and sum(x >= MAX_SEGMENTS - 1 for x in segments) >= 1
+    place = lambda rows: {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows}
+    assert len(place(both) - place(free)) > len(both) // 4
+    assert check(both, docs.collect()) == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert check(pack(odd_docs).collect(), odd_docs.collect()) == 0
     assert pack(no_docs).count() == 0
