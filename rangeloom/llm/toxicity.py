@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams that occur in a text, lower-cased.
-Training rows give each hash its log-count ratio r = log(P(hash | toxic) /
-P(hash | not)); hashes are kept by the chi-square of their presence. A logistic
-regression is then fitted on the kept features scaled by r. Text enters alone:
-neither labels nor any other column is an input of a score.
-
-The training rows are bounded by ``train_rows`` (those with the smallest hashes
-of their ids); scoring covers every row.
+Features are the hashed character n-grams that occur in a text, lower-cased; every
+n-gram counts. Training rows give each hash its log-count ratio
+r = log(P(hash | toxic) / P(hash | not)), shrunk towards 0 by its standard error, so
+that ratios of rare n-grams weigh little without being left out. A logistic
+regression is then fitted on presence times ratio. Text enters alone: neither labels
+nor any other column is an input of a score.
+
+The training rows are bounded by ``train_rows`` and ``train_chars``: of the labelled
+documents those with the smallest hashes of their ids. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -19,28 +20,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Lengths of n-grams in characters, and bits of their hash.
+from rangeloom.llm.common import written
+
+#: Lengths of n-grams in characters, and bits of a feature's number: one for the length, the others hashed.
 NGRAMS, HASH_BITS = (4, 6), 22
-#: Bounds of the training rows and of the features that the model keeps.
-TRAIN_ROWS, KEPT_FEATURES = 16_000, 4_000
-#: Least number of training texts that a kept feature occurs in, smoothing of the ratios, weight of the ridge.
-LEAST_TEXTS, SMOOTHING, RIDGE, STEPS = 5, 1.0, 1e-4, 400
+#: Bounds of the training sample: rows, and characters of all their texts (one text has at most a sixteenth).
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 16_000_000
+#: Smoothing of the counts, the squared z at which half of a ratio is kept, weight of the ridge, passes over the sample.
+SMOOTHING, HALF_Z2, RIDGE, EPOCHS = 1.0, 7.0, 2e-3, 10
 THRESHOLD = 0.7
-#: Characters that are hashed at a time.
-CHUNK_CHARS = 1 << 20
+#: Characters that are hashed at a time, and texts handed to the hasher together.
+CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 256
 
 _MIX = np.uint32(0x9E3779B1)
 
 
-def hashed(texts: list[str | None], lengths: tuple[int, ...] = NGRAMS, bits: int = HASH_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the text, hash) of each n-gram of ``texts``, in chunks of whole texts.
+def features(texts: list[str | None], bits: int = HASH_BITS) -> Iterator[np.ndarray]:
+    """The distinct features of each text, in turn.
 
-    A text is read with a space before and after it; n-grams across texts are left
-    out. Owners follow from the texts' lengths, so any character may occur in a text.
-    Text that is longer than a chunk is one chunk.
+    A text is read with a space before and after it. Texts are hashed together, but
+    the n-grams of each are taken by its own bounds, so any character may occur in
+    a text. Text that is longer than a chunk is one chunk.
     """
-    low = [f"\x02 {(t or '').lower()} " for t in texts]
+    low = [f" {(t or '').lower()} " for t in texts]
+    half = bits - 1
+    last = np.empty(1 << half, dtype=np.int32)
     start = 0
     while start < len(low):
         end, size = start, 0
@@ -48,145 +54,127 @@ def hashed(texts: list[str | None], lengths: tuple[int, ...] = NGRAMS, bits: int
             size += len(low[end])
             end += 1
         code = np.frombuffer("".join(low[start:end]).encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes = [len(t) for t in low[start:end]]
-        owner = np.repeat(np.arange(start, end, dtype=np.int32), sizes)
-        edge = np.zeros(len(code), dtype=bool)
-        edge[np.cumsum([0, *sizes[:-1]])] = True
-        h = np.zeros(len(code), dtype=np.uint32)
-        clean = np.ones(len(code), dtype=bool)
-        for n in range(1, max(lengths) + 1):
+        number = np.arange(len(code), dtype=np.int32)
+        h, kept = np.zeros(len(code), dtype=np.uint32), []
+        for n in range(1, max(NGRAMS) + 1):
             if len(code) < n:
                 break
             h = (h[: len(code) - n + 1] ^ code[n - 1 :]) * _MIX
             h ^= h >> np.uint32(15)
-            clean = clean[: len(h)] & ~edge[n - 1 :]
-            if n in lengths:
-                yield owner[: len(h)][clean], ((h[clean] * np.uint32(2 * n + 1) * _MIX) >> np.uint32(32 - bits)).astype(np.int32)
+            if n in NGRAMS:
+                kept.append((n, ((h * _MIX) >> np.uint32(32 - half)).astype(np.int32)))
+        at = 0
+        for t in low[start:end]:
+            parts = [np.zeros(0, dtype=np.int32)]
+            for n, hashes in kept:
+                own = hashes[at : max(at, at + len(t) - n + 1)]
+                # of equal hashes only the last place finds itself
+                last[own] = number[: len(own)]
+                parts.append(own[last[own] == number[: len(own)]] + (NGRAMS.index(n) << half))
+            at += len(t)
+            yield np.concatenate(parts)
         start = end
 
 
 @dataclass
 class Model:
-    """``slot[hash]`` is 0 or the number of a kept feature, ``weight`` what each adds, ``bias`` the constant."""
+    """``weight`` is what the presence of each feature adds, ``bias`` the constant."""
 
-    slot: np.ndarray
     weight: np.ndarray
     bias: float
 
-    def present(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct pairs (text, kept feature)."""
-        keys = []
-        for owner, h in hashed(texts):
-            s = self.slot[h]
-            on = s > 0
-            keys.append(np.unique(owner[on].astype(np.int64) * len(self.weight) + s[on]))
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-        return key // len(self.weight), key % len(self.weight)
-
     def score(self, texts: list[str | None]) -> np.ndarray:
-        row, feature = self.present(texts)
-        z = self.bias + np.bincount(row, self.weight[feature], minlength=len(texts))[: len(texts)]
+        bits = len(self.weight).bit_length() - 1
+        z = np.array([self.bias + self.weight[f].sum(dtype=np.float64) for f in features(texts, bits)])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-
-def fit_logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights over features ``value[feature]`` and bias, by accelerated gradient steps on the class-balanced loss."""
-    pos = y.sum()
-    share = np.where(y == 1, 0.5 / max(pos, 1), 0.5 / max(len(y) - pos, 1))
-    x = value[feature].astype(np.float32)
-    norm = np.bincount(row, x * x, minlength=len(y))
-    rate = 1.0 / (0.25 * (share * (norm + 1)).sum() * 0.5 + ridge)
-    w, b, vw, vb, t = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0
-    for _ in range(steps):
-        z = vb + np.bincount(row, vw[feature] * x, minlength=len(y))
-        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        gw = np.bincount(feature, g[row] * x, minlength=n) + ridge * vw
-        nw, nb = vw - rate * gw, vb - rate * g.sum()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
-        w, b, t = nw, nb, t2
-    return w, b
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``limit`` labelled documents whose crc32(doc_id) mod 3 is not 1.
-
-    The ids are picked from the labels (each id once; contradicting labels count as
-    toxic) and broadcast: at most ``limit`` of them.
+    def score_batch(self, column: pa.Array) -> np.ndarray:
+        texts = column.to_pylist()
+        return np.concatenate([np.zeros(0), *(self.score(texts[a : a + CHUNK_TEXTS]) for a in range(0, len(texts), CHUNK_TEXTS))])
+
+
+def ratios(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Shrunk log-count ratios from the numbers of toxic and clean texts that each feature occurs in; 0 for those that never occur."""
+    a, b = toxic + SMOOTHING * n1 / (n1 + n0), clean + SMOOTHING * n0 / (n1 + n0)
+    r = np.log(a / n1) - np.log(b / n0)
+    z2 = r * r / (1 / a + 1 / b)
+    return np.where(toxic + clean > 0, r * z2 * z2 / (z2 * z2 + HALF_Z2**2), 0.0).astype(np.float32)
+
+
+def fit(sets: list[np.ndarray], y: np.ndarray, size: int) -> Model:
+    """Class-balanced logistic regression on present features times their ratios, by stochastic dual coordinate ascent."""
+    n, n1 = len(y), int(y.sum())
+    n0 = n - n1
+    count = np.zeros((2, size))
+    for f, k in zip(sets, y, strict=True):
+        count[int(k)][f] += 1
+    ratio = ratios(count[1], count[0], n1, n0)
+    del count
+    sign, share = np.where(y == 1, 1.0, -1.0), np.where(y == 1, n / (2 * n1), n / (2 * n0))
+    values = [ratio[f] for f in sets]
+    norm = np.array([float(v.astype(np.float64) @ v) + 1 for v in values])
+    step = 1 / (1 + share * norm / (4 * RIDGE * n))
+    weight, bias, dual = np.zeros(size, dtype=np.float32), 0.0, np.zeros(n)
+    rng = np.random.default_rng(0)
+    for _ in range(EPOCHS):
+        for i in rng.permutation(n):
+            z = float(weight[sets[i]] @ values[i]) + bias
+            move = step[i] * (1 / (1 + np.exp(np.clip(sign[i] * z, -40, 40))) - dual[i])
+            dual[i] += move
+            move *= share[i] * sign[i] / (RIDGE * n)
+            weight[sets[i]] += np.float32(move) * values[i]
+            bias += move
+    return Model(weight * ratio, float(bias))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(doc_id, text, toxic) of labelled documents whose crc32(doc_id) mod 3 is not 1, within both bounds.
+
+    Only ids that occur in ``docs`` count; contradicting labels of an id count as
+    toxic. The chosen ids, at most ``rows``, are broadcast.
     """
-    picked = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter("__id is not null and toxic is not null")
-        .filter(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 != 1)
-        .groupBy("__id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("__id"))
-        .limit(limit)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-
-
-def _presence(rows: DataFrame, bits: int) -> DataFrame:
-    """(hash, toxic, n): in how many texts of each class each hash occurs, one row for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2, 1 << bits), dtype=np.int32)
-        for batch in batches:
-            label = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                keys = [np.unique(owner.astype(np.int64) << bits | h) for owner, h in hashed(texts[a : a + 256], bits=bits)]
-                key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-                toxic = label[a + (key >> bits)] == 1
-                for k in (0, 1):
-                    np.add.at(count[k], key[toxic == k] & ((1 << bits) - 1), 1)
-        found = np.flatnonzero(count.sum(0))
-        for a in range(0, len(found), 100_000):
-            f = found[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(count[0][f], pa.int64()), pa.array(count[1][f], pa.int64())], ["hash", "clean", "toxic"])
-
-    return rows.mapInArrow(run, "hash int, clean long, toxic long")
-
-
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, kept: int = KEPT_FEATURES, bits: int = HASH_BITS) -> Model:
-    """Fit the model. What reaches the driver is bounded: ``kept`` hashes, and for ``train_rows`` texts which of those they hold.
-
-    Without labels of both classes the model has no features and its scores are all below the threshold.
+    learnable = lambda c: c.isNotNull() & (F.crc32(c.cast("string").cast("binary")) % 3 != 1)
+    marked = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter(learnable(F.col("__id")) & F.col("toxic").isNotNull())
+    marked = marked.groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    here = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n")).filter(learnable(F.col("__id")))
+    here = here.groupBy("__id").agg(F.sum("n").alias("n")).filter(F.col("n") <= chars // 16)
+    chosen = here.join(marked, "__id").withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(rows)
+    # a window over at most ``rows`` rows
+    so_far = F.sum("n").over(Window.orderBy("h", "__id"))
+    chosen = chosen.withColumn("sum", so_far).filter(F.col("sum") <= chars).select("__id", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, bits: int = HASH_BITS) -> Model:
+    """Fit the model: features of the bounded sample in parallel, the regression in one task; only the weights reach the driver.
+
+    Without labels of both classes all weights are 0 and all scores below the threshold.
     """
-    rows = training_rows(docs, labels, train_rows).repartition(8)
-    sums = rows.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in sums}
-    if not n.get(0) or not n.get(1):
-        return Model(np.zeros(1 << bits, dtype=np.int16), np.zeros(1), -3.0)
-    n1, n0 = float(n[1]), float(n[0])
-    counts = _presence(rows, bits).groupBy("hash").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    p, q = F.col("t") / n1, F.col("c") / n0
-    both = (F.col("t") + F.col("c")) / (n1 + n0)
-    chi = F.when(both < 1, (p - q) * (p - q) / (both * (1 - both))).otherwise(0.0)
-    best = counts.filter(F.col("t") + F.col("c") >= LEAST_TEXTS).orderBy(chi.desc(), "hash").limit(kept).collect()
-    best.sort(key=lambda r: r["hash"])
-    slot = np.zeros(1 << bits, dtype=np.int16)
-    slot[[r["hash"] for r in best]] = np.arange(1, len(best) + 1)
-    t, c = (np.array([0.0, *(r[k] for r in best)]) for k in "tc")
-    ratio = np.log((t + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c + SMOOTHING) / (n0 + 2 * SMOOTHING))
-    picker = Model(slot, np.zeros(len(best) + 1), 0.0)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = written(training_rows(docs, labels, train_rows, train_chars).repartition(max(8, train_rows // 128), "doc_id"), "toxicity-sample")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                part = texts[a : a + 256]
-                row, feature = picker.present(part)
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, len(part)), pa.array([feature[i:j].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["toxic", "features"])
-
-    got = rows.orderBy("doc_id").mapInArrow(features, "toxic int, features binary").collect()
-    sets = [np.frombuffer(bytes(r["features"]), "<u2").astype(np.int32) for r in got]
-    y = np.array([r["toxic"] for r in got], dtype=np.float64)
-    del got
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    weight, bias = fit_logistic(row, np.concatenate(sets), ratio, y, len(ratio))
-    return Model(slot, weight * ratio, float(bias))
+            for a in range(0, batch.num_rows, CHUNK_TEXTS):
+                part = batch.slice(a, CHUNK_TEXTS)
+                sets = [f.astype("<i4").tobytes() for f in features(part.column("text").to_pylist(), bits)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(sets, pa.binary())], ["doc_id", "toxic", "features"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "features")), strict=True)))
+        y = np.array([r[1] for r in rows])
+        if not (len(y) and y.any() and not y.all()):
+            model = Model(np.zeros(1 << bits, dtype=np.float32), -3.0)
+        else:
+            model = fit([np.frombuffer(r[2], "<i4") for r in rows], y, 1 << bits)
+        raw, piece = model.weight.astype("<f4").tobytes(), 1 << 20
+        for a in range(0, len(raw), piece):
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([raw[a : a + piece]], pa.binary()), pa.array([model.bias], pa.float64())], ["at", "weight", "bias"])
+
+    sets = written(sample.mapInArrow(extract, "doc_id long, toxic int, features binary"), "toxicity-features")
+    parts = sets.coalesce(1).mapInArrow(learn, "at long, weight binary, bias double").collect()
+    if not parts:
+        return Model(np.zeros(1 << bits, dtype=np.float32), -3.0)
+    return Model(np.frombuffer(b"".join(bytes(r["weight"]) for r in sorted(parts, key=lambda r: r["at"])), "<f4"), parts[0]["bias"])
 
 
 def score_all(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,9 +184,7 @@ def score_all(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = [shared.value.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score_batch(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     scored = picked.mapInArrow(run, "doc_id long, score double")
     return scored.select(
@@ -215,10 +201,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = [shared.value.score(texts[a : a + 256]) for a in range(0, len(texts), 256)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.score_batch(batch.column("text")) < threshold))
 
     return docs.mapInArrow(run, schema)
 
@@ -226,7 +210,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled rows that are not held out, then score every row of ``docs``.
 
-    Null ids are never held out (and never labelled); repeated rows score alike;
-    extra columns are not read; an empty table gives no rows.
+    Null ids are never held out (and never labelled); repeated rows score alike, as
+    do ties in any other column; null and empty texts have no n-grams and score by
+    the constant alone; very long texts are scored whole; extra columns are not read;
+    an empty table gives no rows, and labels without rows in ``docs`` are not used.
     """
     return score_all(docs, train(docs, labels))
