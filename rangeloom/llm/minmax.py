@@ -1,17 +1,22 @@
 """Near-duplicate documents by min-max hashing.
 
-A document is its set of distinct three-word shingles. Under each hash function
-both the minimum and the maximum over the set are kept, so half the hash
-evaluations of a plain MinHash give a signature of the same length. Bands of the
-signature put documents into buckets; what shares a bucket is compared on full
-sets, and links make connected components.
+A document is its set of distinct word shingles. Under each hash function both the
+minimum and the maximum over the set are kept, so half the hash evaluations of a
+plain MinHash give a signature of the same length. Bands of the signature put
+documents into buckets; what shares a bucket is compared on full sets, and links
+make connected components.
 
 * Documents with equal sets are one class from the start, so copies cost nothing.
-* A bucket is compared in blocks of bounded size, every block with every other of
-  its bucket; buckets with the same members are compared once. A block emits a
-  spanning forest of its links, never all pairs.
+* A bucket is compared in blocks of bounded size; buckets with the same members are
+  compared once. A block emits a spanning forest of its links, never all pairs.
+* A bucket of more than one block is compared in two rounds. In the first, each block
+  is compared within itself and with the bucket's first member. What is then one
+  component needs no more comparisons. In the second, only buckets that still hold
+  several components are compared across blocks: their largest component's blocks
+  with those of the rest, and the rest with itself. So a family of near copies
+  costs one pass over its members, and no pair is left out that could still join.
 * With 22 bands of five values, a pair at similarity 0.85 shares no bucket with a
-  chance of about 2.5e-6; every pair that shares one is decided exactly.
+  chance of about 2.5e-6 (four values and 0.8: 9e-6); what shares one is decided exactly.
 """
 
 from __future__ import annotations
@@ -21,22 +26,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rangeloom.llm.common import written
 from rangeloom.llm.skew import lookup
 
 SHINGLE_WORDS, LEAST_PERCENT = 3, 85
-BANDS, BAND_VALUES = 22, 5
-HASHES = BANDS * BAND_VALUES // 2
-#: Members of a bucket that one comparison reads from each side, and shingles that it multiplies at a time.
-BLOCK_MEMBERS, BLOCK_COLUMNS = 384, 4096
-CACHED_WORDS = 400_000
+BANDS = 22
+#: Members, and shingles of all members, that a block of a bucket holds on average, and shingles that are multiplied at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_COLUMNS = 384, 2_000_000, 4096
+#: Words whose hashes a worker remembers, and the longest of them in bytes: together they bound its memory.
+CACHED_WORDS, CACHED_BYTES = 400_000, 48
+
+
+def band_values(percent: int) -> int:
+    """Signature values in a band: five down to a similarity of 0.85, four below."""
+    return 5 if percent >= 85 else 4
+
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, np.iinfo(np.uint64).max, HASHES, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, BANDS * 5 // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, np.iinfo(np.uint64).max, BANDS * 5 // 2, dtype=np.uint64)
 _MULT = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -61,67 +73,78 @@ class Shingler:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], dtype=np.uint64)
+        new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(known)}
+        if new:
+            h = np.array([known[w] if w in known else new[w] for w in words], dtype=np.uint64)
+            known.update((w, x) for w, x in new.items() if len(w) <= CACHED_BYTES)
+        else:
+            h = np.array([known[w] for w in words], dtype=np.uint64)
         out = h[: len(h) - size + 1].copy()
         for k in range(1, size):
             out = _mixed(out) + h[k : len(h) - size + 1 + k] * _MULT[2]
         return np.unique(_mixed(out))
 
 
-def signature(h: np.ndarray) -> np.ndarray:
+def signature(h: np.ndarray, hashes: int) -> np.ndarray:
     """Minimum and maximum of a set under each hash function, in turn."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    high = np.zeros(HASHES, dtype=np.uint64)
+    low = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    high = np.zeros(hashes, dtype=np.uint64)
     for k in range(0, len(h), 2048):
-        v = _A[:, None] * h[None, k : k + 2048] + _B[:, None]
+        v = _A[:hashes, None] * h[None, k : k + 2048] + _B[:hashes, None]
         np.minimum(low, v.min(axis=1), out=low)
         np.maximum(high, v.max(axis=1), out=high)
     return np.stack([low, high], axis=1).ravel()
 
 
-def bands_of(h: np.ndarray) -> list[int]:
-    raw, step = signature(h).tobytes(), 8 * BAND_VALUES
+def bands_of(h: np.ndarray, values: int = 5) -> list[int]:
+    raw, step = signature(h, BANDS * values // 2).tobytes(), 8 * values
     return [xxhash.xxh3_64_intdigest(raw[k * step : (k + 1) * step], seed=k) - (1 << 63) for k in range(BANDS)]
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
+def _key(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _signatures(docs: DataFrame, words: int, values: int) -> DataFrame:
+    """All columns of ``docs`` but the text, with n_shingles, set_key and bands."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    schema = StructType([*kept, *StructType.fromDDL("n_shingles long, set_key binary, bands array<long>").fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             n, key, bands = [], [], []
             for value in batch.column("text"):
-                h = shingler.sets(value.as_py())
+                h = shingler.sets(value.as_py(), words)
                 n.append(len(h))
-                key.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
-                bands.append(bands_of(h) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                key.append(_key(h) if len(h) else None)
+                bands.append(bands_of(h, values) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema.names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 class Forest:
-    """Union-find; the smaller id is the root."""
+    """Union-find; the smaller key is the root."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x):
         while (y := self.up.setdefault(x, x)) != x:
             self.up[x] = x = self.up[y]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a, b) -> None:
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
-    def edges(self) -> list[tuple[int, int]]:
+    def edges(self) -> list[tuple]:
         return [(r, x) for x in list(self.up) if (r := self.root(x)) != x]
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int = LEAST_PERCENT) -> list[tuple[int, int]]:
+def linked(ids: list, sets: list[np.ndarray], percent: int = LEAST_PERCENT) -> list[tuple]:
     """Spanning forest of the links among sets: 100 * |intersection| >= percent * |union|."""
     forest, size = Forest(), np.array([len(s) for s in sets], dtype=np.int64)
     if len(ids) <= 6:
@@ -152,99 +175,199 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int = LEAST_PERCENT)
     return forest.edges()
 
 
-def _blocks(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """One row (bucket, i, j, doc_id, shingles) for each comparison that a class's representative takes part in."""
+def node_of(rep: Column, set_key: Column) -> Column:
+    """A class's key: its smallest document (as eight bytes that sort like the numbers), then its set; so the smallest key of a component tells its smallest document."""
+    return F.concat(F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")), set_key)
+
+
+def document_of(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)).cast("long"))
+
+
+def _cells(use: dict, key: bytes) -> list[tuple[int, int, int]]:
+    """The comparisons (bucket, i, j) that a member of a bucket takes part in; ``i`` and ``j`` number blocks.
+
+    ``main`` and ``rest`` are the numbers of blocks of either side. In the first round
+    there is no rest: each block meets itself, and the bucket's first member all blocks.
+    In the second the rest's blocks (numbered after the main ones) meet all blocks.
+    """
+    bucket, main, rest = use["bucket"], use["main"], use["rest"]
+    home = xxhash.xxh3_64_intdigest(key)
+    if not rest:
+        return [(bucket, i, i) for i in range(main)] if use["everywhere"] else [(bucket, home % main, home % main)]
+    if use["everywhere"]:
+        own = main + home % rest
+        return [(bucket, i, own) for i in range(main)] + [(bucket, min(own, j), max(own, j)) for j in range(main, main + rest)]
+    return [(bucket, home % main, j) for j in range(main, main + rest)]
+
+
+_BLOCK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """One row (bucket, i, j, node, shingles) for each comparison that a class takes part in.
+
+    ``needed`` has (rep, node, uses) of classes; a class's set is made from the text of one of its documents.
+    """
+    names = ["bucket", "i", "j", "node", "shingles"]
+    most = 32 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        names = ["bucket", "i", "j", "doc_id", "shingles"]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                h = shingler.sets(r["text"])
-                if xxhash.xxh3_128_hexdigest(h.tobytes()) != r["set_key"]:
+            rows, held = [], 0
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                h = shingler.sets(r["text"], words)
+                if _key(h) != r["node"][8:]:
                     continue  # another text under the same id
                 data = h.tobytes()
                 for use in r["uses"]:
-                    home = xxhash.xxh3_64_intdigest(str(r["doc_id"])) % use["blocks"]
-                    rows += [(use["bucket"], min(home, j), max(home, j), r["doc_id"], data) for j in range(use["blocks"])]
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
-                    rows = []
+                    for cell in _cells(use, r["node"]):
+                        rows.append((*cell, r["node"], data))
+                        held += len(data) + 64
+                        if held > most:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
+                            rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
 
-    found = docs.join(needed, docs["doc_id"] == needed["rep"]).select("doc_id", "text", "set_key", "uses")
-    return found.mapInArrow(run, "bucket long, i int, j int, doc_id long, shingles binary")
+    found = docs.select("doc_id", "text").join(needed, docs["doc_id"] == needed["rep"]).select("text", "node", "uses")
+    return found.mapInArrow(run, "bucket long, i int, j int, node binary, shingles binary")
 
 
 def _links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links of each block pair; rows of a pair come together, sorted, and only one pair is held at a time."""
+    """Links of each comparison; its rows come together, sorted, and only one comparison is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, {}
 
         def done():
             edges = linked(list(members), [np.frombuffer(x, "<u8") for x in members.values()], percent) if len(members) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.binary()), pa.array([b for _, b in edges], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for bucket, i, j, doc, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "shingles")), strict=True):
+            for bucket, i, j, node, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "shingles")), strict=True):
                 if (bucket, i, j) != key:
                     if len(members) > 1:
                         yield done()
                     key, members = (bucket, i, j), {}
-                members[doc] = data
+                members[node] = data
         if len(members) > 1:
             yield done()
 
     sorted_ = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return sorted_.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, component): the smallest node reachable over the links (a, b), by large-star and small-star steps."""
+    """(node, component): the smallest node reachable over the links (a, b), by large-star and small-star steps.
+
+    A family meets at its smallest node, so that the joins spread such nodes' rows.
+    """
     edges = written(links.filter("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), tag)
-    before = None
-    while True:
+    state = lambda e: e.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+    now = state(edges)
+    while now.n:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("least", "u").alias("m"), "n")
+        large = lookup(both, low, "u", "n", lambda now=now: 2 * now.n, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = written(large.distinct(), tag)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, least, "u", "n", lambda now=now: now.n, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.filter("u <> v").distinct(), tag)
-        now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+        before, now = now, state(edges)
         if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-        before = now
+            break
+    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, block_members: int = BLOCK_MEMBERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row.
+def _blocks_of(members: Column, shingles: Column, block_members: int) -> Column:
+    return F.greatest(F.ceil(members / block_members), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    Texts without words (and null texts) have no shingles and no links, and are
-    kept. Repeated rows each have their row. A null doc_id has a null component
-    unless its set is that of a document with an id, and is kept where it is null.
+
+def _second_round(members: DataFrame, found: DataFrame, block_members: int) -> DataFrame | None:
+    """``needed`` of the second round, or None if no bucket holds more than one component.
+
+    ``members`` has (rep, node, n_shingles, bucket) of buckets of several blocks.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = written(_signatures(picked), "minmax-signatures")
+    placed = members.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("rep", "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part"))
+    placed = written(placed, "minmax-parts")
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", "s")).alias("m"), F.sum("n").alias("members"), F.sum("s").alias("shingles")).filter("members > m.n")
+    open_ = most.select(
+        "bucket", "members", F.col("m.part").alias("main_part"), _blocks_of(F.col("m.n"), F.col("m.s"), block_members).alias("main"),
+        _blocks_of(F.col("members") - F.col("m.n"), F.col("shingles") - F.col("m.s"), block_members).alias("rest"),
+    )
+    open_ = written(open_, "minmax-open")
+    if not open_.limit(1).count():
+        return None
+    joined = lookup(placed, open_, "bucket", "members", placed.count, ["node"]).filter("main is not null")
+    use = F.struct("bucket", "main", "rest", (F.col("part") != F.col("main_part")).alias("everywhere"))
+    return joined.groupBy("rep", "node").agg(F.collect_list(use).alias("uses"))
+
+
+def decisions(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGLE_WORDS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text, ...); all columns but the text stay."""
+    picked, others = docs.select("doc_id", "text"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    sig = written(_signatures(docs, words, band_values(percent)), "minmax-signatures")
     classes = (
         sig.filter("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("uses"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("uses"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
         .filter("rep is not null")
     )
-    classes = written(classes, "minmax-classes")
-    members = classes.select("rep", "set_key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("m > 1")
-    shared = shared.groupBy("m", "x", "least", "most").agg(F.min("bucket").alias("bucket"))
-    shared = shared.select("bucket", F.ceil(F.col("m") / block_members).cast("int").alias("blocks"))
-    needed = members.join(shared, "bucket").groupBy("rep", "set_key").agg(F.collect_list(F.struct("bucket", "blocks")).alias("uses"))
-    links = _links(_blocks(picked, needed), percent)
+    classes = written(classes.withColumn("node", node_of(F.col("rep"), F.col("set_key"))), "minmax-classes")
+    members = classes.select("rep", "node", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(
+        F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")
+    )
+    shared = shared.filter("m > 1").groupBy("m", "s", "x", "first", "last").agg(F.min("bucket").alias("bucket"))
+    shared = written(shared.select("bucket", "m", "first", _blocks_of(F.col("m"), F.col("s"), block_members).alias("main")), "minmax-buckets")
+    joined = written(lookup(members, shared, "bucket", "m", members.count, ["node"]).filter("main is not null"), "minmax-members")
+    use = F.struct("bucket", "main", F.lit(0).alias("rest"), (F.col("node") == F.col("first")).alias("everywhere"))
+    needed = joined.groupBy("rep", "node").agg(F.collect_list(use).alias("uses"))
+    links = written(_links(_blocks(picked, needed, words), percent), "minmax-links")
     found = components(links)
-    table = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", "uses", F.coalesce("component", "rep").alias("component_id"))
-    table = written(table, "minmax-components")
-    out = lookup(sig.select("doc_id", "n_shingles", "set_key"), table, "set_key", "uses", sig.count, ["doc_id"])
+    large = joined.filter("main > 1").select("rep", "node", "n_shingles", "bucket")
+    if large.limit(1).count():
+        again = _second_round(large, found, block_members)
+        if again is not None:
+            found = components(links.unionByName(_links(_blocks(picked, again, words), percent)))
+    placed = classes.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    table = written(placed.select("set_key", "uses", document_of(F.coalesce("component", "node")).alias("component_id")), "minmax-components")
+    out = lookup(sig.drop("bands"), table, "set_key", "uses", sig.count, ["doc_id", *others])
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", *others, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGLE_WORDS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row.
+
+    Texts without words (and null texts) have no shingles and no links, and are
+    kept. Very long texts count whole. Repeated rows each have their row; rows that
+    share an id but not a text are documents of their own, which only their texts
+    link. A null doc_id has a null component unless its set is that of a document
+    with an id, and is kept where it is null. Extra columns are not read; an empty
+    table gives no rows.
+    """
+    return decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, words, block_members)
+
+
+def one_of_each(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` (all columns) of which one stays for each group: the smallest id's.
+
+    Decided for each row by its id and text: a row goes if its text is linked to one
+    with a smaller id, so a text that shares its id with others stays or goes on its
+    own. Of rows equal in id and text (null counts as empty) the smallest in the
+    other columns stays. Rows without an id cannot be told from one another and all stay.
+    """
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), key))
+    made = decisions(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__row"), percent, words).filter("__row is not null")
+    stay = written(made.groupBy("__row").agg(F.count("*").alias("__uses"), F.max("kept").alias("__kept")).withColumn("__n", F.col("__uses")), "minmax-kept")
+    met = lookup(keyed, stay, "__row", "__uses", keyed.count, ["doc_id", "text"]).filter("__row is null or __kept")
+    met = written(met, "minmax-single")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = met.filter("__n > 1").groupBy("__row").agg(F.min(F.struct("doc_id", "text", *others)).alias("r")).select("r.*")
+    return met.filter("coalesce(__n, 1) = 1").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: A key is hot if it holds more than 1 / HOT_SHARE of the left rows; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
@@ -25,11 +26,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: Calla
     hot = right.filter(F.col(weight) > limit).select(F.col(key).alias("__hot"), F.struct(*more).alias("__hot_values"))
     cold = right.filter(F.col(weight) <= limit).select(F.col(key).alias("__cold"), F.struct(*more).alias("__cold_values"))
     spread = F.concat(F.lit("\x00"), F.xxhash64(*salt).cast("string"))
-    text = F.col(key).cast("string")
+    named = lambda c: F.hex(c) if isinstance(left.schema[key].dataType, BinaryType) else F.col(c).cast("string")
+    text = named(key)
     out = (
         left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
         .withColumn("__key", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), spread).otherwise(text))
-        .join(cold.withColumn("__cold", F.col("__cold").cast("string")), F.col("__key") == F.col("__cold"), "left")
+        .join(cold.withColumn("__cold", named("__cold")), F.col("__key") == F.col("__cold"), "left")
     )
     found = [F.coalesce(F.col(f"__hot_values.{c}"), F.col(f"__cold_values.{c}")).alias(c) for c in more]
     return out.select(*[F.col(c) for c in left.columns], *found)
