@@ -82,3 +82,13 @@ def ranked(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
     return within.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__r") - 1).drop("__part", "__r", "__before")
+
+
+def with_previous(df: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """Adds ``previous``, a struct of the ``order`` columns of the row before in their order, without gathering all rows in one task."""
+    dealt = in_order(df, [F.col(c) for c in order], tag)
+    within = dealt.withColumn("__own", F.lag(F.struct(*order)).over(Window.partitionBy("__part").orderBy(*order)))
+    # one row for each range: as many as there are shuffle partitions
+    ends = dealt.groupBy("__part").agg(F.max(F.struct(*order)).alias("__end"))
+    ends = ends.select("__part", F.lag("__end").over(Window.orderBy("__part")).alias("__before"))
+    return within.join(F.broadcast(ends), "__part").withColumn("previous", F.coalesce("__own", "__before")).drop("__part", "__own", "__before")
