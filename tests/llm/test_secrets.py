@@ -65,6 +65,19 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {(r.rule) for r in scan(v1, "text", ledger, newer).collect()} == {"hex@2"}
 
 
+def test_the_query_scans_in_rounds(spark):
+    """Copies that arrive in a later round are not scanned again: one ledger row for each blob and rule over all rounds."""
+    docs = spark.createDataFrame([(i, f"token=abcdefgh{i % 7}") for i in range(200)] + [(None, None), (None, "")], "doc_id long, text string")
+    found, ledger = scan_documents(docs)
+    assert ledger.count() == 8 * len(RULES) == ledger.select("blob", "rule").distinct().count()
+    half = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    first = scan(half, "text")
+    assert first.count() > 0 and scan(docs, "text", first).select("blob").distinct().count() < 8
+    assert found.count() == 202 and found.filter("n_assign = 1").count() == 200
+    whole, _ = scan_documents(docs, rounds=1)
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, found.collect()), key=repr)
+
+
 @pytest.mark.parametrize("pattern", ["a+", "[0-9](?:[ -]?[0-9])++", "b"])
 def test_positions_are_those_of_a_finder(spark, pattern):
     rng = random.Random(7)
