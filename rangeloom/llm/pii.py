@@ -2,14 +2,16 @@
 
 Patterns propose candidate spans. Labelers of three sorts vote on each candidate:
 stricter patterns, gazetteers (of domains, prefixes and codes) and the words
-around it; a vote is +1, -1 or 0 (abstains). Expectation-maximisation over the
-counts of vote patterns estimates how reliable each labeler is and gives each
-pattern a probability; with these as soft labels a naive Bayes classifier over
+around it; a vote is +1, -1 or 0 (abstains). For each kind of span,
+expectation-maximisation over the counts of vote patterns estimates how reliable
+each labeler that votes on that kind is and gives each pattern a probability; at
+least three labelers can vote on every kind, without which their reliabilities
+would not be determined. With these as soft labels a naive Bayes classifier over
 the candidate's features is trained, and it decides on the final spans. Spans of
 the base definition are always kept; the classifier adds others that overlap none.
 
-Only counts reach the driver: of vote patterns (at most 3 to the power of the
-number of labelers) and of feature values (a fixed list).
+Only counts reach the driver: of vote patterns (for each kind at most 3 to the
+power of the number of labelers) and of feature values (a fixed list).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import written
-from rangeloom.llm.spans import found, listed, of_kind
+from rangeloom.llm.spans import found, let, listed, of_kind
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -151,10 +153,10 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """What EM and the classifier learned: ``reliability[labeler][z][vote + 1]``, the prior, and log-odds of the features."""
+    """What EM and the classifier learned: for each kind the prior and ``reliability[kind][labeler][z][vote + 1]``, and log-odds of the features."""
 
-    prior: float
-    reliability: dict[str, list[list[float]]]
+    prior: dict[str, float]
+    reliability: dict[str, dict[str, list[list[float]]]]
     log_odds: dict[str, float]
     bias: float
 
@@ -181,22 +183,33 @@ def em(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS) -> tuple[flo
 
 
 def fit(found_candidates: DataFrame) -> Model:
-    """EM over the vote patterns of all candidates in column ``c``, then the classifier from its soft labels."""
+    """EM over the vote patterns of the candidates in column ``c``, kind by kind, then the classifier from all their soft labels."""
     one = found_candidates.select(F.explode("c").alias("c"))
     # a pattern's features are summed with it, so that one small table serves both steps
-    counted = one.groupBy("c.votes", "c.features").count()
-    counted = written(counted, "pii-patterns")
-    patterns = {tuple(r["votes"]): r["n"] for r in counted.groupBy("votes").agg(F.sum("count").alias("n")).collect()}
-    if not patterns:
-        return Model(0.5, {}, {}, -1.0)
-    prior, table, truth = em(patterns)
-    soft = F.create_map(*[x for p, t in truth.items() for x in (F.lit(",".join(map(str, p))), F.lit(float(t)))])
-    weighed = counted.withColumn("t", soft[F.array_join(F.transform("votes", lambda v: v.cast("string")), ",")] * F.col("count"))
+    counted = written(one.groupBy("c.kind", "c.votes", "c.features").count(), "pii-patterns")
+    by_kind: dict[str, dict[tuple[int, ...], int]] = {}
+    for r in counted.groupBy("kind", "votes").agg(F.sum("count").alias("n")).collect():
+        by_kind.setdefault(r["kind"], {})[tuple(r["votes"])] = r["n"]
+    if not by_kind:
+        return Model({}, {}, {}, -1.0)
+    prior, reliability, truth = {}, {}, {}
+    for kind, patterns in sorted(by_kind.items()):
+        # labelers that never vote on this kind tell nothing of it
+        voting = [j for j in range(len(LABELERS)) if any(p[j] for p in patterns)]
+        narrow: dict[tuple[int, ...], int] = {}
+        for p, n in patterns.items():
+            narrow[tuple(p[j] for j in voting)] = narrow.get(tuple(p[j] for j in voting), 0) + n
+        prior[kind], table, soft = em(narrow)
+        reliability[kind] = {LABELERS[j]: t for j, t in zip(voting, table, strict=True)}
+        truth |= {(kind, p): soft[tuple(p[j] for j in voting)] for p in patterns}
+    named = lambda kind, p: ",".join([kind, *map(str, p)])
+    soft = F.create_map(*[x for (kind, p), t in truth.items() for x in (F.lit(named(kind, p)), F.lit(float(t)))])
+    weighed = counted.withColumn("t", soft[F.concat_ws(",", "kind", F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))] * F.col("count"))
     sums = weighed.select(F.explode("features").alias("f"), "t", "count").groupBy("f").agg(F.sum("t").alias("t"), F.sum("count").alias("n")).collect()
-    yes = sum(n * truth[p] for p, n in patterns.items())
-    no = sum(patterns.values()) - yes
-    odds = {r["f"]: math.log((r["t"] + 1) / (yes + 2)) - math.log((r["n"] - r["t"] + 1) / (no + 2)) for r in sums}
-    return Model(prior, dict(zip(LABELERS, table, strict=True)), odds, math.log((yes + 1) / (no + 1)))
+    total = sum(sum(p.values()) for p in by_kind.values())
+    yes = sum(n * truth[kind, p] for kind, patterns in by_kind.items() for p, n in patterns.items())
+    odds = {r["f"]: math.log((r["t"] + 1) / (yes + 2)) - math.log((r["n"] - r["t"] + 1) / (total - yes + 2)) for r in sums}
+    return Model(prior, reliability, odds, math.log((yes + 1) / (total - yes + 1)))
 
 
 SPANS = "array<struct<ordinal:int,start:int,end:int,kind:string,base:boolean>>"
@@ -228,8 +241,9 @@ def annotate(docs: DataFrame, ids: list[str], model: Model | None = None) -> Dat
 def find_documents(docs: DataFrame) -> DataFrame:
     """Counts, base digest and span list of each document.
 
-    Null texts count as empty; null ids and repeated rows each have their row;
-    extra columns are not read. ``spans`` lists by kind, then start.
+    Null texts count as empty; null ids, repeated rows and ties each have their row;
+    very long texts are searched whole; extra columns are not read; an empty table
+    gives no rows. ``spans`` lists by kind, then start.
     """
     spans = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
     base = F.filter("s", lambda x: x["base"])
@@ -237,18 +251,53 @@ def find_documents(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
 
 
+#: Spans that are cut out of one stretch of a text together; a stretch is found once, so a text of very many spans is not searched from its start for each.
+REDACT_BLOCK = 64
+
+
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; of overlapping spans the first to start names the whole stretch."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["ordinal"].alias("ordinal"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    merged_type = "array<struct<start:int,end:int,kind:string>>"
 
     def step(acc: Column, s: Column) -> Column:
+        """Each span with the end of what stands before it; those inside an earlier one only extend it."""
         inside = s["start"] < acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).cast("int").alias("pos"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        )
-
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        last = F.element_at(acc["out"], -1)
+        longer = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
+        out = F.when(inside, longer).otherwise(F.concat(acc["out"], F.array(own)))
+        return F.struct(F.greatest(acc["pos"], s["end"]).cast("int").alias("pos"), out.cast(merged_type).alias("out"))
+
+    merged = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.array().cast(merged_type).alias("out")), step, lambda a: a["out"])
+
+    def block(all_: Column, k: Column) -> Column:
+        own = F.slice(all_, k * REDACT_BLOCK + 1, F.lit(REDACT_BLOCK))
+        start = F.when(k == 0, 0).otherwise(F.coalesce(F.get(all_, k * REDACT_BLOCK - 1)["end"], F.lit(0)))
+        stretch = F.substring(text, start + 1, F.element_at(own, -1)["end"] - start)
+
+        def cut(x: Column) -> Column:
+            before = lambda i: F.when(i == 0, x["start"]).otherwise(F.get(x["own"], i - 1)["end"])
+            part = lambda s, i: F.concat(F.substring(x["stretch"], before(i) - x["start"] + 1, s["start"] - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.array_join(F.transform(x["own"], part), "")
+
+        return let(F.struct(own.alias("own"), start.alias("start"), stretch.alias("stretch")), cut)
+
+    def whole(all_: Column) -> Column:
+        ordinals = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / REDACT_BLOCK).cast("int"))
+        rest = F.substring(text, F.element_at(all_, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(ordinals, lambda k: block(all_, k)), ""), rest)
+
+    return F.when(F.size(spans) > 0, let(merged, whole)).otherwise(text)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, n_chars, ...) with every found span replaced by its kind; ``n_chars`` follows texts that change.
+
+    The model is fitted on the same candidates, which are searched for once. Null
+    texts stay null; repeated rows and null ids are redacted like any others.
+    """
+    proposed = written(docs.withColumn("__c", candidates(F.col("text"))), "pii-candidates")
+    found = proposed.withColumn("__s", decide(F.col("__c"), fit(proposed.select(F.col("__c").alias("c")))))
+    found = found.withColumn("text", redact(F.col("text"), F.col("__s")))
+    return found.withColumn("n_chars", F.when(F.size("__s") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)

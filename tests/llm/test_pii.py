@@ -4,7 +4,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from rangeloom.llm.pii import Model, annotate, candidates, em, find_documents, redact
+from rangeloom.llm.pii import LABELERS, Model, annotate, candidates, em, find_documents, fit, redact, redacted
 
 KINDS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -54,19 +54,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     compare(spark.createDataFrame([(1, "1" * 100_000 + " " + "a" * 100_000), (2, "1 " * 30_000 + "a@" + "b." * 20_000 + "c"), (3, "+" + "1-" * 30_000 + "1")], "doc_id long, text string"))
 
 
-def test_em_finds_the_reliable_labelers():
-    rng = random.Random(1)
+def voted(rng, n, share, accuracies, abstain=0.0):
     votes = {}
-    for _ in range(5000):
-        z = rng.random() < 0.4
-        p = tuple((1 if z == (rng.random() < a) else -1) for a in (0.95, 0.9, 0.5))
+    for _ in range(n):
+        z = rng.random() < share
+        p = tuple(0 if rng.random() < abstain else (1 if z == (rng.random() < a) else -1) for a in accuracies)
         votes[p] = votes.get(p, 0) + 1
-    prior, table, truth = em(votes)
-    assert prior == pytest.approx(0.4, abs=0.05)
-    assert [round(t[1][2], 1) for t in table][2] == pytest.approx(0.5, abs=0.1) and table[0][1][2] > 0.9
+    return votes
+
+
+def test_em_finds_the_reliable_labelers():
+    """Three informative labelers determine the model; with two it is not determined."""
+    prior, table, truth = em(voted(random.Random(1), 6000, 0.4, (0.95, 0.9, 0.8)))
+    assert prior == pytest.approx(0.4, abs=0.03)
+    assert [t[1][2] for t in table] == pytest.approx([0.95, 0.9, 0.8], abs=0.03) and [t[0][0] for t in table] == pytest.approx([0.95, 0.9, 0.8], abs=0.03)
     assert truth[(1, 1, -1)] > 0.9 and truth[(-1, -1, 1)] < 0.1
 
 
+def test_reliabilities_are_of_each_kind(spark):
+    """A labeler that is right on one kind and random on another is told apart, and one that never votes takes no part."""
+    rng, rows = random.Random(3), []
+    for kind, acc in (("ip", (0.95, 0.9, 0.85)), ("email", (0.55, 0.9, 0.95))):
+        for p, n in voted(rng, 3000, 0.5, acc).items():
+            rows += [(kind, [p[0], 0, p[1], p[2], 0], [f"kind={kind}"])] * n
+    df = spark.createDataFrame(rows, "kind string, votes array<int>, features array<string>")
+    model = fit(df.select(F.array(F.struct(*df.columns)).alias("c")))
+    assert set(model.reliability) == {"ip", "email"} and set(model.reliability["ip"]) == {LABELERS[0], LABELERS[2], LABELERS[3]}
+    assert model.reliability["ip"]["strict"][1][2] == pytest.approx(0.95, abs=0.04) and model.reliability["email"]["strict"][1][2] == pytest.approx(0.55, abs=0.06)
+
+
 def test_method_adds_spans_and_keeps_base_ones(spark):
     texts = [f"please call ({200 + i}) 555-{1000 + i} or mail u{i}@host{i}.com, card 4111 1111 1111 1111." for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "+1 (658) 555-4270")], "doc_id long, text string")
@@ -77,7 +93,42 @@ def test_method_adds_spans_and_keeps_base_ones(spark):
 
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é mail a@b.co now 10.0.0.1", "x"), (2, "nothing", None), (3, None, "y")], "doc_id long, text string, s string")
-    spans = annotate(df, ["doc_id"], Model(0.5, {}, {}, -9.0)).withColumnRenamed("s", "__s")
+    spans = annotate(df, ["doc_id"], Model({}, {}, {}, -9.0)).withColumnRenamed("s", "__s")
     got = df.join(spans, "doc_id").select("doc_id", redact(F.col("text"), F.col("__s")).alias("t")).collect()
     assert {r.doc_id: r.t for r in got} == {1: "é mail [EMAIL] now [IP]", 2: "nothing", 3: None}
     assert df.select(F.size(candidates(F.col("text"))).alias("n")).collect()[2].n == 0
+
+
+def test_redaction_of_many_spans(spark):
+    """Against a walk over the spans, with overlaps and more spans than a block."""
+    rng = random.Random(6)
+    text = "é".join(rng.choice(["a@b.co", " x ", "10.0.0.1", "\U0001f600"]) for _ in range(900))
+    spans, at = [], 0
+    for k in range(300):
+        start = at + rng.randrange(5)
+        end = start + 1 + rng.randrange(9)
+        if end > len(text):
+            break
+        spans.append((k % 4, start, end, ("email", "ip", "card", "phone")[k % 4], True))
+        at = start + rng.randrange(4)
+    want, pos = [], 0
+    merged = []
+    for o, a, b, kind, _ in sorted(spans, key=lambda s: (s[1], s[0], s[2])):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b, kind])
+    for a, b, kind in merged:
+        want += [text[pos:a], f"[{kind.upper()}]"]
+        pos = b
+    df = spark.createDataFrame([(text, spans)], "text string, s array<struct<ordinal:int,start:int,end:int,kind:string,base:boolean>>")
+    assert len(merged) > 70 and df.select(redact(F.col("text"), F.col("s")).alias("t")).first().t == "".join(want) + text[pos:]
+
+
+def test_redacted_documents_hold_no_base_spans(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert find_documents(out).filter("n_email + n_ip + n_card + n_phone > 0").count() == 0
+    same = {(r.doc_id, r.text, r.n_chars) for r in redacted(odd_docs).collect()}
+    assert same == {(r.doc_id, r.text, r.n_chars) for r in odd_docs.collect()}
