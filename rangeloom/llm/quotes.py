@@ -5,7 +5,7 @@ Passages, their paragraphs and their longer lines are hashed after normalising
 case and white space, and looked up among the own (unquoted) text of all messages:
 first in the same conversation, before the quoting message, then in any other. What a
 message answers is the latest original of its outermost quotes, or without any the
-turn before it. Conversation ids are no order in time, so links could close a cycle;
+turn before it (the largest smaller one that exists). Conversation ids are no order in time, so links could close a cycle;
 the smallest message of a cycle then answers what comes before it in (conv_id, turn).
 So replies form trees; depth and root come from pointer jumping.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.llm.common import written
+from rangeloom.llm.common import with_previous, written
 from rangeloom.llm.skew import lookup
 from rangeloom.llm.spans import let
 
 #: A quote prefix, a line that introduces a quote (fixed values: its verbs), and words that a line needs to be looked up alone.
 PREFIX = r"^(?:[\x20\t]{0,3}+>)++"
-ATTRIBUTION = r"^[^>].{0,300}(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
+ATTRIBUTION = r"\S\s++(?:wrote|writes|schrieb|escribió|a écrit)\s*+:\s*+$"
 LINE_WORDS = 4
 QUOTED = r"(?m)^[\x20\t]{0,3}>"
 
@@ -48,7 +48,9 @@ def parsed(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def of_lines(lines: Column) -> Column:
-        own = F.filter(lines, lambda x: (x["level"] == 0) & ~F.regexp_like(x["content"], F.lit(ATTRIBUTION)))
+        # a line that introduces a quote stands right before it; elsewhere it is the author's own
+        quote_next = lambda i: F.coalesce(F.get(lines, i + 1)["level"] > 0, F.lit(False))
+        own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(quote_next(i) & F.regexp_like(x["content"], F.lit(ATTRIBUTION))))
 
         def cut(starts: Column) -> Column:
             def passage(s: Column, k: Column) -> Column:
@@ -84,7 +86,8 @@ def link(messages: DataFrame) -> DataFrame:
 
     Rows that share (conv_id, turn) are one message: the smallest (role, text).
     Rows without conv_id or turn are messages of their own, as they are: they
-    neither quote nor are quoted and answer nothing. Sorting a thread (equal root)
+    neither quote nor are quoted and answer nothing. Very long texts are parsed
+    whole. Sorting a thread (equal root)
     by ``reply_order`` puts every message after the one that it answers. An empty
     table gives no rows; extra columns are not read.
     """
@@ -118,7 +121,8 @@ def link(messages: DataFrame) -> DataFrame:
     earlier = F.max(F.when(F.col("source.conv_id") <= F.col("conv_id"), rank))
     linked = matched.groupBy("conv_id", "turn").agg(F.max(rank).alias("b"), earlier.alias("e"), F.countDistinct("passage").alias("n_linked"))
     linked = linked.select("conv_id", "turn", F.col("b.c").alias("link_conv"), F.col("b.t").alias("link_turn"), F.col("e.c").alias("earlier_conv"), F.col("e.t").alias("earlier_turn"), "n_linked")
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
+    before = with_previous(rows.select("conv_id", "turn"), ["conv_id", "turn"], "quote-order")
+    before = before.filter("previous.conv_id = conv_id").select("conv_id", "turn", F.col("previous.turn").alias("previous"))
     full = rows.join(linked, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
     full = full.select(
         "conv_id", "turn", "role", "body", "n_quoted_lines", F.size("passages").cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

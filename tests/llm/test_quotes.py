@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from rangeloom.llm.quotes import link, parsed
@@ -81,3 +83,99 @@ def test_odd_rows(spark):
 def test_conversations_keep_every_message(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet")
     assert link(df).count() == df.select("conv_id", "turn").distinct().count()
+
+
+def test_lines_that_introduce_no_quote_stay(spark):
+    long = "On Monday " + "x" * 500 + " wrote:"
+    df = spark.createDataFrame([(t,) for t in ["As Kafka wrote:\na sentence\nA. wrote:\n> quoted\nend", f"{long}\n> q\nown"]], "t string")
+    assert [r.p.body for r in df.select(parsed(F.col("t")).alias("p")).collect()] == ["As Kafka wrote:\na sentence\nend", "own"]
+
+
+def test_gaps_between_turns(spark):
+    rows = [(1, t, "user", f"turn {t}", "x") for t in (0, 2, 3, 9)] + [(2, 4, "user", "alone", "x")]
+    got = {(r.conv_id, r.turn): r.reply_turn for r in link(spark.createDataFrame(rows, S)).collect()}
+    assert got == {(1, 0): None, (1, 2): 0, (1, 3): 2, (1, 9): 3, (2, 4): None}
+
+
+def brute(rows):
+    """{(conv, turn): (body, n_quoted_lines, n_passages, n_linked, reply, root, depth)} by plain loops."""
+    space = " \t\n\x0b\x0c\r"
+    norm = lambda x: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", x.lower()).strip(" ")
+
+    def units(lines):
+        every = [norm(" ".join(lines)), *map(norm, re.split(r"\n[ \t\n\x0b\x0c\r]*\n", "\n".join(lines))), *(x for x in map(norm, lines) if len(x.split(" ")) >= 4)]
+        return {x for x in every if x}
+
+    parsed_, own, reply = {}, {}, {}
+    for conv, turn, _, text in rows:
+        lines = []
+        for x in re.split("\r?\n", text or ""):
+            mark = re.match(r"(?:[ \t]{0,3}>)+", x)
+            content = x[mark.end():] if mark else x
+            lines.append((mark[0].count(">") if mark else 0, content.removeprefix(" ") if mark else x))
+        keep = [c for i, (n, c) in enumerate(lines) if not n and not (i + 1 < len(lines) and lines[i + 1][0] and re.search(r"\S\s+(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", c))]
+        passages, last = [], 0
+        for n, c in lines:
+            if n and n == last:
+                passages[-1][1].append(c)
+            elif n:
+                passages.append((n, [c]))
+            last = n
+        body = "\n".join(keep).strip(space)
+        parsed_[conv, turn] = (body, sum(n > 0 for n, _ in lines), passages)
+        if body:
+            for u in units(body.split("\n")):
+                own.setdefault(u, {}).setdefault(conv, []).append(turn)
+    for (conv, turn), (_, _, passages) in parsed_.items():
+        hits = []
+        for k, (level, lines) in enumerate(passages):
+            for u in units(lines):
+                at = {c: min(t) for c, t in own.get(u, {}).items()}
+                if conv in at and at[conv] < turn:
+                    hits.append((k, (True, -level, conv, at[conv])))
+                elif others := sorted(c for c in at if c != conv):
+                    hits.append((k, (False, -level, others[0], at[others[0]])))
+        before = max((t for c, t in parsed_ if c == conv and t < turn), default=None)
+        none = (conv, before) if before is not None else None
+        best = max((h for _, h in hits), default=None)
+        early = max((h for _, h in hits if h[2] <= conv), default=None)
+        reply[conv, turn] = [best[2:] if best else none, early[2:] if early else none, len({k for k, _ in hits})]
+    up = {k: v[0] for k, v in reply.items()}
+    while True:  # the smallest message of each cycle takes its earlier link
+        heads = set()
+        for k in up:
+            seen, x = [], k
+            while x is not None and x not in seen:
+                seen.append(x)
+                x = up[x]
+            if x is not None:
+                heads.add(min(seen[seen.index(x):]))
+        if not heads:
+            break
+        up |= {k: reply[k][1] for k in heads}
+    out = {}
+    for k, (body, n, passages) in parsed_.items():
+        depth, x = 0, k
+        while up[x] is not None:
+            x, depth = up[x], depth + 1
+        out[k] = (body, n, len(passages), reply[k][2], up[k], x, depth)
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_whole_table_with_quotes_against_plain_loops(spark, sf):
+    """Every message of the table; two of three quote: the turn before, the one before that a level deeper, or another conversation."""
+    table = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet").collect()}
+    keys, rows = sorted(table), []
+    for i, (conv, turn) in enumerate(keys):
+        lines, one, two = [], table.get((conv, turn - 1)), table.get((conv, turn - 2))
+        if i % 3 == 1 and one is not None:
+            lines += ["someone wrote:", *(f"> > {x}" for x in (two or "").split("\n")[:2] if two), *(f"> {x.upper() if i % 2 else x}" for x in one.split("\n"))]
+        if i % 3 == 2:
+            other = keys[(i * 7919) % len(keys)]
+            lines += [f"> {x}" for x in table[other].split("\n")[:3]]
+        rows.append((conv, turn, "user", "\n".join([*lines, table[conv, turn], "as they wrote:"])))
+    want = brute(rows)
+    got = {(r.conv_id, r.turn): (r.body, r.n_quoted_lines, r.n_passages, r.n_linked, None if r.reply_conv is None else (r.reply_conv, r.reply_turn), (r.root_conv, r.root_turn), r.depth) for r in link(spark.createDataFrame([(*r, "x") for r in rows], S)).collect()}
+    assert sum(w[3] > 0 for w in want.values()) > len(want) // 3
+    assert {k: (w, got.get(k)) for k, w in want.items() if got.get(k) != w} == {} and len(got) == len(want)
