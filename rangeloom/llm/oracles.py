@@ -37,7 +37,10 @@ WITH d AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(lines) AS n_lines,
          len(list_filter(words, lambda x: regexp_matches(x, '[!?]{2}$'))) AS n_loud,
-         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capitals
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+         length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+         len(list_filter(lines, lambda x: suffix(x, '...'))) AS n_cut,
+         coalesce(list_max(map_values(list_aggregate(words, 'histogram'))), 0) AS n_commonest
   FROM w LEFT JOIN covered USING (k)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -45,7 +48,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
             OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 50 * n_lines
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR 100 * n_loud > 25 * n_words OR 100 * n_capitals > 50 * word_chars) AS kept
+            OR 100 * n_loud > 25 * n_words OR 100 * n_capitals > 50 * word_chars
+            OR 100 * n_digits > 50 * word_chars OR 100 * n_cut > 70 * n_lines OR 100 * n_commonest > 50 * n_words) AS kept
 FROM base
 """
 

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from rangeloom.llm.quality import RULES, Cascade, Rule, Text, estimate, judge
+from rangeloom.llm.quality import FEATURES, RULES, Cascade, Rule, Text, cascade_of, judge, measured, ordered
 
 
 def brute_repeat(text):
@@ -32,15 +32,46 @@ def test_order_never_changes_the_verdict(documents):
         assert [Cascade(order).first_rejection(Text(t)) is None for t in texts] == plain
 
 
+def estimate(texts, rules):
+    return ordered(measured(texts, rules), rules)
+
+
 def test_cheap_and_selective_rules_run_first():
+    prose = " ".join(f"word{i}" for i in range(40))
     slow = Rule("slow", lambda t: sum(i for i in range(20_000)) < 0)
     never, always = Rule("never", lambda t: False), Rule("always", lambda t: True)
-    got = estimate(["some text"] * 20, (slow, never, always))
+    got = estimate([prose] * 20, (slow, never, always))
     assert [r.name for r in got.order] == ["always", "never", "slow"]
     assert got.rejected == {"slow": 0, "never": 0, "always": 1}
     assert [r.name for r in estimate([], (slow, never)).order] == ["slow", "never"]
 
 
+def test_costs_are_beyond_the_base(spark, documents):
+    """Rules on base counts cost next to nothing and run first; texts that fail the base test cost no rule anything."""
+    seen = []
+    probe = Rule("probe", lambda t: seen.append({n for n in FEATURES if n == "n_words" or n in t.__dict__}) or False)
+    assert measured(["too short", None], (probe,)) == [(0, 0.0, 0)] and not seen
+    measured([" ".join(f"w{i}" for i in range(30))], (probe,))
+    assert seen == [set(FEATURES)]
+    cascade = cascade_of(documents.select("text"), sample_rows=100)
+    base, own = [r.name for r in RULES[:4]], ("capitals", "digits", "one_word")
+    assert max(cascade.cost[n] for n in base) < min(cascade.cost[n] for n in ("loud_words", "one_word"))
+    assert {r.name for r in cascade.order} == {r.name for r in RULES} and all(cascade.cost[n] > 0 for n in own)
+
+
+def test_each_rule_rejects_its_own():
+    words = [f"word{i}" for i in range(40)]
+    bad = {
+        "symbols": " ".join(f"{w} #" for w in words), "repeated_lines": "\n".join(random.Random(1).choices(words[:10], k=80)), "short_words": " ".join("abcdefghijklmnopqrstuvwxyz"),
+        "long_words": " ".join(f"{i}" + "x" * 40 for i in range(30)), "loud_words": " ".join(f"{w}!!" for w in words), "capitals": " ".join(w.upper() + "AA" for w in words),
+        "digits": " ".join(str(10**6 + i) for i in range(40)), "cut_lines": "\n".join(f"{w} and so..." for w in words), "one_word": " ".join(f"the the word{i}" for i in range(30)),
+    }
+    assert set(bad) == {r.name for r in RULES}
+    for name, text in bad.items():
+        assert not Text(text).base_failed and name in [r.name for r in RULES if r.rejects(Text(text))], name
+    assert not any(r.rejects(Text(" ".join(words))) for r in RULES)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = judge(odd_docs).collect()
     assert len(rows) == odd_docs.count() and judge(no_docs).count() == 0
