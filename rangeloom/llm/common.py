@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.sources.shared import fresh_path, in_order, ranked, shared_dir, with_previous, written
+from rangeloom.sources.shared import fresh_path, in_order, qualified, ranked, shared_dir, with_previous, written
 
-__all__ = ["WORD", "fresh_path", "in_order", "ranked", "shared_dir", "table", "with_previous", "word_count", "written"]
+__all__ = ["WORD", "fresh_path", "in_order", "qualified", "ranked", "shared_dir", "table", "with_previous", "word_count", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ import random
 import zlib
 
 import pytest
-from rangeloom.llm.warc import GZIP, Inflater, archive_and_read, record_bytes
+from rangeloom.llm.warc import GZIP, Inflater, archive_and_read, fields, record_bytes, verified
 
 PAGES = "page_id long, url string, html string, __key string, payload string"
 
@@ -37,6 +37,7 @@ def test_round_trip_with_odd_rows(spark, tmp_path):
     assert sorted([tuple(r) for r in got], key=repr) == brute(df.collect())
     names = [n for n in os.listdir(tmp_path / "members") if n.endswith(".warc.gz")]
     assert len(names) > 1
+    heads = []
     for n in names:
         whole = gzip.open(tmp_path / "members" / n).read()
         assert whole == gzip.open(tmp_path / "monolithic" / n).read()
@@ -45,6 +46,20 @@ def test_round_trip_with_odd_rows(spark, tmp_path):
             e = json.loads(line)
             member = zlib.decompress(raw[e["offset"] : e["offset"] + e["length"]], GZIP)
             assert member.startswith(b"WARC/1.1") and e["record_id"].encode() in member
+            heads.append(fields(member[: member.index(b"\r\n\r\n") + 4]))
+    assert len(heads) == len(rows) == len({h["warc-record-id"] for h in heads})
+    for h in heads:
+        assert {"warc-type", "warc-date", "warc-record-id", "warc-target-uri", "content-length"} <= set(h) and not set(h["warc-target-uri"]) & set(' "<>\r\n')
+        assert h["warc-type"] == "response" or {"warc-profile", "warc-refers-to-target-uri", "warc-refers-to-date"} <= set(h)
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    schema = "archive string, offset long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    rows = [("a", 0, 1, "response", 200, "d", None), ("a", 9, 2, "revisit", 200, "d", 1), ("b", 0, 3, "revisit", 200, "d", 1)]
+    assert verified(spark.createDataFrame(rows, schema)).count() == 3
+    for bad in (("c", 0, 4, "revisit", 201, "d", 1), ("c", 0, 4, "revisit", 200, "e", 1), ("c", 0, 4, "revisit", 200, "d", 2)):
+        with pytest.raises(Exception, match="without its response"):
+            verified(spark.createDataFrame([*rows, bad], schema)).collect()
 
 
 def test_empty_table(spark):
@@ -54,7 +69,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_inflater_reads_one_member_or_many(seed):
     rng = random.Random(seed)
-    records = [record_bytes(i, "u", rng.randbytes(rng.randrange(200_000)), "d", "response", None) for i in range(6)]
+    records = [record_bytes(str(i), i, "u", rng.randbytes(rng.randrange(200_000)), "d", "response", None) for i in range(6)]
     for raw in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
         stream, seen = Inflater(io.BytesIO(raw)), []
         while (head := stream.head()) is not None:
@@ -64,7 +79,7 @@ def test_inflater_reads_one_member_or_many(seed):
 
 
 def test_a_cut_stream_is_an_error():
-    raw = gzip.compress(record_bytes(1, "u", b"y" * 5000, "d", "response", None))[:-20]
+    raw = gzip.compress(record_bytes("1", 1, "u", b"y" * 5000, "d", "response", None))[:-20]
     stream = Inflater(io.BytesIO(raw))
     with pytest.raises(EOFError):
         stream.head()
