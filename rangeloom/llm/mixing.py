@@ -22,9 +22,9 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rangeloom.llm.common import word_count, written
+from rangeloom.llm.common import ranked, word_count, written
+from rangeloom.llm.skew import lookup
 
 #: Source weights, dealt in code point order and repeating.
 WEIGHTS = (5, 2, 1)
@@ -46,37 +46,30 @@ def source_targets(
     share: float = MIX_SHARE,
     max_copies: int = MAX_COPIES,
 ) -> DataFrame:
-    """(source, n_docs, source_size, target): one row for each source.
+    """(source, ordinal, n_docs, source_size, target): one row for each source, kept in the shared folder.
 
     The budget ``share * total`` goes to the sources by weight; a target stops at
-    ``max_copies`` times its source's size and the excess is shared again by
-    weight among the rest. That fixed point is a water level: with the sources in
-    order of cap / weight, the first whose share at the level left over stays below
-    its cap sets the level for all that follow. The windows run over one row for each source.
+    ``max_copies`` times its source's size and the excess is shared again by weight
+    among the rest, until none is above. Each round of that is one aggregate over the
+    sources, so their number does not matter; the level only rises, and sources that
+    have stopped stay so.
     """
     per = sizes.groupBy(F.col(source).alias("source")).agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("source_size")
     )
-    ordinal = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("ordinal", ordinal).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
-    )
-    everything = Window.partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("ratio", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    return (
-        per.withColumn("cap", F.col("source_size") * float(max_copies))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(everything) * float(share))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("level", level)
-        .withColumn("stop", F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "ordinal", "level")))
-        .withColumn("level", F.min("stop").over(everything)["level"])
-        .withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))))
-        .select("source", "ordinal", "n_docs", "source_size", "target")
-    )
+    per = ranked(per, [F.col("source").asc_nulls_last()], "ordinal", "mix-sources")
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int")))
+    per = written(per.withColumn("cap", F.col("source_size") * float(max_copies)), "mix-sources")
+    level, stopped = 0.0, -1
+    budget = float(share) * (per.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        full = F.col("cap") < level * F.col("weight")
+        r = per.agg(F.sum(full.cast("int")).alias("stopped"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if (r["stopped"] or 0) == stopped or not r["open"]:
+            break
+        stopped, level = r["stopped"], (budget - r["caps"]) / r["open"]
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if r["open"] else F.col("cap")
+    return per.select("source", "ordinal", "n_docs", "source_size", target.alias("target"))
 
 
 def fly(p: list[float], x: list[float], rng: random.Random) -> list[int]:
@@ -163,8 +156,12 @@ def balanced_copies(
     narrow = written(narrow, "mix-sizes")
     targets = written(source_targets(narrow, "source", "__size", weights, share, max_copies), "mix-targets")
     side = targets.agg(F.count("*").alias("sources"), F.max("n_docs").alias("most")).first()
-    small = F.broadcast(targets) if side["sources"] <= BROADCAST_SOURCES else targets
-    rows = narrow.join(small.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    if side["sources"] <= BROADCAST_SOURCES:
+        rows = narrow.join(F.broadcast(targets.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source")))
+    else:  # a source may hold much of the table; a null one is a key like others
+        named = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+        right = targets.withColumn("__source", named).withColumn("__n", F.col("n_docs")).drop("source")
+        rows = lookup(narrow.withColumn("__source", named), right, "__source", "__n", narrow.count, ["__id", "__size"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(expected + EPS)
     rows = rows.select(
@@ -206,6 +203,10 @@ def balanced_copies(
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """``balanced_copies`` over the word counts of ``documents``, with the words taken."""
+    """``balanced_copies`` over the word counts of ``documents``, with the words taken.
+
+    Null and empty texts have size 0; very long texts count whole; repeated rows and
+    null ids are decided one by one; extra columns are not read; an empty table gives no rows.
+    """
     out = balanced_copies(docs, "doc_id", "source", word_count(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

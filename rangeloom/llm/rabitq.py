@@ -159,43 +159,59 @@ def _found(pairs: DataFrame, lists: dict[int, np.ndarray], k: int) -> DataFrame:
     block_queries = BLOCK_QUERIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entries, queries, code = None, [], [], None
+        key, entries, queries, waiting, code = None, [], [], 0, None
 
-        def answer() -> pa.RecordBatch | None:
-            nonlocal code
-            rows = []
+        def answer() -> pa.RecordBatch:
+            """Candidates of the queries that wait, from the block's entries."""
+            nonlocal code, waiting
+            who, which, score = [], [], []
             if entries and queries:
                 d, number = key[0], key[1]
                 c = shared.value.get(d)
                 centre, turn = (np.zeros(d) if c is None else c[number]), rotation(d)
                 if code is None:
-                    x = np.array([e[1] for e in entries])
-                    code = (x, *encode(x, centre, turn))
-                x, bits, length, scalar = code
-                q = np.array([e[1] for e in queries])
+                    x = np.concatenate([e[1] for e in entries])
+                    code = (pa.concat_arrays([e[0] for e in entries]), x, *encode(x, centre, turn))
+                ids, x, bits, length, scalar = code
+                names, q = pa.concat_arrays([e[0] for e in queries]), np.concatenate([e[1] for e in queries])
                 low, high = estimates(q, centre, turn, bits, length, scalar)
                 n = min(k, len(x))
                 limit = np.partition(high, n - 1, axis=1)[:, n - 1]
-                for i, (name, _) in enumerate(queries):
+                for i in range(len(q)):
                     near = np.flatnonzero(low[i] <= limit[i])
                     exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                     # equal distances are kept together, so that ties go by id later
-                    cut = np.partition(exact, n - 1)[n - 1] if len(exact) > n else np.inf
-                    rows += [(name, entries[m][0], float(e)) for m, e in zip(near, exact, strict=True) if e <= cut]
+                    good = exact <= (np.partition(exact, n - 1)[n - 1] if len(exact) > n else np.inf)
+                    who.append(np.full(good.sum(), i))
+                    which.append(near[good])
+                    score.append(exact[good])
+                who, which, score = np.concatenate(who), np.concatenate(which), np.concatenate(score)
+                out = [names.take(pa.array(who)), ids.take(pa.array(which)), pa.array(score)]
+            else:
+                out = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())]
             queries.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.float64())], ["key", "ids", "score"])
+            waiting = 0
+            return pa.RecordBatch.from_arrays(out, ["key", "ids", "score"])
 
         for batch in batches:
-            for dim, number, block, kind, name, ids, v in zip(*(batch.column(c).to_pylist() for c in ("dim", "list", "block", "kind", "key", "ids", "v")), strict=True):
+            at = np.stack([np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("dim", "list", "block", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                dim, number, block, kind = at[a].tolist()
                 if (dim, number, block) != key:
                     yield answer()
                     key, entries, code = (dim, number, block), [], None
-                if kind == 0:
-                    entries.append((ids, v))
-                else:
-                    queries.append((name, v))
-                    if len(queries) >= block_queries:
-                        yield answer()
+                for start in range(a, b, block_queries):
+                    part = batch.slice(start, min(block_queries, b - start))
+                    if kind == 0:
+                        entries.append((part.column("ids"), _matrix(part.column("v"), dim)))
+                    else:
+                        queries.append((part.column("key"), _matrix(part.column("v"), dim)))
+                        waiting += part.num_rows
+                        if waiting >= block_queries:
+                            yield answer()
         yield answer()
 
     near = pairs.repartition("dim", "list", "block").sortWithinPartitions("dim", "list", "block", "kind", "key")
@@ -207,9 +223,14 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     Rows without an id or with a vector that is null, zero or not finite take no
     part. Vectors of different lengths are indexed apart and never neighbours.
-    Repeated ids count once. Ties go to the smaller id.
+    Repeated ids count once: where they hold different vectors, the one with the
+    smallest key (a digest of its components). Ties go to the smaller id. Extra
+    columns are not read; an empty table gives no rows.
     """
     rows = written(usable(df, id_col, vector_col).select("id", "key", "dim", "v"), "ann-rows")
+    torn = written(rows.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).filter("first <> last").drop("last"), "ann-repeated")
+    if torn.limit(1).count():
+        rows = written(lookup(rows, torn, "id", "n", rows.count, ["key"]).filter("first is null or first = key").drop("first"), "ann-rows")
     ranked = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     # of equal vectors only the smallest k + 1 ids can be in an answer; each task drops the others before the shuffle
     few = rows.select("key", "dim", "id").distinct().withColumn("r", ranked).filter(F.col("r") <= k + 1)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from rangeloom.llm import mixing
 from rangeloom.llm.common import word_count
 from rangeloom.llm.mixing import balanced_copies, fly, land, mix_documents, source_targets
 
@@ -75,6 +76,15 @@ def test_many_blocks_and_levels(spark):
     assert sum(r.n for r in got) == 20_300 and all(abs(r.t - r.target) <= 501 for r in got)
 
 
+def test_many_sources_join_by_key(spark, monkeypatch):
+    """Beyond the bound for broadcasting the sources' parameters, the same rows come from the spread join."""
+    rows = [(i, None if i % 9 == 0 else "hot" if i % 3 else f"s{i % 17}", i % 40 + 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    want = sorted(map(tuple, balanced_copies(df, "doc_id", "source", F.col("n")).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, balanced_copies(df, "doc_id", "source", F.col("n")).collect())) == want and len(want) == 3000
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = mix_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count() and sum(r.doc_id is None for r in rows) == 1

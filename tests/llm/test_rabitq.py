@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from rangeloom.llm.rabitq import encode, estimates, rotation, search
+from rangeloom.llm.rabitq import encode, estimates, rotation, search, usable
 
 
 def brute(rows, every, k):
@@ -52,6 +52,21 @@ def test_copies_ties_and_odd_vectors(spark):
     assert search(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_vectors_count_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    more = [(i, [float(x) for x in rng.normal(size=4)]) for i in (5, 200, 200, 7)]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+    got = search(df).collect()
+    assert len({(r.query_id, r.rank) for r in got}) == len(got) == 30 and len({(r.query_id, r.vec_id) for r in got}) == 30
+    chosen = {}
+    for r in usable(df, "vec_id", "embedding").collect():
+        if r.id not in chosen or r.key < chosen[r.id][0]:
+            chosen[r.id] = (r.key, list(r.v))
+    want = brute([(i, v) for i, (_, v) in chosen.items()], 100, 10)
+    assert {q: [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+
+
 @pytest.mark.parametrize("d", [8, 64])
 def test_bounds_hold(d):
     rng = np.random.default_rng(d)
