@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from rangeloom.llm import minmax, mixing, packing, pii, toxicity
-from rangeloom.llm.common import fresh_path, table, word_count, written
+from rangeloom.llm.common import fresh_path, table, word_count
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -29,28 +29,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+#: Shingle length in words and least similarity in percent of the near-duplicate stage.
+SHINGLE_WORDS, LEAST_PERCENT = 5, 80
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, once.
 
+    Decided row by row: a text that shares its id with others stays or goes on its own.
     Documents without an id cannot be told from one another and all stay.
     """
-    docs = columns(docs)
-    found = minmax.near_duplicates(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
-    stay = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    marked = stay.join(written(again, "repeated-ids"), F.col("doc_id") == F.col("__again"), "left")
-    once = marked.filter("__again is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return marked.filter("__again is null").select(*NAMES).unionByName(once)
+    return minmax.one_of_each(columns(docs), LEAST_PERCENT, SHINGLE_WORDS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found span is replaced by its kind; ``n_chars`` follows the new text."""
-    docs = columns(docs)
-    model = pii.fit(written(docs.select(pii.candidates(F.col("text")).alias("c")), "pii-candidates"))
-    found = docs.withColumn("__s", pii.decide(pii.candidates(F.col("text")), model))
-    text = pii.redact(F.col("text"), F.col("__s"))
-    return found.withColumn("__t", text).select("doc_id", F.col("__t").alias("text"), "lang", "source", F.when(F.size("__s") > 0, F.length("__t")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    """Every found span is replaced by its kind; ``n_chars`` follows the texts that change.
+
+    Each row is redacted on its own, repeated ones alike; null texts stay null.
+    """
+    return pii.redacted(columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 4096 tokens."""
+    """Pieces in sequences of at most 4096 tokens; every row is packed, repeated ones each, and a null text is one token."""
     return packing.pack(columns(docs))
 
 
