@@ -41,8 +41,22 @@ CACHED_WORDS, CACHED_BYTES = 500_000, 48
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
-#: A full stop or comma after an ASCII letter or digit or a Latin-1 letter, before white space: a unit of its own to the splitter.
-_STOP = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+#: A full stop or comma before white space: a unit of its own to the splitter after an ASCII letter or digit or a Latin-1 letter.
+_AFTER = rb"(?<![A-Za-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])"
+_STOP = re.compile(rb"([A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,])(?=[ \n])")
+#: One that follows anything else and may be joined to it.
+_JOINED = re.compile(rb"[.,](?=[ \n])" + _AFTER)
+
+
+def _apart(raw: bytes) -> bytes:
+    """``raw`` with a space before each stop or comma that is a unit of its own."""
+    if _JOINED.search(raw):
+        return _STOP.sub(rb"\1 \2", raw)
+    for mark in (b". ", b", ", b".\n", b",\n"):
+        raw = raw.replace(mark, b" " + mark)
+    return raw
+
+
 #: Lead bytes of characters from U+0300 on; those below are no combining marks and are what composition leaves as they are.
 _HIGH = re.compile(rb"[\xcc-\xff]")
 #: Stands between words that are encoded together.
@@ -109,7 +123,7 @@ class WordTokenizer:
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             if b"<|" not in raw and (raw.isascii() or not _HIGH.search(raw)):
                 raw = raw.lower()
-            words = _STOP.sub(rb" \1", raw).split()
+            words = _apart(raw).split()
             new = set(words).difference(known)
             if new:
                 fresh = self._learn(list(new))
