@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rangeloom.llm.common import written
-from rangeloom.llm.skew import lookup
+from rangeloom.llm.skew import lookup, matched
 
 SHINGLE_WORDS, LEAST_PERCENT = 3, 85
 BANDS = 22
@@ -180,8 +180,18 @@ def node_of(rep: Column, set_key: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")), set_key)
 
 
+def _long(data: Column) -> Column:
+    """Eight bytes as a number."""
+    return F.conv(F.hex(data), 16, -10).cast("long")
+
+
 def document_of(node: Column) -> Column:
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    return _long(F.substring(node, 1, 8)).bitwiseXOR(F.lit(-(2**63)).cast("long"))
+
+
+def short_of(set_key: Column) -> Column:
+    """The front of a set's key as a number; with the smallest document it tells a class in narrow tables."""
+    return _long(F.substring(set_key, 1, 8))
 
 
 def _cells(use: dict, key: bytes) -> list[tuple[int, int, int]]:
@@ -207,7 +217,7 @@ _BLOCK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """One row (bucket, i, j, node, shingles) for each comparison that a class takes part in.
 
-    ``needed`` has (rep, node, uses) of classes; a class's set is made from the text of one of its documents.
+    ``needed`` has (rep, short, uses) of classes; a class's set is made from the text of its smallest document.
     """
     names = ["bucket", "i", "j", "node", "shingles"]
     most = 32 << 20
@@ -219,12 +229,13 @@ def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             for k in range(batch.num_rows):
                 (r,) = batch.slice(k, 1).to_pylist()
                 h = shingler.sets(r["text"], words)
-                if _key(h) != r["node"][8:]:
+                key = _key(h)
+                if int.from_bytes(key[:8], "big", signed=True) != r["short"]:
                     continue  # another text under the same id
-                data = h.tobytes()
+                data, node = h.tobytes(), (r["rep"] + (1 << 63)).to_bytes(8, "big") + key
                 for use in r["uses"]:
-                    for cell in _cells(use, r["node"]):
-                        rows.append((*cell, r["node"], data))
+                    for cell in _cells(use, node):
+                        rows.append((*cell, node, data))
                         held += len(data) + 64
                         if held > most:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
@@ -232,7 +243,7 @@ def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
 
-    found = docs.select("doc_id", "text").join(needed, docs["doc_id"] == needed["rep"]).select("text", "node", "uses")
+    found = docs.select("doc_id", "text").join(needed, docs["doc_id"] == needed["rep"]).select("text", "rep", "short", "uses")
     return found.mapInArrow(run, "bucket long, i int, j int, node binary, shingles binary")
 
 
@@ -289,10 +300,13 @@ def _blocks_of(members: Column, shingles: Column, block_members: int) -> Column:
 def _second_round(members: DataFrame, found: DataFrame, block_members: int) -> DataFrame | None:
     """``needed`` of the second round, or None if no bucket holds more than one component.
 
-    ``members`` has (rep, node, n_shingles, bucket) of buckets of several blocks.
+    ``members`` has (rep, short, n_shingles, bucket) of buckets of several blocks.
     """
-    placed = members.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("rep", "node", "n_shingles", "bucket", F.coalesce("component", "node").alias("part"))
-    placed = written(placed, "minmax-parts")
+    parts = found.select(document_of(F.col("node")).alias("__rep"), short_of(F.substring("node", 9, 8)).alias("__short"), "node", "component")
+    placed = members.join(parts, (F.col("rep") == F.col("__rep")) & (F.col("short") == F.col("__short")), "left")
+    # a class without links is a component of its own
+    alone = F.concat(F.lit("\x00").cast("binary"), F.unhex(F.lpad(F.hex("rep"), 16, "0")), F.unhex(F.lpad(F.hex("short"), 16, "0")))
+    placed = written(placed.select("rep", "short", "n_shingles", "bucket", F.coalesce("component", alone).alias("part")), "minmax-parts")
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", "s")).alias("m"), F.sum("n").alias("members"), F.sum("s").alias("shingles")).filter("members > m.n")
     open_ = most.select(
@@ -302,9 +316,9 @@ def _second_round(members: DataFrame, found: DataFrame, block_members: int) -> D
     open_ = written(open_, "minmax-open")
     if not open_.limit(1).count():
         return None
-    joined = lookup(placed, open_, "bucket", "members", placed.count, ["node"]).filter("main is not null")
+    joined = matched(placed, open_, "bucket", "members", placed.count)
     use = F.struct("bucket", "main", "rest", (F.col("part") != F.col("main_part")).alias("everywhere"))
-    return joined.groupBy("rep", "node").agg(F.collect_list(use).alias("uses"))
+    return joined.groupBy("rep", "short").agg(F.collect_list(use).alias("uses"))
 
 
 def decisions(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGLE_WORDS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
@@ -317,23 +331,25 @@ def decisions(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGL
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("uses"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
         .filter("rep is not null")
     )
-    classes = written(classes.withColumn("node", node_of(F.col("rep"), F.col("set_key"))), "minmax-classes")
-    members = classes.select("rep", "node", "n_shingles", F.explode("bands").alias("bucket"))
+    classes = written(classes.withColumn("short", short_of(F.col("set_key"))), "minmax-classes")
+    # numbers only: millions of members, most of them alone in their buckets
+    members = classes.select("rep", "short", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")
+        F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor("short").alias("x"), F.min("rep").alias("first"), F.max("rep").alias("last")
     )
     shared = shared.filter("m > 1").groupBy("m", "s", "x", "first", "last").agg(F.min("bucket").alias("bucket"))
     shared = written(shared.select("bucket", "m", "first", _blocks_of(F.col("m"), F.col("s"), block_members).alias("main")), "minmax-buckets")
-    joined = written(lookup(members, shared, "bucket", "m", members.count, ["node"]).filter("main is not null"), "minmax-members")
-    use = F.struct("bucket", "main", F.lit(0).alias("rest"), (F.col("node") == F.col("first")).alias("everywhere"))
-    needed = joined.groupBy("rep", "node").agg(F.collect_list(use).alias("uses"))
+    joined = written(matched(members, shared, "bucket", "m", members.count), "minmax-members")
+    use = F.struct("bucket", "main", F.lit(0).alias("rest"), (F.col("rep") == F.col("first")).alias("everywhere"))
+    needed = joined.groupBy("rep", "short").agg(F.collect_list(use).alias("uses"))
     links = written(_links(_blocks(picked, needed, words), percent), "minmax-links")
     found = components(links)
-    large = joined.filter("main > 1").select("rep", "node", "n_shingles", "bucket")
+    large = joined.filter("main > 1").select("rep", "short", "n_shingles", "bucket")
     if large.limit(1).count():
         again = _second_round(large, found, block_members)
         if again is not None:
             found = components(links.unionByName(_links(_blocks(picked, again, words), percent)))
+    classes = classes.withColumn("node", node_of(F.col("rep"), F.col("set_key")))
     placed = classes.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     table = written(placed.select("set_key", "uses", document_of(F.coalesce("component", "node")).alias("component_id")), "minmax-components")
     out = lookup(sig.drop("bands"), table, "set_key", "uses", sig.count, ["doc_id", *others])

@@ -35,3 +35,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: Calla
     )
     found = [F.coalesce(F.col(f"__hot_values.{c}"), F.col(f"__cold_values.{c}")).alias(c) for c in more]
     return out.select(*[F.col(c) for c in left.columns], *found)
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, weight: str, rows: Callable[[], int], share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (unique in ``key``, which is not null) that spreads hot keys: their rows stay where they are.
+
+    ``right[weight]`` is the number of left rows of the key, as in ``lookup``.
+    """
+    limit = max(1, rows() // share)
+    hot = F.broadcast(right.filter(F.col(weight) > limit).drop(weight))
+    cold = right.filter(F.col(weight) <= limit).drop(weight)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(hot, key).select(*rest.columns).unionByName(rest)
