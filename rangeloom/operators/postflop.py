@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import BUCKETS, cards, strength
+from rangeloom.functions.cards import BUCKETS, bad, cards, strength
 from rangeloom.functions.likelihood import combos, psi_table
 
 
@@ -63,7 +63,8 @@ def strength_filter(start: DataFrame, actions: DataFrame, keys: list[str], phi:
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("top", F.max("ll").over(w)).withColumn("w", F.col("p") * F.exp(F.col("ll") - F.col("top")))
     rows = rows.withColumn("z", F.sum("w").over(w)).withColumn("p0", F.sum("p").over(w))
-    return rows.select(*keys, "strength", (F.col("w") / F.col("z")).alias("p"), (F.log(F.col("z") / F.col("p0")) + F.col("top")).alias("log_likelihood"))
+    z = F.when(F.col("z") > 0, F.col("z")).otherwise(bad("zero evidence").cast("double"))
+    return rows.select(*keys, "strength", (F.col("w") / z).alias("p"), (F.log(z / F.col("p0")) + F.col("top")).alias("log_likelihood"))
 
 
 def expected_strength(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,8 +74,50 @@ def expected_strength(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(p * place[F.col("strength")]).alias("expected_strength"), (1 / F.sum(p * p)).alias("effective_size"))
 
 
-def live_strengths(live: DataFrame) -> DataFrame:
-    """Adds ``rated`` to rows (hole, board): null without a board or hole cards. Each distinct pair is rated once."""
+def strength_steps(start: DataFrame, actions: DataFrame, keys: list[str], phi: float = 0.0) -> DataFrame:
+    """Telemetry after each update of the post-flop filter: (keys, step, action_bucket, evidence, effective_size, top_strength, top_probability).
+
+    ``start`` has rows (keys, strength, p), ``actions`` rows (keys, action_index, bucket). Ties go to the stronger; no evidence is an error.
+    """
+    psi = psi_table(start.sparkSession, phi)
+    vectors = psi.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket_idx", F.log("psi").alias("l")))), lambda x: x["l"]).alias("ln"))
+    order = F.create_map(*[F.lit(x) for kv in ((b, i) for i, b in enumerate(BUCKETS)) for x in kv])
+    listed = start.filter(F.col("strength").isin(list(BUCKETS))).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(order[F.col("strength")], "p"))).alias("m"))
+    prior = listed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("p0"))
+    met = actions.join(F.broadcast(vectors), "bucket", "left").withColumn("ln", F.coalesce("ln", F.array_repeat(F.log(F.lit(0.02)), 7)))
+    numbered = met.withColumn("step", F.row_number().over(Window.partitionBy(*keys).orderBy("action_index")))
+    so_far = Window.partitionBy(*keys).orderBy("step")
+    sums = numbered.select(*keys, "step", "bucket", F.array(*[F.sum(F.get("ln", F.lit(i))).over(so_far) for i in range(7)]).alias("l"))
+    rows = sums.join(prior, keys)
+    top = F.array_max("l")
+    w = F.zip_with("p0", "l", lambda p, l: F.when(p > 0, p * F.exp(l - top)).otherwise(0.0))
+    rows = rows.withColumn("w", w).withColumn("z", F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).withColumn("z0", F.aggregate("p0", F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("z", F.when(F.col("z") > 0, F.col("z")).otherwise(bad("zero evidence").cast("double"))).withColumn("log_z", F.log("z") + top)
+    best = F.array_min(F.transform("w", lambda x, i: F.struct((-F.round(x / F.col("z"), 12)).alias("o"), i.alias("i"), x.alias("x"))))
+    before = F.coalesce(F.lag("log_z").over(so_far), F.log("z0"))
+    names = F.array(*map(F.lit, BUCKETS))
+    squares = F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select(
+        *keys, "step", F.col("bucket").alias("action_bucket"), F.exp(F.col("log_z") - before).alias("evidence"), (F.col("z") * F.col("z") / squares).alias("effective_size"),
+        F.get(names, best["i"]).alias("top_strength"), (best["x"] / F.col("z")).alias("top_probability"),
+    )
+
+
+def top_strengths(rows: DataFrame, keys: list[str], k: int = 7) -> DataFrame:
+    """(keys, rank, strength, p): the ``k`` likeliest strengths of rows (keys, strength, p); ties go to the stronger."""
+    place = F.create_map(*[F.lit(x) for kv in ((b, i) for i, b in enumerate(BUCKETS)) for x in kv])
+    w = Window.partitionBy(*keys).orderBy(F.round("p", 12).desc(), place[F.col("strength")])
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, "rank", "strength", "p")
+
+
+def live_strengths(snapshots: DataFrame, holes: DataFrame) -> DataFrame:
+    """(path, seq, player, hole, board, rated) for each live player of each snapshot (``states``); ``rated`` is null without a board or hole cards.
+
+    Each distinct pair of hole cards and board is rated once.
+    """
+    seats = F.filter(F.transform("alive", lambda a, i: F.struct(a.alias("a"), F.get("players", i).alias("player"))), lambda x: x["a"])
+    live = snapshots.select("path", "seq", "board", F.explode(seats).alias("s")).select("path", "seq", "board", F.col("s.player").alias("player"))
+    live = live.join(holes.select("path", "player", F.col("cards").alias("hole")), ["path", "player"], "left")
     distinct = live.select("hole", "board").distinct().filter("hole <> '' and board <> ''")
     rated = distinct.withColumn("rated", strength(cards(F.col("hole")), cards(F.col("board"))))
-    return live.join(rated, ["hole", "board"], "left")
+    return live.join(rated, ["hole", "board"], "left").select("path", "seq", "player", "hole", "board", "rated")

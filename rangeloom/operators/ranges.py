@@ -3,7 +3,11 @@
 The posterior of a target after its decisions is prior(h) * product of the action
 likelihoods, normalised; the log-likelihood is the log of the normaliser, because
 the evidences of the steps telescope. Likelihoods do not depend on the observer,
-so they are multiplied once for each target and only then fanned out.
+so they are summed once for each target and only then fanned out.
+
+Between the operators a range is one row with an array in class order, not 169 rows:
+what is shuffled, sorted or joined is one row for each hand and target. Decisions
+that come dealt by path (as ``replay`` gives them) are not shuffled again.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import bad, cards
+from rangeloom.functions.cards import bad, cards, hand_class, let
 from rangeloom.functions.likelihood import FLOOR, action_table, class_names, combos, hand_classes
 
 
@@ -24,7 +28,7 @@ def combo_count(name: Column) -> Column:
 def priors(dead: DataFrame) -> DataFrame:
     """(dead, class_id, hand_class, combos, prior) for each distinct string of dead cards; classes without a combo stay with 0.
 
-    At most 1,326 strings of two cards exist in either order, so the product with the combos is small.
+    Any number of cards can be dead; of an observer's two at most 2,652 strings exist, so the product with the combos is small.
     """
     spark = dead.sparkSession
     known = dead.select("dead").distinct().withColumn("__d", F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("dead") / 2) - 1, F.lit(0)).cast("int")), lambda i: F.upper(F.substring("dead", i * 2 + 1, F.lit(2)))))
@@ -43,112 +47,178 @@ def decisions(replayed: DataFrame) -> DataFrame:
 
 def pairs(hands: DataFrame, holes: DataFrame, observers: list[str] | None = None, targets: list[str] | None = None) -> DataFrame:
     """(path, observer, target, dead): ordered pairs of different players with the observer's cards ('' if unknown)."""
-    def who(names: list[str] | None, alias: str) -> DataFrame:
-        out = hands.select("path", F.explode("players").alias(alias))
-        return out.filter(F.col(alias).isin(names)) if names else out
-
-    both = who(observers, "observer").join(who(targets, "target"), "path").filter("observer <> target")
+    chosen = lambda df, names, c: df.filter(F.col(c).isin(names)) if names else df
+    # players of one hand meet in its own row
+    rows = hands.select("path", F.explode("players").alias("observer"), "players").select("path", "observer", F.explode("players").alias("target")).filter("observer <> target")
+    both = chosen(rows, observers, "observer")
+    both = chosen(both, targets, "target")
     known = holes.select("path", F.col("player").alias("observer"), F.col("cards").alias("dead"))
     return both.join(known, ["path", "observer"], "left").withColumn("dead", F.coalesce("dead", F.lit("")))
 
 
 def class_likelihoods(made: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, class_id, log_lik, n): each group's log-likelihood of its decisions for each class."""
-    narrow = table.select("state_key", "class_id", "bucket", F.log("lik").alias("ln"))
-    joined = made.select(*keys, "state_key", "bucket").join(F.broadcast(narrow), ["state_key", "bucket"])
-    return joined.groupBy(*keys, "class_id").agg(F.sum("ln").alias("log_lik"), F.count("*").alias("n"))
+    """(keys, class_id, log_lik, n): each group's log-likelihood of its decisions for each class, in long form."""
+    return summed(made, table, keys).select(*keys, F.posexplode("log_lik").alias("class_id", "log_lik"), "n")
 
 
-def normalised(weighed: DataFrame, keys: list[str], prior: str = "prior", log_lik: str = "log_lik") -> DataFrame:
-    """Adds ``p`` (posterior) and ``log_likelihood`` to rows (keys, class, prior, log_lik); zero evidence is an error."""
-    w = Window.partitionBy(*keys)
-    top = F.max(log_lik).over(w)
-    rows = weighed.withColumn("__top", top).withColumn("__w", F.col(prior) * F.exp(F.col(log_lik) - F.col("__top")))
-    rows = rows.withColumn("__z", F.sum("__w").over(w))
-    p = F.when(F.col("__z") > 0, F.col("__w") / F.col("__z")).otherwise(bad("zero evidence").cast("double"))
-    return rows.withColumn("p", p).withColumn("log_likelihood", F.log("__z") + F.col("__top")).drop("__top", "__w", "__z")
+def action_vectors(table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(state_key, keep, bucket, ln): log-likelihoods of all classes in class order, one row for each state key and bucket (at most 1,350 rows of 1.4 KB for each kept value)."""
+    entry = F.sort_array(F.collect_list(F.struct("class_id", F.log("lik").alias("ln"))))
+    return table.groupBy("state_key", *keep, "bucket").agg(F.transform(entry, lambda x: x["ln"]).alias("ln"))
 
 
-def posteriors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
-    """(path, observer, target, dead, class_id, hand_class, p, log_likelihood, n) for all pairs with decisions.
+def _zeros() -> Column:
+    return F.array_repeat(F.lit(0.0), 169)
+
 
-    ``initial`` (class_id, weight) replaces the prior over legal combos.
+def summed(made: DataFrame, table: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, keep, log_lik, n): each group's log-likelihoods as an array in class order.
+
+    Equal decisions of a group are counted first, so a group holds at most one vector for each state key and bucket.
     """
-    like = class_likelihoods(made, action_table(made, phi, floor), ["path", "target"])
+    counted = made.groupBy(*keys, "state_key", "bucket").agg(F.count("*").alias("c"))
+    met = counted.join(F.broadcast(action_vectors(table, keep)), ["state_key", "bucket"])
+    listed = met.groupBy(*keys, *keep).agg(F.collect_list(F.struct("c", "ln")).alias("l"), F.sum("c").alias("n"))
+    total = F.aggregate("l", _zeros(), lambda acc, x: F.zip_with(acc, x["ln"], lambda a, b: a + x["c"] * b))
+    return listed.select(*keys, *keep, total.alias("log_lik"), "n")
+
+
+def prior_vectors(observed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """(dead, prior): the prior of each distinct string of dead cards as an array in class order; ``initial`` (class_id, weight) replaces it."""
     if initial is None:
-        start = priors(observed)
-    else:
-        total = initial.agg(F.sum("weight").alias("t"))
-        start = observed.select("dead").distinct().crossJoin(F.broadcast(initial.crossJoin(total).select("class_id", (F.col("weight") / F.col("t")).alias("prior"))))
-        start = start.join(F.broadcast(hand_classes(made.sparkSession).select("class_id", "hand_class")), "class_id")
-    rows = observed.join(like, ["path", "target"]).join(F.broadcast(start.select("dead", "class_id", "hand_class", "prior")), ["dead", "class_id"])
-    return normalised(rows, ["path", "observer", "target"]).drop("prior", "log_lik")
+        rows = priors(observed).select("dead", "class_id", "prior")
+        return rows.groupBy("dead").agg(F.transform(F.sort_array(F.collect_list(F.struct("class_id", "prior"))), lambda x: x["prior"]).alias("prior"))
+    given = F.map_from_entries(F.collect_list(F.struct("class_id", F.col("weight").cast("double"))))
+    listed = initial.agg(given.alias("m"), F.sum("weight").alias("t"))
+    share = F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.lit(168)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("t")))
+    vector = listed.select(share.otherwise(bad("an initial range without weight").cast("array<double>")).alias("prior"))
+    return observed.select("dead").distinct().crossJoin(F.broadcast(vector))
+
+
+def fanned_out(per_target: DataFrame, observed: DataFrame, start: DataFrame) -> DataFrame:
+    """Rows (path, target, ...) for each of their observers, with ``observer``, ``dead`` and ``prior``.
+
+    The join is by path alone, as the rows are dealt already; a path's pairs are at most its players squared.
+    """
+    by_path = observed.groupBy("path").agg(F.collect_list(F.struct("observer", "target", "dead")).alias("__pairs"))
+    both = per_target.join(by_path, "path").withColumn("__o", F.explode(F.filter("__pairs", lambda x: x["target"] == F.col("target"))))
+    named = both.withColumn("observer", F.col("__o.observer")).withColumn("dead", F.col("__o.dead")).drop("__pairs", "__o")
+    return named.join(start, "dead")
+
+
+def _weighed(prior: Column, log_lik: Column, body) -> Column:
+    """``body`` of struct(w, z, top): weights prior * exp(log_lik - top), their sum, and the largest log-likelihood that has a prior; no weight is an error."""
+    top = F.array_max(F.zip_with(prior, log_lik, lambda p, l: F.when(p > 0, l)))
+
+    def made(top: Column) -> Column:
+        w = F.zip_with(prior, log_lik, lambda p, l: F.when(p > 0, p * F.exp(l - top)).otherwise(0.0))
+        total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+        checked = lambda z: F.when(z > 0, z).otherwise(bad("zero evidence").cast("double"))
+        return let(w, lambda w: let(F.struct(w.alias("w"), checked(total(w)).alias("z"), top.alias("top")), body))
+
+    return let(top, made)
+
+
+def range_vectors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
+    """(path, observer, target, dead, p, log_likelihood, n): the posterior of every pair with decisions, as an array in class order."""
+    like = summed(made, action_table(made, phi, floor), ["path", "target"])
+    rows = fanned_out(like, observed, prior_vectors(observed, initial))
+    out = _weighed(F.col("prior"), F.col("log_lik"), lambda x: F.struct(F.transform(x["w"], lambda w: w / x["z"]).alias("p"), (F.log(x["z"]) + x["top"]).alias("log_likelihood")))
+    return rows.withColumn("__r", out).select("path", "observer", "target", "dead", F.col("__r.p").alias("p"), F.col("__r.log_likelihood").alias("log_likelihood"), "n")
+
+
+def posteriors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
+    """(path, observer, target, dead, class_id, hand_class, p, log_likelihood, n): ``range_vectors`` in long form."""
+    rows = range_vectors(made, observed, phi, floor, initial)
+    names = F.array(*map(F.lit, class_names()))
+    long = rows.select("path", "observer", "target", "dead", F.posexplode("p").alias("class_id", "p"), "log_likelihood", "n")
+    return long.select("path", "observer", "target", "dead", "class_id", F.get(names, F.col("class_id")).alias("hand_class"), "p", "log_likelihood", "n")
+
+
+def top_of(p: Column, k: int) -> Column:
+    """The ``k`` likeliest classes of a range vector as structs (hand_class, probability); ties keep class order."""
+    names = F.array(*map(F.lit, class_names()))
+    entries = F.transform(p, lambda x, i: F.struct((-F.round(x, 12)).alias("o"), i.alias("i"), x.alias("x")))
+    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(F.get(names, e["i"]).alias("hand_class"), e["x"].alias("probability")))
+
+
+def effective_size(p: Column) -> Column:
+    """1 / sum of squares; 0 for a vector of zeros."""
+    return let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x), lambda s: F.when(s > 0, 1 / s).otherwise(0.0))
 
 
 def summaries(ranges: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """One row for each group: top ``k`` (ties in class order), the whole range in class order, effective size, log-likelihood, count."""
-    entry = F.struct((-F.round("p", 12)).alias("o"), "class_id", "hand_class", "p")
-    full = F.struct("class_id", "hand_class", "p")
-    out = ranges.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(entry)).alias("__top"),
-        F.sort_array(F.collect_list(full)).alias("__all"),
-        (1 / F.sum(F.col("p") * F.col("p"))).alias("effective_size"),
-        F.first("log_likelihood").alias("log_likelihood"),
-        F.first("n").alias("n_decisions"),
-    )
-    return out.select(
+    """One row for each row of ``range_vectors``: top ``k`` (ties in class order), the whole range in class order, effective size, log-likelihood, count."""
+    names = F.array(*map(F.lit, class_names()))
+    return ranges.select(
         *keys,
-        F.transform(F.slice("__top", 1, k), lambda x: F.struct(x["hand_class"].alias("hand_class"), x["p"].alias("probability"))).alias("top_range"),
-        F.map_from_entries(F.transform("__all", lambda x: F.struct(x["hand_class"], x["p"]))).alias("final_range"),
-        F.transform("__all", lambda x: x["p"]).alias("range_vector"),
-        "effective_size",
+        top_of(F.col("p"), k).alias("top_range"),
+        F.map_from_arrays(names, "p").alias("final_range"),
+        F.col("p").alias("range_vector"),
+        effective_size(F.col("p")).alias("effective_size"),
         "log_likelihood",
-        "n_decisions",
+        F.col("n").alias("n_decisions"),
     )
 
 
 def top_classes(ranges: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """The ``k`` likeliest classes of each group in long form; ties keep class order."""
-    w = Window.partitionBy(*keys).orderBy(F.round("p", 12).desc(), "class_id")
-    return ranges.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The ``k`` likeliest classes of each row of ``range_vectors``, a row for each with its rank."""
+    return ranges.select(*keys, F.posexplode(top_of(F.col("p"), k)).alias("__r", "__t"), "log_likelihood", "n").select(
+        *keys, (F.col("__r") + 1).alias("rank"), F.col("__t.hand_class").alias("hand_class"), F.col("__t.probability").alias("p"), "log_likelihood", "n"
+    )
 
 
 def filter_steps(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR) -> DataFrame:
-    """Telemetry after each update: evidence, effective sample size, likeliest class and its probability."""
-    table = action_table(made, phi, floor).select("state_key", "class_id", "hand_class", "bucket", "lik")
-    order = Window.partitionBy("path", "target").orderBy("action_index")
-    numbered = made.withColumn("step", F.row_number().over(order))
-    rows = observed.join(numbered, ["path", "target"]).join(F.broadcast(table), ["state_key", "bucket"])
-    rows = rows.join(F.broadcast(priors(observed).select("dead", "class_id", "prior")), ["dead", "class_id"])
-    so_far = Window.partitionBy("path", "observer", "target", "class_id").orderBy("step")
-    keys = ["path", "observer", "target", "step"]
-    rows = rows.withColumn("w", F.col("prior") * F.exp(F.sum(F.log("lik")).over(so_far)))
-    z = F.sum("w")
-    best = F.max_by("hand_class", F.struct(F.round("w", 14), -F.col("class_id")))
-    out = rows.groupBy(*keys).agg(F.first("state_key").alias("state_key"), F.first("bucket").alias("action_bucket"), z.alias("z"), (z * z / F.sum(F.col("w") * F.col("w"))).alias("effective_size"), best.alias("top_class"), (F.max("w") / z).alias("top_probability"))
-    last = F.lag("z").over(Window.partitionBy("path", "observer", "target").orderBy("step"))
-    return out.withColumn("evidence", F.col("z") / F.coalesce(last, F.lit(1.0))).drop("z")
+    """Telemetry after each update: evidence, effective sample size, likeliest class and its probability.
 
+    The running sums are made once for each target and stay in one row until the observers have met them.
+    """
+    vectors = action_vectors(action_table(made, phi, floor))
+    met = made.select("path", "target", "action_index", "state_key", "bucket").join(F.broadcast(vectors), ["state_key", "bucket"])
+    listed = met.groupBy("path", "target").agg(F.array_sort(F.collect_list(F.struct("action_index", "state_key", "bucket", "ln"))).alias("l"))
+    kind = "struct<sum:array<double>,steps:array<struct<action_index:bigint,state_key:string,bucket:int,log_lik:array<double>>>>"
+    start = F.struct(_zeros().alias("sum"), F.array().alias("steps")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        def grown(v: Column) -> Column:
+            one = F.struct(x["action_index"].cast("long").alias("action_index"), x["state_key"].alias("state_key"), x["bucket"].alias("bucket"), v.alias("log_lik"))
+            return F.struct(v.alias("sum"), F.concat(acc["steps"], F.array(one)).alias("steps")).cast(kind)
+
+        return let(F.zip_with(acc["sum"], x["ln"], lambda a, b: a + b), grown)
+
+    sums = listed.select("path", "target", F.aggregate("l", start, step, lambda acc: acc["steps"]).alias("steps"))
+    rows = fanned_out(sums, observed, prior_vectors(observed)).select("path", "observer", "target", "prior", F.posexplode("steps").alias("at", "s"))
+    names = F.array(*map(F.lit, class_names()))
+
+    def told(x: Column) -> Column:
+        best = F.array_min(F.transform(x["w"], lambda w, i: F.struct((-F.round(w / x["z"], 12)).alias("o"), i.alias("i"), w.alias("w"))))
+        return let(best, lambda b: F.struct(
+            (F.log(x["z"]) + x["top"]).alias("log_z"),
+            effective_size(F.transform(x["w"], lambda w: w / x["z"])).alias("effective_size"),
+            F.get(names, b["i"]).alias("top_class"),
+            (b["w"] / x["z"]).alias("top_probability"),
+        ))
+
+    rows = rows.withColumn("t", _weighed(F.col("prior"), F.col("s.log_lik"), told))
+    before = F.lag("t.log_z").over(Window.partitionBy("path", "observer", "target").orderBy("at"))
+    return rows.select(
+        "path", "observer", "target", (F.col("at") + 1).alias("step"), F.col("s.state_key").alias("state_key"), F.col("s.bucket").alias("action_bucket"),
+        "t.effective_size", "t.top_class", "t.top_probability", F.exp(F.col("t.log_z") - F.coalesce(before, F.lit(0.0))).alias("evidence"),
+    )
 
-def true_class(ranges: DataFrame, holes: DataFrame) -> DataFrame:
-    """Probability that each range gives to the target's real class; 0 if its cards are unknown."""
-    from rangeloom.functions.cards import hand_class
 
-    real = holes.select("path", F.col("player").alias("target"), hand_class(cards(F.col("cards"))).alias("__real"))
+def true_class(ranges: DataFrame, holes: DataFrame) -> DataFrame:
+    """Probability that each row of ``range_vectors`` gives to the target's real class; 0 if its cards are unknown."""
+    names = F.array(*map(F.lit, class_names()))
+    real = holes.select("path", F.col("player").alias("target"), (F.array_position(names, hand_class(cards(F.col("cards")))) - 1).cast("int").alias("__real"))
     joined = ranges.join(real, ["path", "target"], "left")
-    return joined.groupBy("path", "observer", "target").agg(F.coalesce(F.max(F.when(F.col("hand_class") == F.col("__real"), F.col("p"))), F.lit(0.0)).alias("true_class_probability"))
+    return joined.select("path", "observer", "target", F.coalesce(F.get("p", F.col("__real")), F.lit(0.0)).alias("true_class_probability"))
 
 
 def temperature_fit(made: DataFrame, observed: DataFrame, phis: list[float]) -> DataFrame:
     """(target, phi, log_likelihood): sum over all pairs for each phi of a grid, in one plan; the best phi of a player is its maximum."""
     grid = made.sparkSession.createDataFrame([(float(p),) for p in phis], "phi double")
     table = action_table(made.select("state_key").distinct().crossJoin(F.broadcast(grid)), F.col("phi"), keep=("phi",))
-    like = made.join(F.broadcast(table.select("state_key", "phi", "class_id", "bucket", F.log("lik").alias("ln"))), ["state_key", "bucket"])
-    like = like.groupBy("path", "target", "phi", "class_id").agg(F.sum("ln").alias("log_lik"))
-    rows = observed.join(like, ["path", "target"]).join(F.broadcast(priors(observed).select("dead", "class_id", "prior")), ["dead", "class_id"])
-    per = rows.groupBy("path", "observer", "target", "phi").agg(F.log(F.sum(F.col("prior") * F.exp("log_lik"))).alias("ll"))
-    return per.groupBy("target", "phi").agg(F.sum("ll").alias("log_likelihood"))
-
-
-def class_list() -> list[str]:
-    return class_names()
+    rows = fanned_out(summed(made, table, ["path", "target"], ("phi",)), observed, prior_vectors(observed))
+    ll = _weighed(F.col("prior"), F.col("log_lik"), lambda x: F.log(x["z"]) + x["top"])
+    return rows.select("target", "phi", ll.alias("ll")).groupBy("target", "phi").agg(F.sum("ll").alias("log_likelihood"))

@@ -54,22 +54,24 @@ def replay(tokened: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` makes the rules of the log errors, which fail the query as a whole;
     otherwise ``violation`` names the first broken rule of a row, or is null.
     """
-    rows = tokened.filter("p[0] <> 'd' and coalesce(get(p, 1), '') <> 'sm'").select(
+    rows = tokened.filter("p[0] <> 'd'").select(
         "path", "session_id", "hand_no", "seq", "street", "players", "starting_stacks",
         F.get("blinds_or_straddles", F.lit(0)).alias("sb"), F.get("blinds_or_straddles", F.lit(1)).alias("bb"),
         _seat(F.col("p")[0]).alias("seat"), _player(F.col("p")[0]).alias("player"), F.get("p", F.lit(1)).alias("verb"),
         F.when(F.get("p", F.lit(1)) == "cbr", F.get("p", F.lit(2)).try_cast("long")).alias("raise_to"),
     )
+    known, shown = F.coalesce(F.col("seat").between(1, F.size("players")), F.lit(False)), F.coalesce(F.col("verb") == "sm", F.lit(False))
     before = lambda *keys: Window.partitionBy("path", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     none, blind = F.lit(0).cast("long"), F.when(F.col("seat") == 1, F.col("sb")).when(F.col("seat") == 2, F.col("bb")).otherwise(0)
     first = F.col("street") == 0
-    rows = rows.withColumn("action_index", F.row_number().over(Window.partitionBy("path", "street").orderBy("seq")) - 1)
+    rows = rows.withColumn("action_index", F.sum((~shown).cast("int")).over(Window.partitionBy("path", "street").orderBy("seq")).cast("int") - 1)
     rows = rows.withColumn("cur_bet", F.coalesce(F.last("raise_to", True).over(before("street")), F.when(first, F.col("bb")).otherwise(none)))
     rows = rows.withColumn("amount", F.when(F.col("verb") == "cc", F.col("cur_bet")).when(F.col("verb") == "cbr", F.col("raise_to")).otherwise(none))
-    put = F.when(F.col("verb") != "f", F.col("amount"))
+    idle = (F.col("verb") == "f") | shown
+    put = F.when(~idle, F.col("amount"))
     rows = rows.withColumn("in_before", F.coalesce(F.last(put, True).over(before("street", "seat")), F.when(first, blind).otherwise(none)))
-    rows = rows.withColumn("contrib", F.when(F.col("verb") == "f", none).otherwise(F.col("amount") - F.col("in_before")))
-    folds = (F.col("verb") == "f").cast("int")
+    rows = rows.withColumn("contrib", F.when(idle, none).otherwise(F.col("amount") - F.col("in_before")))
+    folds = ((F.col("verb") == "f") & known).cast("int")
     raises = (F.col("verb") == "cbr").cast("int")
     rows = rows.select(
         "*",
@@ -82,13 +84,16 @@ def replay(tokened: DataFrame, strict: bool = True) -> DataFrame:
     rows = rows.withColumn("level_after", F.col("level_before") + raises)
     broken = (
         F.when(F.col("street") > 3, "too many board deals")
+        .when(~known, "unknown seat")
         .when(F.col("folded") == 1, "acted after folding")
+        .when(shown, None)
         .when(~F.col("verb").isin("f", "cc", "cbr") | F.col("verb").isNull(), "unknown action")
         .when((F.col("verb") == "cc") & (F.col("contrib") < 0), "negative call contribution")
         .when((F.col("verb") == "cbr") & ~F.coalesce(F.col("contrib") > 0, F.lit(False)), "non-positive raise")
         .when(F.col("contrib") > F.col("stack_before"), "negative stack")
     )
-    rows = rows.withColumn("violation", broken)
+    # a showdown is no action, but a player who has folded cannot show
+    rows = rows.withColumn("violation", broken).filter(~shown | F.col("violation").isNotNull())
     if strict:
         told = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("player"), F.lit(" "), F.col("violation"))).cast("string")
         rows = rows.withColumn("violation", F.when(F.col("violation").isNotNull(), told))
@@ -126,5 +131,5 @@ def states(tokened: DataFrame, strict: bool = True) -> DataFrame:
     after = F.coalesce(F.get(F.filter(live, lambda s: s > F.col("seat")), F.lit(0)), F.get(live, F.lit(0)))
     opening = F.when(F.col("street") > 0, F.get(live, F.lit(0))).when(n == 2, 1).otherwise(3)
     pot = F.get("blinds_or_straddles", F.lit(0)) + F.get("blinds_or_straddles", F.lit(1)) + F.sum("contrib").over(so_far)
-    out = marks.select("path", "seq", "street", alive.alias("alive"), stacks.alias("stacks"), F.get("players", F.when(F.col("seat").isNull(), opening).otherwise(after) - 1).alias("player_to_act"), pot.alias("pot"))
+    out = marks.select("path", "seq", "street", "players", alive.alias("alive"), stacks.alias("stacks"), F.get("players", F.when(F.col("seat").isNull(), opening).otherwise(after) - 1).alias("player_to_act"), pot.alias("pot"))
     return out.join(boards(tokened), ["path", "street"], "left")

@@ -1,8 +1,9 @@
 """The engine's queries over the driver's tables.
 
 ``events`` stands in for an action log: a user's day is a hand, the five event
-types are the five action buckets and ``value`` is an amount. ``orders`` deals
-cards: an integer generator draws seven from each order key.
+types are the five action buckets and ``value`` is an amount. From the same days
+``derived`` makes logs of actions for the queries named ``hand_...``. ``orders``
+deals cards: seven different ones for each order key.
 """
 
 from __future__ import annotations
@@ -12,28 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeloom.functions import keys as K
-from rangeloom.functions.cards import BUCKETS, RANKS, SUITS, hand_class, score, strength, texture
+from rangeloom.functions.cards import BUCKETS, cards, hand_class, score, strength, texture
 from rangeloom.functions.likelihood import action_table, hand_classes, psi_table
 from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
-from rangeloom.operators.replay import boards, hole_cards, replay, tokens
-from rangeloom.plans.fixtures import fixture_hands
-
-#: Event types in the order of the action buckets (fixed values).
-EVENT_BUCKETS = ("error", "view", "click", "signup", "purchase")
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, target, seq, bucket, amount): one row for each event, in hands of a user's day."""
-    e = read(spark, sf_dir, "events")
-    bucket = F.array_position(F.array(*map(F.lit, EVENT_BUCKETS)), F.col("event_type")) - 1
-    path = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    order = Window.partitionBy("path").orderBy("ts", "event_id")
-    return e.select(path.alias("path"), F.col("user_id").cast("string").alias("target"), "ts", "event_id", bucket.cast("int").alias("bucket"), F.col("value").alias("amount")).withColumn("seq", F.row_number().over(order))
+from rangeloom.operators.replay import betting_history, boards, hole_cards, replay, states, tokens
+from rangeloom.plans.derived import deals, event_log, hands, read
+from rangeloom.sources.histories import parse_texts
+from rangeloom.sources.shared import written
 
 
 def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,17 +37,6 @@ def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("state_key", key)
 
 
-def deals(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
-    """(key, cards): seven different cards drawn by each key of a table; keys that draw a card twice deal nothing."""
-    rows = read(spark, sf_dir, table).select(key, F.col(key).alias("x0"))
-    for i in range(1, 8):
-        rows = rows.withColumn(f"x{i}", (F.col(f"x{i - 1}") * 1103515245 + 12345) % 2147483648)
-    numbers = F.transform(F.array(*[F.col(f"x{i}") for i in range(1, 8)]), lambda x: F.floor(x / 65536).cast("int") % 52)
-    name = lambda c: F.concat(F.substring(F.lit(RANKS), F.lit(13) - c % 13, F.lit(1)), F.substring(F.lit(SUITS), F.floor(c / 13).cast("int") + 1, F.lit(1)))
-    rows = rows.select(key, F.transform(numbers, name).alias("cards"))
-    return rows.filter(F.size(F.array_distinct("cards")) == 7)
-
-
 def q_event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = event_states(spark, sf_dir)
     return r.select("path", "seq", "bucket", F.round("amount", 4).alias("amount"), F.round("pot", 4).alias("pot"), F.round("last_bet", 4).alias("last_bet"), F.col("raises").cast("long").alias("raises"), "state_key")
@@ -103,11 +79,19 @@ def q_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("class_id").agg(F.sum(F.col("combos") * F.col("uses")).alias("combos"), F.round(F.sum(F.col("prior") * F.col("uses")), 6).alias("prior_mass"))
 
 
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as decisions, replayed once and kept."""
+    made = event_states(spark, sf_dir).select("path", "target", F.col("seq").alias("action_index"), "state_key", "bucket")
+    return written(made, "decisions")
+
+
+def _observed(made: DataFrame, dead: str) -> DataFrame:
+    return made.select("path", "target").distinct().select("path", "target", F.lit("observer").alias("observer"), F.lit(dead).alias("dead"))
+
+
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_states(spark, sf_dir)
-    made = s.select("path", "target", F.col("seq").alias("action_index"), "state_key", "bucket")
-    observed = made.select("path", "target").distinct().select("path", "target", F.lit("observer").alias("observer"), F.lit("AHKH").alias("dead"))
-    return R.posteriors(made, observed)
+    made = _made(spark, sf_dir)
+    return R.range_vectors(made, _observed(made, "AHKH"))
 
 
 def q_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +101,9 @@ def q_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _ranges(spark, sf_dir)
-    out = r.groupBy("path").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("e"), F.max("p").alias("m"), F.sum("p").alias("t"))
-    return out.select("path", F.round("e", 6).alias("effective_size"), F.round("m", 9).alias("top_probability"), F.round("t", 9).alias("total"))
+    r = R.summaries(_ranges(spark, sf_dir), ["path"])
+    total = F.aggregate("range_vector", F.lit(0.0), lambda a, x: a + x)
+    return r.select("path", F.round("effective_size", 6).alias("effective_size"), F.round(F.array_max("range_vector"), 9).alias("top_probability"), F.round(total, 9).alias("total"))
 
 
 def q_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,44 +137,123 @@ def q_strength_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("path", F.round("expected_strength", 8).alias("expected_strength"), F.round("effective_size", 7).alias("effective_size"), F.round("ll", 7).alias("log_likelihood"))
 
 
-def q_fixture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = replay(tokens(fixture_hands(spark)))
-    return r.select("path", "seq", "street", "action_index", "player", "amount", "pot_before", "pot_after", "stack_before", "level_after", "live", "state_key", "bucket")
+def q_filter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _made(spark, sf_dir)
+    return R.filter_steps(made, _observed(made, "")).select("path", F.col("step").cast("int").alias("step"), "action_bucket", F.round("evidence", 8).alias("evidence"), F.round("effective_size", 5).alias("effective_size"), F.round("top_probability", 8).alias("top_probability"))
+
 
+def q_strength_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry of the post-flop filter over every hand's events, and its two likeliest strengths after the last."""
+    log = event_log(spark, sf_dir)
+    names = spark.createDataFrame(list(enumerate(BUCKETS)), "bucket_idx int, strength string").coalesce(1)
+    start = log.select("path").distinct().crossJoin(F.broadcast(names)).withColumn("p", F.lit(1 / 7))
+    steps = P.strength_steps(start, log.select("path", F.col("seq").alias("action_index"), "bucket"), ["path"])
+    return steps.select("path", F.col("step").cast("int").alias("step"), "action_bucket", F.round("evidence", 8).alias("evidence"), F.round("effective_size", 6).alias("effective_size"), "top_strength", F.round("top_probability", 8).alias("top_probability"))
 
-def q_fixture_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hands = fixture_hands(spark)
-    t = tokens(hands)
-    ranged = R.posteriors(R.decisions(replay(t)), R.pairs(hands, hole_cards(t)))
-    return R.top_classes(ranged, ["path", "observer", "target"], 10).select("path", "observer", "target", "rank", "hand_class", F.round("p", 9).alias("p"), F.round("log_likelihood", 9).alias("log_likelihood"))
 
+def q_hand_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action of the derived logs with the state before it; broken rules are named, not raised."""
+    r = replay(tokens(hands(spark, sf_dir)), strict=False)
+    return r.select("path", "seq", "street", "action_index", "player", "verb", "amount", "pot_before", "pot_after", "stack_before", "level_before", "level_after", "live", "state_key", "bucket", "violation")
 
-def q_filter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_states(spark, sf_dir)
-    made = s.select("path", "target", F.col("seq").alias("action_index"), "state_key", "bucket")
-    observed = made.select("path", "target").distinct().select("path", "target", F.lit("observer").alias("observer"), F.lit("").alias("dead"))
-    return R.filter_steps(made, observed).select("path", "step", "action_bucket", F.round("evidence", 8).alias("evidence"), F.round("effective_size", 5).alias("effective_size"), F.round("top_probability", 8).alias("top_probability"))
+
+def q_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = replay(tokens(hands(spark, sf_dir)), strict=False).filter("violation is not null")
+    return r.groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_hands"))
+
+
+def sound_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived hands whose logs break no rule, kept."""
+    every = hands(spark, sf_dir)
+    broken = replay(tokens(every), strict=False).filter("violation is not null").select("path").distinct()
+    return written(every.join(broken, "path", "left_anti"), "sound-hands")
+
+
+def q_hand_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of the sound hands, replayed strictly."""
+    s = states(tokens(sound_hands(spark, sf_dir)))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return s.select("path", "seq", "street", text("alive").alias("alive"), text("stacks").alias("stacks"), "player_to_act", "pot", "board")
 
 
-def q_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hands = fixture_hands(spark)
-    t = tokens(hands)
-    return R.temperature_fit(R.decisions(replay(t)), R.pairs(hands, hole_cards(t)), [-1.0, -0.5, 0.0, 0.5, 1.0]).withColumn("log_likelihood", F.round("log_likelihood", 9))
+def q_hand_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boards(tokens(hands(spark, sf_dir)))
 
 
-def q_true_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hands = fixture_hands(spark)
-    t = tokens(hands)
+def q_hand_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hole_cards(tokens(hands(spark, sf_dir)))
+    return h.select("path", "player", "cards", hand_class(cards(F.col("cards"))).alias("hand_class"))
+
+
+def q_hand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The street's earlier actions before each action, as text."""
+    h = betting_history(replay(tokens(sound_hands(spark, sf_dir))))
+    one = lambda x: F.concat_ws(":", x["player"], x["action"]["bucket"].cast("string"), x["action"]["level"].cast("string"), x["amount"].cast("string"))
+    return h.select("path", "seq", F.array_join(F.transform("history", one), ";").alias("history"))
+
+
+def q_hand_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived hands written out as hand files' texts and parsed again."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    numbers = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+    h = hands(spark, sf_dir)
+    lines = [F.lit("variant = 'NT'"), F.lit("ante_trimming_status = true"), F.concat(F.lit("blinds_or_straddles = "), numbers("blinds_or_straddles")), F.lit("min_bet = 100"), F.concat(F.lit("starting_stacks = "), numbers("starting_stacks")), F.concat(F.lit("actions = "), listed("actions")), F.concat(F.lit("hand = "), F.col("hand_no").cast("string")), F.concat(F.lit("players = "), listed("players"))]
+    texts = h.select(F.concat(F.lit("logs/"), "session_id", F.lit("/"), F.col("hand_no").cast("string"), F.lit(".phh")).alias("path"), F.concat_ws("\n", *lines).alias("value"))
+    p = parse_texts(texts)
+    return p.select("path", "session_id", "hand_no", "variant", "hand", "min_bet", F.array_join("players", ",").alias("players"), F.array_max("starting_stacks").alias("stack"), F.size("actions").alias("n_actions"), F.element_at("actions", -1).alias("last_action"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, pairs, hole cards) of the sound hands; the decisions are replayed once and kept."""
+    sound = sound_hands(spark, sf_dir)
+    t = tokens(sound)
     holes = hole_cards(t)
-    ranged = R.posteriors(R.decisions(replay(t)), R.pairs(hands, holes))
-    return R.true_class(ranged, holes).withColumn("true_class_probability", F.round("true_class_probability", 9))
+    return written(R.decisions(replay(t)), "hand-decisions"), R.pairs(sound, holes), holes
 
 
-def q_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards(tokens(fixture_hands(spark)))
+def q_hand_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three likeliest classes of every target as every other player of the hand sees them."""
+    made, pairs, _ = _pairs(spark, sf_dir)
+    top = R.top_classes(R.range_vectors(made, pairs), ["path", "observer", "target"], 3)
+    return top.select("path", "observer", "target", F.col("rank").cast("int").alias("rank"), "hand_class", F.round("p", 9).alias("p"), F.col("n").alias("n_decisions"), F.round("log_likelihood", 8).alias("log_likelihood"))
 
 
-def queries() -> dict:
-    return {k.removeprefix("q_"): f for k, f in globals().items() if k.startswith("q_")}
+def q_hand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each pair, with values of the whole range vector."""
+    made, pairs, _ = _pairs(spark, sf_dir)
+    s = R.summaries(R.range_vectors(made, pairs, 0.5), ["path", "observer", "target", "dead"])
+    placed = F.aggregate(F.zip_with("range_vector", F.sequence(F.lit(0), F.lit(168)), lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x)
+    return s.select("path", "observer", "target", "dead", F.round("effective_size", 5).alias("effective_size"), F.round("log_likelihood", 8).alias("log_likelihood"), "n_decisions", F.size("range_vector").alias("classes"), F.round(placed, 6).alias("mean_class"), F.round(F.try_element_at("final_range", F.lit("AKs")), 9).alias("aks"))
+
+
+def q_hand_true_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, pairs, holes = _pairs(spark, sf_dir)
+    t = R.true_class(R.range_vectors(made, pairs), holes)
+    return t.withColumn("true_class_probability", F.round("true_class_probability", 9))
+
 
+def q_hand_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, pairs, _ = _pairs(spark, sf_dir)
+    return R.temperature_fit(made, pairs, [-0.5, 0.0, 0.5]).withColumn("log_likelihood", F.round("log_likelihood", 5))
 
+
+def q_hand_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength of every player who is live when a board card is dealt."""
+    t = tokens(sound_hands(spark, sf_dir))
+    s = P.live_strengths(states(t), hole_cards(t))
+    return s.filter("board is not null").select("path", "seq", "player", "hole", "board", F.col("rated.bucket").alias("bucket"), F.col("rated.hand_type").alias("hand_type"), F.col("rated.outs").alias("outs"))
+
+
+def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display names of seats and the post-flop table tilted by phi, over the derived hands' sizes."""
+    sizes = hands(spark, sf_dir).select(F.explode(F.transform("players", lambda p, i: F.struct((i + 1).alias("seat"), F.size("players").alias("n")))).alias("s"))
+    return sizes.groupBy("s.seat", F.col("s.n").alias("players")).agg(F.count("*").alias("n")).select("seat", "players", K.position_name(F.col("seat"), F.col("players")).alias("position"), F.coalesce(K.seat_label(F.col("seat")), F.lit("unknown")).alias("label"), "n")
+
+
+def q_strength_table_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = event_log(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n"))
+    return psi_table(spark, 0.5).join(uses, "bucket").select("bucket_idx", "strength", "bucket", F.round("psi", 9).alias("psi"), "n")
+
+
+def queries() -> dict:
+    return {k.removeprefix("q_"): f for k, f in globals().items() if k.startswith("q_")}

@@ -104,7 +104,7 @@ def test_broken_logs_are_errors(spark, bad):
 def test_ranges(spark, name, observer, target, phi, n, ll, ess, top):
     hands = one_hand(spark, name)
     t = tokens(hands)
-    ranged = R.posteriors(R.decisions(replay(t)), R.pairs(hands, hole_cards(t), [observer], [target]), phi)
+    ranged = R.range_vectors(R.decisions(replay(t)), R.pairs(hands, hole_cards(t), [observer], [target]), phi)
     (r,) = R.summaries(ranged, ["path", "observer", "target"], 3).collect()
     assert r.n_decisions == n and r.log_likelihood == pytest.approx(ll, abs=1e-11) and r.effective_size == pytest.approx(ess, abs=1e-8)
     assert [x.hand_class for x in r.top_range] == [c for c, _ in top]
