@@ -1,12 +1,16 @@
 """Cards, hand classes and the hand evaluator, as column expressions.
 
 A card is a two-character string, rank then suit, upper-cased. Hands of five to
-seven cards are rated by arithmetic on rank and suit counts, without listing
-their five-card subsets.
+seven cards are rated by integer arithmetic on a code, without listing their
+five-card subsets: ``n`` counts ranks in four bits each, ``q`` counts suits in four
+bits each, ``m`` has a bit for each card. The code of two sets of cards together is
+the sum of their counts, so a board is coded once for all hands on it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,153 +63,220 @@ def hand_class(hole: Column) -> Column:
     return F.when(F.size(hole) == 2, made).otherwise(bad("a hand class needs two cards"))
 
 
-def straight_high(values: Column) -> Column:
-    """Highest card of the best straight among rank values; 0 if there is none. The ace also counts as 1."""
-    low = F.when(F.array_contains(values, 14), F.concat(values, F.array(F.lit(1)))).otherwise(values)
-    tops = F.filter(F.sequence(F.lit(5), F.lit(14)), lambda t: F.size(F.array_intersect(low, F.sequence(t - 4, t))) == 5)
-    return F.coalesce(F.array_max(tops), F.lit(0))
+#: One in each rank's four bits, and in those of the ranks at which a run of five can start when the ace also counts as one.
+_ONES, _STARTS = sum(1 << 4 * i for i in range(13)), sum(1 << 4 * i for i in range(10))
 
 
-def score(hand: Column) -> Column:
-    """struct(category, kickers, name) of the best five of five to seven cards; structs compare as hands do."""
+def _long(x: Column | int) -> Column:
+    return (F.lit(x) if isinstance(x, int) else x).cast("long")
 
-    def rated(x: Column) -> Column:
-        values, counts, flush = x["values"], x["counts"], x["flush"]
-        # counts: struct(n, v), most frequent first, then highest
-        n = lambda i: F.coalesce(F.get(counts, F.lit(i))["n"], F.lit(0))
-        v = lambda i: F.get(counts, F.lit(i))["v"]
-        pick = lambda taken, k: F.slice(F.filter(x["distinct"], lambda y: ~F.array_contains(F.array(*taken), y)), 1, k)
-        straight = straight_high(x["distinct"])
-        straight_flush = F.when(F.size(flush) >= 5, straight_high(flush)).otherwise(0)
-        second = F.array_max(F.transform(F.filter(F.slice(counts, 2, 7), lambda c: c["n"] >= 2), lambda c: c["v"]))
-        form = lambda k, kickers: F.struct(F.lit(k).alias("category"), kickers.cast("array<int>").alias("kickers"), F.lit(CATEGORIES[k]).alias("name"))
-        return (
-            F.when(straight_flush > 0, form(8, F.array(straight_flush)))
-            .when(n(0) == 4, form(7, F.concat(F.array(v(0)), pick([v(0)], 1))))
-            .when((n(0) == 3) & second.isNotNull(), form(6, F.array(v(0), second)))
-            .when(F.size(flush) >= 5, form(5, F.slice(flush, 1, 5)))
-            .when(straight > 0, form(4, F.array(straight)))
-            .when(n(0) == 3, form(3, F.concat(F.array(v(0)), pick([v(0)], 2))))
-            .when((n(0) == 2) & (n(1) == 2), form(2, F.concat(F.array(v(0), v(1)), pick([v(0), v(1)], 1))))
-            .when(n(0) == 2, form(1, F.concat(F.array(v(0)), pick([v(0)], 3))))
-            .otherwise(form(0, F.slice(values, 1, 5)))
-        )
 
-    def counted(hand: Column) -> Column:
-        values = F.sort_array(F.transform(hand, rank_value), False)
-        distinct = F.array_distinct(values)
-        counts = F.sort_array(F.transform(distinct, lambda v: F.struct(F.size(F.filter(values, lambda y: y == v)).alias("n"), v.alias("v"))), False)
-        of_suit = lambda s: F.sort_array(F.transform(F.filter(hand, lambda c: suit(c) == s), rank_value), False)
-        flush = F.get(F.filter(F.transform(F.array(*map(F.lit, SUITS)), of_suit), lambda x: F.size(x) >= 5), F.lit(0))
-        return F.struct(values.alias("values"), distinct.alias("distinct"), counts.alias("counts"), F.coalesce(flush, F.array().cast("array<int>")).alias("flush"))
+def _left(x: Column, k: Column | int) -> Column:
+    return F.call_function("shiftleft", _long(x), F.lit(k) if isinstance(k, int) else k)
 
-    def checked(hand: Column) -> Column:
-        return F.when(F.size(hand).between(5, 7), let(counted(hand), rated)).otherwise(bad("a hand has five to seven cards"))
 
-    return let(hand, checked)
+def _right(x: Column, k: Column | int) -> Column:
+    return F.call_function("shiftright", _long(x), F.lit(k) if isinstance(k, int) else k)
 
 
-def texture(board: Column) -> Column:
-    """struct(monotone, two_tone, paired, connected, very_connected, high_card) of a board."""
-    return let(F.struct(board.alias("b"), F.sort_array(F.array_distinct(F.transform(board, rank_value))).alias("v")), lambda x: _texture(x["b"], x["v"]))
+def _and(x: Column, *more: Column | int) -> Column:
+    for y in more:
+        x = x.bitwiseAND(_long(y))
+    return x
+
+
+def coded(hand: Column, most: int = 7) -> Column:
+    """struct(n, q, m) of an array of at most ``most`` cards: counts of ranks, counts of suits, and which cards."""
+    places = [(F.lit(13) - F.instr(F.lit(RANKS), F.substring(c, 1, 1)), F.instr(F.lit(SUITS), suit(c)) - 1) for c in (F.get(hand, F.lit(i)) for i in range(most))]
+    one = lambda k: F.coalesce(_left(_long(1), k), _long(0))
+    n, q, m = [one(4 * r) for r, _ in places], [one(4 * s) for _, s in places], [one(13 * s + r) for r, s in places]
+    return F.struct(reduce(Column.__add__, n).alias("n"), reduce(Column.__add__, q).alias("q"), reduce(Column.bitwiseOR, m).alias("m"))
+
+
+def together(a: Column, b: Column) -> Column:
+    """The code of the cards of two codes."""
+    return F.struct((a["n"] + b["n"]).alias("n"), (a["q"] + b["q"]).alias("q"), a["m"].bitwiseOR(b["m"]).alias("m"))
+
+
+def _at_least(n: Column, k: int) -> Column:
+    """One in the four bits of each rank that occurs ``k`` times or more (of at most seven)."""
+    return _and(_right(n + (8 - k) * _ONES, 3), _ONES)
+
+
+def _top(marks: Column, step: int = 4) -> Column:
+    """Place (from 0) of the highest mark; null without any."""
+    return F.when(marks != 0, F.floor((F.length(F.bin(marks)) - 1) / step).cast("int"))
+
+
+def _most_suit(q: Column) -> Column:
+    return F.greatest(*[_and(_right(q, 4 * k), 15) for k in range(4)]).cast("int")
+
+
+def _with_low_ace(marks: Column) -> Column:
+    return _left(marks, 4).bitwiseOR(_and(_right(marks, 48), 1))
+
+
+def _straight(marks: Column) -> Column:
+    """Highest rank of the best straight among marked ranks; 0 if there is none. The ace also counts as 1."""
+    low = _with_low_ace(marks)
+    # runs of two, of four, of five
+    return let(low, lambda low: let(_and(low, _right(low, 4)), lambda two: let(_and(two, _right(two, 8), _right(low, 16)), lambda runs: F.coalesce(_top(runs) + 5, F.lit(0)))))
+
+
+def _straight_in_suit(m: Column, k: Column) -> Column:
+    cards_ = _and(_right(m, 13 * k), 8191)
+    low = _left(cards_, 1).bitwiseOR(_right(cards_, 12))
+    runs = _and(low, *[_right(low, i) for i in range(1, 5)])
+    return F.coalesce(_top(runs, 1) + 5, F.lit(0))
 
 
-def _texture(board: Column, values: Column) -> Column:
-    most_suit = F.coalesce(F.array_max(F.transform(F.array(*map(F.lit, SUITS)), lambda s: F.size(F.filter(board, lambda c: suit(c) == s)))), F.lit(0))
-    near = F.when(F.size(values) >= 2, F.size(F.filter(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: b - a), lambda g: g <= 2))).otherwise(0)
-    return F.struct(
-        ((F.size(board) >= 3) & (most_suit == F.size(board))).alias("monotone"),
-        (most_suit >= 2).alias("two_tone"),
-        (F.size(values) < F.size(board)).alias("paired"),
-        (near >= 2).alias("connected"),
-        (near >= 3).alias("very_connected"),
-        F.array_max(values).alias("high_card"),
-    )
+def facts(code: Column) -> Column:
+    """struct(category, ranks, pairs, trips, quads, flush, straight, low) of a code: marks of ranks by how often they occur, the flush's suit or null, the top of a straight flush or straight."""
 
+    def marked(x: Column) -> Column:
+        flush = F.when(_most_suit(x["q"]) >= 5, F.when(_and(x["q"], 15) >= 5, 0).when(_and(_right(x["q"], 4), 15) >= 5, 1).when(_and(_right(x["q"], 8), 15) >= 5, 2).otherwise(3))
+        return F.struct(*[_at_least(x["n"], k).alias(f"g{k}") for k in (1, 2, 3, 4)], flush.alias("flush"), x["m"].alias("m"))
 
-def flush_draw(all_cards: Column) -> Column:
-    """The most frequent suit has exactly four cards."""
-    return F.array_max(F.transform(F.array(*map(F.lit, SUITS)), lambda s: F.size(F.filter(all_cards, lambda c: suit(c) == s)))) == 4
+    def told(x: Column) -> Column:
+        runs = F.struct(_straight(x["g1"]).alias("any"), F.when(x["flush"].isNotNull(), _straight_in_suit(x["m"], x["flush"])).otherwise(0).alias("suited"), F.bit_count(x["g2"]).alias("pairs"))
 
+        def named(r: Column) -> Column:
+            category = (
+                F.when(r["suited"] > 0, 8)
+                .when(x["g4"] != 0, 7)
+                .when((x["g3"] != 0) & (r["pairs"] >= 2), 6)
+                .when(x["flush"].isNotNull(), 5)
+                .when(r["any"] > 0, 4)
+                .when(x["g3"] != 0, 3)
+                .when(r["pairs"] >= 2, 2)
+                .when(r["pairs"] == 1, 1)
+                .otherwise(0)
+            )
+            straight = F.when(r["suited"] > 0, r["suited"]).otherwise(r["any"])
+            return F.struct(category.alias("category"), x["g1"].alias("ranks"), x["g2"].alias("pairs"), x["g3"].alias("trips"), x["g4"].alias("quads"), x["flush"].alias("flush"), straight.alias("straight"))
 
-def _windows(all_cards: Column) -> Column:
-    """struct(t, held) for each run of five ranks from t of which exactly four are held."""
-    values = F.array_distinct(F.transform(all_cards, rank_value))
-    low = F.when(F.array_contains(values, 14), F.concat(values, F.array(F.lit(1)))).otherwise(values)
-    runs = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda t: F.struct(t.alias("t"), F.array_intersect(F.sequence(t, t + 4), low).alias("held")))
-    return F.filter(runs, lambda x: F.size(x["held"]) == 4)
+        return let(runs, named)
 
+    return let(code, lambda c: let(marked(c), told))
 
-def open_ended(all_cards: Column) -> Column:
-    """Four in a row, whether or not both ends can be filled."""
-    return F.exists(_windows(all_cards), lambda x: ~F.array_contains(x["held"], x["t"]) | ~F.array_contains(x["held"], x["t"] + 4))
 
+def _highest(marks: Column, k: int) -> Column:
+    """The ``k`` highest marked ranks."""
+    ranks = F.array(*[F.lit(v) for v in range(14, 1, -1)])
+    return let(marks, lambda marks: F.slice(F.filter(ranks, lambda v: _and(_right(marks, 4 * (v - 2)), 1) == 1), 1, k))
 
-def gutshot(all_cards: Column) -> Column:
-    """Four of five ranks with the gap inside."""
-    return F.exists(_windows(all_cards), lambda x: F.array_contains(x["held"], x["t"]) & F.array_contains(x["held"], x["t"] + 4))
 
+def _without(marks: Column, *ranks: Column) -> Column:
+    for v in ranks:
+        marks = _and(marks, F.bitwise_not(_left(_long(1), 4 * (v - 2))))
+    return marks
 
-def overcards(hole: Column, board: Column) -> Column:
-    top = F.array_max(F.transform(board, rank_value))
-    return F.when(F.size(board) > 0, F.size(F.filter(hole, lambda c: rank_value(c) > top))).otherwise(0)
 
+def score(hand: Column) -> Column:
+    """struct(category, kickers, name) of the best five of five to seven cards; structs compare as hands do."""
+
+    def rated(hand: Column, f: Column) -> Column:
+        pair, trip, quad = (_top(f[k]) + 2 for k in ("pairs", "trips", "quads"))
+        second = lambda first: _top(_without(f["pairs"], first)) + 2
+        of_flush = F.sort_array(F.transform(F.filter(hand, lambda c: F.instr(F.lit(SUITS), suit(c)) - 1 == f["flush"]), rank_value), False)
+        kickers = (
+            F.when(f["category"].isin(8, 4), F.array(f["straight"]))
+            .when(f["category"] == 7, F.concat(F.array(quad), _highest(_without(f["ranks"], quad), 1)))
+            .when(f["category"] == 6, let(trip, lambda t: F.array(t, second(t))))
+            .when(f["category"] == 5, F.slice(of_flush, 1, 5))
+            .when(f["category"] == 3, F.concat(F.array(trip), _highest(_without(f["ranks"], trip), 2)))
+            .when(f["category"] == 2, let(pair, lambda a: let(second(a), lambda b: F.concat(F.array(a, b), _highest(_without(f["ranks"], a, b), 1)))))
+            .when(f["category"] == 1, F.concat(F.array(pair), _highest(_without(f["ranks"], pair), 3)))
+            .otherwise(_highest(f["ranks"], 5))
+        )
+        return F.struct(f["category"].alias("category"), kickers.cast("array<int>").alias("kickers"), F.get(F.array(*map(F.lit, CATEGORIES)), f["category"]).alias("name"))
+
+    def checked(hand: Column) -> Column:
+        return F.when(F.size(hand).between(5, 7), let(facts(coded(hand)), lambda f: rated(hand, f))).otherwise(bad("a hand has five to seven cards"))
+
+    return let(hand, checked)
+
+
+def texture(board: Column) -> Column:
+    """struct(monotone, two_tone, paired, connected, very_connected, high_card) of a board."""
+    return let(F.struct(coded(board).alias("c"), F.size(board).alias("k")), lambda x: texture_of(x["c"], x["k"]))
+
+
+def texture_of(code: Column, size: Column) -> Column:
+    """``texture`` of a coded board of ``size`` cards."""
+
+    def told(x: Column) -> Column:
+        d, most = x["d"], x["most"]
+        # neighbours among the distinct ranks that are one or two apart
+        near = F.bit_count(_and(d, _right(d, 4))) + F.bit_count(_and(d, _right(d, 8), F.bitwise_not(_right(d, 4))))
+        return F.struct(
+            ((size >= 3) & (most == size)).alias("monotone"),
+            (most >= 2).alias("two_tone"),
+            (F.bit_count(d) < size).alias("paired"),
+            (near >= 2).alias("connected"),
+            (near >= 3).alias("very_connected"),
+            (_top(d) + 2).alias("high_card"),
+        )
 
-def outs(hole: Column, board: Column, name: Column) -> Column:
-    """Rough number of improving cards; 0 for made hands."""
-    both = F.concat(hole, board)
-    over = overcards(hole, board)
-    n = (
-        F.when(flush_draw(both), 9).otherwise(0)
-        + F.when(open_ended(both), 8).when(gutshot(both), 4).otherwise(0)
-        + F.when(over == 2, 6).when(over == 1, 3).otherwise(0)
-    )
-    return F.when(name == "high_card", n).otherwise(0)
+    return let(F.struct(_at_least(code["n"], 1).alias("d"), _most_suit(code["q"]).alias("most")), told)
+
+
+def outs_of(both: Column, ranks: Column, over: Column) -> Column:
+    """Rough number of improving cards from the code of hole and board, its marked ranks, and the number of overcards."""
+
+    def counted(low: Column) -> Column:
+        held = [_right(low, 4 * k) for k in range(5)]
+        # four of a run of five are there, and the k-th is not
+        lacks = lambda k: _and(F.lit(_STARTS), *[h for i, h in enumerate(held) if i != k], F.bitwise_not(held[k]))
+        ends = lacks(0).bitwiseOR(lacks(4)) != 0
+        inside = lacks(1).bitwiseOR(lacks(2)).bitwiseOR(lacks(3)) != 0
+        return (
+            F.when(_most_suit(both["q"]) == 4, 9).otherwise(0)
+            + F.when(ends, 8).when(inside, 4).otherwise(0)
+            + F.when(over == 2, 6).when(over == 1, 3).otherwise(0)
+        )
+
+    return let(_with_low_ace(ranks), counted)
 
 
 def draw_bucket(n: Column) -> Column:
     return F.when(n >= 10, "strong draw").when(n >= 3, "weak draw").otherwise("air")
 
 
-def made_bucket(hole: Column, board: Column, rated: Column, board_texture: Column) -> Column:
-    """Bucket of a made hand; 'air' for a high card."""
-    t, name, pair = board_texture, rated["name"], F.get(rated["kickers"], F.lit(0))
-    values = F.transform(board, rank_value)
-    both = F.concat(hole, board)
-    flush_suit = F.get(F.filter(F.array(*map(F.lit, SUITS)), lambda s: F.size(F.filter(both, lambda c: suit(c) == s)) >= 5), F.lit(0))
-    nut_card = F.exists(hole, lambda c: (suit(c) == flush_suit) & (rank_value(c) == 14))
-    pocket_pair = rank_value(F.get(hole, F.lit(0))) == rank_value(F.get(hole, F.lit(1)))
-    is_set = pocket_pair & F.array_contains(values, rank_value(F.get(hole, F.lit(0))))
-    kicker = F.coalesce(F.array_max(F.filter(F.transform(hole, rank_value), lambda v: v != pair)), F.lit(0))
-    top = F.array_max(values)
-    nuts, strong, medium, weak = (F.lit(b) for b in BUCKETS[:4])
-    return (
-        F.when(name.isin("straight_flush", "quads", "full_house"), nuts)
-        .when(name == "flush", F.when(nut_card, nuts).when(t["monotone"], strong).otherwise(nuts))
-        .when(name == "straight", F.when(t["paired"] | t["monotone"], strong).otherwise(nuts))
-        .when(name == "trips", F.when(is_set & ~(t["monotone"] | t["very_connected"]), nuts).otherwise(strong))
-        .when(name == "two_pair", F.when((F.size(board) >= 4) & t["very_connected"], medium).otherwise(strong))
-        .when(name == "pair", F.when(pair > top, strong).when(pair == top, F.when(kicker >= 11, strong).otherwise(medium)).otherwise(weak))
-        .otherwise(F.lit("air"))
-    )
+def placed(hole: Column, first: Column, second: Column, board: Column, size: Column) -> Column:
+    """struct(bucket, category, outs) of a coded hole of two ranks on a coded board of ``size`` cards."""
+
+    def told(x: Column) -> Column:
+        f, t, both = x["f"], x["t"], x["both"]
+        pair = _top(f["pairs"]) + 2
+        over = (first > t["high_card"]).cast("int") + (second > t["high_card"]).cast("int")
+        n = F.when(f["category"] == 0, outs_of(both, f["ranks"], over)).otherwise(0)
+        nut_card = _and(_right(hole["m"], 13 * f["flush"] + 12), 1) == 1
+        is_set = (first == second) & (_and(_right(board["n"], 4 * (first - 2)), 15) > 0)
+        kicker = F.greatest(F.when(first != pair, first).otherwise(0), F.when(second != pair, second).otherwise(0))
+        nuts, strong, medium, weak = (F.lit(b) for b in BUCKETS[:4])
+        made = (
+            F.when(f["category"] >= 6, nuts)
+            .when(f["category"] == 5, F.when(nut_card, nuts).when(t["monotone"], strong).otherwise(nuts))
+            .when(f["category"] == 4, F.when(t["paired"] | t["monotone"], strong).otherwise(nuts))
+            .when(f["category"] == 3, F.when(is_set & ~(t["monotone"] | t["very_connected"]), nuts).otherwise(strong))
+            .when(f["category"] == 2, F.when((size >= 4) & t["very_connected"], medium).otherwise(strong))
+            .otherwise(F.when(pair > t["high_card"], strong).when(pair == t["high_card"], F.when(kicker >= 11, strong).otherwise(medium)).otherwise(weak))
+        )
+        return let(n.cast("int"), lambda n: F.struct(F.when(f["category"] == 0, draw_bucket(n)).otherwise(made).alias("bucket"), f["category"].alias("category"), n.alias("outs"), t.alias("texture")))
+
+    both = together(hole, board)
+    return let(F.struct(both.alias("both"), facts(both).alias("f"), texture_of(board, size).alias("t")), told)
 
 
 def strength(hole: Column, board: Column) -> Column:
     """struct(bucket, score, hand_type, outs, texture) of two hole cards on three to five board cards, both arrays of cards."""
 
     def bound(x: Column) -> Column:
-        hole, board = x["hole"], x["board"]
-
-        def rated(y: Column) -> Column:
-            s, t, n = y["s"], y["t"], outs(hole, board, y["s"]["name"])
-
-            def named(n: Column) -> Column:
-                bucket = F.when(s["name"] == "high_card", draw_bucket(n)).otherwise(made_bucket(hole, board, s, t))
-                return F.struct(bucket.alias("bucket"), s.alias("score"), s["name"].alias("hand_type"), n.alias("outs"), t.alias("board_texture"))
-
-            return let(n.cast("int"), named)
-
-        return let(F.struct(score(F.concat(hole, board)).alias("s"), texture(board).alias("t")), rated)
+        rank = lambda i: rank_value(F.get(x["hole"], F.lit(i)))
+        codes = F.struct(coded(x["hole"]).alias("h"), coded(x["board"]).alias("b"), rank(0).alias("r0"), rank(1).alias("r1"))
+        rated = let(codes, lambda c: placed(c["h"], c["r0"], c["r1"], c["b"], F.size(x["board"])))
+        return let(F.struct(rated.alias("p"), score(F.concat(x["hole"], x["board"])).alias("s")), lambda y: F.struct(y["p"]["bucket"].alias("bucket"), y["s"].alias("score"), y["s"]["name"].alias("hand_type"), y["p"]["outs"].alias("outs"), y["p"]["texture"].alias("board_texture")))
 
     def checked(x: Column) -> Column:
         ok = (F.size(x["hole"]) == 2) & F.size(x["board"]).between(3, 5)

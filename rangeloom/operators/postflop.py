@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import BUCKETS, bad, cards, strength
+from rangeloom.functions.cards import BUCKETS, bad, cards, coded, placed, rank_value, strength
 from rangeloom.functions.likelihood import combos, psi_table
+from rangeloom.sources.shared import written
+
+
+def class_combos(spark: SparkSession) -> DataFrame:
+    """169 rows (class_id, high, low, combos): each class with its ranks and its coded combos in suit order."""
+    rows = combos(spark).withColumn("code", coded(F.array("c1", "c2")))
+    one = F.struct("combo_order", "c1", "c2", "code")
+    listed = rows.groupBy("class_id").agg(F.sort_array(F.collect_list(one)).alias("combos"))
+    return listed.select("class_id", *[rank_value(F.get("combos", F.lit(0))[c]).alias(k) for k, c in (("high", "c1"), ("low", "c2"))], "combos")
 
 
 def representative_combos(boards: DataFrame) -> DataFrame:
-    """(board, __b, class_id, combo): the cards of the board and the first combo of each class, in suit order, that the board leaves; null if none is left."""
-    # cards are read before the shuffle, once for each board, and boards are spread over all cores
-    known = boards.select("board").distinct().withColumn("__b", cards(F.col("board"))).repartition(4 * boards.sparkSession.sparkContext.defaultParallelism, "board")
-    free = ~F.array_contains("__b", F.col("c1")) & ~F.array_contains("__b", F.col("c2"))
-    rows = known.crossJoin(F.broadcast(combos(boards.sparkSession)))
-    first = F.min(F.when(free, F.struct("combo_order", "c1", "c2")))
-    return rows.groupBy("board", "class_id").agg(first.alias("f"), F.first("__b").alias("__b")).select("board", "__b", "class_id", F.when(F.col("f").isNotNull(), F.array("f.c1", "f.c2")).alias("combo"))
+    """(board, __code, __size, class_id, high, low, first): the first combo of each class, in suit order, that the board leaves; null if none is left.
+
+    Boards are read and coded once each and spread over all cores; a combo is free if it shares no bit with the board.
+    """
+    known = boards.select("board").distinct().withColumn("__b", cards(F.col("board")))
+    known = known.select("board", coded(F.col("__b")).alias("__code"), F.size("__b").alias("__size")).repartition(4 * boards.sparkSession.sparkContext.defaultParallelism, "board")
+    rows = known.crossJoin(F.broadcast(class_combos(boards.sparkSession)))
+    free = F.filter("combos", lambda x: x["code"]["m"].bitwiseAND(F.col("__code.m")) == 0)
+    return rows.select("board", "__code", "__size", "class_id", "high", "low", F.get(free, F.lit(0)).alias("first"))
 
 
 def strengths_of(boards: DataFrame) -> DataFrame:
-    """(board, class_id, bucket): strength of each class on each distinct board; null where it cannot be told.
+    """(board, class_id, strength): strength of each class on each distinct board; null where it cannot be told.
 
-    The order of a board's cards does not count, so each set of cards is rated once.
+    The order of a board's cards does not count, so each set of cards is rated once; what is rated is kept in the shared folder.
     """
     known = boards.select("board").distinct().withColumn("__set", F.array_join(F.array_sort(cards(F.col("board"))), ""))
     rated = representative_combos(known.select(F.col("__set").alias("board")))
-    ok = F.col("combo").isNotNull() & F.size("__b").between(3, 5)
-    found = F.when(ok, strength(F.col("combo"), F.col("__b")))
-    # filters on what explode_outer gives are not pushed below it, where they would rate every row again
-    rated = rated.select(F.col("board").alias("__set"), "class_id", F.explode_outer(F.array(found["bucket"])).alias("strength"))
+    ok = F.col("first").isNotNull() & F.col("__size").between(3, 5)
+    found = F.when(ok, placed(F.col("first.code"), F.col("high"), F.col("low"), F.col("__code"), F.col("__size"))["bucket"])
+    rated = written(rated.select(F.col("board").alias("__set"), "class_id", found.alias("strength")), "strengths")
     return known.join(rated, "__set").drop("__set")
 
 

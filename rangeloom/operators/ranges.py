@@ -7,7 +7,8 @@ so they are summed once for each target and only then fanned out.
 
 Between the operators a range is one row with an array in class order, not 169 rows:
 what is shuffled, sorted or joined is one row for each hand and target. Decisions
-that come dealt by path (as ``replay`` gives them) are not shuffled again.
+are dealt by path once, into as many parts as the session shuffles into: vectors
+make much work of few bytes, so parts must not be merged for their size.
 """
 
 from __future__ import annotations
@@ -67,6 +68,11 @@ def action_vectors(table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return table.groupBy("state_key", *keep, "bucket").agg(F.transform(entry, lambda x: x["ln"]).alias("ln"))
 
 
+def dealt(made: DataFrame) -> DataFrame:
+    """Decisions dealt by path, in the session's number of shuffle partitions."""
+    return made.repartition(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def _zeros() -> Column:
     return F.array_repeat(F.lit(0.0), 169)
 
@@ -76,7 +82,7 @@ def summed(made: DataFrame, table: DataFrame, keys: list[str], keep: tuple[str,
 
     Equal decisions of a group are counted first, so a group holds at most one vector for each state key and bucket.
     """
-    counted = made.groupBy(*keys, "state_key", "bucket").agg(F.count("*").alias("c"))
+    counted = dealt(made).groupBy(*keys, "state_key", "bucket").agg(F.count("*").alias("c"))
     met = counted.join(F.broadcast(action_vectors(table, keep)), ["state_key", "bucket"])
     listed = met.groupBy(*keys, *keep).agg(F.collect_list(F.struct("c", "ln")).alias("l"), F.sum("c").alias("n"))
     total = F.aggregate("l", _zeros(), lambda acc, x: F.zip_with(acc, x["ln"], lambda a, b: a + x["c"] * b))
@@ -174,7 +180,7 @@ def filter_steps(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor:
     The running sums are made once for each target and stay in one row until the observers have met them.
     """
     vectors = action_vectors(action_table(made, phi, floor))
-    met = made.select("path", "target", "action_index", "state_key", "bucket").join(F.broadcast(vectors), ["state_key", "bucket"])
+    met = dealt(made.select("path", "target", "action_index", "state_key", "bucket")).join(F.broadcast(vectors), ["state_key", "bucket"])
     listed = met.groupBy("path", "target").agg(F.array_sort(F.collect_list(F.struct("action_index", "state_key", "bucket", "ln"))).alias("l"))
     kind = "struct<sum:array<double>,steps:array<struct<action_index:bigint,state_key:string,bucket:int,log_lik:array<double>>>>"
     start = F.struct(_zeros().alias("sum"), F.array().alias("steps")).cast(kind)

@@ -26,16 +26,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drawn(key: Column, n: int) -> Column:
     """``n`` different card numbers (0 to 51) drawn from a key: an integer generator picks among what is left of the deck."""
-    start = F.struct(key.cast("long").alias("x"), F.array().cast("array<int>").alias("taken"))
-
-    def draw(acc: Column, _: Column) -> Column:
-        x = (acc["x"] * 1103515245 + 12345) % 2147483648
-        place = F.floor(x / 65536).cast("int") % (52 - F.size(acc["taken"]))
-        # the place counts the cards that are left: each taken card at or below it moves it up
-        card = F.aggregate(F.array_sort(acc["taken"]), place, lambda p, t: F.when(t <= p, p + 1).otherwise(p))
-        return F.struct(x.alias("x"), F.concat(acc["taken"], F.array(card)).alias("taken"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, draw, lambda acc: acc["taken"])
+    x, out = key.cast("long"), []
+    for i in range(n):
+        x = (x * 1103515245 + 12345) % 2147483648
+        out.append(x)
+    numbers = F.transform(F.array(*out), lambda x, i: F.floor(x / 65536).cast("int") % (52 - i))
+    # a place counts the cards that are left: each taken card at or below it moves it up
+    card = lambda taken, place: F.aggregate(F.array_sort(taken), place, lambda p, t: F.when(t <= p, p + 1).otherwise(p))
+    return F.aggregate(numbers, F.array().cast("array<int>"), lambda taken, place: F.concat(taken, F.array(card(taken, place))))
 
 
 def card_names(numbers: Column) -> Column:
@@ -44,8 +42,14 @@ def card_names(numbers: Column) -> Column:
 
 
 def deals(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
-    """(key, cards): seven different cards for each key of a table."""
-    return read(spark, sf_dir, table).select(key, card_names(drawn(F.col(key), 7)).alias("cards"))
+    """(key, cards): seven different cards for each key of a table.
+
+    Rating cards costs far more than moving keys, so keys of a table in few files are spread over all cores first.
+    """
+    keys, cores = read(spark, sf_dir, table).select(key), spark.sparkContext.defaultParallelism
+    if keys.rdd.getNumPartitions() < cores:
+        keys = keys.repartition(4 * cores)
+    return keys.select(key, card_names(drawn(F.col(key), 7)).alias("cards"))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
