@@ -243,7 +243,8 @@ def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
 
-    found = docs.select("doc_id", "text").join(needed, docs["doc_id"] == needed["rep"]).select("text", "rep", "short", "uses")
+    # what is needed grows with the data: merged at every size, never broadcast for being little
+    found = docs.select("doc_id", "text").join(needed.hint("merge"), docs["doc_id"] == needed["rep"]).select("text", "rep", "short", "uses")
     return found.mapInArrow(run, "bucket long, i int, j int, node binary, shingles binary")
 
 
@@ -334,10 +335,8 @@ def decisions(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGL
     classes = written(classes.withColumn("short", short_of(F.col("set_key"))), "minmax-classes")
     # numbers only: millions of members, most of them alone in their buckets
     members = classes.select("rep", "short", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor("short").alias("x"), F.min("rep").alias("first"), F.max("rep").alias("last")
-    )
-    shared = shared.filter("m > 1").groupBy("m", "s", "x", "first", "last").agg(F.min("bucket").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor("short").alias("x"), F.min("rep").alias("first"))
+    shared = shared.filter("m > 1").groupBy("m", "s", "x", "first").agg(F.min("bucket").alias("bucket"))
     shared = written(shared.select("bucket", "m", "first", _blocks_of(F.col("m"), F.col("s"), block_members).alias("main")), "minmax-buckets")
     joined = written(matched(members, shared, "bucket", "m", members.count), "minmax-members")
     use = F.struct("bucket", "main", F.lit(0).alias("rest"), (F.col("rep") == F.col("first")).alias("everywhere"))

@@ -40,10 +40,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: Calla
 def matched(left: DataFrame, right: DataFrame, key: str, weight: str, rows: Callable[[], int], share: int = HOT_SHARE) -> DataFrame:
     """Inner join of ``left`` with ``right`` (unique in ``key``, which is not null) that spreads hot keys: their rows stay where they are.
 
-    ``right[weight]`` is the number of left rows of the key, as in ``lookup``.
+    ``right[weight]`` is the number of left rows of the key, as in ``lookup``. The cold keys grow with the data, so
+    they are merged at every size and never broadcast for being few.
     """
     limit = max(1, rows() // share)
     hot = F.broadcast(right.filter(F.col(weight) > limit).drop(weight))
     cold = right.filter(F.col(weight) <= limit).drop(weight)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
     return left.join(hot, key).select(*rest.columns).unionByName(rest)
