@@ -214,10 +214,10 @@ def _cells(use: dict, key: bytes) -> list[tuple[int, int, int]]:
 _BLOCK_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
-def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+def _blocks(found: DataFrame, words: int) -> DataFrame:
     """One row (bucket, i, j, node, shingles) for each comparison that a class takes part in.
 
-    ``needed`` has (rep, short, uses) of classes; a class's set is made from the text of its smallest document.
+    ``found`` has (text, rep, short, uses) of classes; a class's set is made from the text of its smallest document.
     """
     names = ["bucket", "i", "j", "node", "shingles"]
     most = 32 << 20
@@ -243,9 +243,7 @@ def _blocks(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names)
 
-    # what is needed grows with the data: merged at every size, never broadcast for being little
-    found = docs.select("doc_id", "text").join(needed.hint("merge"), docs["doc_id"] == needed["rep"]).select("text", "rep", "short", "uses")
-    return found.mapInArrow(run, "bucket long, i int, j int, node binary, shingles binary")
+    return found.select("text", "rep", "short", "uses").mapInArrow(run, "bucket long, i int, j int, node binary, shingles binary")
 
 
 def _links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -340,14 +338,18 @@ def decisions(docs: DataFrame, percent: int = LEAST_PERCENT, words: int = SHINGL
     shared = written(shared.select("bucket", "m", "first", _blocks_of(F.col("m"), F.col("s"), block_members).alias("main")), "minmax-buckets")
     joined = written(matched(members, shared, "bucket", "m", members.count), "minmax-members")
     use = F.struct("bucket", "main", F.lit(0).alias("rest"), (F.col("rep") == F.col("first")).alias("everywhere"))
-    needed = joined.groupBy("rep", "short").agg(F.collect_list(use).alias("uses"))
-    links = written(_links(_blocks(picked, needed, words), percent), "minmax-links")
+    needed = joined.groupBy("rep", "short").agg(F.collect_list(use).alias("uses"), F.max(F.col("main") > 1).alias("large"))
+    # what is needed grows with the data: merged at every size, never broadcast for being little; both rounds read the texts found here
+    texts = picked.join(needed.hint("merge"), picked["doc_id"] == needed["rep"]).select("text", "rep", "short", "uses", "large")
+    texts = written(texts, "minmax-texts")
+    links = written(_links(_blocks(texts, words), percent), "minmax-links")
     found = components(links)
     large = joined.filter("main > 1").select("rep", "short", "n_shingles", "bucket")
     if large.limit(1).count():
         again = _second_round(large, found, block_members)
         if again is not None:
-            found = components(links.unionByName(_links(_blocks(picked, again, words), percent)))
+            met = texts.filter("large").select("text", "rep", "short").join(again.hint("merge"), ["rep", "short"])
+            found = components(links.unionByName(_links(_blocks(met, words), percent)))
     classes = classes.withColumn("node", node_of(F.col("rep"), F.col("set_key")))
     placed = classes.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     table = written(placed.select("set_key", "uses", document_of(F.coalesce("component", "node")).alias("component_id")), "minmax-components")
