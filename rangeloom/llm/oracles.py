@@ -82,3 +82,44 @@ WITH d AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN t USING (k)
 """
+
+OP12 = """
+WITH r AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (SELECT * FROM r WHERE vec_id % 50 = 0
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label AS own, r.rid, r.vec_id, r.label, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM a JOIN r ON a.rid <> r.rid AND len(a.v) = len(r.v)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, rid) AS k FROM s WHERE label = own QUALIFY k <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST, s.rid)::INTEGER AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor = p.anchor AND s.label <> p.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) q(k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10
+), u AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM c, (VALUES (1), (2)) q(cut) WHERE cut < k
+), s AS (
+  SELECT u.lang, u.phrase, u.a, x.f AS l, y.f AS r, ((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.x AND x.k = u.cut JOIN f y ON y.lang = u.lang AND y.phrase = u.y AND y.k = u.k - u.cut
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.cut) = 1
+), h AS (
+  SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL
+), o AS (SELECT s.* FROM s LEFT JOIN h ON h.lang = s.lang AND h.part = s.phrase WHERE NOT coalesce(100 * most >= 50 * a, false)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rangeloom.llm.common import table
 
@@ -69,6 +70,26 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_seekable_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.frames import encode_and_read
+
+    return encode_and_read(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one, as noise to mine around."""
+    from rangeloom.llm.negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rangeloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,11 +97,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_rotated_codes, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op8_quotation_links, op9_cube_mixing, op10_minmax_near_dedup, pipeline]
+    own = [op1_weak_pii, op2_rotated_codes, op3_nbsvm_toxicity, op4_warc_members, op5_rule_cascade, op6_vector_packing, op7_blob_ledger, op8_quotation_links, op9_cube_mixing, op10_minmax_near_dedup]
+    own += [op11_seekable_token_frames, op12_hard_negatives, op13_phrase_collocations, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     from rangeloom.llm import oracles
 
-    return {"op4_warc_members": oracles.OP4, "op5_rule_cascade": oracles.OP5, "op7_blob_ledger": oracles.OP7}
+    return {
+        "op4_warc_members": oracles.OP4,
+        "op5_rule_cascade": oracles.OP5,
+        "op7_blob_ledger": oracles.OP7,
+        "op12_hard_negatives": oracles.OP12,
+        "op13_phrase_collocations": oracles.OP13,
+    }
