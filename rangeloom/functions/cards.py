@@ -1,17 +1,19 @@
 """Cards, hand classes and the hand evaluator, as column expressions.
 
-A card is a two-character string, rank then suit, upper-cased. Hands of five to
-seven cards are rated by integer arithmetic on a code, without listing their
-five-card subsets: ``n`` counts ranks in four bits each, ``q`` counts suits in four
-bits each, ``m`` has a bit for each card. The code of two sets of cards together is
-the sum of their counts, so a board is coded once for all hands on it.
+A card is a two-character string, rank then suit, upper-cased. A set of cards is a
+number with a bit for each: 13 for each suit, deuce to ace. Hands of five to seven
+cards are rated from such numbers without listing their five-card subsets: the ranks
+that a hand holds at least once, twice, ... are bit sets of 13, and two tables over
+all 8,192 such sets tell the highest ranks and the best straight. The functions that
+rate take a DataFrame and add columns step by step, so that each value is computed
+once, by generated code.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranks from high to low, suits in the order of preference.
@@ -63,223 +65,282 @@ def hand_class(hole: Column) -> Column:
     return F.when(F.size(hole) == 2, made).otherwise(bad("a hand class needs two cards"))
 
 
-#: One in each rank's four bits, and in those of the ranks at which a run of five can start when the ace also counts as one.
-_ONES, _STARTS = sum(1 << 4 * i for i in range(13)), sum(1 << 4 * i for i in range(10))
-
-
 def _long(x: Column | int) -> Column:
     return (F.lit(x) if isinstance(x, int) else x).cast("long")
 
 
-def _left(x: Column, k: Column | int) -> Column:
-    return F.call_function("shiftleft", _long(x), F.lit(k) if isinstance(k, int) else k)
+def _right(x: Column, k: Column | int) -> Column:
+    return F.call_function("shiftright", x, F.lit(k) if isinstance(k, int) else k)
 
 
-def _right(x: Column, k: Column | int) -> Column:
-    return F.call_function("shiftright", _long(x), F.lit(k) if isinstance(k, int) else k)
+def _left(x: Column, k: Column | int) -> Column:
+    return F.call_function("shiftleft", x, F.lit(k) if isinstance(k, int) else k)
 
 
 def _and(x: Column, *more: Column | int) -> Column:
     for y in more:
-        x = x.bitwiseAND(_long(y))
+        x = x.bitwiseAND(F.lit(y) if isinstance(y, int) else y)
     return x
 
 
-def coded(hand: Column, most: int = 7) -> Column:
-    """struct(n, q, m) of an array of at most ``most`` cards: counts of ranks, counts of suits, and which cards."""
-    places = [(F.lit(13) - F.instr(F.lit(RANKS), F.substring(c, 1, 1)), F.instr(F.lit(SUITS), suit(c)) - 1) for c in (F.get(hand, F.lit(i)) for i in range(most))]
-    one = lambda k: F.coalesce(_left(_long(1), k), _long(0))
-    n, q, m = [one(4 * r) for r, _ in places], [one(4 * s) for _, s in places], [one(13 * s + r) for r, s in places]
-    return F.struct(reduce(Column.__add__, n).alias("n"), reduce(Column.__add__, q).alias("q"), reduce(Column.bitwiseOR, m).alias("m"))
+def _or(x: Column, *more: Column) -> Column:
+    return reduce(Column.bitwiseOR, more, x)
+
+
+def _place(c: Column) -> Column:
+    """Number of a card: 13 for each suit, then its rank from the deuce on."""
+    return 13 * (F.instr(F.lit(SUITS), suit(c)) - 1) + F.lit(13) - F.instr(F.lit(RANKS), F.substring(c, 1, 1))
+
+
+def card_bits(hand: Column, most: int = 7) -> Column:
+    """The set of an array of at most ``most`` cards, as a long."""
+    return _or(*[F.coalesce(_left(_long(1), _place(F.get(hand, F.lit(i)))), _long(0)) for i in range(most)])
 
 
-def together(a: Column, b: Column) -> Column:
-    """The code of the cards of two codes."""
-    return F.struct((a["n"] + b["n"]).alias("n"), (a["q"] + b["q"]).alias("q"), a["m"].bitwiseOR(b["m"]).alias("m"))
+def text_bits(text: Column) -> Column:
+    """The set of a string of any number of cards ('AhKd'), as a long; what is no card is passed over, repeated cards count once."""
+    n = F.greatest(F.floor(F.length(text) / 2) - 1, F.lit(0)).cast("int")
+    one = F.transform(F.sequence(F.lit(0), n), lambda i: F.upper(F.substring(text, i * 2 + 1, F.lit(2))))
+    known = F.filter(one, lambda c: F.regexp_like(c, F.lit("^[2-9TJQKA][SHDC]$")))
+    return F.aggregate(known, _long(0), lambda a, c: a.bitwiseOR(_left(_long(1), _place(c))))
 
 
-def _at_least(n: Column, k: int) -> Column:
-    """One in the four bits of each rank that occurs ``k`` times or more (of at most seven)."""
-    return _and(_right(n + (8 - k) * _ONES, 3), _ONES)
+def suit_bits(bits: Column, k: int) -> Column:
+    """The ranks of the ``k``-th suit in a set of cards."""
+    return _and(_right(bits, 13 * k), 8191).cast("int")
 
 
-def _top(marks: Column, step: int = 4) -> Column:
-    """Place (from 0) of the highest mark; null without any."""
-    return F.when(marks != 0, F.floor((F.length(F.bin(marks)) - 1) / step).cast("int"))
+def suits_at(bits: Column, rank: int) -> Column:
+    """The suits (four bits) that a set of cards holds at a rank (from 0)."""
+    return _or(*[_left(_and(_right(bits, 13 * k + rank), 1).cast("int"), k) for k in range(4)])
 
 
-def _most_suit(q: Column) -> Column:
-    return F.greatest(*[_and(_right(q, 4 * k), 15) for k in range(4)]).cast("int")
+def _bits_of(ranks: int) -> list[int]:
+    return [v for v in range(14, 1, -1) if ranks >> (v - 2) & 1]
 
 
-def _with_low_ace(marks: Column) -> Column:
-    return _left(marks, 4).bitwiseOR(_and(_right(marks, 48), 1))
+def _top_five(ranks: int) -> int:
+    """The five highest ranks (2 to 14) of a set, four bits each, the highest first."""
+    return sum(v << 4 * (4 - i) for i, v in enumerate(_bits_of(ranks)[:5]))
 
 
-def _straight(marks: Column) -> Column:
-    """Highest rank of the best straight among marked ranks; 0 if there is none. The ace also counts as 1."""
-    low = _with_low_ace(marks)
-    # runs of two, of four, of five
-    return let(low, lambda low: let(_and(low, _right(low, 4)), lambda two: let(_and(two, _right(two, 8), _right(low, 16)), lambda runs: F.coalesce(_top(runs) + 5, F.lit(0)))))
+def best_run(ranks: int) -> int:
+    """Top of the best straight among ranks, or 0; the ace also counts as 1."""
+    low = ranks << 1 | ranks >> 12
+    return max((k + 5 for k in range(10) if low >> k & 31 == 31), default=0)
 
 
-def _straight_in_suit(m: Column, k: Column) -> Column:
-    cards_ = _and(_right(m, 13 * k), 8191)
-    low = _left(cards_, 1).bitwiseOR(_right(cards_, 12))
-    runs = _and(low, *[_right(low, i) for i in range(1, 5)])
-    return F.coalesce(_top(runs, 1) + 5, F.lit(0))
+def _run_outs(ranks: int) -> int:
+    """8 if four of a run of five are held and an end is missing, 4 if only one within, else 0."""
+    low = ranks << 1 | ranks >> 12
+    missing = [~low >> k & 31 for k in range(10)]
+    return 8 if any(m in (1, 16) for m in missing) else 4 if any(m in (2, 4, 8) for m in missing) else 0
 
 
-def facts(code: Column) -> Column:
-    """struct(category, ranks, pairs, trips, quads, flush, straight, low) of a code: marks of ranks by how often they occur, the flush's suit or null, the top of a straight flush or straight."""
+@cache
+def _values(rule) -> str:
+    return ",".join(str(rule(ranks)) for ranks in range(8192))
 
-    def marked(x: Column) -> Column:
-        flush = F.when(_most_suit(x["q"]) >= 5, F.when(_and(x["q"], 15) >= 5, 0).when(_and(_right(x["q"], 4), 15) >= 5, 1).when(_and(_right(x["q"], 8), 15) >= 5, 2).otherwise(3))
-        return F.struct(*[_at_least(x["n"], k).alias(f"g{k}") for k in (1, 2, 3, 4)], flush.alias("flush"), x["m"].alias("m"))
 
-    def told(x: Column) -> Column:
-        runs = F.struct(_straight(x["g1"]).alias("any"), F.when(x["flush"].isNotNull(), _straight_in_suit(x["m"], x["flush"])).otherwise(0).alias("suited"), F.bit_count(x["g2"]).alias("pairs"))
+def looked_up(rule, ranks: Column) -> Column:
+    """``rule`` of a set of ranks, from a table of all 8,192 that the optimiser makes a constant array."""
+    return F.get(F.split(F.lit(_values(rule)), ",").cast("array<int>"), ranks)
 
-        def named(r: Column) -> Column:
-            category = (
-                F.when(r["suited"] > 0, 8)
-                .when(x["g4"] != 0, 7)
-                .when((x["g3"] != 0) & (r["pairs"] >= 2), 6)
-                .when(x["flush"].isNotNull(), 5)
-                .when(r["any"] > 0, 4)
-                .when(x["g3"] != 0, 3)
-                .when(r["pairs"] >= 2, 2)
-                .when(r["pairs"] == 1, 1)
-                .otherwise(0)
-            )
-            straight = F.when(r["suited"] > 0, r["suited"]).otherwise(r["any"])
-            return F.struct(category.alias("category"), x["g1"].alias("ranks"), x["g2"].alias("pairs"), x["g3"].alias("trips"), x["g4"].alias("quads"), x["flush"].alias("flush"), straight.alias("straight"))
 
-        return let(runs, named)
+def listed(values: list[int]) -> Column:
+    """A constant array of whole numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    return let(code, lambda c: let(marked(c), told))
 
+def _first(packed: Column) -> Column:
+    return _right(packed, 16)
 
-def _highest(marks: Column, k: int) -> Column:
-    """The ``k`` highest marked ranks."""
-    ranks = F.array(*[F.lit(v) for v in range(14, 1, -1)])
-    return let(marks, lambda marks: F.slice(F.filter(ranks, lambda v: _and(_right(marks, 4 * (v - 2)), 1) == 1), 1, k))
 
+def _second(packed: Column) -> Column:
+    return _and(_right(packed, 12), 15)
 
-def _without(marks: Column, *ranks: Column) -> Column:
-    for v in ranks:
-        marks = _and(marks, F.bitwise_not(_left(_long(1), 4 * (v - 2))))
-    return marks
 
+def _without(ranks: Column, *values: Column) -> Column:
+    """A set of ranks without some (2 to 14; 0 is none)."""
+    for v in values:
+        ranks = _and(ranks, F.bitwise_not(F.when(v > 1, _left(F.lit(1), v - 2)).otherwise(0)))
+    return ranks
 
-def score(hand: Column) -> Column:
-    """struct(category, kickers, name) of the best five of five to seven cards; structs compare as hands do."""
 
-    def rated(hand: Column, f: Column) -> Column:
-        pair, trip, quad = (_top(f[k]) + 2 for k in ("pairs", "trips", "quads"))
-        second = lambda first: _top(_without(f["pairs"], first)) + 2
-        of_flush = F.sort_array(F.transform(F.filter(hand, lambda c: F.instr(F.lit(SUITS), suit(c)) - 1 == f["flush"]), rank_value), False)
-        kickers = (
-            F.when(f["category"].isin(8, 4), F.array(f["straight"]))
-            .when(f["category"] == 7, F.concat(F.array(quad), _highest(_without(f["ranks"], quad), 1)))
-            .when(f["category"] == 6, let(trip, lambda t: F.array(t, second(t))))
-            .when(f["category"] == 5, F.slice(of_flush, 1, 5))
-            .when(f["category"] == 3, F.concat(F.array(trip), _highest(_without(f["ranks"], trip), 2)))
-            .when(f["category"] == 2, let(pair, lambda a: let(second(a), lambda b: F.concat(F.array(a, b), _highest(_without(f["ranks"], a, b), 1)))))
-            .when(f["category"] == 1, F.concat(F.array(pair), _highest(_without(f["ranks"], pair), 3)))
-            .otherwise(_highest(f["ranks"], 5))
-        )
-        return F.struct(f["category"].alias("category"), kickers.cast("array<int>").alias("kickers"), F.get(F.array(*map(F.lit, CATEGORIES)), f["category"]).alias("name"))
+def _stepwise(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Adds columns step by step; each step reads those before."""
+    for s in steps:
+        df = df.withColumns(s)
+    return df
 
-    def checked(hand: Column) -> Column:
-        return F.when(F.size(hand).between(5, 7), let(facts(coded(hand)), lambda f: rated(hand, f))).otherwise(bad("a hand has five to seven cards"))
 
-    return let(hand, checked)
+def _held(bits: str) -> dict[str, Column]:
+    return {f"__s{k}": suit_bits(F.col(bits), k) for k in range(4)}
 
 
-def texture(board: Column) -> Column:
-    """struct(monotone, two_tone, paired, connected, very_connected, high_card) of a board."""
-    return let(F.struct(coded(board).alias("c"), F.size(board).alias("k")), lambda x: texture_of(x["c"], x["k"]))
+def _levels() -> dict[str, Column]:
+    """Ranks held at least once, twice, three and four times, and the suit of a flush (or 0), from ``__s0`` to ``__s3``."""
+    a, b, c, d = (F.col(f"__s{k}") for k in range(4))
+    flush = reduce(lambda out, x: F.when(F.bit_count(x) >= 5, x).otherwise(out), (d, c, b), F.when(F.bit_count(a) >= 5, a).otherwise(0))
+    return {
+        "__g1": _or(a, b, c, d),
+        "__g2": _or(_and(a, b), _and(c, d), _and(_or(a, b), _or(c, d))),
+        "__g3": _or(_and(a, b, _or(c, d)), _and(c, d, _or(a, b))),
+        "__g4": _and(a, b, c, d),
+        "__flush": flush,
+        "__most": F.greatest(*[F.bit_count(x) for x in (a, b, c, d)]),
+    }
 
 
-def texture_of(code: Column, size: Column) -> Column:
-    """``texture`` of a coded board of ``size`` cards."""
+def _named() -> tuple[dict[str, Column], ...]:
+    """Steps from levels to ``__category`` and what decides it."""
+    g1, g2, g3, g4, flush = (F.col(f"__{n}") for n in ("g1", "g2", "g3", "g4", "flush"))
+    runs = {
+        "__run": looked_up(best_run, g1),
+        "__suited": F.when(flush != 0, looked_up(best_run, flush)).otherwise(0),
+        "__pairs": F.bit_count(g2),
+        "__tops2": looked_up(_top_five, g2),
+        "__top3": _first(looked_up(_top_five, g3)),
+        "__top4": _first(looked_up(_top_five, g4)),
+    }
+    category = (
+        F.when(F.col("__suited") > 0, 8)
+        .when(g4 != 0, 7)
+        .when((g3 != 0) & (F.col("__pairs") >= 2), 6)
+        .when(flush != 0, 5)
+        .when(F.col("__run") > 0, 4)
+        .when(g3 != 0, 3)
+        .otherwise(F.least(F.col("__pairs"), F.lit(2)))
+    )
+    return runs, {"__category": category, "__pair": _first(F.col("__tops2")), "__pair2": _second(F.col("__tops2"))}
 
-    def told(x: Column) -> Column:
-        d, most = x["d"], x["most"]
-        # neighbours among the distinct ranks that are one or two apart
-        near = F.bit_count(_and(d, _right(d, 4))) + F.bit_count(_and(d, _right(d, 8), F.bitwise_not(_right(d, 4))))
-        return F.struct(
-            ((size >= 3) & (most == size)).alias("monotone"),
-            (most >= 2).alias("two_tone"),
-            (F.bit_count(d) < size).alias("paired"),
-            (near >= 2).alias("connected"),
-            (near >= 3).alias("very_connected"),
-            (_top(d) + 2).alias("high_card"),
-        )
 
-    return let(F.struct(_at_least(code["n"], 1).alias("d"), _most_suit(code["q"]).alias("most")), told)
+#: Kickers that a category's hands are told apart by.
+KICKERS = (5, 4, 3, 3, 1, 5, 2, 2, 1)
 
 
-def outs_of(both: Column, ranks: Column, over: Column) -> Column:
-    """Rough number of improving cards from the code of hole and board, its marked ranks, and the number of overcards."""
-
-    def counted(low: Column) -> Column:
-        held = [_right(low, 4 * k) for k in range(5)]
-        # four of a run of five are there, and the k-th is not
-        lacks = lambda k: _and(F.lit(_STARTS), *[h for i, h in enumerate(held) if i != k], F.bitwise_not(held[k]))
-        ends = lacks(0).bitwiseOR(lacks(4)) != 0
-        inside = lacks(1).bitwiseOR(lacks(2)).bitwiseOR(lacks(3)) != 0
-        return (
-            F.when(_most_suit(both["q"]) == 4, 9).otherwise(0)
-            + F.when(ends, 8).when(inside, 4).otherwise(0)
-            + F.when(over == 2, 6).when(over == 1, 3).otherwise(0)
-        )
-
-    return let(_with_low_ace(ranks), counted)
+def _kicked() -> tuple[dict[str, Column], ...]:
+    """Steps from a category to ``__code``, a number that orders hands, of the category and five ranks in four bits each."""
+    g1, category, pair, pair2, trips, quads = (F.col(f"__{n}") for n in ("g1", "category", "pair", "pair2", "top3", "top4"))
+    rest = (
+        F.when(category == 7, _without(g1, quads))
+        .when(category == 6, _without(F.col("__g2"), trips))
+        .when(category == 5, F.col("__flush"))
+        .when(category == 3, _without(g1, trips))
+        .when(category == 2, _without(g1, pair, pair2))
+        .when(category == 1, _without(g1, pair))
+        .otherwise(g1)
+    )
+    left = F.col("__rest")
+    high = lambda v, place: _left(v, 4 * place)
+    ranks = (
+        F.when(category == 8, high(F.col("__suited"), 4))
+        .when(category == 7, high(quads, 4).bitwiseOR(high(_first(left), 3)))
+        .when(category == 6, high(trips, 4).bitwiseOR(high(_first(left), 3)))
+        .when(category == 4, high(F.col("__run"), 4))
+        .when(category == 3, high(trips, 4).bitwiseOR(high(_right(left, 12), 2)))
+        .when(category == 2, _or(high(pair, 4), high(pair2, 3), high(_first(left), 2)))
+        .when(category == 1, high(pair, 4).bitwiseOR(high(_right(left, 8), 1)))
+        .otherwise(left)
+    )
+    return {"__rest": looked_up(_top_five, rest)}, {"__code": _left(category, 20).bitwiseOR(ranks)}
+
+
+def _told() -> Column:
+    """struct(category, kickers, name, code)."""
+    ranks = F.array(*[_and(_right(F.col("__code"), 4 * (4 - i)), 15) for i in range(5)])
+    n = F.get(F.array(*map(F.lit, KICKERS)), F.col("__category"))
+    return F.struct(F.col("__category").alias("category"), F.slice(ranks, F.lit(1), n).alias("kickers"), F.get(F.array(*map(F.lit, CATEGORIES)), F.col("__category")).alias("name"), F.col("__code").alias("code"))
+
+
+def scored(df: DataFrame, hand: str, into: str) -> DataFrame:
+    """Adds ``into``, struct(category, kickers, name, code) of the best five of an array of five to seven cards; greater codes win."""
+    bits = F.when(F.size(hand).between(5, 7), card_bits(F.col(hand))).otherwise(bad("a hand has five to seven cards").cast("long"))
+    rows = _stepwise(df, {"__bits": bits}, _held("__bits"), _levels(), *_named(), *_kicked())
+    return rows.withColumn(into, _told()).select(*df.columns, into)
+
+
+def _board_levels(bits: str) -> tuple[dict[str, Column], ...]:
+    """Steps to the board's ranks held at least once and ``__b_most``, the cards of its commonest suit, from its set of cards."""
+    held = {f"__b{k}": suit_bits(F.col(bits), k) for k in range(4)}
+    suits = [F.col(f"__b{k}") for k in range(4)]
+    return held, {"__b_ranks": _or(*suits), "__b_most": F.greatest(*[F.bit_count(x) for x in suits]), "__b_size": F.bit_count(bits)}
+
+
+def _texture() -> tuple[dict[str, Column], ...]:
+    """Steps from ``__b_ranks``, ``__b_most`` and ``__b_size`` to the board's texture."""
+    d, size = F.col("__b_ranks"), F.col("__b_size")
+    # neighbours among the distinct ranks that are one or two apart
+    near = F.bit_count(_and(d, _right(d, 1))) + F.bit_count(_and(d, _right(d, 2), F.bitwise_not(_right(d, 1))))
+    first = {
+        "__mono": (size >= 3) & (F.col("__b_most") == size),
+        "__paired": F.bit_count(d) < size,
+        "__near": near,
+        "__high_card": _first(looked_up(_top_five, d)),
+    }
+    return (first,)
+
+
+def _texture_told() -> Column:
+    high = F.when(F.col("__high_card") > 0, F.col("__high_card"))
+    near = F.col("__near")
+    return F.struct(F.col("__mono").alias("monotone"), (F.col("__b_most") >= 2).alias("two_tone"), F.col("__paired").alias("paired"), (near >= 2).alias("connected"), (near >= 3).alias("very_connected"), high.alias("high_card"))
+
+
+def textured(df: DataFrame, board: str, into: str) -> DataFrame:
+    """Adds ``into``, struct(monotone, two_tone, paired, connected, very_connected, high_card) of an array of at most five cards; an empty board has no high card."""
+    rows = _stepwise(df, {"__board": card_bits(F.col(board), 5)}, *_board_levels("__board"), *_texture())
+    return rows.withColumn(into, _texture_told()).select(*df.columns, into)
 
 
 def draw_bucket(n: Column) -> Column:
-    return F.when(n >= 10, "strong draw").when(n >= 3, "weak draw").otherwise("air")
-
-
-def placed(hole: Column, first: Column, second: Column, board: Column, size: Column) -> Column:
-    """struct(bucket, category, outs) of a coded hole of two ranks on a coded board of ``size`` cards."""
-
-    def told(x: Column) -> Column:
-        f, t, both = x["f"], x["t"], x["both"]
-        pair = _top(f["pairs"]) + 2
-        over = (first > t["high_card"]).cast("int") + (second > t["high_card"]).cast("int")
-        n = F.when(f["category"] == 0, outs_of(both, f["ranks"], over)).otherwise(0)
-        nut_card = _and(_right(hole["m"], 13 * f["flush"] + 12), 1) == 1
-        is_set = (first == second) & (_and(_right(board["n"], 4 * (first - 2)), 15) > 0)
-        kicker = F.greatest(F.when(first != pair, first).otherwise(0), F.when(second != pair, second).otherwise(0))
-        nuts, strong, medium, weak = (F.lit(b) for b in BUCKETS[:4])
-        made = (
-            F.when(f["category"] >= 6, nuts)
-            .when(f["category"] == 5, F.when(nut_card, nuts).when(t["monotone"], strong).otherwise(nuts))
-            .when(f["category"] == 4, F.when(t["paired"] | t["monotone"], strong).otherwise(nuts))
-            .when(f["category"] == 3, F.when(is_set & ~(t["monotone"] | t["very_connected"]), nuts).otherwise(strong))
-            .when(f["category"] == 2, F.when((size >= 4) & t["very_connected"], medium).otherwise(strong))
-            .otherwise(F.when(pair > t["high_card"], strong).when(pair == t["high_card"], F.when(kicker >= 11, strong).otherwise(medium)).otherwise(weak))
-        )
-        return let(n.cast("int"), lambda n: F.struct(F.when(f["category"] == 0, draw_bucket(n)).otherwise(made).alias("bucket"), f["category"].alias("category"), n.alias("outs"), t.alias("texture")))
-
-    both = together(hole, board)
-    return let(F.struct(both.alias("both"), facts(both).alias("f"), texture_of(board, size).alias("t")), told)
-
-
-def strength(hole: Column, board: Column) -> Column:
-    """struct(bucket, score, hand_type, outs, texture) of two hole cards on three to five board cards, both arrays of cards."""
-
-    def bound(x: Column) -> Column:
-        rank = lambda i: rank_value(F.get(x["hole"], F.lit(i)))
-        codes = F.struct(coded(x["hole"]).alias("h"), coded(x["board"]).alias("b"), rank(0).alias("r0"), rank(1).alias("r1"))
-        rated = let(codes, lambda c: placed(c["h"], c["r0"], c["r1"], c["b"], F.size(x["board"])))
-        return let(F.struct(rated.alias("p"), score(F.concat(x["hole"], x["board"])).alias("s")), lambda y: F.struct(y["p"]["bucket"].alias("bucket"), y["s"].alias("score"), y["s"]["name"].alias("hand_type"), y["p"]["outs"].alias("outs"), y["p"]["texture"].alias("board_texture")))
-
-    def checked(x: Column) -> Column:
-        ok = (F.size(x["hole"]) == 2) & F.size(x["board"]).between(3, 5)
-        return F.when(ok, bound(x)).otherwise(bad("needs two hole cards and three to five board cards"))
-
-    return let(F.struct(hole.alias("hole"), board.alias("board")), checked)
+    """Place in ``BUCKETS`` of a hand that made nothing, by its outs."""
+    return F.when(n >= 10, 4).when(n >= 3, 5).otherwise(6)
+
+
+def made_bucket(flush_card: Column) -> tuple[dict[str, Column], ...]:
+    """Steps to ``__outs`` and ``__bucket`` (a place in ``BUCKETS``).
+
+    Read are the levels of hole and board together, the texture, the ranks of the
+    hole (``__first`` and ``__second``) and whether it holds the ace of the flush's suit.
+    """
+    category, pair, top = F.col("__category"), F.col("__pair"), F.col("__high_card")
+    first, second = F.col("__first"), F.col("__second")
+    over = (first > top).cast("int") + (second > top).cast("int")
+    outs = F.when(F.col("__most") == 4, 9).otherwise(0) + looked_up(_run_outs, F.col("__g1")) + F.when(over == 2, 6).when(over == 1, 3).otherwise(0)
+    wet, mono = F.col("__near") >= 3, F.col("__mono")
+    is_set = (first == second) & (_and(F.col("__b_ranks"), _left(F.lit(1), first - 2)) != 0)
+    kicker = F.greatest(F.when(first != pair, first).otherwise(0), F.when(second != pair, second).otherwise(0))
+    made = (
+        F.when(category >= 6, 0)
+        .when(category == 5, F.when(mono & ~flush_card, 1).otherwise(0))
+        .when(category == 4, F.when(F.col("__paired") | mono, 1).otherwise(0))
+        .when(category == 3, F.when(is_set & ~(mono | wet), 0).otherwise(1))
+        .when(category == 2, F.when((F.col("__b_size") >= 4) & wet, 2).otherwise(1))
+        .when(category == 1, F.when(pair > top, 1).when(pair == top, F.when(kicker >= 11, 1).otherwise(2)).otherwise(3))
+        .otherwise(draw_bucket(F.col("__outs")))
+    )
+    return {"__outs": F.when(category == 0, outs).otherwise(0)}, {"__bucket": made}
+
+
+def rated_by_ranks() -> tuple[dict[str, Column], ...]:
+    """Steps to ``__bucket`` from levels, ``__first``, ``__second`` and the board's ranks, size and commonest suit, where no suit has five cards."""
+    return (*_texture(), *_named(), *made_bucket(F.lit(False)))
+
+
+def strengths(df: DataFrame, hole: str, board: str, into: str) -> DataFrame:
+    """Adds ``into``, struct(bucket, score, hand_type, outs, board_texture) of arrays of two hole cards and of three to five board cards; null where one of them is null."""
+    ok = (F.size(hole) == 2) & F.size(board).between(3, 5)
+    checked = lambda bits: F.when(ok, bits).when(F.col(hole).isNotNull() & F.col(board).isNotNull(), bad("needs two hole cards and three to five board cards").cast("long"))
+    ranks = {"__tops": looked_up(_top_five, _or(*[suit_bits(F.col("__hole"), k) for k in range(4)]))}
+    second = _second(F.col("__tops"))
+    rows = _stepwise(
+        df, {"__hole": checked(card_bits(F.col(hole), 2)), "__board": card_bits(F.col(board), 5)}, {"__bits": F.col("__hole").bitwiseOR(F.col("__board"))},
+        ranks, {"__first": _first(F.col("__tops")), "__second": F.when(second > 0, second).otherwise(_first(F.col("__tops")))},
+        *_board_levels("__board"), *_texture(), _held("__bits"), _levels(), *_named(), *_kicked(),
+    )
+    # the ace of the suit that makes the flush
+    ace = reduce(Column.__or__, [(F.bit_count(F.col(f"__s{k}")) >= 5) & (_and(_right(F.col("__hole"), 13 * k + 12), 1) == 1) for k in range(4)])
+    rows = _stepwise(rows, *made_bucket(ace), {"__score": _told()})
+    out = F.struct(F.get(F.array(*map(F.lit, BUCKETS)), F.col("__bucket")).alias("bucket"), F.col("__score").alias("score"), F.col("__score.name").alias("hand_type"), F.col("__outs").alias("outs"), _texture_told().alias("board_texture"))
+    return rows.withColumn(into, F.when(F.col("__hole").isNotNull(), out)).select(*df.columns, into)

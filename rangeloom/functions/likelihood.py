@@ -43,6 +43,16 @@ def class_names() -> list[str]:
     return [a + b + s for i, a in enumerate(RANKS) for b in RANKS[i:] for s in ([""] if a == b else ["s", "o"])]
 
 
+#: Kinds of classes by the cards that they hold.
+PAIR, SUITED, OFFSUIT = range(3)
+
+
+def class_shapes() -> Column:
+    """The 169 classes in class order as a constant array of struct(kind, high, low): ranks from 0 on."""
+    one = lambda c: F.struct(F.lit(PAIR if len(c) == 2 else SUITED if c[2] == "s" else OFFSUIT).alias("kind"), F.lit(12 - RANKS.index(c[0])).alias("high"), F.lit(12 - RANKS.index(c[1])).alias("low"))
+    return F.array(*map(one, class_names()))
+
+
 def class_features(name: Column) -> list[Column]:
     """high, low, pair, suited, gap, broadways, has_ace and strength of a class name."""
     value = lambda i: F.lit(15) - F.instr(F.lit(RANKS), F.substring(name, i, 1))

@@ -2,61 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import BUCKETS, bad, cards, coded, placed, rank_value, strength
-from rangeloom.functions.likelihood import combos, psi_table
+from rangeloom.functions.cards import BUCKETS, RANKS, bad, best_run, card_bits, cards, let, listed, looked_up, rated_by_ranks, strengths, suit_bits, suits_at
+from rangeloom.functions.likelihood import OFFSUIT, PAIR, SUITED, class_names, class_shapes, psi_table
 from rangeloom.sources.shared import written
 
 
-def class_combos(spark: SparkSession) -> DataFrame:
-    """169 rows (class_id, high, low, combos): each class with its ranks and its coded combos in suit order."""
-    rows = combos(spark).withColumn("code", coded(F.array("c1", "c2")))
-    one = F.struct("combo_order", "c1", "c2", "code")
-    listed = rows.groupBy("class_id").agg(F.sort_array(F.collect_list(one)).alias("combos"))
-    return listed.select("class_id", *[rank_value(F.get("combos", F.lit(0))[c]).alias(k) for k, c in (("high", "c1"), ("low", "c2"))], "combos")
-
+def _representatives() -> list[int]:
+    """For each kind and each set of suits gone at the high and at the low rank: the suits of the first free combo as first + 4 * second; -1 if none is free."""
+    out = []
+    for kind in (PAIR, SUITED, OFFSUIT):
+        for high in range(16):
+            for low in range(16):
+                free = [(i, j) for i in range(4) for j in range(4) if not high >> i & 1 and not low >> j & 1 and (i < j if kind == PAIR else (i == j) == (kind == SUITED))]
+                out.append(free[0][0] + 4 * free[0][1] if free else -1)
+    return out
 
-def representative_combos(boards: DataFrame) -> DataFrame:
-    """(board, __code, __size, class_id, high, low, first): the first combo of each class, in suit order, that the board leaves; null if none is left.
 
-    Boards are read and coded once each and spread over all cores; a combo is free if it shares no bit with the board.
-    """
-    known = boards.select("board").distinct().withColumn("__b", cards(F.col("board")))
-    known = known.select("board", coded(F.col("__b")).alias("__code"), F.size("__b").alias("__size")).repartition(4 * boards.sparkSession.sparkContext.defaultParallelism, "board")
-    rows = known.crossJoin(F.broadcast(class_combos(boards.sparkSession)))
-    free = F.filter("combos", lambda x: x["code"]["m"].bitwiseAND(F.col("__code.m")) == 0)
-    return rows.select("board", "__code", "__size", "class_id", "high", "low", F.get(free, F.lit(0)).alias("first"))
+def representative(shape: Column, gone: Column) -> Column:
+    """Suits of a class's first combo, in suit order, that an array of 13 sets of gone suits leaves: first + 4 * second, or -1."""
+    return F.get(listed(_representatives()), shape["kind"] * 256 + F.get(gone, shape["high"]) * 16 + F.get(gone, shape["low"]))
 
 
-def strengths_of(boards: DataFrame) -> DataFrame:
-    """(board, class_id, strength): strength of each class on each distinct board; null where it cannot be told.
+def rank_boards(boards: DataFrame) -> DataFrame:
+    """(ranks, mono, plain, four): strengths of the 169 classes on each distinct board by ranks, where suits make no flush; bytes in class order.
 
-    The order of a board's cards does not count, so each set of cards is rated once; what is rated is kept in the shared folder.
+    ``ranks`` counts a board's ranks in three bits each and ``mono`` tells boards of one suit. ``four`` is for holes that
+    have four cards of a suit with the board. Three to five cards have at most 8,450 counts of ranks, so the product
+    with the classes and the result (at most 16,900 rows of 350 bytes) are bounded whatever the table.
+    """
+    spark = boards.sparkSession
+    shapes = spark.createDataFrame([(i, c) for i, c in enumerate(class_names())], "class_id int, hand_class string").coalesce(1)
+    value = lambda i: F.lit(13) - F.instr(F.lit(RANKS), F.substring("hand_class", i, 1))
+    shapes = shapes.select("class_id", value(1).alias("high"), value(2).alias("low"))
+    flags = spark.createDataFrame([(False,), (True,)], "four boolean").coalesce(1)
+    known = boards.select("ranks", "mono").distinct()
+    held = lambda k: reduce(Column.bitwiseOR, [F.when(F.call_function("shiftright", F.col("ranks"), F.lit(3 * r)).bitwiseAND(F.lit(7)) >= k, 1 << r).otherwise(0) for r in range(13)])
+    size = sum([F.call_function("shiftright", F.col("ranks"), F.lit(3 * r)).bitwiseAND(F.lit(7)).cast("int") for r in range(1, 13)], F.col("ranks").bitwiseAND(F.lit(7)).cast("int"))
+    known = known.withColumns({f"__n{k}": held(k) for k in (1, 2, 3, 4)} | {"__b_size": size})
+    rows = known.crossJoin(F.broadcast(flags.crossJoin(shapes)))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.col(c))
+    rows = rows.withColumn("__own", bit("high").bitwiseOR(bit("low"))).withColumn("__twice", F.when(F.col("high") == F.col("low"), bit("high")).otherwise(0))
+    n = lambda k: F.col(f"__n{k}")
+    own, twice = F.col("__own"), F.col("__twice")
+    levels = {"__g1": n(1).bitwiseOR(own), "__g2": n(2).bitwiseOR(n(1).bitwiseAND(own)).bitwiseOR(twice)}
+    levels |= {f"__g{k}": n(k).bitwiseOR(n(k - 1).bitwiseAND(own)).bitwiseOR(n(k - 2).bitwiseAND(twice)) for k in (3, 4)}
+    board = {"__b_ranks": n(1), "__b_most": F.when(F.col("mono"), F.col("__b_size")).otherwise(0), "__flush": F.lit(0), "__most": F.when(F.col("four"), 4).otherwise(0)}
+    rows = rows.withColumns(levels | board | {"__first": F.col("high") + 2, "__second": F.col("low") + 2})
+    for step in rated_by_ranks():
+        rows = rows.withColumns(step)
+    one = F.struct("class_id", F.col("__bucket").cast("tinyint").alias("b"))
+    vector = lambda four: F.transform(F.sort_array(F.collect_list(F.when(F.col("four") == four, one))), lambda x: x["b"])
+    return rows.groupBy("ranks", "mono").agg(vector(False).alias("plain"), vector(True).alias("four"))
+
+
+def strength_vectors(boards: DataFrame) -> DataFrame:
+    """(board, strengths): for each distinct board the places in ``BUCKETS`` of the 169 classes, bytes in class order; -1 where a class has no combo left.
+
+    A class stands for its first combo in suit order that the board leaves. Boards are told apart as sets of cards.
+    By ranks alone a class is rated once for all boards that share them (``rank_boards``); what a board adds is which
+    of its classes make a flush, or four to one. A board of other than three to five cards has no strengths.
     """
-    known = boards.select("board").distinct().withColumn("__set", F.array_join(F.array_sort(cards(F.col("board"))), ""))
-    rated = representative_combos(known.select(F.col("__set").alias("board")))
-    ok = F.col("first").isNotNull() & F.col("__size").between(3, 5)
-    found = F.when(ok, placed(F.col("first.code"), F.col("high"), F.col("low"), F.col("__code"), F.col("__size"))["bucket"])
-    rated = written(rated.select(F.col("board").alias("__set"), "class_id", found.alias("strength")), "strengths")
-    return known.join(rated, "__set").drop("__set")
+    known = boards.select("board").distinct().withColumn("__set", card_bits(cards(F.col("board"))))
+    sets = known.select("__set").distinct().filter(F.bit_count("__set").between(3, 5))
+    bits = F.col("__set")
+    held = {f"__s{k}": suit_bits(bits, k) for k in range(4)}
+    counts = [F.bit_count(f"__s{k}") for k in range(4)]
+    per_rank = [F.call_function("shiftleft", F.bit_count(suits_at(bits, r)).cast("long"), F.lit(3 * r)) for r in range(13)]
+    sets = sets.withColumns(held).withColumns({
+        "__n": F.array(*counts), "__most": F.greatest(*counts), "__gone": F.array(*[suits_at(bits, r) for r in range(13)]), "ranks": reduce(Column.bitwiseOR, per_rank), "mono": F.greatest(*counts) == F.bit_count(bits),
+    })
+    sets = written(sets, "boards")
+    met = sets.join(F.broadcast(written(rank_boards(sets), "rank-boards")), ["ranks", "mono"])
+    suits = F.array(*[F.col(f"__s{k}") for k in range(4)])
+    ace = F.lit(12)
+
+    def flush(shape: Column, first: Column, second: Column) -> Column:
+        """Strength of a class that makes a flush; the flush is of a suit that it holds, or of the board alone."""
+        own = lambda s: F.get(suits, s)
+        with_hole = lambda k: F.get(suits, F.lit(k)).bitwiseOR(F.when(first == k, F.call_function("shiftleft", F.lit(1), shape["high"])).otherwise(0)).bitwiseOR(F.when(second == k, F.call_function("shiftleft", F.lit(1), shape["low"])).otherwise(0))
+        in_suit = lambda k: F.bit_count(with_hole(k)) >= 5
+        whole = F.when(in_suit(0), with_hole(0)).when(in_suit(1), with_hole(1)).when(in_suit(2), with_hole(2)).otherwise(with_hole(3))
+        suit = F.when(in_suit(0), 0).when(in_suit(1), 1).when(in_suit(2), 2).otherwise(3)
+        nut = ((first == suit) & (shape["high"] == ace)) | ((second == suit) & (shape["low"] == ace))
+        return F.when(nut | ~F.col("mono") | (looked_up(best_run, whole) > 0), 0).otherwise(1)
+
+    def of_class(shape: Column, i: Column) -> Column:
+        def told(combo: Column) -> Column:
+            first, second = combo.bitwiseAND(F.lit(3)), F.call_function("shiftright", combo, F.lit(2))
+            n = lambda s: F.get("__n", s)
+            same = F.greatest(n(first) + 2, F.col("__most"))
+            apart = F.greatest(n(first) + 1, n(second) + 1, F.col("__most"))
+            most = F.when(first == second, same).otherwise(apart)
+            known = F.when(most >= 5, flush(shape, first, second).cast("tinyint")).when(most == 4, F.get("four", i)).otherwise(F.get("plain", i))
+            return F.when(combo < 0, F.lit(-1).cast("tinyint")).otherwise(known)
+
+        return let(representative(shape, F.col("__gone")), told)
+
+    rated = met.select("__set", F.transform(class_shapes(), of_class).alias("strengths"))
+    return known.join(rated, "__set").select("board", "strengths")
 
 
 def collapse(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bucket_idx, strength, p) from rows (keys, board, class_id, p): all seven strengths of each group.
+    """(keys, bucket_idx, strength, p) from rows (keys, board, p) with p as an array in class order: all seven strengths of each row.
 
-    Mass of classes without a strength is shared in proportion; a group without any is uniform.
+    Mass of classes without a combo is shared in proportion; a row without any mass, or whose board has no strengths, is uniform.
     """
-    spark = ranges.sparkSession
-    names = spark.createDataFrame(list(enumerate(BUCKETS)), "bucket_idx int, strength string").coalesce(1)
-    held = ranges.join(strengths_of(ranges), ["board", "class_id"]).filter("strength is not null and p > 0")
-    mass = held.groupBy(*keys, "strength").agg(F.sum("p").alias("m"))
-    every = ranges.select(*keys).distinct().crossJoin(F.broadcast(names)).join(mass, [*keys, "strength"], "left")
-    total = F.sum("m").over(Window.partitionBy(*keys))
-    p = F.when(F.coalesce(total, F.lit(0.0)) > 0, F.coalesce("m", F.lit(0.0)) / total).otherwise(1 / 7)
-    return every.select(*keys, "bucket_idx", "strength", p.alias("p"))
+    rated = ranges.join(strength_vectors(ranges), "board", "left")
+    mass = lambda k: F.aggregate(F.zip_with("p", "strengths", lambda p, s: F.when((s == k) & (p > 0), p).otherwise(0.0)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    rated = rated.select(*keys, F.array(*[F.coalesce(mass(k), F.lit(0.0)) for k in range(7)]).alias("m"))
+    rated = rated.withColumn("z", F.aggregate("m", F.lit(0.0), lambda a, x: a + x))
+    p = F.when(F.col("z") > 0, F.col("x") / F.col("z")).otherwise(1 / 7)
+    return rated.select(*keys, "z", F.posexplode("m").alias("bucket_idx", "x")).select(*keys, "bucket_idx", F.get(F.array(*map(F.lit, BUCKETS)), F.col("bucket_idx")).alias("strength"), p.alias("p"))
 
 
 def strength_filter(start: DataFrame, actions: DataFrame, keys: list[str], phi: float = 0.0) -> DataFrame:
@@ -129,5 +191,5 @@ def live_strengths(snapshots: DataFrame, holes: DataFrame) -> DataFrame:
     live = snapshots.select("path", "seq", "board", F.explode(seats).alias("s")).select("path", "seq", "board", F.col("s.player").alias("player"))
     live = live.join(holes.select("path", "player", F.col("cards").alias("hole")), ["path", "player"], "left")
     distinct = live.select("hole", "board").distinct().filter("hole <> '' and board <> ''")
-    rated = distinct.withColumn("rated", strength(cards(F.col("hole")), cards(F.col("board"))))
+    rated = strengths(distinct.withColumns({"__h": cards(F.col("hole")), "__c": cards(F.col("board"))}), "__h", "__c", "rated").drop("__h", "__c")
     return live.join(rated, ["hole", "board"], "left").select("path", "seq", "player", "hole", "board", "rated")

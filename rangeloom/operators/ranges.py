@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import bad, cards, hand_class, let
-from rangeloom.functions.likelihood import FLOOR, action_table, class_names, combos, hand_classes
+from rangeloom.functions.cards import bad, cards, hand_class, let, suits_at, text_bits
+from rangeloom.functions.likelihood import FLOOR, PAIR, SUITED, action_table, class_names, class_shapes
 
 
 def combo_count(name: Column) -> Column:
@@ -26,19 +26,39 @@ def combo_count(name: Column) -> Column:
     return F.when(F.length(name) == 2, 6).when(F.substring(name, 3, 1) == "s", 4).otherwise(12)
 
 
-def priors(dead: DataFrame) -> DataFrame:
-    """(dead, class_id, hand_class, combos, prior) for each distinct string of dead cards; classes without a combo stay with 0.
+def counts_left(bits: Column) -> tuple[Column, Column]:
+    """(free, counts): the free suits of each rank, to be kept as ``__free``, and from these the combos of the 169 classes, in class order, that a set of dead cards of any size leaves.
 
-    Any number of cards can be dead; of an observer's two at most 2,652 strings exist, so the product with the combos is small.
+    A pair has as many as two of its rank's free suits can be chosen, a suited class as many as suits are free at both
+    ranks, an offsuit one the other products of free suits. ``bits`` is read for each rank, so it should be a column.
     """
-    spark = dead.sparkSession
-    known = dead.select("dead").distinct().withColumn("__d", F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length("dead") / 2) - 1, F.lit(0)).cast("int")), lambda i: F.upper(F.substring("dead", i * 2 + 1, F.lit(2)))))
-    legal = ~F.array_contains("__d", F.col("c1")) & ~F.array_contains("__d", F.col("c2"))
-    counted = known.crossJoin(F.broadcast(combos(spark))).groupBy("dead", "class_id").agg(F.sum(legal.cast("int")).alias("combos"))
-    total = F.sum("combos").over(Window.partitionBy("dead"))
-    named = counted.join(F.broadcast(hand_classes(spark).select("class_id", "hand_class")), "class_id")
-    share = F.when(total > 0, F.col("combos") / total).otherwise(bad("no legal combos: ", F.col("dead")).cast("double"))
-    return named.select("dead", "class_id", "hand_class", "combos", share.alias("prior"))
+    free = F.array(*[F.lit(15).bitwiseXOR(suits_at(bits, r)) for r in range(13)])
+    pairs = F.array(*map(F.lit, (0, 0, 1, 3, 6)))
+
+    def left(shape: Column) -> Column:
+        high, low = F.get(F.col("__free"), shape["high"]), F.get(F.col("__free"), shape["low"])
+        both = F.bit_count(high.bitwiseAND(low))
+        return F.when(shape["kind"] == PAIR, F.get(pairs, both)).when(shape["kind"] == SUITED, both).otherwise(F.bit_count(high) * F.bit_count(low) - both)
+
+    return free, F.transform(class_shapes(), left)
+
+
+def prior_counts(dead: DataFrame) -> DataFrame:
+    """(dead, counts, total) for each distinct string of dead cards: the combos left in class order, and their sum.
+
+    Any number of cards can be dead, an observer's two or a board as well; each string is one row and meets no table of combos.
+    """
+    free, counts = counts_left(F.col("__bits"))
+    known = dead.select("dead").distinct().withColumn("__bits", text_bits(F.col("dead"))).withColumn("__free", free).select("dead", counts.alias("counts"))
+    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    return known.withColumn("total", F.when(total > 0, total).otherwise(bad("no legal combos: ", F.col("dead")).cast("int")))
+
+
+def priors(dead: DataFrame) -> DataFrame:
+    """(dead, class_id, hand_class, combos, prior): ``prior_counts`` in long form; classes without a combo stay with 0."""
+    names = F.array(*map(F.lit, class_names()))
+    long = prior_counts(dead).select("dead", "total", F.posexplode("counts").alias("class_id", "combos"))
+    return long.select("dead", "class_id", F.get(names, F.col("class_id")).alias("hand_class"), "combos", (F.col("combos") / F.col("total")).alias("prior"))
 
 
 def decisions(replayed: DataFrame) -> DataFrame:
@@ -92,8 +112,7 @@ def summed(made: DataFrame, table: DataFrame, keys: list[str], keep: tuple[str,
 def prior_vectors(observed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """(dead, prior): the prior of each distinct string of dead cards as an array in class order; ``initial`` (class_id, weight) replaces it."""
     if initial is None:
-        rows = priors(observed).select("dead", "class_id", "prior")
-        return rows.groupBy("dead").agg(F.transform(F.sort_array(F.collect_list(F.struct("class_id", "prior"))), lambda x: x["prior"]).alias("prior"))
+        return prior_counts(observed).select("dead", F.transform("counts", lambda n: n / F.col("total")).alias("prior"))
     given = F.map_from_entries(F.collect_list(F.struct("class_id", F.col("weight").cast("double"))))
     listed = initial.agg(given.alias("m"), F.sum("weight").alias("t"))
     share = F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.lit(168)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("t")))

@@ -24,32 +24,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drawn(key: Column, n: int) -> Column:
-    """``n`` different card numbers (0 to 51) drawn from a key: an integer generator picks among what is left of the deck."""
-    x, out = key.cast("long"), []
+def with_cards(df: DataFrame, key: str, n: int, into: str = "cards") -> DataFrame:
+    """Adds ``into``, ``n`` different cards drawn from a key: an integer generator picks among what is left of the deck.
+
+    A draw counts the cards that are left: it moves up by each taken card that comes at or before it, which is told
+    from the taken cards in their order. Drawn one by one as columns, so that generated code does it.
+    """
+    rows, taken = df.withColumn("__x", F.col(key).cast("long")), []
     for i in range(n):
-        x = (x * 1103515245 + 12345) % 2147483648
-        out.append(x)
-    numbers = F.transform(F.array(*out), lambda x, i: F.floor(x / 65536).cast("int") % (52 - i))
-    # a place counts the cards that are left: each taken card at or below it moves it up
-    card = lambda taken, place: F.aggregate(F.array_sort(taken), place, lambda p, t: F.when(t <= p, p + 1).otherwise(p))
-    return F.aggregate(numbers, F.array().cast("array<int>"), lambda taken, place: F.concat(taken, F.array(card(taken, place))))
+        rows = rows.withColumn("__x", (F.col("__x") * 1103515245 + 12345) % 2147483648)
+        rows = rows.withColumn("__at", F.floor(F.col("__x") / 65536).cast("int") % (52 - i))
+        before = [(F.col(f"__t{j}") - j <= F.col("__at")).cast("int") for j in range(i)]
+        rows = rows.withColumn(f"__c{i}", sum(before, F.col("__at")))
+        c = F.col(f"__c{i}")
+        taken = [F.col(f"__t{j}") for j in range(i)]
+        # the new card at its place among those taken
+        rows = rows.withColumns({f"__t{j}": F.greatest(taken[j - 1], F.least(taken[j], c)) if 0 < j < i else F.least(taken[0], c) if j < i else F.greatest(taken[j - 1], c) if i else c for j in range(i + 1)})
+    return rows.withColumn(into, F.array(*[card_name(F.col(f"__c{i}")) for i in range(n)])).select(*df.columns, into)
 
 
-def card_names(numbers: Column) -> Column:
-    name = lambda c: F.concat(F.substring(F.lit(RANKS), F.lit(13) - c % 13, F.lit(1)), F.substring(F.lit(SUITS), F.floor(c / 13).cast("int") + 1, F.lit(1)))
-    return F.transform(numbers, name)
+def card_name(c: Column) -> Column:
+    return F.concat(F.substring(F.lit(RANKS), F.lit(13) - c % 13, F.lit(1)), F.substring(F.lit(SUITS), F.floor(c / 13).cast("int") + 1, F.lit(1)))
 
 
 def deals(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
     """(key, cards): seven different cards for each key of a table.
 
-    Rating cards costs far more than moving keys, so keys of a table in few files are spread over all cores first.
+    Rating cards costs far more than moving keys, so the keys of a table in few files are spread first.
     """
-    keys, cores = read(spark, sf_dir, table).select(key), spark.sparkContext.defaultParallelism
-    if keys.rdd.getNumPartitions() < cores:
-        keys = keys.repartition(4 * cores)
-    return keys.select(key, card_names(drawn(F.col(key), 7)).alias("cards"))
+    keys = read(spark, sf_dir, table).select(key)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if keys.rdd.getNumPartitions() < spread:
+        keys = keys.repartition(spread)
+    return with_cards(keys, key, 7)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +82,7 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     action = F.concat(F.lit("p"), seat.cast("string"), F.lit(" "), verb)
     grouped = log.groupBy("path").agg(F.first("user_id").alias("user_id"), F.min("event_id").alias("key"), F.sort_array(F.collect_list(F.struct(s.alias("s"), action.alias("a")))).alias("acts"))
-    grouped = grouped.withColumn("n", (F.col("user_id") % 5 + 2).cast("int")).withColumn("cards", card_names(drawn(F.col("key"), 20)))
+    grouped = with_cards(grouped.withColumn("n", (F.col("user_id") % 5 + 2).cast("int")), "key", 20)
     card = lambda i: F.get("cards", i)
     holes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("d dh p"), i.cast("string"), F.lit(" "), card(2 * i - 2), card(2 * i - 1)))
     street = lambda x: F.floor((x["s"] - 1) / 2).cast("int")

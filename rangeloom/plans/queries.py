@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeloom.functions import keys as K
-from rangeloom.functions.cards import BUCKETS, cards, hand_class, score, strength, texture
+from rangeloom.functions.cards import BUCKETS, cards, hand_class, scored, strengths, textured
 from rangeloom.functions.likelihood import action_table, hand_classes, psi_table
 from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
@@ -107,24 +107,26 @@ def q_range_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = deals(spark, sf_dir).withColumn("s", score(F.col("cards")))
-    return d.select("o_orderkey", F.array_join("cards", "").alias("cards"), F.col("s.category").alias("category"), F.array_join(F.transform("s.kickers", lambda k: k.cast("string")), ",").alias("kickers"))
+    d = scored(deals(spark, sf_dir), "cards", "s")
+    return d.select("o_orderkey", F.array_join("cards", "").alias("cards"), F.col("s.category").alias("category"), F.array_join(F.col("s.kickers").cast("array<string>"), ",").alias("kickers"))
+
+
+def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deals(spark, sf_dir).select("o_orderkey", F.slice("cards", 1, 2).alias("hole"), F.slice("cards", 3, 5).alias("board"))
 
 
 def q_board_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deals(spark, sf_dir).select("o_orderkey", texture(F.slice("cards", 3, 5)).alias("t")).select("o_orderkey", "t.monotone", "t.two_tone", "t.paired", "t.connected", "t.very_connected", "t.high_card")
+    return textured(_parted(spark, sf_dir), "board", "t").select("o_orderkey", "t.monotone", "t.two_tone", "t.paired", "t.connected", "t.very_connected", "t.high_card")
 
 
 def q_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = deals(spark, sf_dir).select("o_orderkey", strength(F.slice("cards", 1, 2), F.slice("cards", 3, 5)).alias("s"))
-    return d.select("o_orderkey", "s.bucket", "s.hand_type", "s.outs")
+    return strengths(_parted(spark, sf_dir), "hole", "board", "s").select("o_orderkey", "s.bucket", "s.hand_type", "s.outs")
 
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flops that the order keys deal, each against a uniform range."""
-    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().crossJoin(F.broadcast(hand_classes(spark).select("class_id")))
-    total = F.lit(169.0)
-    out = P.collapse(board.withColumn("p", 1 / total).withColumn("k", F.col("board")), ["k"])
+    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct()
+    out = P.collapse(board.withColumn("p", F.array_repeat(F.lit(1 / 169), 169)).withColumn("k", F.col("board")), ["k"])
     return out.select(F.col("k").alias("board"), "bucket_idx", "strength", F.round("p", 9).alias("p"))
 
 

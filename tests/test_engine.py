@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from rangeloom.functions import keys as K
-from rangeloom.functions.cards import RANKS, SUITS, cards, hand_class, score, strength, texture
-from rangeloom.functions.likelihood import action_table, combos, hand_classes, psi_table, table_map
+from rangeloom.functions.cards import BUCKETS, RANKS, SUITS, card_bits, cards, hand_class, scored, strengths, suit_bits, suits_at, textured
+from rangeloom.functions.likelihood import action_table, class_names, combos, hand_classes, psi_table, table_map
 from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
 from rangeloom.operators.replay import betting_history, boards, hole_cards, replay, states, tokens
@@ -172,8 +172,13 @@ def test_evaluator_against_all_subsets(spark):
     small = [r + s for r in "A5432" for s in SUITS]
     hands = [rng.sample(deck if k % 3 else small, rng.choice([5, 6, 7])) for k in range(1500)] + [rng.sample([r + "S" for r in RANKS] + small, 7) for _ in range(500)]
     df = spark.createDataFrame([(h,) for h in hands if len(set(h)) == len(h)], "h array<string>")
-    for r in df.select("h", score(F.col("h")).alias("s")).collect():
+    rated = scored(df, "h", "s").collect()
+    for r in rated:
         assert (r.s.category, r.s.kickers) == max(five(c) for c in itertools.combinations(r.h, 5))
+    # codes order hands as categories and kickers do
+    assert sorted((r.s.category, r.s.kickers) for r in rated) == [(r.s.category, r.s.kickers) for r in sorted(rated, key=lambda r: r.s.code)]
+    with pytest.raises(Exception, match="five to seven"):
+        scored(spark.createDataFrame([(["AS"] * 4,)], "h array<string>"), "h", "s").collect()
 
 
 def test_strengths(spark):
@@ -183,10 +188,76 @@ def test_strengths(spark):
         ("AhKd", "QhJhTh8h2h", "flush", "nuts/near-nuts", 0), ("7s7d", "7c8d9h", "trips", "nuts/near-nuts", 0), ("Th9h", "8c7d2s", "high_card", "strong draw", 14),
     ]
     df = spark.createDataFrame(rows, "hole string, board string, name string, bucket string, outs int")
-    for r in df.withColumn("s", strength(cards(F.col("hole")), cards(F.col("board")))).collect():
+    rated = strengths(df.withColumns({"h": cards(F.col("hole")), "b": cards(F.col("board"))}), "h", "b", "s")
+    for r in rated.collect():
         assert (r.s.hand_type, r.s.bucket, r.s.outs) == (r.name, r.bucket, r.outs)
-    t = spark.range(1).select(texture(cards(F.lit("2h3h4h"))).alias("t"), texture(F.array().cast("array<string>")).alias("e")).first()
+    boards_ = spark.range(1).select(cards(F.lit("2h3h4h")).alias("b"), F.array().cast("array<string>").alias("none"))
+    t = textured(textured(boards_, "b", "t"), "none", "e").first()
     assert t.t.asDict() == {"monotone": True, "two_tone": True, "paired": False, "connected": True, "very_connected": False, "high_card": 4} and t.e.high_card is None
+    with pytest.raises(Exception, match="two hole cards"):
+        strengths(boards_.withColumn("h", F.array(F.lit("AS"))), "h", "b", "s").collect()
+
+
+def one_class(name, board):
+    """The class's first combo in suit order that the board leaves."""
+    for i, a in enumerate(SUITS):
+        for j, b in enumerate(SUITS):
+            if (i < j if len(name) == 2 else (i == j) == (name[2] == "s")) and not {name[0] + a, name[1] + b} & set(board):
+                return [name[0] + a, name[1] + b]
+    return None
+
+
+def test_strength_vectors_against_rated_combos(spark):
+    rng = random.Random(4)
+    deck = [r + s for r in RANKS for s in SUITS]
+    suited = [r + s for r in RANKS for s in "SD"]
+    some = [rng.sample(deck if k % 3 else suited, rng.choice([3, 4, 5])) for k in range(60)]
+    some += [["AS", "AH", "AD"], ["AS", "AH", "AD", "AC"], ["2C", "3C", "4C", "5C", "6C"], ["KD", "QD", "JD", "TD"], ["5H", "5S", "5D", "9H", "9C"], ["2S", "3S", "4S"]]
+    df = spark.createDataFrame([("".join(b),) for b in some] + [("AhKd",), ("",)], "board string")
+    got = {r.board: r.strengths for r in P.strength_vectors(df).collect()}
+    assert set(got) == {"".join(b) for b in some}
+    asked = [("".join(b), b, i, one_class(c, b)) for b in some for i, c in enumerate(class_names())]
+    rows = spark.createDataFrame([x for x in asked if x[3]], "board string, cards array<string>, class_id int, hole array<string>")
+    want = {b: [-1] * 169 for b in got}
+    for r in strengths(rows, "hole", "cards", "s").collect():
+        want[r.board][r.class_id] = BUCKETS.index(r.s.bucket)
+    assert got == want
+
+
+def test_ratings_are_shared_by_ranks(spark):
+    deck = [r + s for r in RANKS for s in SUITS]
+    flops = spark.createDataFrame([("".join(c),) for c in itertools.combinations(deck, 3)], "board string")
+    vectors = P.strength_vectors(flops)
+    assert vectors.count() == 22_100
+    bits = card_bits(cards(F.col("board")))
+    per_rank = [F.call_function("shiftleft", F.bit_count(suits_at(F.col("x"), r)).cast("long"), F.lit(3 * r)) for r in range(13)]
+    sets = flops.select(bits.alias("x")).select(sum(per_rank[1:], per_rank[0]).alias("ranks"), (F.greatest(*[F.bit_count(suit_bits(F.col("x"), k)) for k in range(4)]) == 3).alias("mono"))
+    rated = P.rank_boards(sets).count() * 2 * 169
+    assert rated * 10 < 22_100 * 169
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" not in plan
+
+
+def test_priors_with_any_dead_cards(spark):
+    rng = random.Random(2)
+    deck = [r + s for r in RANKS for s in SUITS]
+    dead = [rng.sample(deck, rng.choice([0, 1, 2, 5, 7, 30])) for _ in range(30)]
+    pairs = [(class_names().index(one), a, b) for a, b in itertools.combinations(deck, 2) for one in [name_of(a, b)]]
+    got = {}
+    for r in R.priors(spark.createDataFrame([("".join(d),) for d in dead], "dead string")).collect():
+        got.setdefault(r.dead, [None] * 169)[r.class_id] = (r.combos, r.prior)
+    for d in dead:
+        n = [0] * 169
+        for k, a, b in pairs:
+            n[k] += a not in d and b not in d
+        assert got["".join(d)] == [(x, x / sum(n)) for x in n]
+    with pytest.raises(Exception, match="no legal combos"):
+        R.priors(spark.createDataFrame([("".join(deck[1:]),)], "dead string")).collect()
+
+
+def name_of(a, b):
+    hi, lo = sorted((a, b), key=lambda c: RANKS.index(c[0]))
+    return hi[0] + lo[0] + ("" if hi[0] == lo[0] else "s" if hi[1] == lo[1] else "o")
 
 
 @pytest.mark.parametrize("text", ["1h2h", "AxKd", "Ah2", "AhAh"])
@@ -210,7 +281,7 @@ def test_labels(spark):
 def test_collapse_and_strength_filter(spark):
     hands = one_hand(spark, "30/12")
     t = tokens(hands)
-    ranged = R.posteriors(R.decisions(replay(t)), R.pairs(hands, hole_cards(t), ["Gogo"], ["Pluribus"]))
+    ranged = R.range_vectors(R.decisions(replay(t)), R.pairs(hands, hole_cards(t), ["Gogo"], ["Pluribus"]))
     want = {"3dQc2c": [0.013708860349, 0.079120807665, 0.068806233135, 0.261509817151, 0.013229927345, 0.26315328983, 0.300471064524], "QsQhQd": [0.192939483722, 0.807060516278, 0, 0, 0, 0, 0], "": [1 / 7] * 7}
     both = ranged.crossJoin(spark.createDataFrame([(b,) for b in want], "board string")).withColumn("k", F.col("board"))
     got = {}
