@@ -6,7 +6,9 @@ around it; a vote is +1, -1 or 0 (abstains). For each kind of span,
 expectation-maximisation over the counts of vote patterns estimates how reliable
 each labeler that votes on that kind is and gives each pattern a probability; at
 least three labelers can vote on every kind, without which their reliabilities
-would not be determined. With these as soft labels a naive Bayes classifier over
+would not be determined. Some votes against are no opinion but a proof (a wrong
+check digit, a number that is given to nobody): patterns that hold one keep a
+probability near 0 throughout, so that no majority of the others can outvote them. With these as soft labels a naive Bayes classifier over
 the candidate's features is trained, and it decides on the final spans. Spans of
 the base definition are always kept; the classifier adds others that overlap none.
 
@@ -51,6 +53,8 @@ PERSONAL_WORDS = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|card|
 OTHER_WORDS = r"(?i)\b(?:version|release|isbn|section|chapter|figure|table|page|build|item|no)\b"
 
 LABELERS = ("strict", "checksum", "gazetteer", "context", "neighbours")
+#: Labelers whose vote against a kind proves that a match is none of it, and the probability that such matches keep.
+PROOFS, DISPROVED = {"card": ("strict", "checksum"), "ip": ("strict",), "phone": ("strict",), "national_id": ("strict",)}, 0.001
 #: Features are named; each has the values that ``features`` can give.
 EM_STEPS, ACCEPT = 60, 0.5
 CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<int>,features:array<string>>>"
@@ -161,12 +165,16 @@ class Model:
     bias: float
 
 
-def em(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS) -> tuple[float, list, dict[tuple[int, ...], float]]:
-    """Two-class EM over counts of vote patterns; returns prior, P(vote | class) of each labeler, and P(true | pattern)."""
+def em(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS, proofs: tuple[int, ...] = ()) -> tuple[float, list, dict[tuple[int, ...], float]]:
+    """Two-class EM over counts of vote patterns; returns prior, P(vote | class) of each labeler, and P(true | pattern).
+
+    Patterns in which one of the labelers ``proofs`` votes against stay at ``DISPROVED``.
+    """
     total = sum(patterns.values())
     width = len(next(iter(patterns), ()))
     # starts from the majority's vote, softened
-    truth = {p: 1 / (1 + math.exp(-sum(p))) for p in patterns}
+    disproved = {p for p in patterns if any(p[j] < 0 for j in proofs)}
+    truth = {p: DISPROVED if p in disproved else 1 / (1 + math.exp(-sum(p))) for p in patterns}
     prior, table = 0.5, [[[1 / 3] * 3, [1 / 3] * 3] for _ in range(width)]
     for _ in range(steps):
         prior = (sum(n * truth[p] for p, n in patterns.items()) + 1) / (total + 2)
@@ -176,7 +184,7 @@ def em(patterns: dict[tuple[int, ...], int], steps: int = EM_STEPS) -> tuple[flo
                 for p, n in patterns.items():
                     mass[p[j] + 1] += n * (truth[p] if z else 1 - truth[p])
                 table[j][z] = [m / sum(mass) for m in mass]
-        for p in patterns:
+        for p in patterns.keys() - disproved:
             odds = math.log(prior / (1 - prior)) + sum(math.log(table[j][1][v + 1] / table[j][0][v + 1]) for j, v in enumerate(p))
             truth[p] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
     return prior, table, truth
@@ -199,7 +207,8 @@ def fit(found_candidates: DataFrame) -> Model:
         narrow: dict[tuple[int, ...], int] = {}
         for p, n in patterns.items():
             narrow[tuple(p[j] for j in voting)] = narrow.get(tuple(p[j] for j in voting), 0) + n
-        prior[kind], table, soft = em(narrow)
+        proofs = tuple(k for k, j in enumerate(voting) if LABELERS[j] in PROOFS.get(kind, ()))
+        prior[kind], table, soft = em(narrow, proofs=proofs)
         reliability[kind] = {LABELERS[j]: t for j, t in zip(voting, table, strict=True)}
         truth |= {(kind, p): soft[tuple(p[j] for j in voting)] for p in patterns}
     named = lambda kind, p: ",".join([kind, *map(str, p)])
