@@ -10,9 +10,11 @@ tenth smallest upper bound are reranked on the original components.
 
 Every row is indexed. Centroids are fitted on a bounded sample. How many lists a
 query visits is measured: for a few queries the true neighbours are found among
-all entries, and so many of the nearest lists are visited as hold nearly all of them. Equal vectors are one entry that holds its
-smallest ids, as many as an answer may need, so copies do not swell a list, and
-large lists are read in blocks.
+all entries, and so many of the nearest lists are visited as hold nearly all of
+them. Equal vectors are one entry that holds its smallest ids, as many as an answer
+may need, so copies do not swell a list. Every row has a number of its own, so rows
+that share an id are all candidates. Large lists are read in blocks of entries, and
+lists that many queries visit in blocks of queries.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ NEIGHBOURS, QUERY_EVERY = 10, 100
 SAMPLE_ROWS, LIST_ROWS, MOST_LISTS = 16_384, 512, 2048
 #: Queries whose true neighbours are sought among all entries, and the share of these that the visited lists must hold.
 TRIAL_QUERIES, TRIAL_RECALL = 64, 0.97
-#: Entries of a list, and queries, that one comparison reads; standard deviations that the error bound allows.
-BLOCK_ENTRIES, BLOCK_QUERIES, DEVIATIONS = 8192, 512, 3.0
+#: Entries of a list, and queries, that one comparison reads; queries of a list that one task answers; standard deviations that the error bound allows.
+BLOCK_ENTRIES, BLOCK_QUERIES, TASK_QUERIES, DEVIATIONS = 8192, 512, 8192, 3.0
 SEED = 11
 
 
@@ -80,14 +82,18 @@ def estimates(q: np.ndarray, centre: np.ndarray, turn: np.ndarray, bits: np.ndar
     return base - scale * np.minimum(1, inner + error[None, :]), base - scale * np.maximum(-1, inner - error[None, :])
 
 
+IDS = "array<struct<nameless:boolean,id:bigint,row:bigint>>"
+_IDS = pa.list_(pa.struct([("nameless", pa.bool_()), ("id", pa.int64()), ("row", pa.int64())]))
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v, dim, key) of vectors that are neither null nor zero and hold only finite numbers; the key is equal for equal vectors."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
+    """(row, id, v, dim, key) of vectors that are neither null nor zero and hold only finite numbers; the key is equal for equal vectors, the row's number is its own."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     same = F.transform(v, lambda x: x + F.lit(0.0))  # -0 counts as 0
-    return rows.select("id", same.alias("v"), F.size("v").alias("dim"), F.sha2(F.array_join(F.transform(same, lambda x: x.cast("string")), ","), 256).alias("key"))
+    return rows.select("row", "id", same.alias("v"), F.size("v").alias("dim"), F.sha2(F.array_join(F.transform(same, lambda x: x.cast("string")), ","), 256).alias("key"))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -188,21 +194,21 @@ def _found(pairs: DataFrame, lists: dict[int, np.ndarray], k: int) -> DataFrame:
                 who, which, score = np.concatenate(who), np.concatenate(which), np.concatenate(score)
                 out = [names.take(pa.array(who)), ids.take(pa.array(which)), pa.array(score)]
             else:
-                out = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())]
+                out = [pa.array([], pa.string()), pa.array([], _IDS), pa.array([], pa.float64())]
             queries.clear()
             waiting = 0
             return pa.RecordBatch.from_arrays(out, ["key", "ids", "score"])
 
         for batch in batches:
-            at = np.stack([np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("dim", "list", "block", "kind")], axis=1)
+            at = np.stack([np.asarray(batch.column(c).to_numpy(zero_copy_only=False), dtype=np.int64) for c in ("dim", "list", "block", "part", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                dim, number, block, kind = at[a].tolist()
-                if (dim, number, block) != key:
+                dim, number, block, shift, kind = at[a].tolist()
+                if (dim, number, block, shift) != key:
                     yield answer()
-                    key, entries, code = (dim, number, block), [], None
+                    key, entries, code = (dim, number, block, shift), [], None
                 for start in range(a, b, block_queries):
                     part = batch.slice(start, min(block_queries, b - start))
                     if kind == 0:
@@ -214,27 +220,26 @@ def _found(pairs: DataFrame, lists: dict[int, np.ndarray], k: int) -> DataFrame:
                             yield answer()
         yield answer()
 
-    near = pairs.repartition("dim", "list", "block").sortWithinPartitions("dim", "list", "block", "kind", "key")
-    return near.mapInArrow(run, "key string, ids array<bigint>, score double")
+    near = pairs.repartition("dim", "list", "block", "part").sortWithinPartitions("dim", "list", "block", "part", "kind", "key")
+    return near.mapInArrow(run, f"key string, ids {IDS}, score double")
 
 
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = QUERY_EVERY, k: int = NEIGHBOURS, probes: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``, itself excepted.
 
-    Rows without an id or with a vector that is null, zero or not finite take no
-    part. Vectors of different lengths are indexed apart and never neighbours.
-    Repeated ids count once: where they hold different vectors, the one with the
-    smallest key (a digest of its components). Ties go to the smaller id. Extra
+    Vectors that are null, zero or not finite take no part. Vectors of different
+    lengths are indexed apart and never neighbours; very long ones are indexed like
+    others. Rows that share an id are rows of their own: each is a candidate, of one
+    another too, and each is a query. Rows without an id are no queries, but are
+    found like others. Ties go to the smaller id, those without one last. Extra
     columns are not read; an empty table gives no rows.
     """
-    rows = written(usable(df, id_col, vector_col).select("id", "key", "dim", "v"), "ann-rows")
-    torn = written(rows.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).filter("first <> last").drop("last"), "ann-repeated")
-    if torn.limit(1).count():
-        rows = written(lookup(rows, torn, "id", "n", rows.count, ["key"]).filter("first is null or first = key").drop("first"), "ann-rows")
-    ranked = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    rows = written(usable(df, id_col, vector_col), "ann-rows")
+    named = F.struct(F.col("id").isNull().alias("nameless"), "id", "row")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("named"))
     # of equal vectors only the smallest k + 1 ids can be in an answer; each task drops the others before the shuffle
-    few = rows.select("key", "dim", "id").distinct().withColumn("r", ranked).filter(F.col("r") <= k + 1)
-    ids = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = rows.select("key", "dim", named.alias("named")).withColumn("r", place).filter(F.col("r") <= k + 1)
+    ids = few.groupBy("key").agg(F.sort_array(F.collect_list("named")).alias("ids"))
     vectors = rows.groupBy("key", "dim").agg(F.first("v").alias("v"))
     entries = written(vectors.join(ids, "key"), "ann-entries")
     total = {r["dim"]: r["count"] for r in entries.groupBy("dim").count().collect()}
@@ -242,20 +247,25 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     for r in entries.orderBy("key").limit(SAMPLE_ROWS).select("dim", "v").collect():
         sample.setdefault(r["dim"], []).append(r["v"])
     lists = {d: centroids(np.array(x), max(1, min(MOST_LISTS, total[d] // list_rows, len(x)))) for d, x in sample.items()}
-    wanted = rows.filter(F.col("id") % every == 0).select("id", "key").distinct()
+    wanted = rows.filter(F.col("id") % every == 0).select("id", "row", "key")
     asked = written(wanted.groupBy("key").agg(F.count("*").alias("uses")), "ann-queries")
     queries = entries.join(asked.select("key"), "key").select("key", "dim", "v")
-    homes = written(_assigned(entries, lists, 1, "key string, dim int, v array<double>, ids array<bigint>"), "ann-lists")
+    homes = written(_assigned(entries, lists, 1, f"key string, dim int, v array<double>, ids {IDS}"), "ann-lists")
+    visits = written(_assigned(queries, lists, probes or _probes(homes, queries, lists, k + 1), "key string, dim int, v array<double>"), "ann-visits")
     blocks = homes.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK_ENTRIES).cast("int").alias("blocks"))
-    kept = homes.join(F.broadcast(blocks), ["dim", "list"]) if sum(map(len, lists.values())) <= 4 * MOST_LISTS and len(total) <= 64 else homes.join(blocks, ["dim", "list"])
-    kept = kept.select("dim", "list", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "key", "ids", "v")
-    visits = _assigned(queries, lists, probes or _probes(homes, queries, lists, k + 1), "key string, dim int, v array<double>").join(blocks, ["dim", "list"])
-    visits = visits.select("dim", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "key", F.lit(None).cast("array<bigint>").alias("ids"), "v")
-    candidates = _found(kept.unionByName(visits), lists, k + 1)
-    one = candidates.select("key", "score", F.explode("ids").alias("vec_id"))
-    best = one.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
-    answers = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near")).join(asked, "key")
-    out = lookup(wanted.withColumnRenamed("id", "query_id"), written(answers, "ann-answers"), "key", "uses", wanted.count, ["query_id"])
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    parts = visits.groupBy("dim", "list").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("parts"))
+    plan = written(blocks.join(parts, ["dim", "list"]), "ann-plan")
+    # lists have a bounded number for each length; a table of very many lengths is joined by them
+    plan_side = F.broadcast(plan) if sum(map(len, lists.values())) <= 4 * MOST_LISTS and len(total) <= 64 else plan
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spread = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    kept = homes.join(plan_side, ["dim", "list"]).select("dim", "list", spread("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("kind"), "key", "ids", "v")
+    asks = visits.join(plan_side, ["dim", "list"]).select("dim", "list", each("blocks").alias("block"), spread("parts").alias("part"), F.lit(1).alias("kind"), "key", F.lit(None).cast(IDS).alias("ids"), "v")
+    candidates = _found(kept.unionByName(asks), lists, k + 1)
+    one = candidates.select("key", "score", F.explode("ids").alias("named"))
+    best = one.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "named"))).filter(F.col("r") <= k + 1)
+    answers = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("score", "named"))).alias("near")).join(asked, "key")
+    out = lookup(wanted.withColumnRenamed("id", "query_id"), written(answers, "ann-answers"), "key", "uses", wanted.count, ["query_id", "row"])
+    own = F.slice(F.filter("near", lambda x: x["named"]["row"] != F.col("row")), 1, k)
     out = out.select("query_id", F.posexplode(own).alias("p", "n"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.named.id").alias("vec_id"), F.col("n.score").alias("score"))
