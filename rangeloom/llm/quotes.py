@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rangeloom.llm.common import with_previous, written
-from rangeloom.llm.skew import lookup
+from rangeloom.llm.skew import lookup, matched
 from rangeloom.llm.spans import let
 
 #: A quote prefix, a line that introduces a quote (fixed values: its verbs), and words that a line needs to be looked up alone.
@@ -84,19 +84,23 @@ def units(lines: Column) -> Column:
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, body, n_quoted_lines, n_passages, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth, reply_order).
 
-    Rows that share (conv_id, turn) are one message: the smallest (role, text).
-    Rows without conv_id or turn are messages of their own, as they are: they
-    neither quote nor are quoted and answer nothing. Very long texts are parsed
-    whole. Sorting a thread (equal root)
+    Every row is a message, repeated ones too. Where rows share (conv_id, turn),
+    each has its own body, quotes and reply, and the texts of all are originals; a
+    link to that place is one to the row with the smallest role and digest of its
+    text, on which its depth and root rest. Rows without conv_id or turn are messages
+    of their own, as they are: they neither quote nor are quoted and answer nothing.
+    Very long texts are parsed whole. Sorting a thread (equal root)
     by ``reply_order`` puts every message after the one that it answers. An empty
     table gives no rows; extra columns are not read.
     """
     picked = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    one = picked.filter(placed).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
-    rows = written(one.withColumn("p", parsed(F.col("text"))).select("conv_id", "turn", "role", "p.*"), "quote-messages")
+    rows = picked.filter(placed).withColumn("p", parsed(F.col("text"))).withColumn("digest", F.xxhash64("text"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "digest", "p.*"), "quote-messages")
+    # the row that stands for its place, where rows share one
+    first = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "digest", "row"))["row"].alias("row"))
 
-    quoted = rows.select("conv_id", "turn", F.posexplode("passages").alias("passage", "q")).select("conv_id", "turn", "passage", F.col("q.level").alias("level"), F.explode(units(F.col("q.lines"))).alias("h"))
+    quoted = rows.select("row", "conv_id", "turn", F.posexplode("passages").alias("passage", "q")).select("row", "conv_id", "turn", "passage", F.col("q.level").alias("level"), F.explode(units(F.col("q.lines"))).alias("h"))
     quoted = written(quoted, "quote-units")
     asked = quoted.groupBy("h").agg(F.count("*").alias("uses"))
     own = rows.filter("body <> ''").select("conv_id", "turn", F.explode(units(F.split("body", "\n", -1))).alias("h"))
@@ -110,34 +114,53 @@ def link(messages: DataFrame) -> DataFrame:
     uses = quoted.groupBy(in_key.alias("k")).agg(F.count("*").alias("n"))
     by_conv = written(by_conv.select(in_key.alias("k"), "here").join(uses, "k"), "quote-here")
     anywhere = written(anywhere.join(asked, "h"), "quote-first")
-    matched = lookup(quoted.withColumn("k", in_key), by_conv, "k", "n", quoted.count, ["conv_id", "turn", "passage"])
-    matched = lookup(matched, anywhere, "h", "uses", quoted.count, ["conv_id", "turn", "passage"])
+    found = lookup(quoted.withColumn("k", in_key), by_conv, "k", "n", quoted.count, ["row", "passage"])
+    found = lookup(found, anywhere, "h", "uses", quoted.count, ["row", "passage"])
     same = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
-    matched = matched.withColumn("source", F.coalesce(same, other)).filter("source is not null")
+    found = found.withColumn("source", F.coalesce(same, other)).filter("source is not null")
     # a reply goes to its own conversation before others, then to the outermost quote, then to the latest original
     rank = F.struct((F.col("source.conv_id") == F.col("conv_id")).alias("mine"), (-F.col("level")).alias("outer"), F.col("source.conv_id").alias("c"), F.col("source.turn").alias("t"))
     # the same among originals that come earlier in (conv_id, turn): these close no cycle
     earlier = F.max(F.when(F.col("source.conv_id") <= F.col("conv_id"), rank))
-    linked = matched.groupBy("conv_id", "turn").agg(F.max(rank).alias("b"), earlier.alias("e"), F.countDistinct("passage").alias("n_linked"))
-    linked = linked.select("conv_id", "turn", F.col("b.c").alias("link_conv"), F.col("b.t").alias("link_turn"), F.col("e.c").alias("earlier_conv"), F.col("e.t").alias("earlier_turn"), "n_linked")
-    before = with_previous(rows.select("conv_id", "turn"), ["conv_id", "turn"], "quote-order")
-    before = before.filter("previous.conv_id = conv_id").select("conv_id", "turn", F.col("previous.turn").alias("previous"))
-    full = rows.join(linked, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
+    linked = found.groupBy("row").agg(F.max(rank).alias("b"), earlier.alias("e"), F.countDistinct("passage").alias("n_linked"))
+    linked = linked.select("row", F.col("b.c").alias("link_conv"), F.col("b.t").alias("link_turn"), F.col("e.c").alias("earlier_conv"), F.col("e.t").alias("earlier_turn"), "n_linked")
+    before = with_previous(first, ["conv_id", "turn"], "quote-order")
+    before = before.select("conv_id", "turn", F.col("row").alias("stands"), F.when(F.col("previous.conv_id") == F.col("conv_id"), F.col("previous.turn")).alias("previous"))
+    at = _place("conv_id", "turn")
+    shared = rows.groupBy(at.alias("at")).agg(F.count("*").alias("n"))
+    before = written(before.withColumn("at", at).drop("conv_id", "turn").join(shared, "at"), "quote-places")
+    full = lookup(rows.withColumn("at", at), before, "at", "n", rows.count, ["row"]).drop("at").join(linked, "row", "left")
     full = full.select(
-        "conv_id", "turn", "role", "body", "n_quoted_lines", F.size("passages").cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        "row", (F.col("stands") == F.col("row")).alias("stands"), "conv_id", "turn", "role", "body", "n_quoted_lines", F.size("passages").cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         *[c for k in ("link", "earlier") for c in (
             F.coalesce(f"{k}_conv", F.when(F.col("previous").isNotNull(), F.col("conv_id"))).alias(f"{k}_conv"), F.coalesce(f"{k}_turn", "previous").alias(f"{k}_turn"))],
     )
-    full = acyclic(written(full, "quote-replies"))
-    tree = roots(full.select("conv_id", "turn", "reply_conv", "reply_turn"))
-    out = full.join(tree, ["conv_id", "turn"])
+    full = written(full, "quote-replies")
+    tree = acyclic(full.filter("stands").select("conv_id", "turn", *[f"{k}_{c}" for k in ("link", "earlier") for c in ("conv", "turn")]))
+    tree = written(roots(tree).join(tree, ["conv_id", "turn"]), "quote-tree")
+    own_row = full.filter("stands").drop("link_conv", "link_turn", "earlier_conv", "earlier_turn").join(tree, ["conv_id", "turn"])
+    # nothing points to the other rows of a place, so their own links close no cycle
+    others = written(full.filter("not stands").withColumn("to", _place("link_conv", "link_turn")), "quote-others")
+    uses = others.groupBy("to").agg(F.count("*").alias("n"))
+    above = tree.select(_place("conv_id", "turn").alias("to"), F.col("root_conv").alias("rc"), F.col("root_turn").alias("rt"), F.col("depth").alias("d")).join(uses, "to")
+    beside = lookup(others, written(above, "quote-above"), "to", "n", others.count, ["row"])
+    beside = beside.withColumns({
+        "reply_conv": F.col("link_conv"), "reply_turn": F.col("link_turn"),
+        "root_conv": F.coalesce("rc", "conv_id"), "root_turn": F.when(F.col("rc").isNull(), F.col("turn")).otherwise(F.col("rt")), "depth": F.coalesce(F.col("d") + 1, F.lit(0)),
+    })
+    columns = ["conv_id", "turn", "role", "body", "n_quoted_lines", "n_passages", "n_linked", "reply_conv", "reply_turn", "root_conv", "root_turn", "depth"]
     lone = picked.filter(~placed).select(
         "conv_id", "turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("body"), *[F.lit(0).cast("long").alias(c) for c in ("n_quoted_lines", "n_passages", "n_linked")],
         F.lit(None).cast("long").alias("reply_conv"), F.lit(None).cast("long").alias("reply_turn"), F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"),
     )
     order = F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 19, "0") for c in ("depth", "conv_id", "turn")])
-    return out.unionByName(lone).withColumn("reply_order", order)
+    return own_row.select(*columns).unionByName(beside.select(*columns)).unionByName(lone).withColumn("reply_order", order)
+
+
+def _place(conv: str, turn: str) -> Column:
+    """A message's place as one key; null where there is none."""
+    return F.concat(F.col(conv).cast("string"), F.lit("/"), F.col(turn).cast("string"))
 
 
 def acyclic(full: DataFrame) -> DataFrame:
@@ -165,28 +188,36 @@ def cycle_heads(tree: DataFrame) -> DataFrame:
     """
     to = F.struct(F.col("reply_conv").alias("c"), F.col("reply_turn").alias("t"))
     rows = written(tree.filter("reply_conv is not null").select("conv_id", "turn", to.alias("to"), to.alias("low")), "quote-cycles")
-    reach = 1
-    while reach < rows.count():
-        ahead = rows.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("to").alias("next"), F.col("low").alias("next_low"))
-        met = rows.join(ahead, (F.col("to.c") == F.col("c")) & (F.col("to.t") == F.col("t")))
+    reach, count = 1, rows.count()
+    while reach < count:
+        left = rows.withColumn("at", _place("to.c", "to.t"))
+        uses = left.groupBy("at").agg(F.count("*").alias("n"))
+        ahead = rows.select(_place("conv_id", "turn").alias("at"), F.col("to").alias("next"), F.col("low").alias("next_low")).join(uses, "at")
+        # a message that many point to is a hot key
+        met = matched(left, written(ahead, "quote-ahead"), "at", "n", lambda: count)
         rows = written(met.select("conv_id", "turn", F.col("next").alias("to"), F.least("low", "next_low").alias("low")), "quote-cycles")
-        reach *= 2
+        reach, count = reach * 2, rows.count()
     return rows.filter((F.col("low.c") == F.col("conv_id")) & (F.col("low.t") == F.col("turn"))).select("conv_id", "turn")
 
 
 def roots(tree: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_conv, root_turn, depth) of (conv_id, turn, reply_conv, reply_turn): each round doubles the reach of every row that is not at its root yet."""
+    """(conv_id, turn, root_conv, root_turn, depth) of (conv_id, turn, reply_conv, reply_turn): each round doubles the reach of every row that is not at its root yet.
+
+    Rows that are at their root are written once; a round reads of them, and of the others, only those that some row
+    points to, with the number of these, so that a message that everyone points to is spread.
+    """
     is_root = F.col("reply_conv").isNull()
-    rows = tree.select("conv_id", "turn", F.coalesce("reply_conv", "conv_id").alias("root_conv"), F.coalesce("reply_turn", "turn").alias("root_turn"), F.when(is_root, 0).otherwise(1).cast("long").alias("depth"), is_root.alias("done"))
-    active = written(rows, "quote-roots")
-    done = [active.filter("done").drop("done")]
-    while active.filter("not done").limit(1).count():
-        ahead = active.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("root_conv").alias("rc"), F.col("root_turn").alias("rt"), F.col("depth").alias("d"), F.col("done").alias("e"))
-        todo = active.filter("not done")
-        met = todo.join(ahead, (F.col("root_conv") == F.col("c")) & (F.col("root_turn") == F.col("t")))
+    rows = tree.select("conv_id", "turn", F.coalesce("reply_conv", "conv_id").alias("root_conv"), F.when(is_root, F.col("turn")).otherwise(F.col("reply_turn")).alias("root_turn"), F.when(is_root, 0).otherwise(1).cast("long").alias("depth"), is_root.alias("done"))
+    rows = written(rows, "quote-roots")
+    done, todo = [rows.filter("done")], rows.filter("not done")
+    while count := todo.count():
+        left = todo.withColumn("at", _place("root_conv", "root_turn"))
+        uses = left.groupBy("at").agg(F.count("*").alias("n"))
+        known = reduce(DataFrame.unionByName, [*done, todo])
+        ahead = known.select(_place("conv_id", "turn").alias("at"), F.col("root_conv").alias("rc"), F.col("root_turn").alias("rt"), F.col("depth").alias("d"), F.col("done").alias("e")).join(uses, "at")
+        met = matched(left, written(ahead, "quote-ahead"), "at", "n", lambda count=count: count)
         moved = met.select("conv_id", "turn", F.col("rc").alias("root_conv"), F.col("rt").alias("root_turn"), (F.col("depth") + F.col("d")).alias("depth"), F.col("e").alias("done"))
         moved = written(moved, "quote-roots")
-        done.append(moved.filter("done").drop("done"))
-        # rows that are done stay in sight of those that are not
-        active = written(moved.unionByName(active.filter("done")), "quote-roots")
-    return reduce(DataFrame.unionByName, done)
+        done.append(moved.filter("done"))
+        todo = moved.filter("not done")
+    return reduce(DataFrame.unionByName, done).drop("done")

@@ -2,6 +2,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from rangeloom.llm import quotes
 from rangeloom.llm.quotes import link, parsed
 
 S = "conv_id long, turn long, role string, text string, k string"
@@ -74,7 +75,7 @@ def test_originals_in_larger_conversations(spark):
 def test_odd_rows(spark):
     rows = [(None, 1, "user", "> a"), (1, None, None, None), (4, 0, "user", None), (4, 1, None, ""), (4, 1, None, ""), (4, 2, "user", "> x\n" * 20_000), (None, None, None, None)]
     got = link(spark.createDataFrame([(*r, "x") for r in rows], S)).collect()
-    assert len(got) == 6 and {r.body for r in got if r.conv_id is None} == {"> a", ""}
+    assert len(got) == len(rows) and {r.body for r in got if r.conv_id is None} == {"> a", ""}
     assert next(r for r in got if r.turn == 2).n_quoted_lines == 20_000
     assert link(spark.createDataFrame([], S)).count() == 0
 
@@ -82,7 +83,48 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_conversations_keep_every_message(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet")
-    assert link(df).count() == df.select("conv_id", "turn").distinct().count()
+    assert link(df).count() == df.count()
+
+
+def test_rows_of_one_place_are_all_messages(spark):
+    rows = [
+        (1, 0, "user", "the first text of this place is said here"), (1, 0, "user", "the other text of this place is said here"), (1, 0, "user", "the other text of this place is said here"),
+        (1, 1, "assistant", "> the first text of this place is said here\none"), (1, 1, "assistant", "> the other text of this place is said here\ntwo"), (1, 1, "user", "three"),
+        (2, 0, "user", "> the other text of this place is said here\nfar away"), (2, 0, "user", "> nothing of this was ever said by anyone\nnowhere"),
+    ]
+    got = link(spark.createDataFrame([(*r, "x") for r in rows], S)).collect()
+    assert sorted((r.conv_id, r.turn, r.body, r.n_linked) for r in got) == sorted([
+        (1, 0, rows[0][3], 0), (1, 0, rows[1][3], 0), (1, 0, rows[1][3], 0), (1, 1, "one", 1), (1, 1, "two", 1), (1, 1, "three", 0), (2, 0, "far away", 1), (2, 0, "nowhere", 0),
+    ])
+    by = {r.body: (r.reply_conv, r.reply_turn, r.root_conv, r.root_turn, r.depth) for r in got}
+    assert by["one"] == by["two"] == by["three"] == (1, 0, 1, 0, 1) and by["far away"] == (1, 0, 1, 0, 1) and by["nowhere"] == (None, None, 2, 0, 0)
+
+
+def test_a_message_that_all_quote(spark, monkeypatch):
+    """Its place is one key for all who answer it; no task gathers them, and all get their depth."""
+    rows = [(0, 0, "user", "everybody quotes this very line of mine")] + [(k, 1, "user", f"> everybody quotes this very line of mine\nme too, says {k}") for k in range(1, 4000)]
+    rows += [(k, 2, "user", f"I only answer the turn before, {k}") for k in range(1, 4000)]
+    sizes = []
+    real = quotes.matched
+
+    def watched(left, right, key, weight, count):
+        met = real(left, right, key, weight, count)
+        parts = met.groupBy(F.spark_partition_id()).count().collect()
+        sizes.append(sorted(r["count"] for r in parts))
+        return met
+
+    monkeypatch.setattr(quotes, "matched", watched)
+    # parts as they are dealt, not merged for their size
+    apart = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in apart.items():
+        spark.conf.set(k, v)
+    try:
+        got = link(spark.createDataFrame([(*r, "x") for r in rows], S).repartition(8)).collect()
+    finally:
+        for k in apart:
+            spark.conf.unset(k)
+    assert {(r.turn, r.depth, r.root_conv, r.n_linked) for r in got} == {(0, 0, 0, 0), (1, 1, 0, 1), (2, 2, 0, 0)} and len(got) == len(rows)
+    assert sizes and all(max(s) < sum(s) / 2 for s in sizes if sum(s) > 1000)
 
 
 def test_lines_that_introduce_no_quote_stay(spark):
