@@ -9,9 +9,11 @@ document total, until one of them is 0 or 1. What is left when fewer than three
 documents are undecided is a small landing problem.
 
 A source may hold most of the corpus, so the flight runs in blocks of bounded
-size (chosen by a hash of the row, not by partition, so that reruns agree); the
-at most two undecided documents of each block fly again among themselves, level
-by level, and only the last level lands.
+size (chosen by a hash of the row, not by partition, so that reruns agree, and of
+its place among equal rows, so that these are spread too); the at most two
+undecided documents of each block fly again among themselves, level by level, and
+only the last level lands. Flights go from large documents to small ones; the last
+one leaves a few of all sizes, and the landing takes the best of their roundings.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,9 @@ BLOCK_ROWS = 4000
 #: Up to so many sources their parameters are broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 20_000
 
+#: Documents that the last flight leaves undecided beside its own two, so that the landing can choose among many roundings.
+RESERVE = 12
+
 EPS = 1e-9
 
 
@@ -104,30 +110,37 @@ def fly(p: list[float], x: list[float], rng: random.Random) -> list[int]:
     return undecided
 
 
+def reserved(p: list[float], x: list[float]) -> list[int]:
+    """Indices of at most ``RESERVE`` undecided documents, evenly through their sizes, that the last flight leaves for the landing."""
+    undecided = sorted((i for i in range(len(p)) if EPS < p[i] < 1 - EPS), key=lambda i: (x[i], i))
+    if len(undecided) <= RESERVE:
+        return undecided
+    return [undecided[k * (len(undecided) - 1) // (RESERVE - 1)] for k in range(RESERVE)]
+
+
 def land(p: list[float], x: list[float], undecided: list[int]) -> None:
-    """Landing phase in place: the rounding with the smallest error in tokens, then in documents."""
-    want_x, want_n = sum(p[i] * x[i] for i in undecided), sum(p[i] for i in undecided)
-    best = min(
-        range(1 << len(undecided)),
-        key=lambda m: (
-            abs(sum(x[i] for k, i in enumerate(undecided) if m >> k & 1) - want_x),
-            abs(bin(m).count("1") - want_n),
-            m,
-        ),
-        default=0,
-    )
-    for k, i in enumerate(undecided):
-        p[i] = float(best >> k & 1)
+    """Landing phase in place: the rounding with the smallest error in tokens, then in documents, of all roundings."""
+    size, chance = np.array([x[i] for i in undecided]), np.array([p[i] for i in undecided])
+    taken = (np.arange(1 << len(undecided))[:, None] >> np.arange(len(undecided))) & 1
+    tokens, docs = np.abs(taken @ size - chance @ size), np.abs(taken.sum(axis=1) - chance.sum())
+    best = taken[np.lexsort((np.arange(len(taken)), docs, tokens))[0]]
+    for i, t in zip(undecided, best.tolist()):
+        p[i] = float(t)
 
 
 def _rounder(level: int, last: bool, seed: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["__order", "__id", "__size"], kind="stable")
+        block = block.sort_values(["__size", "__order", "__id"], ascending=[False, True, True], kind="stable")
         p, x = block["__p"].tolist(), [float(v) for v in block["__size"]]
         rng = random.Random(f"{seed}/{level}/{block['__ordinal'].iloc[0]}/{block['__block'].iloc[0]}")
-        undecided = fly(p, x, rng)
+        kept = reserved(p, x) if last else []
+        rest = sorted(set(range(len(p))) - set(kept))
+        flown, sizes = [p[i] for i in rest], [x[i] for i in rest]
+        undecided = [rest[i] for i in fly(flown, sizes, rng)]
+        for i, v in zip(rest, flown, strict=True):
+            p[i] = v
         if last:
-            land(p, x, undecided)
+            land(p, x, kept + undecided)
         return block.assign(__p=p)
 
     return run
@@ -153,7 +166,8 @@ def balanced_copies(
     empty result. Only (id, source, size) are shuffled, whatever else ``df`` holds.
     """
     narrow = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"))
-    narrow = written(narrow, "mix-sizes")
+    # equal rows take numbers of their own; which of them has which does not matter
+    narrow = written(ranked(narrow, [F.col("__id"), F.col("__size"), F.col("source"), F.monotonically_increasing_id()], "__rank", "mix-ranks"), "mix-sizes")
     targets = written(source_targets(narrow, "source", "__size", weights, share, max_copies), "mix-targets")
     side = targets.agg(F.count("*").alias("sources"), F.max("n_docs").alias("most")).first()
     if side["sources"] <= BROADCAST_SOURCES:
@@ -172,7 +186,7 @@ def balanced_copies(
         F.col("ordinal").alias("__ordinal"),
         whole.cast("long").alias("__whole"),
         F.greatest(F.lit(0.0), expected - whole).alias("__p"),
-        F.xxhash64(F.lit(seed), "__id", "__size").alias("__order"),
+        F.xxhash64(F.lit(seed), "__id", "__size", "__rank").alias("__order"),
         F.ceil(F.col("n_docs") / block_rows).cast("long").alias("__blocks"),
     )
     done, most, level = [], side["most"] or 0, 0

@@ -68,6 +68,32 @@ def test_documents(spark, documents):
     assert all(abs(r.t - r.g) <= r.m for r in by.collect())
 
 
+def test_every_source_comes_within_a_hundredth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mix_documents(docs).join(docs.select("doc_id", "source"), "doc_id")
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert abs(r.t - r.g) <= 0.01 * r.g, r
+
+
+def test_rows_that_are_all_alike_are_dealt_to_bounded_blocks(spark, monkeypatch):
+    df = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("source"), F.lit(3).alias("n"))
+    df = df.union(spark.range(50_000).select("id", F.lit("two"), F.lit(1))).repartition(6)
+    real = mixing._rounder
+
+    def watched(level, last, seed):
+        run = real(level, last, seed)
+
+        def checked(block):
+            assert len(block) < 2000, len(block)
+            return run(block)
+
+        return checked
+
+    monkeypatch.setattr(mixing, "_rounder", watched)
+    got = {r.source_size: r for r in balanced_copies(df, "doc_id", "source", F.col("n"), block_rows=1000, weights=(1, 2)).groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.count("*").alias("n")).collect()}
+    assert {r.n for r in got.values()} == {50_000} and all(abs(r.t - r.target) <= 4 for r in got.values())
+
+
 def test_many_blocks_and_levels(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), (F.col("id") * 37 % 501 + 1).alias("n"))
     df = df.union(spark.range(300).select(F.col("id") + 20_000, F.concat(F.lit("s"), F.col("id") % 5), F.col("id") + 1))
