@@ -30,11 +30,12 @@ from rangeloom.llm.skew import lookup
 
 MOST_WORDS, LEAST_COUNT, KEPT, SUBSUMED_PERCENT = 3, 10, 2000, 50
 #: Bytes of text in a shard; bits of the filter for each frequent phrase and at most, and its hashes.
-SHARD_BYTES, FILTER_BITS, MOST_FILTER_BITS, FILTER_HASHES = 24 << 20, 16, 1 << 28, 2
+SHARD_BYTES, FILTER_BITS, MOST_FILTER_BITS, FILTER_HASHES = 4 << 20, 16, 1 << 28, 2
 #: Bits of one block of the filter while it is put together.
 _BLOCK = 1 << 16
 
-COUNTS = "lang string, words int, phrase binary, n long"
+#: A shard's counts: language and phrase in one key, with a line feed between, which no phrase holds.
+COUNTS = "key binary, n long"
 
 #: Cuts between pieces become full stops, the other separators spaces, and A to Z small letters.
 _TABLE = bytes(0x2E if c in b".,;:!?" or 0x0A <= c <= 0x0D else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -145,7 +146,7 @@ def filter_of(frequent: DataFrame, n: int) -> tuple[np.ndarray, int]:
         own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for lang in pc.unique(batch.column("lang")).to_pylist():
-                rows = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").to_pylist()
+                rows = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").cast(pa.binary()).to_pylist()
                 split = [x.split(b" ") for x in rows]
                 for k in {len(x) for x in split}:
                     words = np.array([[_digest(w) for w in x] for x in split if len(x) == k], np.uint64).reshape(-1, k)
@@ -178,7 +179,7 @@ def _counted(texts: DataFrame, lengths: list[int], sieve=None, shard_bytes: int
         if not len(codes):
             return
         made = Automaton(codes, -1 if cut < 0 else cut, len(dictionary), max(lengths))
-        word = None
+        word, prefix = None, pa.scalar(lang.encode("utf-8", "surrogatepass"), pa.large_binary())
         for k in lengths:
             count, words = made.nodes[k - 1]["count"], None
             keep = count > 0
@@ -205,14 +206,13 @@ def _counted(texts: DataFrame, lengths: list[int], sieve=None, shard_bytes: int
                 words, count = [c[keep] for c in made.words(k)], count[keep]
             for start in range(0, len(count), 50_000):
                 part = slice(start, start + 50_000)
-                n = len(count[part])
-                phrase = joined(dictionary, [c[part] for c in words]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), phrase, pa.array(count[part].astype(np.int64))], ["lang", "words", "phrase", "n"])
+                key = pc.binary_join_element_wise(prefix, joined(dictionary, [c[part] for c in words]), pa.scalar(b"\n", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([key.cast(pa.binary()), pa.array(count[part].astype(np.int64))], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 waiting.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text)
@@ -234,23 +234,31 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     """((lang, words, phrase, f) of all phrases that occur ``least`` times or more, (lang, n) occurrences of all words)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = lambda rows: rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
+    key = F.col("key").cast("string")
+
+    def total(rows: DataFrame, kept: Column) -> DataFrame:
+        """Counts of all shards together; what is not ``kept`` (by ``words`` and ``f``) goes before keys are taken apart."""
+        # shards are summed already, so keys are dealt first: the tasks that build automata hold no table of keys besides
+        summed = rows.repartition("key").groupBy("key").agg(F.sum("n").alias("f")).withColumn("words", F.regexp_count(F.substring_index(key, "\n", -1), F.lit(" ")) + 1).filter(kept)
+        phrase = F.substring_index(key, "\n", -1)
+        return summed.select(F.left(key, F.length(key) - F.length(phrase) - 1).alias("lang"), "words", phrase.alias("phrase"), "f")
+
     opening = [k for k in (1, 2) if k <= most_words]
     every = _counted(texts, opening, shard_bytes=shard_bytes)
     # words are few enough to be summed for n as well; of longer phrases only the frequent ones are kept
-    first = written(total(every).filter((F.col("words") == 1) | (F.col("f") >= least)), "phrases")
+    first = written(total(every, (F.col("f") >= least) | (F.col("words") == 1)), "phrases")
     n = first.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     parts = [first.filter(F.col("f") >= least)]
     for k in range(3, most_words + 1):
         shorter = parts[-1].filter(F.col("words") == k - 1)
         held, bits = filter_of(shorter, shorter.count())
         sieve = spark.sparkContext.broadcast((held, bits))
-        parts.append(written(total(_counted(texts, [k], sieve, shard_bytes)).filter(F.col("f") >= least), "phrases"))
+        parts.append(written(total(_counted(texts, [k], sieve, shard_bytes), F.col("f") >= least), "phrases"))
         sieve.destroy()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("phrase", F.col("phrase").cast("string")), n
+    return out, n
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
