@@ -167,11 +167,21 @@ def _without(ranks: Column, *values: Column) -> Column:
     return ranks
 
 
-def _stepwise(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
-    """Adds columns step by step; each step reads those before."""
-    for s in steps:
-        df = df.withColumns(s)
-    return df
+def stepwise(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Adds columns step by step; each may read those before it, which are computed once.
+
+    They go into one select, whose later columns name earlier ones, so that the plan is analysed once for all steps.
+    """
+    return df.select("*", *[c.alias(n) for step in steps for n, c in step.items()])
+
+
+def reckoned(df: DataFrame, into: str, value: Column, *steps: dict[str, Column]) -> DataFrame:
+    """Adds ``into``, the ``value`` that steps lead to, without their columns.
+
+    It passes through an array of one, which filters on it cannot be pushed through: pushed, they would repeat
+    every step for each later use of it.
+    """
+    return stepwise(df, *steps, {"__value": value}).select(*df.columns, F.explode(F.array("__value")).alias(into))
 
 
 def _held(bits: str) -> dict[str, Column]:
@@ -256,8 +266,7 @@ def _told() -> Column:
 def scored(df: DataFrame, hand: str, into: str) -> DataFrame:
     """Adds ``into``, struct(category, kickers, name, code) of the best five of an array of five to seven cards; greater codes win."""
     bits = F.when(F.size(hand).between(5, 7), card_bits(F.col(hand))).otherwise(bad("a hand has five to seven cards").cast("long"))
-    rows = _stepwise(df, {"__bits": bits}, _held("__bits"), _levels(), *_named(), *_kicked())
-    return rows.withColumn(into, _told()).select(*df.columns, into)
+    return reckoned(df, into, _told(), {"__bits": bits}, _held("__bits"), _levels(), *_named(), *_kicked())
 
 
 def _board_levels(bits: str) -> tuple[dict[str, Column], ...]:
@@ -289,8 +298,7 @@ def _texture_told() -> Column:
 
 def textured(df: DataFrame, board: str, into: str) -> DataFrame:
     """Adds ``into``, struct(monotone, two_tone, paired, connected, very_connected, high_card) of an array of at most five cards; an empty board has no high card."""
-    rows = _stepwise(df, {"__board": card_bits(F.col(board), 5)}, *_board_levels("__board"), *_texture())
-    return rows.withColumn(into, _texture_told()).select(*df.columns, into)
+    return reckoned(df, into, _texture_told(), {"__board": card_bits(F.col(board), 5)}, *_board_levels("__board"), *_texture())
 
 
 def draw_bucket(n: Column) -> Column:
@@ -334,13 +342,11 @@ def strengths(df: DataFrame, hole: str, board: str, into: str) -> DataFrame:
     checked = lambda bits: F.when(ok, bits).when(F.col(hole).isNotNull() & F.col(board).isNotNull(), bad("needs two hole cards and three to five board cards").cast("long"))
     ranks = {"__tops": looked_up(_top_five, _or(*[suit_bits(F.col("__hole"), k) for k in range(4)]))}
     second = _second(F.col("__tops"))
-    rows = _stepwise(
-        df, {"__hole": checked(card_bits(F.col(hole), 2)), "__board": card_bits(F.col(board), 5)}, {"__bits": F.col("__hole").bitwiseOR(F.col("__board"))},
-        ranks, {"__first": _first(F.col("__tops")), "__second": F.when(second > 0, second).otherwise(_first(F.col("__tops")))},
-        *_board_levels("__board"), *_texture(), _held("__bits"), _levels(), *_named(), *_kicked(),
-    )
     # the ace of the suit that makes the flush
     ace = reduce(Column.__or__, [(F.bit_count(F.col(f"__s{k}")) >= 5) & (_and(_right(F.col("__hole"), 13 * k + 12), 1) == 1) for k in range(4)])
-    rows = _stepwise(rows, *made_bucket(ace), {"__score": _told()})
-    out = F.struct(F.get(F.array(*map(F.lit, BUCKETS)), F.col("__bucket")).alias("bucket"), F.col("__score").alias("score"), F.col("__score.name").alias("hand_type"), F.col("__outs").alias("outs"), _texture_told().alias("board_texture"))
-    return rows.withColumn(into, F.when(F.col("__hole").isNotNull(), out)).select(*df.columns, into)
+    told = F.struct(F.get(F.array(*map(F.lit, BUCKETS)), F.col("__bucket")).alias("bucket"), F.col("__score").alias("score"), F.col("__score.name").alias("hand_type"), F.col("__outs").alias("outs"), _texture_told().alias("board_texture"))
+    return reckoned(
+        df, into, F.when(F.col("__hole").isNotNull(), told), {"__hole": checked(card_bits(F.col(hole), 2)), "__board": card_bits(F.col(board), 5)}, {"__bits": F.col("__hole").bitwiseOR(F.col("__board"))},
+        ranks, {"__first": _first(F.col("__tops")), "__second": F.when(second > 0, second).otherwise(_first(F.col("__tops")))},
+        *_board_levels("__board"), *_texture(), _held("__bits"), _levels(), *_named(), *_kicked(), *made_bucket(ace), {"__score": _told()},
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import BUCKETS, RANKS, bad, best_run, card_bits, cards, let, listed, looked_up, rated_by_ranks, strengths, suit_bits, suits_at
+from rangeloom.functions.cards import BUCKETS, RANKS, bad, best_run, card_bits, cards, let, listed, looked_up, rated_by_ranks, stepwise, strengths, suit_bits, suits_at
 from rangeloom.functions.likelihood import OFFSUIT, PAIR, SUITED, class_names, class_shapes, psi_table
 from rangeloom.sources.shared import written
 
@@ -44,25 +44,23 @@ def rank_boards(boards: DataFrame) -> DataFrame:
     known = boards.select("ranks", "mono").distinct()
     held = lambda k: reduce(Column.bitwiseOR, [F.when(F.call_function("shiftright", F.col("ranks"), F.lit(3 * r)).bitwiseAND(F.lit(7)) >= k, 1 << r).otherwise(0) for r in range(13)])
     size = sum([F.call_function("shiftright", F.col("ranks"), F.lit(3 * r)).bitwiseAND(F.lit(7)).cast("int") for r in range(1, 13)], F.col("ranks").bitwiseAND(F.lit(7)).cast("int"))
-    known = known.withColumns({f"__n{k}": held(k) for k in (1, 2, 3, 4)} | {"__b_size": size})
+    known = stepwise(known, {f"__n{k}": held(k) for k in (1, 2, 3, 4)} | {"__b_size": size})
     rows = known.crossJoin(F.broadcast(flags.crossJoin(shapes)))
     bit = lambda c: F.call_function("shiftleft", F.lit(1), F.col(c))
-    rows = rows.withColumn("__own", bit("high").bitwiseOR(bit("low"))).withColumn("__twice", F.when(F.col("high") == F.col("low"), bit("high")).otherwise(0))
+    first = {"__own": bit("high").bitwiseOR(bit("low")), "__twice": F.when(F.col("high") == F.col("low"), bit("high")).otherwise(0)}
     n = lambda k: F.col(f"__n{k}")
     own, twice = F.col("__own"), F.col("__twice")
     levels = {"__g1": n(1).bitwiseOR(own), "__g2": n(2).bitwiseOR(n(1).bitwiseAND(own)).bitwiseOR(twice)}
     levels |= {f"__g{k}": n(k).bitwiseOR(n(k - 1).bitwiseAND(own)).bitwiseOR(n(k - 2).bitwiseAND(twice)) for k in (3, 4)}
     board = {"__b_ranks": n(1), "__b_most": F.when(F.col("mono"), F.col("__b_size")).otherwise(0), "__flush": F.lit(0), "__most": F.when(F.col("four"), 4).otherwise(0)}
-    rows = rows.withColumns(levels | board | {"__first": F.col("high") + 2, "__second": F.col("low") + 2})
-    for step in rated_by_ranks():
-        rows = rows.withColumns(step)
+    rows = stepwise(rows, first, levels | board | {"__first": F.col("high") + 2, "__second": F.col("low") + 2}, *rated_by_ranks())
     one = F.struct("class_id", F.col("__bucket").cast("tinyint").alias("b"))
     vector = lambda four: F.transform(F.sort_array(F.collect_list(F.when(F.col("four") == four, one))), lambda x: x["b"])
     return rows.groupBy("ranks", "mono").agg(vector(False).alias("plain"), vector(True).alias("four"))
 
 
 def strength_vectors(boards: DataFrame) -> DataFrame:
-    """(board, strengths): for each distinct board the places in ``BUCKETS`` of the 169 classes, bytes in class order; -1 where a class has no combo left.
+    """(board, strengths, members): for each distinct board the places in ``BUCKETS`` of the 169 classes, bytes in class order, -1 where a class has no combo left; and for each strength its classes.
 
     A class stands for its first combo in suit order that the board leaves. Boards are told apart as sets of cards.
     By ranks alone a class is rated once for all boards that share them (``rank_boards``); what a board adds is which
@@ -77,7 +75,8 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
     sets = sets.withColumns(held).withColumns({
         "__n": F.array(*counts), "__most": F.greatest(*counts), "__gone": F.array(*[suits_at(bits, r) for r in range(13)]), "ranks": reduce(Column.bitwiseOR, per_rank), "mono": F.greatest(*counts) == F.bit_count(bits),
     })
-    sets = written(sets, "boards")
+    # much work of few bytes: parts must not be merged for their size
+    sets = written(sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__set"), "boards")
     met = sets.join(F.broadcast(written(rank_boards(sets), "rank-boards")), ["ranks", "mono"])
     suits = F.array(*[F.col(f"__s{k}") for k in range(4)])
     ace = F.lit(12)
@@ -105,20 +104,57 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
         return let(representative(shape, F.col("__gone")), told)
 
     rated = met.select("__set", F.transform(class_shapes(), of_class).alias("strengths"))
-    return known.join(rated, "__set").select("board", "strengths")
+    every = F.sequence(F.lit(0), F.lit(168))
+    members = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.filter(every, lambda i: F.get("strengths", i) == k).cast("array<smallint>"))
+    rated = written(rated.withColumn("members", members), "strengths")
+    return known.join(rated, "__set").select("board", "strengths", "members")
 
 
-def collapse(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bucket_idx, strength, p) from rows (keys, board, p) with p as an array in class order: all seven strengths of each row.
+def collapsed(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start): the seven strengths of each row (keys, board, p) with p as an array in class order, as an array.
 
     Mass of classes without a combo is shared in proportion; a row without any mass, or whose board has no strengths, is uniform.
     """
-    rated = ranges.join(strength_vectors(ranges), "board", "left")
-    mass = lambda k: F.aggregate(F.zip_with("p", "strengths", lambda p, s: F.when((s == k) & (p > 0), p).otherwise(0.0)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    rated = rated.select(*keys, F.array(*[F.coalesce(mass(k), F.lit(0.0)) for k in range(7)]).alias("m"))
+    rated = ranges.join(strength_vectors(ranges).drop("strengths"), "board", "left")
+    # each class is read once, in the list of its strength
+    mass = F.transform("members", lambda of: F.aggregate(of, F.lit(0.0), lambda a, i: a + F.coalesce(F.get("p", i.cast("int")), F.lit(0.0))))
+    rated = rated.select(*keys, F.coalesce(mass, F.array_repeat(F.lit(0.0), 7)).alias("m"))
     rated = rated.withColumn("z", F.aggregate("m", F.lit(0.0), lambda a, x: a + x))
-    p = F.when(F.col("z") > 0, F.col("x") / F.col("z")).otherwise(1 / 7)
-    return rated.select(*keys, "z", F.posexplode("m").alias("bucket_idx", "x")).select(*keys, "bucket_idx", F.get(F.array(*map(F.lit, BUCKETS)), F.col("bucket_idx")).alias("strength"), p.alias("p"))
+    return rated.select(*keys, F.when(F.col("z") > 0, F.transform("m", lambda x: x / F.col("z"))).otherwise(F.array_repeat(F.lit(1 / 7), 7)).alias("start"))
+
+
+def collapse(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket_idx, strength, p): ``collapsed`` with a row for each strength."""
+    rows = collapsed(ranges, keys).select(*keys, F.posexplode("start").alias("bucket_idx", "p"))
+    return rows.select(*keys, "bucket_idx", F.get(F.array(*map(F.lit, BUCKETS)), F.col("bucket_idx")).alias("strength"), "p")
+
+
+def later_streets(ranges: DataFrame, boards: DataFrame, acts: DataFrame, phi: float = 0.0) -> DataFrame:
+    """The pre-flop ranges of a hand's pairs carried over its later streets: one row for each (path, observer, target) whose target acts after the flop.
+
+    ``ranges`` are rows of ``range_vectors``, ``boards`` has (path, street, board), ``acts`` the replayed actions. A range
+    collapses to strengths on the hand's own flop, and the target's later actions filter these. Actions do not depend on
+    the observer, so their log-likelihoods are summed for each target before its observers meet them.
+
+    (path, observer, target, board, n_actions, start, p, log_likelihood): strengths before and after as arrays in the order of ``BUCKETS``.
+    """
+    psi = psi_table(ranges.sparkSession, phi).groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket_idx", F.log("psi").alias("l")))), lambda x: x["l"]).alias("ln"))
+    made = acts.filter("street > 0").select("path", F.col("player").alias("target"), "bucket").join(F.broadcast(psi), "bucket")
+    summed = made.groupBy("path", "target").agg(F.count("*").alias("n_actions"), *[F.sum(F.get("ln", F.lit(i))).alias(f"l{i}") for i in range(7)])
+    summed = summed.select("path", "target", "n_actions", F.array(*[f"l{i}" for i in range(7)]).alias("l"))
+    flops = boards.filter("street = 1").select("path", "board")
+    # only pairs whose target acts later are rated
+    rows = ranges.join(summed, ["path", "target"]).join(flops, "path")
+    rows = collapsed(rows, ["path", "observer", "target", "board", "n_actions", "l"])
+    top = F.array_max(F.zip_with("start", "l", lambda p, l: F.when(p > 0, l)))
+    rows = rows.withColumn("top", top).withColumn("w", F.zip_with("start", "l", lambda p, l: F.when(p > 0, p * F.exp(l - F.col("top"))).otherwise(0.0)))
+    rows = rows.withColumn("z", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    return rows.select("path", "observer", "target", "board", "n_actions", "start", F.transform("w", lambda x: x / F.col("z")).alias("p"), (F.log("z") + F.col("top")).alias("log_likelihood"))
+
+
+def strength_value(p: Column) -> Column:
+    """Expected strength of an array of the seven: 1 for certain nuts, 0 for certain air."""
+    return F.aggregate(F.transform(p, lambda x, i: x * (6 - i) / 6), F.lit(0.0), lambda a, x: a + x)
 
 
 def strength_filter(start: DataFrame, actions: DataFrame, keys: list[str], phi: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -110,26 +110,56 @@ def betting_history(replayed: DataFrame) -> DataFrame:
     return replayed.withColumn("history", F.collect_list(one).over(w))
 
 
-def states(tokened: DataFrame, strict: bool = True) -> DataFrame:
-    """One snapshot for each street's opening and one after each action: alive flags, pot, stacks, who is to act, the board."""
-    acts = replay(tokened, strict)
-    hands = tokened.select("path", "players", "starting_stacks", "blinds_or_straddles").dropDuplicates(["path"])
-    deals = tokened.filter("p[0] = 'd' and get(p, 1) = 'db'").select("path", "seq", "street", F.lit(None).cast("int").alias("seat"), F.lit(0).alias("fold"), F.lit(0).cast("long").alias("contrib"))
-    start = hands.select("path", F.lit(-1).alias("seq"), F.lit(0).alias("street"), F.lit(None).cast("int").alias("seat"), F.lit(0).alias("fold"), F.lit(0).cast("long").alias("contrib"))
-    marks = deals.unionByName(start).unionByName(acts.select("path", "seq", "street", "seat", (F.col("verb") == "f").cast("int").alias("fold"), "contrib"))
-    so_far = Window.partitionBy("path").orderBy("seq")
-    marks = marks.join(hands, "path")
+def quarantined(replayed: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Actions of the hands that break no rule, from a replay that is not strict, in the same pass.
+
+    A hand's validity is a window over the hand, by which the rows are dealt already. ``observation``, if given, gets
+    the metrics ``actions``, ``violations`` and ``rejected`` (actions in broken hands) when the result is computed.
+    """
+    broken = F.max(F.col("violation").isNotNull().cast("int")).over(Window.partitionBy("path"))
+    rows = replayed.withColumn("__broken", broken)
+    if observation is not None:
+        rows = rows.observe(observation, F.count("*").alias("actions"), F.count("violation").alias("violations"), F.sum("__broken").alias("rejected"))
+    return rows.filter("__broken = 0").drop("__broken")
+
+
+#: Most seats that a deck can deal two cards each, with a board.
+MOST_SEATS = 23
+
+
+def states(tokened: DataFrame, strict: bool = True, quarantine: bool = False) -> DataFrame:
+    """One snapshot for each street's opening and one after each action: alive flags, pot, stacks, who is to act, the board.
+
+    What a seat has paid and who is gone are running sums and bits over the hand, so a log of any length is read once.
+    ``quarantine`` leaves out the hands that break a rule, found in the same replay. Hands have at most 23 seats.
+    """
+    acts = replay(tokened, strict and not quarantine)
+    hand = ["players", "starting_stacks", "blinds_or_straddles"]
+    nothing = [F.lit(None).cast("int").alias("seat"), F.lit(0).alias("fold"), F.lit(0).cast("long").alias("contrib"), F.lit(False).alias("bad")]
+    deals = tokened.filter("p[0] = 'd' and get(p, 1) = 'db'").select("path", "seq", "street", *nothing, *hand)
+    start = tokened.select("path", *hand).dropDuplicates(["path"]).select("path", F.lit(-1).alias("seq"), F.lit(0).alias("street"), *nothing, *hand)
+    # a replayed action carries its hand's players and stacks; the blinds come with the deals' rows
+    acted = acts.select("path", "seq", "street", "seat", (F.col("verb") == "f").cast("int").alias("fold"), "contrib", F.col("violation").isNotNull().alias("bad"), "players", "starting_stacks", F.lit(None).cast("array<bigint>").alias("blinds_or_straddles"))
+    marks = deals.unionByName(start).unionByName(acted)
+    whole, so_far = Window.partitionBy("path"), Window.partitionBy("path").orderBy("seq")
+    if quarantine:
+        marks = marks.withColumn("bad", F.max("bad").over(whole)).filter(~F.col("bad"))
+    bit = F.when((F.col("fold") == 1) & F.col("seat").between(1, MOST_SEATS), F.call_function("shiftleft", F.lit(1), F.col("seat"))).otherwise(0)
+    marks = marks.select(
+        "path", "seq", "street", "seat", "players", "starting_stacks", F.first("blinds_or_straddles", True).over(so_far).alias("blinds"),
+        F.bit_or(bit).over(so_far).alias("gone"), F.sum("contrib").over(so_far).alias("in_pot"),
+        F.array(*[F.sum(F.when(F.col("seat") == s, F.col("contrib")).otherwise(0)).over(so_far) for s in range(1, MOST_SEATS + 1)]).alias("paid"),
+    )
     n = F.size("players")
-    marks = marks.withColumn("gone", F.collect_list(F.when(F.col("fold") == 1, F.col("seat"))).over(so_far))
-    marks = marks.withColumn("paid", F.collect_list(F.struct("seat", "contrib")).over(so_far))
-    seats = F.sequence(F.lit(1), n)
-    alive = F.transform(seats, lambda s: ~F.array_contains("gone", s))
-    blind = lambda s: F.when(s == 1, F.get("blinds_or_straddles", F.lit(0))).when(s == 2, F.get("blinds_or_straddles", F.lit(1))).otherwise(0)
-    spent = lambda s: F.aggregate(F.filter("paid", lambda x: x["seat"] == s), F.lit(0).cast("long"), lambda a, x: a + x["contrib"])
-    stacks = F.transform(seats, lambda s: F.get("starting_stacks", s - 1) - blind(s) - spent(s))
-    live = F.filter(seats, lambda s: ~F.array_contains("gone", s))
-    after = F.coalesce(F.get(F.filter(live, lambda s: s > F.col("seat")), F.lit(0)), F.get(live, F.lit(0)))
-    opening = F.when(F.col("street") > 0, F.get(live, F.lit(0))).when(n == 2, 1).otherwise(3)
-    pot = F.get("blinds_or_straddles", F.lit(0)) + F.get("blinds_or_straddles", F.lit(1)) + F.sum("contrib").over(so_far)
-    out = marks.select("path", "seq", "street", "players", alive.alias("alive"), stacks.alias("stacks"), F.get("players", F.when(F.col("seat").isNull(), opening).otherwise(after) - 1).alias("player_to_act"), pot.alias("pot"))
+    seats = F.sequence(F.lit(1), F.when(n <= MOST_SEATS, n).otherwise(F.raise_error(F.lit(f"a hand has at most {MOST_SEATS} seats")).cast("int")))
+    is_gone = lambda s: F.call_function("shiftright", F.col("gone"), s).bitwiseAND(F.lit(1)) == 1
+    sb, bb = F.get("blinds", F.lit(0)), F.get("blinds", F.lit(1))
+    blind = lambda s: F.when(s == 1, sb).when(s == 2, bb).otherwise(0)
+    marks = marks.withColumn("alive", F.transform(seats, lambda s: ~is_gone(s))).withColumn("live", F.filter(seats, lambda s: ~is_gone(s)))
+    stacks = F.transform(seats, lambda s: F.get("starting_stacks", s - 1) - blind(s) - F.get("paid", s - 1))
+    first = F.get("live", F.lit(0))
+    after = F.coalesce(F.get(F.filter("live", lambda s: s > F.col("seat")), F.lit(0)), first)
+    opening = F.when(F.col("street") > 0, first).when(n == 2, 1).otherwise(3)
+    to_act = F.get("players", F.when(F.col("seat").isNull(), opening).otherwise(after) - 1)
+    out = marks.select("path", "seq", "street", "players", "alive", stacks.alias("stacks"), to_act.alias("player_to_act"), (sb + bb + F.col("in_pot")).alias("pot"))
     return out.join(boards(tokened), ["path", "street"], "left")

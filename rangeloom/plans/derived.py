@@ -4,7 +4,7 @@ A user's day of ``events`` is a hand. Its table has 2 to 6 seats, by the user; e
 are the actions in turn, two on each street, so the third, fifth, ... is preceded by
 a board deal. Errors fold, views and clicks call, the others raise. Some logs are
 broken on purpose: short stacks, players who act after folding, a fifth street,
-verbs and seats that do not exist. Cards are drawn without replacement.
+verbs and seats that do not exist, raises to less than others or the player have paid. Cards are drawn without replacement.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import RANKS, SUITS
+from rangeloom.functions.cards import RANKS, SUITS, reckoned
 
 #: Event types in the order of the action buckets (fixed values).
 EVENT_BUCKETS = ("error", "view", "click", "signup", "purchase")
@@ -24,23 +24,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_cards(df: DataFrame, key: str, n: int, into: str = "cards") -> DataFrame:
-    """Adds ``into``, ``n`` different cards drawn from a key: an integer generator picks among what is left of the deck.
+def drawn(key: Column, n: int) -> Column:
+    """``n`` different cards drawn from a key: an integer generator picks among what is left of the deck.
 
-    A draw counts the cards that are left: it moves up by each taken card that comes at or before it, which is told
-    from the taken cards in their order. Drawn one by one as columns, so that generated code does it.
+    A draw counts the cards that are left: it moves up by each taken card that comes at or before it.
     """
-    rows, taken = df.withColumn("__x", F.col(key).cast("long")), []
+    x, out = key.cast("long"), []
+    for i in range(n):
+        x = (x * 1103515245 + 12345) % 2147483648
+        out.append(x)
+    numbers = F.transform(F.array(*out), lambda x, i: F.floor(x / 65536).cast("int") % (52 - i))
+    card = lambda taken, place: F.aggregate(F.array_sort(taken), place, lambda p, t: F.when(t <= p, p + 1).otherwise(p))
+    taken = F.aggregate(numbers, F.array().cast("array<int>"), lambda taken, place: F.concat(taken, F.array(card(taken, place))))
+    return F.transform(taken, card_name)
+
+
+def with_cards(df: DataFrame, key: str, n: int, into: str = "cards") -> DataFrame:
+    """Adds ``into``, the cards of ``drawn`` for a few of them, one by one as columns, so that generated code does it."""
+    steps, taken, x = [], [], F.col(key).cast("long")
     for i in range(n):
-        rows = rows.withColumn("__x", (F.col("__x") * 1103515245 + 12345) % 2147483648)
-        rows = rows.withColumn("__at", F.floor(F.col("__x") / 65536).cast("int") % (52 - i))
-        before = [(F.col(f"__t{j}") - j <= F.col("__at")).cast("int") for j in range(i)]
-        rows = rows.withColumn(f"__c{i}", sum(before, F.col("__at")))
+        steps.append({f"__x{i}": (x * 1103515245 + 12345) % 2147483648})
+        x = F.col(f"__x{i}")
+        steps.append({f"__at{i}": F.floor(x / 65536).cast("int") % (52 - i)})
+        # taken cards in their order; the j-th of them is passed if it is at most the place reached by then
+        before = [(t - j <= F.col(f"__at{i}")).cast("int") for j, t in enumerate(taken)]
+        steps.append({f"__c{i}": sum(before, F.col(f"__at{i}"))})
         c = F.col(f"__c{i}")
-        taken = [F.col(f"__t{j}") for j in range(i)]
-        # the new card at its place among those taken
-        rows = rows.withColumns({f"__t{j}": F.greatest(taken[j - 1], F.least(taken[j], c)) if 0 < j < i else F.least(taken[0], c) if j < i else F.greatest(taken[j - 1], c) if i else c for j in range(i + 1)})
-    return rows.withColumn(into, F.array(*[card_name(F.col(f"__c{i}")) for i in range(n)])).select(*df.columns, into)
+        placed = [F.least(taken[0], c)] + [F.greatest(taken[j - 1], F.least(taken[j], c)) for j in range(1, i)] + [F.greatest(taken[-1], c)] if i else [c]
+        steps.append({f"__t{i}_{j}": t for j, t in enumerate(placed)})
+        taken = [F.col(f"__t{i}_{j}") for j in range(i + 1)]
+    return reckoned(df, into, F.array(*[card_name(F.col(f"__c{i}")) for i in range(n)]), *steps)
 
 
 def card_name(c: Column) -> Column:
@@ -78,11 +91,12 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 997 == 1, "xx")
         .when(F.col("bucket") == 0, "f")
         .when(F.col("bucket") <= 2, "cc")
+        .when(F.col("event_id") % 97 == 2, "cbr 5")
         .otherwise(F.concat(F.lit("cbr "), (100 * (s + 1) + F.floor("amount") % 100).cast("string")))
     )
     action = F.concat(F.lit("p"), seat.cast("string"), F.lit(" "), verb)
     grouped = log.groupBy("path").agg(F.first("user_id").alias("user_id"), F.min("event_id").alias("key"), F.sort_array(F.collect_list(F.struct(s.alias("s"), action.alias("a")))).alias("acts"))
-    grouped = with_cards(grouped.withColumn("n", (F.col("user_id") % 5 + 2).cast("int")), "key", 20)
+    grouped = grouped.withColumn("n", (F.col("user_id") % 5 + 2).cast("int")).withColumn("cards", drawn(F.col("key"), 20))
     card = lambda i: F.get("cards", i)
     holes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("d dh p"), i.cast("string"), F.lit(" "), card(2 * i - 2), card(2 * i - 1)))
     street = lambda x: F.floor((x["s"] - 1) / 2).cast("int")

@@ -122,7 +122,7 @@ hd AS (SELECT path, any_value(target)::BIGINT AS uid, min(event_id) AS key, coun
   SELECT path, n, stack, seq, n + seq - 1 + (seq - 1) // 2 AS pos, (seq - 1) // 2 AS street,
          CASE WHEN event_id % 991 = 0 THEN 9 ELSE (CASE WHEN seq > 2 OR n = 2 THEN 0 ELSE 2 END + (seq - 1) % 2) % n + 1 END AS seat,
          CASE WHEN event_id % 997 = 1 THEN 'xx' WHEN bucket = 0 THEN 'f' WHEN bucket <= 2 THEN 'cc' ELSE 'cbr' END AS verb,
-         CASE WHEN event_id % 997 <> 1 AND bucket >= 3 THEN 100 * (seq + 1) + floor(amount)::BIGINT % 100 END AS raise_to
+         CASE WHEN event_id % 997 <> 1 AND bucket >= 3 THEN CASE WHEN event_id % 97 = 2 THEN 5 ELSE 100 * (seq + 1) + floor(amount)::BIGINT % 100 END END AS raise_to
   FROM lg JOIN hh USING (path)
   UNION ALL SELECT path, n, stack, m + 1, n + m + (m - 1) // 2, (m - 1) // 2, 1, 'sm', NULL FROM hh WHERE m >= 5
 ), r1 AS (
@@ -216,6 +216,40 @@ p0 AS (SELECT i::INTEGER AS bucket_idx, {_NAMES}[i + 1] AS strength, a::INTEGER
 )"""
 
 
+#: Strengths of the 169 classes on each flop of ``fb`` (board, b).
+_RATED = """kco AS (
+              SELECT board, b, class_id, c1, c2, row_number() OVER (PARTITION BY board, class_id ORDER BY x.i, y.i) AS k
+              FROM fb, cb JOIN su x ON x.s = substr(c1, 2, 1) JOIN su y ON y.s = substr(c2, 2, 1) WHERE NOT list_contains(b, c1) AND NOT list_contains(b, c2)
+            ), kun AS (
+              SELECT board, class_id, b, c1, c2, 15 - instr('AKQJT98765432', substr(c, 1, 1)) AS v, substr(c, 2, 1) AS s
+              FROM (SELECT *, unnest(list_concat([c1, c2], b)) AS c FROM kco WHERE k = 1)
+            ), kcn AS (SELECT *, count(*) OVER (PARTITION BY board, class_id, v) AS n, count(*) OVER (PARTITION BY board, class_id, s) AS ns FROM kun
+            ), kg AS (
+              SELECT board, class_id, any_value(b) AS b, any_value(c1) AS c1, any_value(c2) AS c2, list(n ORDER BY n DESC, v DESC) AS form, list(v ORDER BY n DESC, v DESC) AS vs,
+                     max(ns) AS ms, max(v) AS hi, min(v) AS lo, list_distinct(list(v)) AS dv FROM kcn GROUP BY board, class_id
+            ), kh AS (
+              SELECT *, 15 - instr('AKQJT98765432', substr(c1, 1, 1)) AS h1, 15 - instr('AKQJT98765432', substr(c2, 1, 1)) AS h2,
+                     list_transform(b, lambda c: 15 - instr('AKQJT98765432', substr(c, 1, 1))) AS bv, len(list_distinct(list_transform(b, lambda c: substr(c, 2, 1)))) = 1 AS mono,
+                     CASE WHEN vs = [14, 5, 4, 3, 2] THEN 5 WHEN len(dv) = 5 AND hi - lo = 4 THEN hi ELSE 0 END AS run,
+                     CASE WHEN hi = 14 THEN list_append(dv, 1) ELSE dv END AS low FROM kg
+            ), ko AS (
+              SELECT *, list_max(bv) AS top, len(list_distinct(bv)) < 3 AS paired,
+                     list_filter(range(1, 11), lambda t: len(list_filter(low, lambda y: y >= t AND y <= t + 4)) = 4) AS win FROM kh
+            ), kz AS (
+              SELECT *, CASE WHEN ms = 4 THEN 9 ELSE 0 END
+                + CASE WHEN len(list_filter(win, lambda t: NOT list_contains(low, t) OR NOT list_contains(low, t + 4))) > 0 THEN 8 WHEN len(win) > 0 THEN 4 ELSE 0 END
+                + CASE (CASE WHEN h1 > top THEN 1 ELSE 0 END) + (CASE WHEN h2 > top THEN 1 ELSE 0 END) WHEN 2 THEN 6 WHEN 1 THEN 3 ELSE 0 END AS outs FROM ko
+            ), kr AS (
+              SELECT board, class_id, CASE WHEN (ms = 5 AND run > 0) OR form[1] = 4 OR form = [3, 3, 3, 2, 2] THEN 0
+                WHEN ms = 5 THEN CASE WHEN h1 = 14 OR h2 = 14 OR NOT mono THEN 0 ELSE 1 END
+                WHEN run > 0 THEN CASE WHEN paired OR mono THEN 1 ELSE 0 END
+                WHEN form[1] = 3 THEN CASE WHEN h1 = h2 AND list_contains(bv, h1) AND NOT mono THEN 0 ELSE 1 END
+                WHEN form = [2, 2, 2, 2, 1] THEN 1
+                WHEN form[1] = 2 THEN CASE WHEN vs[1] > top THEN 1 WHEN vs[1] = top THEN CASE WHEN greatest(CASE WHEN h1 <> vs[1] THEN h1 ELSE 0 END, CASE WHEN h2 <> vs[1] THEN h2 ELSE 0 END) >= 11 THEN 1 ELSE 2 END ELSE 3 END
+                WHEN outs >= 10 THEN 4 WHEN outs >= 3 THEN 5 ELSE 6 END AS bucket_idx FROM kz
+            )"""
+
+
 def oracle_sql() -> dict[str, str]:
     start = f"WITH {_LOG[: _LOG.index('), st AS')]}), {_HANDS}"
     return {k: v.replace("HH", start, 1).replace("CARDS", _CARDS) if v.startswith("HH") else v for k, v in _all().items()}
@@ -299,37 +333,7 @@ def _all() -> dict[str, str]:
         "strengths": f"WITH {_DEALS}, {_SCORE}, {_all_strengths()}",
         "collapse": f"""WITH {_CLASSES}, {_DEALS}, fb AS (
               SELECT DISTINCT array_to_string(cards[3:5], '') AS board, cards[3:5] AS b FROM dl
-            ), co AS (
-              SELECT board, b, class_id, c1, c2, row_number() OVER (PARTITION BY board, class_id ORDER BY x.i, y.i) AS k
-              FROM fb, cb JOIN su x ON x.s = substr(c1, 2, 1) JOIN su y ON y.s = substr(c2, 2, 1) WHERE NOT list_contains(b, c1) AND NOT list_contains(b, c2)
-            ), un AS (
-              SELECT board, class_id, b, c1, c2, 15 - instr('AKQJT98765432', substr(c, 1, 1)) AS v, substr(c, 2, 1) AS s
-              FROM (SELECT *, unnest(list_concat([c1, c2], b)) AS c FROM co WHERE k = 1)
-            ), cn AS (SELECT *, count(*) OVER (PARTITION BY board, class_id, v) AS n, count(*) OVER (PARTITION BY board, class_id, s) AS ns FROM un
-            ), g AS (
-              SELECT board, class_id, any_value(b) AS b, any_value(c1) AS c1, any_value(c2) AS c2, list(n ORDER BY n DESC, v DESC) AS form, list(v ORDER BY n DESC, v DESC) AS vs,
-                     max(ns) AS ms, max(v) AS hi, min(v) AS lo, list_distinct(list(v)) AS dv FROM cn GROUP BY board, class_id
-            ), h AS (
-              SELECT *, 15 - instr('AKQJT98765432', substr(c1, 1, 1)) AS h1, 15 - instr('AKQJT98765432', substr(c2, 1, 1)) AS h2,
-                     list_transform(b, lambda c: 15 - instr('AKQJT98765432', substr(c, 1, 1))) AS bv, len(list_distinct(list_transform(b, lambda c: substr(c, 2, 1)))) = 1 AS mono,
-                     CASE WHEN vs = [14, 5, 4, 3, 2] THEN 5 WHEN len(dv) = 5 AND hi - lo = 4 THEN hi ELSE 0 END AS run,
-                     CASE WHEN hi = 14 THEN list_append(dv, 1) ELSE dv END AS low FROM g
-            ), o AS (
-              SELECT *, list_max(bv) AS top, len(list_distinct(bv)) < 3 AS paired,
-                     list_filter(range(1, 11), lambda t: len(list_filter(low, lambda y: y >= t AND y <= t + 4)) = 4) AS win FROM h
-            ), z AS (
-              SELECT *, CASE WHEN ms = 4 THEN 9 ELSE 0 END
-                + CASE WHEN len(list_filter(win, lambda t: NOT list_contains(low, t) OR NOT list_contains(low, t + 4))) > 0 THEN 8 WHEN len(win) > 0 THEN 4 ELSE 0 END
-                + CASE (CASE WHEN h1 > top THEN 1 ELSE 0 END) + (CASE WHEN h2 > top THEN 1 ELSE 0 END) WHEN 2 THEN 6 WHEN 1 THEN 3 ELSE 0 END AS outs FROM o
-            ), r AS (
-              SELECT board, CASE WHEN (ms = 5 AND run > 0) OR form[1] = 4 OR form = [3, 3, 3, 2, 2] THEN 0
-                WHEN ms = 5 THEN CASE WHEN h1 = 14 OR h2 = 14 OR NOT mono THEN 0 ELSE 1 END
-                WHEN run > 0 THEN CASE WHEN paired OR mono THEN 1 ELSE 0 END
-                WHEN form[1] = 3 THEN CASE WHEN h1 = h2 AND list_contains(bv, h1) AND NOT mono THEN 0 ELSE 1 END
-                WHEN form = [2, 2, 2, 2, 1] THEN 1
-                WHEN form[1] = 2 THEN CASE WHEN vs[1] > top THEN 1 WHEN vs[1] = top THEN CASE WHEN greatest(CASE WHEN h1 <> vs[1] THEN h1 ELSE 0 END, CASE WHEN h2 <> vs[1] THEN h2 ELSE 0 END) >= 11 THEN 1 ELSE 2 END ELSE 3 END
-                WHEN outs >= 10 THEN 4 WHEN outs >= 3 THEN 5 ELSE 6 END AS bucket_idx FROM z
-            ), m AS (SELECT board, bucket_idx, count(*) AS n FROM r GROUP BY ALL
+            ), {_RATED}, m AS (SELECT board, bucket_idx, count(*) AS n FROM kr GROUP BY ALL
             ), a AS (SELECT board, i::INTEGER AS bucket_idx FROM fb, range(0, 7) t(i))
             SELECT board, bucket_idx, {_NAMES}[bucket_idx + 1] AS strength, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY board), 9) AS p FROM a LEFT JOIN m USING (board, bucket_idx)""",
         "strength_filter": f"""WITH {_LOG}, {_PSI}, lf AS (
@@ -350,6 +354,22 @@ def _all() -> dict[str, str]:
             ), tl AS (SELECT *, bucket_idx / 6e0 AS w FROM ps
             ), ts AS (SELECT bucket_idx, strength, bucket, exp(ln(greatest(psi, 1e-9)) + 0.5e0 * CASE bucket WHEN 0 THEN -w WHEN 1 THEN w - 0.3e0 WHEN 2 THEN 0.8e0 * (w - 0.2e0) WHEN 3 THEN 0.6e0 * (w - 0.1e0) ELSE 0.5e0 * w END) AS e FROM tl
             ), tp AS (SELECT *, e / sum(e) OVER (PARTITION BY bucket_idx) AS psi FROM ts) SELECT bucket_idx, strength, bucket, round(psi, 9) AS psi, n FROM tp JOIN us USING (bucket)""",
+        "hand_postflop": f"""{_pair(0.0)}, {_PSI}, fpx AS (SELECT bo.path, board FROM bo JOIN sp USING (path) WHERE street = 1
+            ), fb AS (SELECT DISTINCT board, [substr(board, 1, 2), substr(board, 3, 2), substr(board, 5, 2)] AS b FROM fpx
+            ), {_RATED}, la AS (SELECT path, player AS target, bucket, count(*) AS c FROM sr WHERE street > 0 GROUP BY ALL
+            ), lx AS (SELECT path, target, bucket_idx, sum(c * ln(psi)) AS l, sum(c) AS n FROM la JOIN ps USING (bucket) GROUP BY path, target, bucket_idx
+            ), st0 AS (SELECT path, observer, target, board, bucket_idx, sum(p) AS m FROM po JOIN fpx USING (path) JOIN kr USING (board, class_id) GROUP BY ALL
+            ), st1 AS (
+              SELECT pr.*, lx.bucket_idx, l, n, coalesce(m, 0e0) / sum(m) OVER (PARTITION BY pr.path, pr.observer, pr.target) AS s
+              FROM (SELECT DISTINCT path, observer, target, board FROM st0) pr JOIN lx ON lx.path = pr.path AND lx.target = pr.target
+                LEFT JOIN st0 ON st0.path = pr.path AND st0.observer = pr.observer AND st0.target = pr.target AND st0.bucket_idx = lx.bucket_idx
+            ), st2 AS (SELECT *, max(CASE WHEN s > 0 THEN l END) OVER w AS top, s * exp(l - max(CASE WHEN s > 0 THEN l END) OVER w) AS u FROM st1 WINDOW w AS (PARTITION BY path, observer, target)
+            ), st3 AS (SELECT *, u / sum(u) OVER w AS q, ln(sum(u) OVER w) + top AS ll FROM st2 WINDOW w AS (PARTITION BY path, observer, target))
+            SELECT path, observer, target, board, any_value(n)::BIGINT AS n_actions, round(sum(s * (6 - bucket_idx) / 6e0), 7) AS strength_before, round(sum(q * (6 - bucket_idx) / 6e0), 7) AS strength_after,
+                   round(1 / sum(q * q), 6) AS effective_size, round(any_value(ll), 7) AS log_likelihood FROM st3 GROUP BY path, observer, target, board""",
+        "priors_on_boards": f"""WITH {_CLASSES}, {_DEALS}, dd AS (SELECT DISTINCT cards[1:5] AS d FROM dl
+            ), cc AS (SELECT d, class_id, count(*) FILTER (WHERE NOT list_contains(d, c1) AND NOT list_contains(d, c2)) AS n FROM dd, cb GROUP BY ALL)
+            SELECT class_id, sum(n)::BIGINT AS combos, round(sum(n / 1081e0), 5) AS prior_mass, count(*) FILTER (WHERE n = 0) AS n_gone FROM cc GROUP BY class_id""",
         "hand_replay": """HH SELECT path, pos::INTEGER AS seq, street::INTEGER AS street, action_index::INTEGER AS action_index, player, verb, amount, pot_before::BIGINT AS pot_before, pot_after::BIGINT AS pot_after, stack_before::BIGINT AS stack_before,
             level_before::INTEGER AS level_before, level_after::INTEGER AS level_after, live::INTEGER AS live, state_key, bucket::INTEGER AS bucket, violation FROM rp""",
         "violations": "HH SELECT violation, count(*) AS n, count(DISTINCT path) AS n_hands FROM rp WHERE violation IS NOT NULL GROUP BY violation",

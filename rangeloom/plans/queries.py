@@ -17,7 +17,7 @@ from rangeloom.functions.cards import BUCKETS, cards, hand_class, scored, streng
 from rangeloom.functions.likelihood import action_table, hand_classes, psi_table
 from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
-from rangeloom.operators.replay import betting_history, boards, hole_cards, replay, states, tokens
+from rangeloom.operators.replay import betting_history, boards, hole_cards, quarantined, replay, states, tokens
 from rangeloom.plans.derived import deals, event_log, hands, read
 from rangeloom.sources.histories import parse_texts
 from rangeloom.sources.shared import written
@@ -145,7 +145,7 @@ def q_filter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_strength_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry of the post-flop filter over every hand's events, and its two likeliest strengths after the last."""
+    """Telemetry of the post-flop filter over every hand's events."""
     log = event_log(spark, sf_dir)
     names = spark.createDataFrame(list(enumerate(BUCKETS)), "bucket_idx int, strength string").coalesce(1)
     start = log.select("path").distinct().crossJoin(F.broadcast(names)).withColumn("p", F.lit(1 / 7))
@@ -164,16 +164,14 @@ def q_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_hands"))
 
 
-def sound_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived hands whose logs break no rule, kept."""
-    every = hands(spark, sf_dir)
-    broken = replay(tokens(every), strict=False).filter("violation is not null").select("path").distinct()
-    return written(every.join(broken, "path", "left_anti"), "sound-hands")
+def kept_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived hands, broken ones too, derived once and kept."""
+    return written(hands(spark, sf_dir), "hands")
 
 
 def q_hand_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of the sound hands, replayed strictly."""
-    s = states(tokens(sound_hands(spark, sf_dir)))
+    """Snapshots of the hands that break no rule."""
+    s = states(tokens(kept_hands(spark, sf_dir)), quarantine=True)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return s.select("path", "seq", "street", text("alive").alias("alive"), text("stacks").alias("stacks"), "player_to_act", "pot", "board")
 
@@ -189,7 +187,7 @@ def q_hand_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_hand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The street's earlier actions before each action, as text."""
-    h = betting_history(replay(tokens(sound_hands(spark, sf_dir))))
+    h = betting_history(quarantined(replay(tokens(hands(spark, sf_dir)), strict=False)))
     one = lambda x: F.concat_ws(":", x["player"], x["action"]["bucket"].cast("string"), x["action"]["level"].cast("string"), x["amount"].cast("string"))
     return h.select("path", "seq", F.array_join(F.transform("history", one), ";").alias("history"))
 
@@ -205,12 +203,17 @@ def q_hand_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("path", "session_id", "hand_no", "variant", "hand", "min_bet", F.array_join("players", ",").alias("players"), F.array_max("starting_stacks").alias("stack"), F.size("actions").alias("n_actions"), F.element_at("actions", -1).alias("last_action"))
 
 
+def _acts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(hands, their tokens, actions of the hands that break no rule, hole cards); hands and actions are kept, replayed once."""
+    every = kept_hands(spark, sf_dir)
+    t = tokens(every)
+    return every, t, written(quarantined(replay(t, strict=False)), "hand-actions"), hole_cards(t)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(decisions, pairs, hole cards) of the sound hands; the decisions are replayed once and kept."""
-    sound = sound_hands(spark, sf_dir)
-    t = tokens(sound)
-    holes = hole_cards(t)
-    return written(R.decisions(replay(t)), "hand-decisions"), R.pairs(sound, holes), holes
+    """(decisions, pairs, hole cards); broken hands have no decisions."""
+    every, _, acts, holes = _acts(spark, sf_dir)
+    return R.decisions(acts), R.pairs(every, holes), holes
 
 
 def q_hand_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,10 +242,29 @@ def q_hand_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.temperature_fit(made, pairs, [-0.5, 0.0, 0.5]).withColumn("log_likelihood", F.round("log_likelihood", 5))
 
 
+def q_hand_postflop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's pre-flop range, collapsed on the hand's own flop and filtered by the target's later actions."""
+    every, t, acts, holes = _acts(spark, sf_dir)
+    ranged = R.range_vectors(R.decisions(acts), R.pairs(every, holes))
+    s = P.later_streets(ranged, boards(t), acts)
+    squares = F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)
+    return s.select(
+        "path", "observer", "target", "board", "n_actions", F.round(P.strength_value(F.col("start")), 7).alias("strength_before"), F.round(P.strength_value(F.col("p")), 7).alias("strength_after"),
+        F.round(1 / squares, 6).alias("effective_size"), F.round("log_likelihood", 7).alias("log_likelihood"),
+    )
+
+
+def q_priors_on_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combos that two hole cards and a flop leave to each class, over all deals."""
+    dead = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 1, 5), "").alias("dead"))
+    counts = R.prior_counts(dead).select("total", F.posexplode("counts").alias("class_id", "n"))
+    return counts.groupBy("class_id").agg(F.sum("n").alias("combos"), F.round(F.sum(F.col("n") / F.col("total")), 5).alias("prior_mass"), F.count(F.when(F.col("n") == 0, 1)).alias("n_gone"))
+
+
 def q_hand_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength of every player who is live when a board card is dealt."""
-    t = tokens(sound_hands(spark, sf_dir))
-    s = P.live_strengths(states(t), hole_cards(t))
+    t = tokens(kept_hands(spark, sf_dir))
+    s = P.live_strengths(states(t, quarantine=True), hole_cards(t))
     return s.filter("board is not null").select("path", "seq", "player", "hole", "board", F.col("rated.bucket").alias("bucket"), F.col("rated.hand_type").alias("hand_type"), F.col("rated.outs").alias("outs"))
 
 
