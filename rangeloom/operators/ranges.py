@@ -26,21 +26,24 @@ def combo_count(name: Column) -> Column:
     return F.when(F.length(name) == 2, 6).when(F.substring(name, 3, 1) == "s", 4).otherwise(12)
 
 
-def counts_left(bits: Column) -> tuple[Column, Column]:
-    """(free, counts): the free suits of each rank, to be kept as ``__free``, and from these the combos of the 169 classes, in class order, that a set of dead cards of any size leaves.
+def counts_left(bits: Column) -> Column:
+    """Combos of the 169 classes, in class order, that a set of dead cards of any size leaves.
 
     A pair has as many as two of its rank's free suits can be chosen, a suited class as many as suits are free at both
-    ranks, an offsuit one the other products of free suits. ``bits`` is read for each rank, so it should be a column.
+    ranks, an offsuit one the other products of free suits.
     """
-    free = F.array(*[F.lit(15).bitwiseXOR(suits_at(bits, r)) for r in range(13)])
     pairs = F.array(*map(F.lit, (0, 0, 1, 3, 6)))
 
-    def left(shape: Column) -> Column:
-        high, low = F.get(F.col("__free"), shape["high"]), F.get(F.col("__free"), shape["low"])
-        both = F.bit_count(high.bitwiseAND(low))
-        return F.when(shape["kind"] == PAIR, F.get(pairs, both)).when(shape["kind"] == SUITED, both).otherwise(F.bit_count(high) * F.bit_count(low) - both)
+    def of_class(shape: Column, free: Column) -> Column:
+        def told(x: Column) -> Column:
+            both = F.bit_count(x["high"].bitwiseAND(x["low"]))
+            return F.when(shape["kind"] == PAIR, F.get(pairs, both)).when(shape["kind"] == SUITED, both).otherwise(F.bit_count(x["high"]) * F.bit_count(x["low"]) - both)
 
-    return free, F.transform(class_shapes(), left)
+        return let(F.struct(F.get(free, shape["high"]).alias("high"), F.get(free, shape["low"]).alias("low")), told)
+
+    free_suits = lambda b: F.array(*[F.lit(15).bitwiseXOR(suits_at(b, r)) for r in range(13)])
+    # bound once for each row: inlined, the array would be made again for each class
+    return let(bits, lambda b: let(free_suits(b), lambda free: F.transform(class_shapes(), lambda s: of_class(s, free))))
 
 
 def prior_counts(dead: DataFrame) -> DataFrame:
@@ -48,8 +51,8 @@ def prior_counts(dead: DataFrame) -> DataFrame:
 
     Any number of cards can be dead, an observer's two or a board as well; each string is one row and meets no table of combos.
     """
-    free, counts = counts_left(F.col("__bits"))
-    known = dead.select("dead").distinct().withColumn("__bits", text_bits(F.col("dead"))).withColumn("__free", free).select("dead", counts.alias("counts"))
+    distinct = dead.select("dead").distinct().repartition(int(dead.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dead")
+    known = distinct.select("dead", counts_left(text_bits(F.col("dead"))).alias("counts"))
     total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
     return known.withColumn("total", F.when(total > 0, total).otherwise(bad("no legal combos: ", F.col("dead")).cast("int")))
 

@@ -125,7 +125,7 @@ def q_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flops that the order keys deal, each against a uniform range."""
-    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct()
+    board = deals(spark, sf_dir).select(F.array_join(F.slice("cards", 3, 3), "").alias("board")).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = P.collapse(board.withColumn("p", F.array_repeat(F.lit(1 / 169), 169)).withColumn("k", F.col("board")), ["k"])
     return out.select(F.col("k").alias("board"), "bucket_idx", "strength", F.round("p", 9).alias("p"))
 
