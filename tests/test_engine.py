@@ -4,15 +4,16 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Observation, Row
 from pyspark.sql import functions as F
 from rangeloom.functions import keys as K
 from rangeloom.functions.cards import BUCKETS, RANKS, SUITS, card_bits, cards, hand_class, scored, strengths, suit_bits, suits_at, textured
 from rangeloom.functions.likelihood import action_table, class_names, combos, hand_classes, psi_table, table_map
 from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
-from rangeloom.operators.replay import betting_history, boards, hole_cards, replay, states, tokens
-from rangeloom.plans.runs import chosen, dump, report, run
-from rangeloom.sources.histories import from_text, read_session
+from rangeloom.operators.replay import betting_history, boards, hole_cards, quarantined, replay, states, tokens
+from rangeloom.plans.runs import chosen, dump, report, results, run
+from rangeloom.sources.histories import from_rows, from_text, read_session
 
 HANDS = {
     "30/12": ("['MrWhite', 'Gogo', 'Budd', 'Eddie', 'Bill', 'Pluribus']", "['d dh p1 Ks7d', 'd dh p2 8sQh', 'd dh p3 2sKh', 'd dh p4 7c5d', 'd dh p5 Jh9d', 'd dh p6 TcJc', 'p3 f', 'p4 f', 'p5 f', 'p6 cbr 225', 'p1 f', 'p2 cc', 'd db 3dQc2c', 'p2 cc', 'p6 cbr 250', 'p2 cc', 'd db 9s', 'p2 cc', 'p6 cbr 1000', 'p2 cc', 'd db 5s', 'p2 cc', 'p6 cc', 'p2 sm 8sQh', 'p6 sm']"),
@@ -83,6 +84,41 @@ def test_snapshots_conserve_chips(spark):
         assert rows[0].player_to_act == one_hand(spark, name).first().players[2] and rows[0].seq == -1
 
 
+def test_snapshots_of_a_long_log(spark):
+    """Ten thousand actions of one hand: running sums, not lists of all that came before."""
+    acts = ["p3 cc", "p1 cc", "p2 cc", "d db 2c3c4c", *[f"p{k % 3 + 1} cc" for k in range(9_990)], "p1 cbr 700", "p2 f", "p3 cc"]
+    text = f"blinds_or_straddles = [50, 100, 0]\nstarting_stacks = [10000, 10000, 10000]\nactions = {acts}\nplayers = ['a', 'b', 'c']\n"
+    rows = states(tokens(from_text(spark, text))).orderBy("seq").collect()
+    assert len(rows) == len(acts) + 1 and all(r.pot + sum(r.stacks) == 30_000 for r in rows)
+    last = rows[-1]
+    assert (last.alive, last.stacks, last.pot, last.player_to_act) == ([True, False, True], [9200, 9900, 9200], 1700, "a")
+
+
+def test_broken_hands_leave_in_the_same_replay(spark):
+    good, bad = one_hand(spark, "30/12"), one_hand(spark, "99/36").withColumn("actions", F.concat("actions", F.array(F.lit("p1 cc"))))
+    both = good.unionByName(bad)
+    seen = Observation()
+    kept = quarantined(replay(tokens(both), strict=False), seen).collect()
+    assert {r.path for r in kept} == {"logs/30/12.phh"} and len(kept) == 14
+    assert seen.get["violations"] == 1 and seen.get["rejected"] == seen.get["actions"] - 14
+    assert {r.path for r in states(tokens(both), quarantine=True).collect()} == {"logs/30/12.phh"}
+
+
+def test_hands_from_rows_and_likeliest_strengths(spark):
+    row = one_hand(spark, "99/36").first().asDict()
+    again = from_rows(spark, [row, {"path": "x/1.phh"}]).collect()
+    assert again[0].asDict() == row and again[1].players is None
+    rows = spark.createDataFrame([(1, b, p) for b, p in zip(BUCKETS, (0.1, 0.3, 0.1, 0.3, 0.0, 0.1, 0.1))], "k int, strength string, p double")
+    assert [(r["rank"], r.strength) for r in P.top_strengths(rows, ["k"], 3).orderBy("rank").collect()] == [(1, BUCKETS[1]), (2, BUCKETS[3]), (3, BUCKETS[0])]
+
+
+def test_an_observer_is_not_the_target(spark):
+    hands = one_hand(spark, "30/12")
+    with pytest.raises(ValueError, match="observer"):
+        results(hands, ["Gogo"], ["Gogo"])
+    assert results(hands, ["Gogo"], ["Gogo", "Pluribus"]).select("target").distinct().collect() == [Row(target="Pluribus")]
+
+
 @pytest.mark.parametrize("bad", ["'p1 xx'", "'p3 f', 'p3 cc'", "'p2 cbr 100'", "'p3 cbr 10001'", "'d db 2c', 'd db 3c', 'd db 4c', 'd db 5c', 'p1 cc'"])
 def test_broken_logs_are_errors(spark, bad):
     text = f"blinds_or_straddles = [50, 100, 0]\nstarting_stacks = [10000, 10000, 10000]\nactions = [{bad}]\nplayers = ['a', 'b', 'c']\n"
