@@ -66,7 +66,10 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
     By ranks alone a class is rated once for all boards that share them (``rank_boards``); what a board adds is which
     of its classes make a flush, or four to one. A board of other than three to five cards has no strengths.
     """
-    known = boards.select("board").distinct().withColumn("__set", card_bits(cards(F.col("board"))))
+    # much work of few bytes: parts must not be merged for their size, and a board's text is read once
+    parts = int(boards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = boards.select("board").distinct().repartition(parts, "board").withColumn("__cards", cards(F.col("board")))
+    known = written(known.select("board", card_bits(F.col("__cards")).alias("__set")), "boards")
     sets = known.select("__set").distinct().filter(F.bit_count("__set").between(3, 5))
     bits = F.col("__set")
     held = {f"__s{k}": suit_bits(bits, k) for k in range(4)}
@@ -75,8 +78,7 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
     sets = sets.withColumns(held).withColumns({
         "__n": F.array(*counts), "__most": F.greatest(*counts), "__gone": F.array(*[suits_at(bits, r) for r in range(13)]), "ranks": reduce(Column.bitwiseOR, per_rank), "mono": F.greatest(*counts) == F.bit_count(bits),
     })
-    # much work of few bytes: parts must not be merged for their size
-    sets = written(sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__set"), "boards")
+    sets = written(sets.repartition(parts, "__set"), "board-sets")
     met = sets.join(F.broadcast(written(rank_boards(sets), "rank-boards")), ["ranks", "mono"])
     suits = F.array(*[F.col(f"__s{k}") for k in range(4)])
     ace = F.lit(12)
