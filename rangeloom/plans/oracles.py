@@ -399,6 +399,13 @@ def _all() -> dict[str, str]:
             FROM po QUALIFY rank <= 3""",
         "hand_summaries": f"""{_pair(0.5)} SELECT path, observer, target, any_value(d1 || d2) AS dead, round(1 / sum(p * p), 5) AS effective_size, round(any_value(log_likelihood), 8) AS log_likelihood, any_value(n) AS n_decisions, count(*)::INTEGER AS classes,
             round(sum(p * class_id), 6) AS mean_class, round(max(p) FILTER (WHERE hand_class = 'AKs'), 9) AS aks FROM po GROUP BY path, observer, target""",
+        "hand_results": f"""{_pair(0.5)}, hx AS (SELECT path, (row_number() OVER (PARTITION BY uid ORDER BY key, path) - 1)::INTEGER AS hand_index FROM hh
+            ), dc AS (SELECT path, player AS target, string_agg(action_index || ':' || state_key || ':' || bucket || ':' || amount, ';' ORDER BY action_index) AS decisions FROM sr WHERE street = 0 GROUP BY ALL
+            ), tc AS (SELECT path, observer, target, d1 || d2 AS dead, hand_class AS top_class, round(p, 9) AS top_probability, round(log_likelihood, 8) AS log_likelihood FROM po
+              QUALIFY row_number() OVER (PARTITION BY path, observer, target ORDER BY round(p, 12) DESC, class_id) = 1)
+            SELECT split_part(path, '/', 1) AS session, hand_index, path, observer, target, list_position(['ann', 'bob', 'cyd', 'dan', 'eve', 'fay'], observer)::INTEGER - 1 AS observer_at,
+              list_position(['ann', 'bob', 'cyd', 'dan', 'eve', 'fay'], target)::INTEGER - 1 AS target_at, dead, 0.5e0 AS phi, decisions, top_class, top_probability, log_likelihood
+            FROM tc JOIN hx USING (path) JOIN dc USING (path, target)""",
         "hand_true_class": f"""{_pair(0.0)}, nm AS (SELECT *, instr('AKQJT98765432', substr(c1, 1, 1)) AS i, instr('AKQJT98765432', substr(c2, 1, 1)) AS j FROM ho
             ), nc AS (SELECT path, player AS target, CASE WHEN i <= j THEN substr(c1, 1, 1) || substr(c2, 1, 1) ELSE substr(c2, 1, 1) || substr(c1, 1, 1) END || CASE WHEN i = j THEN '' WHEN substr(c1, 2, 1) = substr(c2, 2, 1) THEN 's' ELSE 'o' END AS hand_class FROM nm)
             SELECT path, observer, target, round(p, 9) AS true_class_probability FROM po JOIN nc USING (path, target, hand_class)""",

@@ -19,8 +19,9 @@ from rangeloom.operators import postflop as P
 from rangeloom.operators import ranges as R
 from rangeloom.operators.replay import betting_history, boards, hole_cards, quarantined, replay, states, tokens
 from rangeloom.plans.derived import deals, event_log, hands, read
+from rangeloom.plans.documents import read_documents, write_documents
 from rangeloom.sources.histories import parse_texts
-from rangeloom.sources.shared import written
+from rangeloom.sources.shared import fresh_path, written
 
 
 def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +232,19 @@ def q_hand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("path", "observer", "target", "dead", F.round("effective_size", 5).alias("effective_size"), F.round("log_likelihood", 8).alias("log_likelihood"), "n_decisions", F.size("range_vector").alias("classes"), F.round(placed, 6).alias("mean_class"), F.round(F.try_element_at("final_range", F.lit("AKs")), 9).alias("aks"))
 
 
+def q_hand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's results written as documents, committed and read back: decisions, likeliest class, log-likelihood, place in the session."""
+    folder = fresh_path(spark, "documents")
+    write_documents(hands(spark, sf_dir), folder, phi=0.5, k=3, quarantine=True)
+    _, _, rows = read_documents(spark, folder)
+    one = lambda d: F.concat_ws(":", d["action_index"].cast("string"), d["state_key"], d["action_bucket"].cast("string"), d["amount"].cast("string"))
+    return rows.select(
+        F.col("session_path").alias("session"), "hand_index", "path", "observer", "target", "observer_at", "target_at", F.col("observer_hole_cards").alias("dead"), "phi",
+        F.array_join(F.transform("decisions", one), ";").alias("decisions"), F.get("top_range", F.lit(0))["hand_class"].alias("top_class"),
+        F.round(F.get("top_range", F.lit(0))["probability"], 9).alias("top_probability"), F.round("log_likelihood", 8).alias("log_likelihood"),
+    )
+
+
 def q_hand_true_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, pairs, holes = _pairs(spark, sf_dir)
     t = R.true_class(R.range_vectors(made, pairs), holes)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeloom.sources.shared import found
+
 HANDS = "path string, session_id string, hand_no int, variant string, ante_trimming_status boolean, antes array<bigint>, blinds_or_straddles array<bigint>, min_bet bigint, starting_stacks array<bigint>, actions array<string>, hand int, players array<string>, finishing_stacks array<double>"
 _KINDS = {x.split()[0]: x.split()[1] for x in HANDS.split(", ")}
 
@@ -34,23 +34,32 @@ def parse_texts(texts: DataFrame, strict_names: bool = True) -> DataFrame:
     )
 
 
-def read_session(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """All ``.phh`` files of a folder (and of those below it, if ``recursive``)."""
-    if "://" not in path:
-        if not Path(path).exists():
-            raise FileNotFoundError(f"no session folder at {path}")
-        if not Path(path).is_dir():
-            raise NotADirectoryError(f"a session is a folder, which {path} is not")
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive or None, pathGlobFilter="*.phh")
-    return parse_texts(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+def _texts(spark: SparkSession, path: str, files_per_task: int, **options) -> DataFrame:
+    """(path, value) of text files. Files are much smaller than what a task is opened for, so a task reads up to ``files_per_task`` of them.
+
+    The path is file metadata: what is filtered by path, session or hand number is decided on the listing, before any file is opened.
+    """
+    raw = spark.read.text(path, wholetext=True, **options)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(raw.inputFiles()) // files_per_task))
+    return raw.select(F.col("_metadata.file_path").alias("path"), "value").coalesce(tasks)
+
+
+def read_session(spark: SparkSession, path: str, recursive: bool = False, files_per_task: int = 1000) -> DataFrame:
+    """All ``.phh`` files of a folder (and of those below it, if ``recursive``), on any file system that Spark reads."""
+    kind = found(spark, path)
+    if kind is None:
+        raise FileNotFoundError(f"no session folder at {path}")
+    if kind != "folder":
+        raise NotADirectoryError(f"a session is a folder, which {path} is not")
+    options = {"recursiveFileLookup": True} if recursive else {}
+    return parse_texts(_texts(spark, path, files_per_task, pathGlobFilter="*.phh", **options))
 
 
 def read_hand(spark: SparkSession, path: str) -> DataFrame:
     """One file, whatever its name."""
-    if "://" not in path and not Path(path).is_file():
+    if found(spark, path) != "file":
         raise FileNotFoundError(f"no hand file at {path}")
-    raw = spark.read.text(path, wholetext=True)
-    return parse_texts(raw.select(F.col("_metadata.file_path").alias("path"), "value"), strict_names=False)
+    return parse_texts(_texts(spark, path, 1), strict_names=False)
 
 
 def from_text(spark: SparkSession, text: str, path: str = "memory/0.phh") -> DataFrame:

@@ -16,8 +16,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as a URI with the scheme that Spark would use; a path without one belongs to the default file system."""
     if "://" in path:
         return path.rstrip("/")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+    system, at = hadoop_path(spark, path)
+    return system.makeQualified(at).toString().rstrip("/")
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path object) of a path with or without a scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def found(spark: SparkSession, path: str) -> str | None:
+    """What stands at a path of whatever file system: ``folder``, ``file`` or nothing."""
+    system, at = hadoop_path(spark, path)
+    if not system.exists(at):
+        return None
+    return "folder" if system.getFileStatus(at).isDirectory() else "file"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +63,8 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has left in the shared folder; DataFrames that read it can no longer be used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, at = hadoop_path(spark, application_dir(spark))
+    system.delete(at, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
