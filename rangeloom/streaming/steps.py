@@ -5,8 +5,9 @@ log-likelihoods of the 169 classes and the decisions that wait; when the
 watermark passes a decision's time, it is applied in the order of (time, action
 index) and its telemetry goes out, as ``filter_steps`` gives it for a table. What
 comes later than the watermark allows is dropped, as in Spark's own event-time
-operators. A pair without decisions for ``idle`` is taken as ended and its state
-is removed, so the state is that of the hands being played.
+operators. A pair without decisions for longer than ``idle_seconds`` is taken as
+ended and its state is removed, so the state is that of the hands being played;
+a later decision starts anew from the prior, whenever it arrives.
 
 Likelihoods and priors are columns, joined or made before the keyed operator;
 Python only adds vectors. Keyed state needs the RocksDB state store:
@@ -68,6 +69,9 @@ class _Steps(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.told.exists():
+            yield pd.DataFrame()
+            return
         n, log_z, last, log_lik, prior = self.told.get()
         listed = sorted(self.waiting.get(), key=lambda w: (w[0], w[1])) if self.waiting.exists() else []
         due, rest = [w for w in listed if w[0] <= now], [w for w in listed if w[0] > now]
@@ -77,7 +81,10 @@ class _Steps(StatefulProcessor):
             out = []
             sums, prior = np.array(log_lik), np.array(prior)
             live = prior > 0
-            for _, action_index, state_key, bucket, ln in due:
+            for at, action_index, state_key, bucket, ln in due:
+                if n and at - last > self.idle_ms:
+                    n, log_z, sums = 0, 0.0, np.zeros(len(prior))
+                last = at
                 sums = sums + np.array(ln)
                 top = sums[live].max()
                 w = np.where(live, prior * np.exp(sums - top), 0.0)
@@ -87,7 +94,6 @@ class _Steps(StatefulProcessor):
                 best, before, n = int(np.argmax(np.round(p, 12))), log_z, n + 1
                 log_z = float(np.log(z) + top)
                 out.append((*key, n, action_index, state_key, bucket, float(1 / (p * p).sum()), str(self.names[best]), float(p[best]), float(np.exp(log_z - before))))
-            last = due[-1][0]
             self.told.update((n, log_z, last, [float(x) for x in sums], [float(x) for x in prior]))
             if rest:
                 self.waiting.put(rest)
