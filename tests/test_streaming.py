@@ -63,7 +63,7 @@ def test_late_rows_and_ended_hands(keyed, tmp_path):
     row = lambda path, i, ts: (path, "o", "t", "", i, key, 1, ts)
     parts = [
         [row("a", 1, "2024-01-01 10:00:00"), row("a", 3, "2024-01-01 10:20:00"), row("b", 0, "2024-01-01 12:00:00")],
-        [row("a", 2, "2024-01-01 11:50:00"), row("b", 1, "2024-01-03 12:00:00")],
+        [row("a", 2, "2024-01-01 11:10:00"), row("b", 1, "2024-01-03 12:00:00")],
         [row("a", 0, "2024-01-01 10:10:00"), row("b", 2, "2024-01-03 12:10:00")],
     ]
     got = {}
