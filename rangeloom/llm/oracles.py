@@ -83,6 +83,28 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN t USING (k)
 """
 
+#: Texts of one shingle set are one class, so that many copies are one row of the pairs.
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d
+), c AS (
+  SELECT md5(array_to_string(list_sort(sh), chr(10))) AS class, any_value(sh) AS sh, any_value(len(sh)) AS n, min(doc_id) AS least FROM s WHERE len(sh) > 0 GROUP BY 1
+), e AS (
+  SELECT class, n, unnest(sh) AS shingle FROM c
+), p AS (
+  SELECT a.class AS x, b.class AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT class AS x, class AS y FROM c UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
+), m AS (
+  SELECT r.x AS class, min(c.least) AS component_id FROM r JOIN c ON c.class = r.y GROUP BY 1
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN m ON m.class = md5(array_to_string(list_sort(s.sh), chr(10))) AND len(s.sh) > 0
+"""
+
 OP12 = """
 WITH r AS (
   SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v

@@ -109,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_members": oracles.OP4,
         "op5_rule_cascade": oracles.OP5,
         "op7_blob_ledger": oracles.OP7,
+        "op10_minmax_near_dedup": oracles.OP10,
         "op12_hard_negatives": oracles.OP12,
         "op13_phrase_collocations": oracles.OP13,
     }

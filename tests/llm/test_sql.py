@@ -7,7 +7,7 @@ from rangeloom.llm import queries
 
 def same(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     cur = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cur.description]
