@@ -51,7 +51,7 @@ def hand_indexes(hands: DataFrame) -> DataFrame:
 def document_rows(hands: DataFrame, observers: list[str] | None = None, targets: list[str] | None = None, phi: float = 0.0, k: int = 10, quarantine: bool = False) -> DataFrame:
     """``results`` of many sessions with each row's place: the columns of ``ROWS``. ``hands`` is read several times."""
     heads = session_heads(hands, observers, targets)
-    rows = results(hands, observers, targets, phi, k, quarantine).join(hand_indexes(hands), "path").join(heads, "session_path")
+    rows = results(hands, observers, targets, phi, k, quarantine, keep=True).join(hand_indexes(hands), "path").join(heads, "session_path")
     rows = rows.withColumn("observer_at", (F.array_position("observers", F.col("observer")) - 1).cast("int")).withColumn("target_at", (F.array_position("targets", F.col("target")) - 1).cast("int"))
     names = [c.split()[0] for c in ROWS.split(", ")]
     return rows.filter("observer_at >= 0 and target_at >= 0").select(*names)
