@@ -13,11 +13,13 @@ make much work of few bytes, so parts must not be merged for their size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rangeloom.functions.cards import bad, cards, hand_class, let, suits_at, text_bits
+from rangeloom.functions.cards import RANKS, bad, let, plain_bits, reckoned, suit_bits, suits_at, text_class
 from rangeloom.functions.likelihood import FLOOR, PAIR, SUITED, action_table, class_names, class_shapes
 
 
@@ -46,15 +48,48 @@ def counts_left(bits: Column) -> Column:
     return let(bits, lambda b: let(free_suits(b), lambda free: F.transform(class_shapes(), lambda s: of_class(s, free))))
 
 
+def with_pattern(dead: DataFrame) -> DataFrame:
+    """Adds ``pattern``: the suits of the dead cards' set (``suit_bits``), put in order and packed into a set again.
+
+    Which suit is which makes no difference to how many combos a class has left, so sets that differ by their suits' names
+    alone share a pattern: 169 for two cards, 134,459 for five, whatever the table.
+    """
+    suits = [F.col(f"__d{k}") for k in range(4)]
+    low, high = [F.least(*suits[:2]), F.least(*suits[2:])], [F.greatest(*suits[:2]), F.greatest(*suits[2:])]
+    steps = [{"__bits": plain_bits(F.col("dead"))}, {f"__d{k}": suit_bits(F.col("__bits"), k) for k in range(4)}, {"__l0": low[0], "__l1": low[1], "__h0": high[0], "__h1": high[1]}]
+    steps.append({"__o0": F.least("__l0", "__l1"), "__o3": F.greatest("__h0", "__h1"), "__m0": F.greatest("__l0", "__l1"), "__m1": F.least("__h0", "__h1")})
+    order = [F.col("__o0"), F.least("__m0", "__m1"), F.greatest("__m0", "__m1"), F.col("__o3")]
+    packed = [F.call_function("shiftleft", c.cast("long"), F.lit(13 * k)) for k, c in enumerate(order)]
+    return reckoned(dead, "pattern", reduce(Column.bitwiseOR, packed), *steps)
+
+
+def pattern_counts(patterns: DataFrame) -> DataFrame:
+    """Adds ``counts``, the combos that a ``pattern`` leaves in class order, and ``total``, their sum. One row for each pattern is enough."""
+    dealt = patterns.repartition(int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pattern")
+    free = {f"__f{r}": F.lit(15).bitwiseXOR(suits_at(F.col("pattern"), r)) for r in range(13)}
+    n = {f"__n{r}": F.bit_count(f"__f{r}") for r in range(13)}
+    both = {f"__b{h}_{l}": F.bit_count(F.col(f"__f{h}").bitwiseAND(F.col(f"__f{l}"))) for h in range(13) for l in range(h)}  # noqa: E741
+
+    def left(name: str) -> Column:
+        high, low = 12 - RANKS.index(name[0]), 12 - RANKS.index(name[1])
+        many = F.col(f"__n{high}") * F.col(f"__n{low}")
+        if len(name) == 2:
+            return F.call_function("shiftright", many - F.col(f"__n{high}"), F.lit(1))
+        return F.col(f"__b{high}_{low}") if name[2] == "s" else many - F.col(f"__b{high}_{low}")
+
+    known = reckoned(dealt, "counts", F.array(*map(left, class_names())), free, n | both)
+    cards = F.lit(52) - F.bit_count("pattern")
+    return known.withColumn("total", F.call_function("shiftright", cards * (cards - 1), F.lit(1)))
+
+
 def prior_counts(dead: DataFrame) -> DataFrame:
     """(dead, counts, total) for each distinct string of dead cards: the combos left in class order, and their sum.
 
-    Any number of cards can be dead, an observer's two or a board as well; each string is one row and meets no table of combos.
+    Any number of cards can be dead, an observer's two or a board as well; counts are made once for each pattern of suits.
     """
-    distinct = dead.select("dead").distinct().repartition(int(dead.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dead")
-    known = distinct.select("dead", counts_left(text_bits(F.col("dead"))).alias("counts"))
-    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
-    return known.withColumn("total", F.when(total > 0, total).otherwise(bad("no legal combos: ", F.col("dead")).cast("int")))
+    distinct = with_pattern(dead.select("dead").distinct())
+    known = distinct.join(pattern_counts(distinct.select("pattern").distinct()), "pattern")
+    return known.select("dead", "counts", F.when(F.col("total") > 0, F.col("total")).otherwise(bad("no legal combos: ", F.col("dead")).cast("int")).alias("total"))
 
 
 def priors(dead: DataFrame) -> DataFrame:
@@ -238,7 +273,7 @@ def filter_steps(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor:
 def true_class(ranges: DataFrame, holes: DataFrame) -> DataFrame:
     """Probability that each row of ``range_vectors`` gives to the target's real class; 0 if its cards are unknown."""
     names = F.array(*map(F.lit, class_names()))
-    real = holes.select("path", F.col("player").alias("target"), (F.array_position(names, hand_class(cards(F.col("cards")))) - 1).cast("int").alias("__real"))
+    real = holes.select("path", F.col("player").alias("target"), (F.array_position(names, text_class(F.col("cards"))) - 1).cast("int").alias("__real"))
     joined = ranges.join(real, ["path", "target"], "left")
     return joined.select("path", "observer", "target", F.coalesce(F.get("p", F.col("__real")), F.lit(0.0)).alias("true_class_probability"))
 

@@ -36,3 +36,29 @@ def long_days(spark, tmp_path_factory):
 def test_days_longer_than_a_deck(spark, long_days, name):
     want = against_sql(spark, name, long_days)
     assert name != "hand_boards" or max(r[1] for r in want) == "4"
+
+
+def test_dead_cards_share_patterns_of_suits(spark):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+    from rangeloom.functions.cards import RANKS, SUITS, text_bits
+    from rangeloom.operators import ranges as R
+
+    deck = [r + s for r in RANKS for s in SUITS]
+    two = spark.createDataFrame([(a + b,) for a, b in combinations(deck, 2)], "dead string")
+    assert R.with_pattern(two).select("pattern").distinct().count() == 169
+    dead = two.limit(200).union(spark.createDataFrame([("",), ("ahKd",), ("".join(deck[3:40:4]),), ("".join(deck[:50]),)], "dead string"))
+    rows = R.prior_counts(dead).withColumn("want", R.counts_left(text_bits(F.col("dead")))).collect()
+    assert len(rows) == 204 and all(r.counts == r.want and r.total == sum(r.want) for r in rows)
+
+
+def test_classes_of_texts(spark):
+    from pyspark.sql import functions as F
+    from rangeloom.functions.cards import RANKS, SUITS, cards, hand_class, text_class
+
+    deck = [r + s for r in RANKS for s in SUITS]
+    rows = spark.createDataFrame([(a + b,) for a in deck for b in deck if a != b] + [("ahKd",), (" 2C2d",)], "c string")
+    assert rows.filter(text_class(F.col("c")) != hand_class(cards(F.col("c")))).count() == 0
+    with pytest.raises(Exception, match="Duplicate cards"):
+        spark.createDataFrame([("AhAh",), ("AHAH",)], "c string").select(text_class(F.col("c"))).collect()
