@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from rangeloom.functions.cards import RANKS, bad, let, plain_bits, reckoned, suit_bits, suits_at, text_class
 from rangeloom.functions.likelihood import FLOOR, PAIR, SUITED, action_table, class_names, class_shapes
+from rangeloom.sources.shared import written
 
 
 def combo_count(name: Column) -> Column:
@@ -158,15 +159,20 @@ def prior_vectors(observed: DataFrame, initial: DataFrame | None = None) -> Data
     return observed.select("dead").distinct().crossJoin(F.broadcast(vector))
 
 
-def fanned_out(per_target: DataFrame, observed: DataFrame, start: DataFrame) -> DataFrame:
-    """Rows (path, target, ...) for each of their observers, with ``observer``, ``dead`` and ``prior``.
+def met_by_path(per_target: DataFrame, observed: DataFrame) -> DataFrame:
+    """Rows (path, target, ...) for each of their observers, with the columns of ``observed``.
 
     The join is by path alone, as the rows are dealt already; a path's pairs are at most its players squared.
     """
-    by_path = observed.groupBy("path").agg(F.collect_list(F.struct("observer", "target", "dead")).alias("__pairs"))
+    told = [c for c in observed.columns if c not in ("path", "target")]
+    by_path = observed.groupBy("path").agg(F.collect_list(F.struct("target", *told)).alias("__pairs"))
     both = per_target.join(by_path, "path").withColumn("__o", F.explode(F.filter("__pairs", lambda x: x["target"] == F.col("target"))))
-    named = both.withColumn("observer", F.col("__o.observer")).withColumn("dead", F.col("__o.dead")).drop("__pairs", "__o")
-    return named.join(start, "dead")
+    return both.select(*per_target.columns, *[F.col(f"__o.{c}").alias(c) for c in told])
+
+
+def fanned_out(per_target: DataFrame, observed: DataFrame, start: DataFrame) -> DataFrame:
+    """``met_by_path`` with each row's ``prior``."""
+    return met_by_path(per_target, observed).join(start, "dead")
 
 
 def _weighed(prior: Column, log_lik: Column, body) -> Column:
@@ -182,12 +188,55 @@ def _weighed(prior: Column, log_lik: Column, body) -> Column:
     return let(top, made)
 
 
-def range_vectors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
-    """(path, observer, target, dead, p, log_likelihood, n): the posterior of every pair with decisions, as an array in class order."""
-    like = summed(made, action_table(made, phi, floor), ["path", "target"])
-    rows = fanned_out(like, observed, prior_vectors(observed, initial))
+def moved(made: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, moves, n): each group's decisions as a sorted array of (state_key, bucket, times), and their number. What is no decision of the model is passed over."""
+    counted = dealt(made.filter("state_key is not null and bucket between 0 and 4")).groupBy(*keys, "state_key", "bucket").agg(F.count("*").alias("c"))
+    return counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("state_key", "bucket", "c"))).alias("moves"), F.sum("c").alias("n"))
+
+
+def seen(made: DataFrame, observed: DataFrame, keep: bool = False) -> DataFrame:
+    """(path, target, moves, n, and the columns of ``observed``): a row for each pair with decisions.
+
+    These rows hold no vectors; a range is settled by ``moves`` and ``dead``, which many pairs share. They are read at least
+    twice; ``keep`` writes them, which pays for more than a few hands.
+    """
+    rows = met_by_path(moved(made, ["path", "target"]), observed).filter("dead is not null")
+    return written(rows, "pairs") if keep else rows
+
+
+def settled(pairs: DataFrame, table: DataFrame, once: dict[str, Column], initial: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(moves, dead, keep, once) for each distinct (moves, dead) of ``seen``: ``once`` are expressions of ``p``, the range in class order, and ``log_likelihood``.
+
+    Only these rows meet vectors. Their number is that of different decisions by that of different hole cards.
+    """
+    combos = pairs.select("moves", "dead").distinct()
+    each = combos.select("moves").distinct().select("moves", F.explode("moves").alias("m")).select("moves", "m.state_key", "m.bucket", "m.c")
+    met = each.join(F.broadcast(action_vectors(table, keep)), ["state_key", "bucket"])
+    listed = met.groupBy("moves", *keep).agg(F.sort_array(F.collect_list(F.struct("state_key", "bucket", "c", "ln"))).alias("l"))
+    like = listed.select("moves", *keep, F.aggregate("l", _zeros(), lambda acc, x: F.zip_with(acc, x["ln"], lambda a, b: a + x["c"] * b)).alias("log_lik"))
+    rows = combos.join(prior_vectors(combos, initial), "dead").join(like, "moves")
     out = _weighed(F.col("prior"), F.col("log_lik"), lambda x: F.struct(F.transform(x["w"], lambda w: w / x["z"]).alias("p"), (F.log(x["z"]) + x["top"]).alias("log_likelihood")))
-    return rows.withColumn("__r", out).select("path", "observer", "target", "dead", F.col("__r.p").alias("p"), F.col("__r.log_likelihood").alias("log_likelihood"), "n")
+    # behind a barrier, as ``once`` may read a range several times
+    known = rows.select("moves", "dead", *keep, F.explode(F.array(out)).alias("__r")).select("moves", "dead", *keep, "__r.p", "__r.log_likelihood")
+    return known.select("moves", "dead", *keep, *[c.alias(name) for name, c in once.items()])
+
+
+def ranged(made: DataFrame, observed: DataFrame, once: dict[str, Column], phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """(the columns of ``observed``, n, once): a row for each pair with decisions, with ``once`` as in ``settled``."""
+    rows = seen(made, observed, keep)
+    return rows.join(settled(rows, action_table(made, phi, floor), once, initial), ["moves", "dead"]).select(*observed.columns, "n", *once)
+
+
+def whole() -> dict[str, Column]:
+    return {"p": F.col("p"), "log_likelihood": F.col("log_likelihood")}
+
+
+def range_vectors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
+    """(path, observer, target, dead, p, log_likelihood, n): the posterior of every pair with decisions, as an array in class order.
+
+    What needs less than the whole array takes ``ranged``, so that arrays are not moved with the pairs.
+    """
+    return ranged(made, observed, whole(), phi, floor, initial).select("path", "observer", "target", "dead", "p", "log_likelihood", "n")
 
 
 def posteriors(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor: float = FLOOR, initial: DataFrame | None = None) -> DataFrame:
@@ -270,18 +319,31 @@ def filter_steps(made: DataFrame, observed: DataFrame, phi: float = 0.0, floor:
     )
 
 
+def _real(holes: DataFrame) -> DataFrame:
+    names = F.array(*map(F.lit, class_names()))
+    return holes.select("path", F.col("player").alias("target"), (F.array_position(names, text_class(F.col("cards"))) - 1).cast("int").alias("__real"))
+
+
 def true_class(ranges: DataFrame, holes: DataFrame) -> DataFrame:
     """Probability that each row of ``range_vectors`` gives to the target's real class; 0 if its cards are unknown."""
-    names = F.array(*map(F.lit, class_names()))
-    real = holes.select("path", F.col("player").alias("target"), (F.array_position(names, text_class(F.col("cards"))) - 1).cast("int").alias("__real"))
-    joined = ranges.join(real, ["path", "target"], "left")
+    joined = ranges.join(_real(holes), ["path", "target"], "left")
     return joined.select("path", "observer", "target", F.coalesce(F.get("p", F.col("__real")), F.lit(0.0)).alias("true_class_probability"))
 
 
-def temperature_fit(made: DataFrame, observed: DataFrame, phis: list[float]) -> DataFrame:
-    """(target, phi, log_likelihood): sum over all pairs for each phi of a grid, in one plan; the best phi of a player is its maximum."""
+def true_classes(made: DataFrame, observed: DataFrame, holes: DataFrame, phi: float = 0.0, keep: bool = False) -> DataFrame:
+    """``true_class`` of every pair with decisions: the real class goes with the pair, and of the range one entry is taken where they meet."""
+    rows = ranged(made, observed.join(_real(holes), ["path", "target"], "left"), {"p": F.col("p")}, phi, keep=keep)
+    return rows.select("path", "observer", "target", F.coalesce(F.get("p", F.col("__real")), F.lit(0.0)).alias("true_class_probability"))
+
+
+def temperature_fit(made: DataFrame, observed: DataFrame, phis: list[float], keep: bool = False) -> DataFrame:
+    """(target, phi, log_likelihood): sum over all pairs for each phi of a grid, in one plan; the best phi of a player is its maximum.
+
+    Equal pairs of a target are counted first: their likelihood is reckoned once and taken as often as they come.
+    """
     grid = made.sparkSession.createDataFrame([(float(p),) for p in phis], "phi double")
     table = action_table(made.select("state_key").distinct().crossJoin(F.broadcast(grid)), F.col("phi"), keep=("phi",))
-    rows = fanned_out(summed(made, table, ["path", "target"], ("phi",)), observed, prior_vectors(observed))
-    ll = _weighed(F.col("prior"), F.col("log_lik"), lambda x: F.log(x["z"]) + x["top"])
-    return rows.select("target", "phi", ll.alias("ll")).groupBy("target", "phi").agg(F.sum("ll").alias("log_likelihood"))
+    rows = seen(made, observed).groupBy("target", "moves", "dead").agg(F.count("*").alias("uses"))
+    rows = written(rows, "pair-counts") if keep else rows
+    known = settled(rows, table, {"ll": F.col("log_likelihood")}, keep=("phi",))
+    return rows.join(known, ["moves", "dead"]).groupBy("target", "phi").agg(F.sum(F.col("uses") * F.col("ll")).alias("log_likelihood"))
