@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from rangeloom.functions.cards import BUCKETS, RANKS, bad, best_run, card_bits, cards, let, listed, looked_up, rated_by_ranks, stepwise, strengths, suit_bits, suits_at
 from rangeloom.functions.likelihood import OFFSUIT, PAIR, SUITED, class_names, class_shapes, psi_table
+from rangeloom.operators.ranges import ranged
 from rangeloom.sources.shared import written
 
 
@@ -70,6 +71,12 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
     parts = int(boards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = boards.select("board").distinct().repartition(parts, "board").withColumn("__cards", cards(F.col("board")))
     known = written(known.select("board", card_bits(F.col("__cards")).alias("__set")), "boards")
+    return known.join(_set_strengths(known), "__set").select("board", "strengths", "members")
+
+
+def _set_strengths(known: DataFrame) -> DataFrame:
+    """(__set, strengths, members) of the distinct sets of cards of boards (``strength_vectors``), written; three cards make at most 22,100."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = known.select("__set").distinct().filter(F.bit_count("__set").between(3, 5))
     bits = F.col("__set")
     held = {f"__s{k}": suit_bits(bits, k) for k in range(4)}
@@ -108,8 +115,7 @@ def strength_vectors(boards: DataFrame) -> DataFrame:
     rated = met.select("__set", F.transform(class_shapes(), of_class).alias("strengths"))
     every = F.sequence(F.lit(0), F.lit(168))
     members = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.filter(every, lambda i: F.get("strengths", i) == k).cast("array<smallint>"))
-    rated = written(rated.withColumn("members", members), "strengths")
-    return known.join(rated, "__set").select("board", "strengths", "members")
+    return written(rated.withColumn("members", members), "strengths")
 
 
 def collapsed(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,10 +124,17 @@ def collapsed(ranges: DataFrame, keys: list[str]) -> DataFrame:
     Mass of classes without a combo is shared in proportion; a row without any mass, or whose board has no strengths, is uniform.
     """
     rated = ranges.join(strength_vectors(ranges).drop("strengths"), "board", "left")
-    # each class is read once, in the list of its strength
-    mass = F.transform("members", lambda of: F.aggregate(of, F.lit(0.0), lambda a, i: a + F.coalesce(F.get("p", i.cast("int")), F.lit(0.0))))
-    rated = rated.select(*keys, F.coalesce(mass, F.array_repeat(F.lit(0.0), 7)).alias("m"))
-    rated = rated.withColumn("z", F.aggregate("m", F.lit(0.0), lambda a, x: a + x))
+    return _shared(rated.select(*keys, _gathered(F.col("members"), F.col("p")).alias("m")), keys)
+
+
+def _gathered(members: Column, p: Column) -> Column:
+    """A range's mass at each of the seven strengths; each class is read once, in the list of its strength."""
+    return F.transform(members, lambda of: F.aggregate(of, F.lit(0.0), lambda a, i: a + F.coalesce(F.get(p, i.cast("int")), F.lit(0.0))))
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start) of rows (keys, m): masses in proportion, uniform where there are none."""
+    rated = rows.select(*keys, F.coalesce("m", F.array_repeat(F.lit(0.0), 7)).alias("m")).withColumn("z", F.aggregate("m", F.lit(0.0), lambda a, x: a + x))
     return rated.select(*keys, F.when(F.col("z") > 0, F.transform("m", lambda x: x / F.col("z"))).otherwise(F.array_repeat(F.lit(1 / 7), 7)).alias("start"))
 
 
@@ -140,14 +153,30 @@ def later_streets(ranges: DataFrame, boards: DataFrame, acts: DataFrame, phi: fl
 
     (path, observer, target, board, n_actions, start, p, log_likelihood): strengths before and after as arrays in the order of ``BUCKETS``.
     """
-    psi = psi_table(ranges.sparkSession, phi).groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket_idx", F.log("psi").alias("l")))), lambda x: x["l"]).alias("ln"))
+    rows = ranges.join(_acted_later(acts, phi), ["path", "target"]).join(boards.filter("street = 1").select("path", "board"), "path")
+    # only pairs whose target acts later are rated
+    return _filtered(collapsed(rows, ["path", "observer", "target", "board", "n_actions", "l"]))
+
+
+def later_ranges(made: DataFrame, observed: DataFrame, boards: DataFrame, acts: DataFrame, phi: float = 0.0, keep: bool = False) -> DataFrame:
+    """``later_streets`` of the ranges that ``made`` and ``observed`` lead to: what a pair needs goes with it as a small row, and where it meets its range's array, seven masses are taken."""
+    flops = boards.filter("street = 1").select("path", "board").withColumn("__cards", cards(F.col("board"))).select("path", "board", card_bits(F.col("__cards")).alias("__set"))
+    flops = written(flops, "flops") if keep else flops
+    carried = observed.join(_acted_later(acts, phi), ["path", "target"]).join(flops, "path")
+    rows = ranged(made, carried, {"p": F.col("p")}, keep=keep).join(_set_strengths(flops), "__set", "left")
+    names = ["path", "observer", "target", "board", "n_actions", "l"]
+    return _filtered(_shared(rows.select(*names, _gathered(F.col("members"), F.col("p")).alias("m")), names))
+
+
+def _acted_later(acts: DataFrame, phi: float) -> DataFrame:
+    """(path, target, n_actions, l): log-likelihoods of each target's actions after the flop, by strength."""
+    psi = psi_table(acts.sparkSession, phi).groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket_idx", F.log("psi").alias("l")))), lambda x: x["l"]).alias("ln"))
     made = acts.filter("street > 0").select("path", F.col("player").alias("target"), "bucket").join(F.broadcast(psi), "bucket")
     summed = made.groupBy("path", "target").agg(F.count("*").alias("n_actions"), *[F.sum(F.get("ln", F.lit(i))).alias(f"l{i}") for i in range(7)])
-    summed = summed.select("path", "target", "n_actions", F.array(*[f"l{i}" for i in range(7)]).alias("l"))
-    flops = boards.filter("street = 1").select("path", "board")
-    # only pairs whose target acts later are rated
-    rows = ranges.join(summed, ["path", "target"]).join(flops, "path")
-    rows = collapsed(rows, ["path", "observer", "target", "board", "n_actions", "l"])
+    return summed.select("path", "target", "n_actions", F.array(*[f"l{i}" for i in range(7)]).alias("l"))
+
+
+def _filtered(rows: DataFrame) -> DataFrame:
     top = F.array_max(F.zip_with("start", "l", lambda p, l: F.when(p > 0, l)))
     rows = rows.withColumn("top", top).withColumn("w", F.zip_with("start", "l", lambda p, l: F.when(p > 0, p * F.exp(l - F.col("top"))).otherwise(0.0)))
     rows = rows.withColumn("z", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
