@@ -62,3 +62,37 @@ def test_classes_of_texts(spark):
     assert rows.filter(text_class(F.col("c")) != hand_class(cards(F.col("c")))).count() == 0
     with pytest.raises(Exception, match="Duplicate cards"):
         spark.createDataFrame([("AhAh",), ("AHAH",)], "c string").select(text_class(F.col("c"))).collect()
+
+
+def test_documents_hold_each_range_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from rangeloom.plans.derived import hands
+    from rangeloom.plans.documents import read_documents, write_documents
+
+    out = tmp_path / "out"
+    told = write_documents(hands(spark, "/root/testdata/sf0.001"), str(out), phi=0.5, k=3, quarantine=True)
+    ranges = spark.read.json(str(out / told["run"] / "ranges"))
+    rows = read_documents(spark, str(out))[2]
+    moves = F.array_sort(F.transform("decisions", lambda d: F.concat_ws(":", d["state_key"], d["action_bucket"])))
+    assert told["rows"] == rows.count() > ranges.count() == rows.select("observer_hole_cards", moves).distinct().count()
+    assert rows.filter(F.size("range_vector") != 169).count() == 0
+    size = sum(f.stat().st_size for f in (out / told["run"] / "rows").glob("part-*"))
+    assert size < 800 * told["rows"]
+
+
+def test_ranges_settled_once_are_those_of_every_pair(spark):
+    from pyspark.sql import functions as F
+    from rangeloom.operators import postflop as P
+    from rangeloom.operators import ranges as R
+    from rangeloom.operators.replay import boards
+
+    every, t, acts, holes = queries._acts(spark, "/root/testdata/sf0.001")
+    made, pairs = R.decisions(acts), R.pairs(every, holes)
+    rows = R.seen(made, pairs)
+    assert not [f for f in rows.dtypes if "double" in f[1]]
+    assert R.settled(rows, R.action_table(made), R.whole()).count() == rows.select("moves", "dead").distinct().count() < rows.count()
+    told = lambda df, c: sorted((r.path, r.observer, r.target, round(r[c], 12)) for r in df.collect())
+    whole = R.range_vectors(made, pairs)
+    assert told(R.true_classes(made, pairs, holes), "true_class_probability") == told(R.true_class(whole, holes), "true_class_probability")
+    value = lambda df: df.withColumn("v", P.strength_value(F.col("p")))
+    assert told(value(P.later_ranges(made, pairs, boards(t), acts)), "v") == told(value(P.later_streets(whole, boards(t), acts)), "v")
