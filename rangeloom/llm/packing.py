@@ -18,6 +18,7 @@ there is no shuffle.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -38,6 +39,8 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS, PROMPT_PERCENT = 4096, 32, 3328, 25
 POOL_PIECES, PIECE_TOKENS = 1024, 2048
 #: Words whose ids a worker remembers, and the longest of them in bytes: together they bound its memory.
 CACHED_WORDS, CACHED_BYTES = 500_000, 48
+#: Words of the texts that are looked up together (a longer text alone), and units in a call of the tokenizer.
+GROUP_WORDS, CALL_UNITS = 2_000, 1024
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -62,6 +65,34 @@ _HIGH = re.compile(rb"[\xcc-\xff]")
 #: Stands between words that are encoded together.
 _FENCE = "^"
 
+#: Normaliser, splitter and end of a word's last token for which plain words are split here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_WORD_END = "</w>"
+#: Bytes of plain words: visible ASCII and two-byte characters from U+00C0 to U+00FF. What they must not hold: a special token's opening, and the two that are no letters.
+_PLAIN = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), 0xC3])
+_NOT_PLAIN = re.compile(rb"<\||\xc3[\x97\xb7]")
+#: The splitter's units in a plain word, lower-cased.
+_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in the model's vocabulary: itself where it is visible in Latin-1."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+#: Latin-1 text of bytes to these characters; spaces stay, as they part the units.
+_SHOWN = {b: x for b, x in enumerate(_LETTERS) if b != 0x20}
+
 
 class WordTokenizer:
     """Ids of whole texts, word by word: exactly those of the tokenizer's own call on the whole text.
@@ -73,6 +104,12 @@ class WordTokenizer:
     but not in texts with a special token's opening or with characters that could
     compose, because both come before lower-casing. One of these lives as long as a
     Python worker.
+
+    New words of many texts are encoded in one call. Plain ones (``_PLAIN``) need no
+    normalising but lower case, and are split into units here: a tokenizer with the
+    same model that only splits at spaces encodes each new unit, and a token that ends
+    one ends with ``_WORD_END``. All others take the whole tokenizer, and so does every
+    word where a tokenizer file has another normaliser or splitter.
     """
 
     def __init__(self, path: str | None = None):
@@ -87,49 +124,108 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         fence = self.tokenizer.encode(_FENCE, add_special_tokens=False).ids
         self.fence = fence[0] if len(fence) == 1 else None
+        self.units = self._for_units()
 
     @staticmethod
     @cache
     def of_worker(path: str | None) -> WordTokenizer:
         return WordTokenizer(path)
 
+    def _for_units(self):
+        """A tokenizer with the same model that only splits at spaces; None where the file's is not the one that ``_UNITS`` was written for."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole, model = self.tokenizer, self.tokenizer.model
+        steps = [json.loads(x.__getstate__()) if x is not None else None for x in (whole.normalizer, whole.pre_tokenizer)]
+        plain = [getattr(model, x, None) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        if steps != [_NORMALIZER, _SPLITTER] or plain != [None, None, None, _WORD_END, False, False] or whole.truncation or whole.padding:
+            return None
+        vocab = whole.get_vocab(with_added_tokens=False)
+        if not all(x in vocab and x + _WORD_END in vocab for x in _LETTERS):
+            return None
+        if any(not x.content.startswith("<|") for x in whole.get_added_tokens_decoder().values()):
+            return None
+        self.ends_unit = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_unit[[k for x, k in vocab.items() if x.endswith(_WORD_END)]] = True
+        units = Tokenizer(model)
+        units.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return units
+
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words; those of at most ``CACHED_BYTES`` are remembered."""
-        out: dict[bytes, bytes] = {}
-        plain = [w for w in new if len(w) <= CACHED_BYTES and _FENCE.encode() not in w] if self.fence is not None else []
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
+    def _fenced(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of words without a fence, by the whole tokenizer."""
+        for k in range(0, len(words), 256):
+            part = words[k : k + 256]
             found = self.tokenizer.encode_batch_fast([f" {_FENCE} ".join([w.decode("utf-8", "replace") for w in part])], add_special_tokens=False)
             ids = np.array(found[0].ids, "<u4")
             ends = [4 * int(e) for e in np.flatnonzero(ids == self.fence)] + [4 * len(ids)]
             raw, start = ids.tobytes(), 0
             for w, end in zip(part, ends, strict=True):
-                out[w] = raw[start:end]
+                yield w, raw[start:end]
                 start = end + 4
-        for w in set(new) - set(plain):
-            out[w] = self._alone(w)
-        self.known.update((w, ids) for w, ids in out.items() if len(w) <= CACHED_BYTES)
+
+    def _by_units(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of units of plain words."""
+        for k in range(0, len(units), CALL_UNITS):
+            part = units[k : k + CALL_UNITS]
+            text = b" ".join(part).decode("latin-1")
+            if not text.isascii():
+                text = text.translate(_SHOWN)
+            ids = np.array(self.units.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for u, end in zip(part, (4 * np.flatnonzero(self.ends_unit[ids]) + 4).tolist(), strict=True):
+                yield u, raw[start:end]
+                start = end
+
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Adds the ids of words, and of their units, to those known; returns the words that are too long to be remembered."""
+        known, units, of_units, fenced, alone = self.known, set(), {}, [], []
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                alone.append(w)
+            elif self.units is not None and w.isalpha() and w.islower():
+                units.add(w)
+            elif self.units is not None and not (w.translate(None, _PLAIN) or _NOT_PLAIN.search(w)):
+                of_units[w] = [u.encode() for u in _UNITS.findall(w.decode().lower())]
+                units.update(of_units[w])
+            else:
+                (alone if self.fence is None or _FENCE.encode() in w else fenced).append(w)
+        units = units.difference(known)
+        ascii_only = [u for u in units if u.isascii()]
+        known.update(self._by_units(ascii_only))
+        known.update(self._by_units(list(units.difference(ascii_only))))
+        known.update([(w, b"".join([known[u] for u in own])) for w, own in of_units.items()])
+        known.update(self._fenced(fenced))
+        known.update((w, self._alone(w)) for w in alone)
+        return [w for w in alone if len(w) > CACHED_BYTES]
+
+    def _looked_up(self, group: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of texts, given as words."""
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        new = set().union(*group).difference(known)
+        long = self._learn(new) if new else []
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in group]
+        for w in long:
+            del known[w]
         return out
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as little-endian 32-bit numbers, without an end marker; none for null."""
-        known = self.known
+        group, size = [], 0
         for text in texts:
-            if len(known) > CACHED_WORDS:
-                known.clear()
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             if b"<|" not in raw and (raw.isascii() or not _HIGH.search(raw)):
                 raw = raw.lower()
-            words = _apart(raw).split()
-            new = set(words).difference(known)
-            if new:
-                fresh = self._learn(list(new))
-                yield np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in words]), "<u4")
-            else:
-                yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+            group.append(_apart(raw).split())
+            size += len(group[-1])
+            if size >= GROUP_WORDS:
+                yield from self._looked_up(group)
+                group, size = [], 0
+        yield from self._looked_up(group)
 
 
 @dataclass

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -78,6 +79,56 @@ def test_long_words_are_not_remembered():
     assert set(words.known) == {b"short"}
 
 
+class Counted:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, []
+
+    def encode(self, text, **options):
+        self.texts.append(text)
+        return self.inner.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_plain_words_take_only_the_model():
+    """Words of ASCII and Latin-1 letters, digits and signs need no whole tokenizer, and each unit is encoded once."""
+    words = WordTokenizer()
+    words.tokenizer = Counted(words.tokenizer)
+    words.units = Counted(words.units)
+    texts = ["Don't stop, élan ÉLAN^2 straße!! tion&&& x_1.5", "tion tion&&& I'll re-use élan's 1.5 <b>", "don't"]
+    assert [x.tolist() for x in words.ids(texts)] == [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    encoded = [u for t in words.units.texts for u in t.split(" ")]
+    assert words.tokenizer.texts == [] and len(encoded) == len(set(encoded))
+
+
+@pytest.mark.parametrize("group", [1, 50, 10**6])
+def test_units_of_plain_words_equal_the_whole_tokenizer(monkeypatch, group):
+    monkeypatch.setattr("rangeloom.llm.packing.GROUP_WORDS", group)
+    rng = np.random.default_rng(group)
+    letters = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA0, 0x180)), *("'s", "'RE", "'ll", "<|", "the", "ing", "</w>"), *" " * 30]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(4_000)] + [None, "", "é" * 400 + " z"]
+    texts += [a + b + c for a in ("x", "É", "'", "9") for b in map(chr, range(0x21, 0x180)) for c in ("", "s", "ü", "7")]
+    words = WordTokenizer()
+    assert words.units is not None
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert ids.tolist() == tokenizer().encode(text or "", add_special_tokens=False).ids, text
+    assert max(map(len, words.known)) <= 48
+
+
+def test_another_splitter_takes_the_whole_tokenizer(tmp_path):
+    made = json.loads(tokenizer().to_str())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    words = WordTokenizer(str(tmp_path / "other.json"))
+    whole, text = words.tokenizer, "ab12 it's 2nd!! élan"
+    assert words.units is None
+    assert next(words.ids([text])).tolist() == whole.encode(text, add_special_tokens=False).ids != tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def test_the_three_limits_bind(spark, documents):
     """On real texts bins reach the limits of loss and segments, and lifting these changes where pieces go."""
     small = spark.createDataFrame([(10_000 + k, "tiny text") for k in range(400)], "doc_id long, text string")
