@@ -38,7 +38,7 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS, PROMPT_PERCENT = 4096, 32, 3328, 25
 #: Pieces that a task keeps before it packs, and the longest piece.
 POOL_PIECES, PIECE_TOKENS = 1024, 2048
 #: Words whose ids a worker remembers, and the longest of them in bytes: together they bound its memory.
-CACHED_WORDS, CACHED_BYTES = 500_000, 48
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
 #: Words of the texts that are looked up together (a longer text alone), and units in a call of the tokenizer.
 GROUP_WORDS, CALL_UNITS = 2_000, 1024
 
